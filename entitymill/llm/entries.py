@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op8_byte_bpe
 from .near_dedup import op1_near_dedup
+from .quality_rules import op10_quality_rules
 
-QUERIES = {"op1_near_dedup": op1_near_dedup}
+QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op10_quality_rules": op10_quality_rules,
+}
 
 ORACLES: dict[str, str] = {}
