@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,6 +40,8 @@ class Scratch:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.at}/{name}"
         df.write.mode("overwrite").parquet(path)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of steps that no plan refers to any more
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -48,14 +51,14 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows whose texts hold about ``most`` bytes; a longer text stands alone."""
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of at most ``rows`` rows whose texts hold about ``most`` bytes; a longer text stands alone."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     ends = np.cumsum(sizes)
     start, n = 0, len(sizes)
     while start < n:
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + most, "right"))))
         yield batch.slice(start, stop - start)
         start = stop
 

@@ -9,18 +9,21 @@ their similarity, and the estimate is concentrated like that of independent
 coordinates, at a cost near |set| + BINS log BINS instead of |set| * BINS.
 
 Candidates: ``BANDS`` bands of ``ROWS`` coordinates. A pair at similarity 0.8
-misses all of them with probability (1 - 0.8^6)^50 = 3e-7. Only distinct sets
+misses all of them with probability (1 - 0.8^5)^36 = 6e-7. Only distinct sets
 take part; copies inherit their class. No bucket emits all of its pairs:
 
 1. each member of a bucket is paired with the bucket's hub (one consistent
    order picks it, so a group's buckets share a hub) and checked exactly;
 2. components of these links are formed; a bucket of one component is done;
-3. in the other buckets each member outside the hub's component is paired
-   with members of other components, unless a bound proves them apart: shingles
-   that no other text of these buckets has can't be shared, so with u of them
-   a text shares at most size - u; pairs whose one-bit sketches differ in more
-   than ``MOST_BITS`` of the ``BINS`` bits (mean 32, deviation 5.4 at 0.8) go too.
-
+3. the documents of the other buckets are joined exactly on the rarest
+   shingles of each (of two sets at similarity 0.8 or more one of the first
+   size - ceil(0.8 size) + 1, in order of frequency, is in both), across
+   components only, with the bound that the places of the shared shingle put on
+   the intersection.
+
+Before a pair's texts are read, its parity sketches are compared: each shingle
+flips one of ``PARITY`` bits, so two sketches never differ in more bits than the
+sets in elements, and a pair with too many differing bits is surely no link.
 Every remaining pair is confirmed on the full shingle sets of both texts.
 Null text is empty; empty texts are in no link; repeated rows share their
 class; an empty table gives an empty result; further columns are ignored.
@@ -32,15 +35,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, slices, table
 from .components import connected_components
 from .textnum import U, Words, mix, shingles, sums_by
 
-BINS, BANDS, ROWS = 320, 50, 6
-MOST_BITS = 66
+BINS, BANDS, ROWS = 320, 36, 5
+PARITY = 1024
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 _SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
 
@@ -82,7 +85,8 @@ def _sketch_rows(k: int):
                 bands = np.zeros((n, BANDS), U)
                 for j in range(ROWS):
                     bands = mix(bands * U(0x9E3779B97F4A7C15) + s[:, j : BANDS * ROWS : ROWS] + np.arange(BANDS, dtype=U))
-                bits = np.packbits((mix(s) & U(1)).astype(np.uint8), axis=1).view(np.int64)
+                flips = np.bincount(doc * PARITY + (mix(sh ^ U(0x3C3C3C3C)) % U(PARITY)).astype(np.int64), minlength=n * PARITY)
+                bits = np.packbits((flips & 1).astype(np.uint8).reshape(n, PARITY), axis=1).view(np.int64)
                 full = size > 0
 
                 def rows(x: np.ndarray, full: np.ndarray = full) -> pa.Array:
@@ -139,8 +143,19 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_exact(k, percent), "a long, b long")
 
 
-def _bits_apart(x: str, y: str):
-    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, BINS // 64)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
+def _near(x: str, y: str, percent: int):
+    """Sizes and parity sketches allow the similarity p: elements apart <= (1 - p) / (1 + p) * sum of sizes."""
+    apart = F.lit(0)
+    for i in range(PARITY // 64):
+        apart = apart + F.bit_count(F.col(f"{x}_bits")[i].bitwiseXOR(F.col(f"{y}_bits")[i]))
+    a, b = F.col(f"{x}_size"), F.col(f"{y}_size")
+    return ((100 + percent) * apart <= (100 - percent) * (a + b)) & (100 * F.least(a, b) >= percent * F.greatest(a, b))
+
+
+def _alike(pairs: DataFrame, one: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may be links by their sketches."""
+    a, b = (one.select(F.col("doc_id").alias(n), F.col("bits").alias(f"{n}_bits"), F.col("n_shingles").alias(f"{n}_size")) for n in "ab")
+    return pairs.join(a, "a").join(b, "b").where(_near("a", "b", percent)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -160,9 +175,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     entries = one.select("doc_id", F.explode("bands").alias("band"))
     buckets = scratch.put(entries.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc_id").alias("o"), F.col("doc_id").alias("id"))).alias("hub")).where("n > 1").select("band", F.col("hub.id").alias("hub")), "buckets")
     members = scratch.put(entries.join(buckets, "band"), "members")
-    bits = one.select("doc_id", "bits")
-    pairs = members.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    pairs = pairs.join(bits.select(F.col("doc_id").alias("a"), F.col("bits").alias("ba")), "a").join(bits.select(F.col("doc_id").alias("b"), F.col("bits").alias("bb")), "b").where(_bits_apart("ba", "bb") <= MOST_BITS).select("a", "b")
+    pairs = _alike(members.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct(), one, percent)
     links = scratch.put(_confirm(scratch.put(pairs, "star"), docs, k, percent), "links")
     classes = scratch.put(connected_components(links, scratch, "first"), "classes")
     links = _rest(scratch, docs, one, members, classes, links, k, percent)
@@ -185,16 +198,23 @@ def _rest(scratch: Scratch, docs: DataFrame, one: DataFrame, members: DataFrame,
     if not ids.take(1):
         return None
     held = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_all_shingles(k), "doc_id long, s long")
-    own = held.groupBy("s").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
-    # most that a text can share with any other text of these buckets
-    facts = scratch.put(ids.join(one, "doc_id").join(own, "doc_id", "left").select("doc_id", "bits", F.col("n_shingles").alias("size"), (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("most")), "facts").where(f"100 * most >= {percent} * size")
-    side = inside.join(facts, "doc_id").select("band", F.col("doc_id").alias("id"), "c", "hc", "bits", "size", "most")
-    x = side.where("c <> hc").select("band", *(F.col(n).alias(f"x_{n}") for n in ("id", "c", "bits", "size", "most")))
-    y = side.select("band", F.col("hc"), *(F.col(n).alias(f"y_{n}") for n in ("id", "c", "bits", "size", "most")))
+    held = scratch.put(held, "held")
+    common = held.groupBy("s").agg(F.count("*").alias("df"))
+    place = Window.partitionBy("doc_id").orderBy("df", "s")
+    prefix = held.join(common, "s").select("doc_id", "s", "df", F.row_number().over(place).alias("i"))
+    size = inside.groupBy("c").agg(F.approx_count_distinct("doc_id").alias("members"))
+    facts = ids.join(one.select("doc_id", F.col("n_shingles").alias("size")), "doc_id").join(inside.select("doc_id", "c").distinct(), "doc_id").join(size, "c")
+    prefix = prefix.join(facts, "doc_id").where(f"df > 1 and i <= size - ceil({percent} * size / 100D) + 1")
+    prefix = scratch.put(prefix.select("s", F.col("doc_id").alias("id"), "i", "size", "c", "members"), "prefix")
+    heads = prefix.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.struct("members", "c")).alias("head")).where("lo <> hi").select("s", F.col("head.c").alias("hc"))
+    side = prefix.join(heads, "s").join(one.select(F.col("doc_id").alias("id"), "bits"), "id")
+    x = side.where("c <> hc").select("s", *(F.col(n).alias(f"x_{n}") for n in ("id", "c", "i", "size", "bits")))
+    y = side.select("s", "hc", *(F.col(n).alias(f"y_{n}") for n in ("id", "c", "i", "size", "bits")))
+    # the most that the sets can share if this is the first shingle that both have; shared >= percent/100 * united, united = sizes - shared
+    most = F.least(F.col("x_size") - F.col("x_i"), F.col("y_size") - F.col("y_i")) + 1
+    enough = (100 + percent) * most >= percent * (F.col("x_size") + F.col("y_size"))
     apart = (F.col("x_c") != F.col("y_c")) & ((F.col("y_c") == F.col("hc")) | (F.col("x_id") < F.col("y_id")))
-    # shared >= percent/100 * united and united = sizes - shared
-    enough = (100 + percent) * F.least("x_most", "y_most") >= percent * (F.col("x_size") + F.col("y_size"))
-    pairs = x.join(y, (x.band == y.band) & apart & enough & (_bits_apart("x_bits", "y_bits") <= MOST_BITS)).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
+    pairs = x.join(y, (x.s == y.s) & apart & enough & _near("x", "y", percent)).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
     more = _confirm(scratch.put(pairs, "rest"), docs, k, percent)
     return links.unionByName(more)
 
