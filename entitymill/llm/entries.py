@@ -5,9 +5,11 @@ from __future__ import annotations
 from .byte_bpe import op8_byte_bpe
 from .near_dedup import op1_near_dedup
 from .quality_rules import op10_quality_rules
+from .subword_classifier import op5_quality_classifier
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
