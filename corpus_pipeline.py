@@ -6,23 +6,56 @@ from pyspark.sql import DataFrame, SparkSession
 
 from entitymill.llm.common import Scratch, table
 from entitymill.llm.near_dedup import near_duplicates
+from entitymill.llm.packing import pack
+from entitymill.llm.personal_data import mask_personal_data
+from entitymill.llm.quality_rules import quality_rules
+from entitymill.llm.subword_classifier import quality_scores
+from pyspark.sql import functions as F
 
-#: No stage but the exact ones could be said in SQL (models, personal data, packing), so brute force tests it.
+#: Learned models decide two stages and packing is sequential, so SQL can't say the whole; brute force tests the stages.
 ORACLE_SQL = None
 
 
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of the kept ids; a row without an id stays only if some kept row has none either."""
+    ids = kept.select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(ids, docs.doc_id.eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for low quality go."""
+    scores = quality_scores(docs, table(spark, sf_dir, "labels"))
+    return _only(docs, scores.where("predicted = 1"))
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or lie outside their language's perplexity band go."""
+    return _only(docs, quality_rules(docs).where("kept"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies stays: five-word shingles, similarity 0.8."""
-    kept = near_duplicates(docs, k=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return _only(docs, near_duplicates(docs, k=5, percent=80).where("kept")).dropDuplicates(["doc_id"])
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; n_chars follows the new text, other texts stay as they are."""
+    masked = mask_personal_data(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every word of every document gets its place in a training sequence of 2,048 words."""
+    return pack(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("quality_classifier", quality_classifier), ("quality_rules", rules), ("near_dedup", near_dedup), ("personal_data", personal_data), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written and read again as the next one's input."""
     docs = table(spark, sf_dir, "documents")
     scratch = Scratch(spark, "pipeline")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = scratch.put(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 from .byte_bpe import op8_byte_bpe
-from .near_dedup import op1_near_dedup
+from .chat_views import OP3_SQL, op3_chat_views
+from .fingerprints import op7_fingerprints
+from .html_text import op4_html_text
+from .near_dedup import OP1_SQL, op1_near_dedup
+from .packing import op2_packing
+from .personal_data import op9_personal_data
 from .quality_rules import op10_quality_rules
+from .secret_scan import op6_secret_scan
 from .subword_classifier import op5_quality_classifier
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_packing": op2_packing,
+    "op3_chat_views": op3_chat_views,
+    "op4_html_text": op4_html_text,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_fingerprints": op7_fingerprints,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_personal_data": op9_personal_data,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op3_chat_views": OP3_SQL}

@@ -222,3 +222,20 @@ def _rest(scratch: Scratch, docs: DataFrame, one: DataFrame, members: DataFrame,
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-copies among all documents: 4-word shingles, similarity 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM sets),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+  FROM items a JOIN items b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM shared WHERE 100 * c >= 80 * (na + nb - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS seen FROM sets UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.seen = e.a)
+SELECT s.doc_id, CAST(any_value(len(s.s)) AS BIGINT) AS n_shingles, min(r.seen) AS component_id, s.doc_id = min(r.seen) AS kept
+FROM sets s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id
+"""
