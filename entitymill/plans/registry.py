@@ -2,5 +2,15 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import oracles, queries
+
+_NAMES = """
+rejects_sink reject_reasons id_filter alias_a_clean alias_a_canonical alias_b_clean validate_records name_combine extras_pack record_unpack query_route probe_validate
+text_sanitize injection_scan key_quality path_hygiene constraint_check value_range_check key_lookup alias_lookup routed_lookup new_vs_existing access_gate orphan_check
+cascade_delete batch_delete first_wins_dedup upsert_merge json_deep_merge alias_index batch_put profile_upsert keyed_update insert_if_absent ledger_append index_tables
+ingest_stats convert_stats lookup_stats usage_stats ops_metrics daily_usage index_counts balances known_users history_count rate_limit ttl_hits ttl_hits_all running_balance
+guarded_debits metered_lookup recent_per_user ordered_sample range_seek page_scan multi_source_union
+""".split()
+
+QUERIES = {name: getattr(queries, name) for name in _NAMES}
+ORACLES = dict(oracles.ORACLES)
