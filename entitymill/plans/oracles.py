@@ -219,3 +219,37 @@ SELECT r.user_id, r.event_id, r.rank FROM r LEFT JOIN cleared c ON c.user_id = r
     "page_scan": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 7 ORDER BY o_orderkey DESC LIMIT 5 OFFSET 2",
     "multi_source_union": sql("acc", "SELECT CAST(CASE source_file WHEN '2' THEN 0 WHEN '0' THEN 1 ELSE 2 END AS BIGINT) AS rank, source_file, seq, id FROM acc"),
 }
+
+_ROLES = "CASE WHEN {0} IN ('id','uid','telegramid','userid') THEN 'id' WHEN {0} IN ('username','user','login','nick','nickname','nik') THEN 'username' WHEN {0} IN ('phone','mobile','telephone','number','tel') THEN 'phone' WHEN {0} IN ('lastname','surname','family','fname') THEN 'lastname' WHEN {0} IN ('name','firstname','first') THEN 'name' END"
+_HEADERS = """WITH h AS (SELECT c_custkey AS file, [['Telegram_ID','First Name','last_name','Mobile','NickName','city'],['user-id','name','phone','username'],['id','phone','username'],['uid','id','tel','foo bar'],['12345','abc','def'],['alpha','12','34','56'],['ID','Name','Phone','Username','Extras'],['first','fname','login','number','user']][c_custkey % 8 + 1] AS fields FROM customer),
+u AS (SELECT file, fields, unnest(fields) AS header, unnest(range(len(fields))) AS idx FROM h),
+n AS (SELECT *, regexp_replace(lower(trim(header)), '[\\s_-]', '', 'g') AS norm FROM u),
+r AS (SELECT *, """ + _ROLES.format("norm") + " AS r FROM n)\n"
+_DELIMITED = sql("raw", """SELECT CASE source_file WHEN '0' THEN 'semi.csv' WHEN '1' THEN 'tab.txt' ELSE 'pipe.txt' END AS file, id_raw AS id,
+ CASE WHEN source_file = '0' THEN trim(name_raw) ELSE '' END AS name, CASE WHEN source_file = '2' THEN '' ELSE alias_a_raw END AS phone, CASE WHEN source_file = '2' THEN '' ELSE alias_b_raw END AS username,
+ CASE WHEN source_file = '0' THEN '{}' WHEN source_file = '1' THEN CASE WHEN trim(name_raw) = '' THEN '{}' ELSE '{"foo":"' || trim(name_raw) || '"}' END
+   ELSE '{' || array_to_string(list_filter([CASE WHEN trim(name_raw) <> '' THEN '"col_1":"' || trim(name_raw) || '"' END, CASE WHEN alias_a_raw <> '' THEN '"col_2":"' || alias_a_raw || '"' END, CASE WHEN alias_b_raw <> '' THEN '"col_3":"' || alias_b_raw || '"' END], lambda x: x IS NOT NULL), ',') || '}' END AS extras FROM raw""")
+
+ORACLES |= {
+    "header_role_map": _HEADERS + "SELECT file, CAST(idx AS INTEGER) AS idx, header, CASE WHEN r IS NOT NULL AND row_number() OVER (PARTITION BY file, r ORDER BY idx) = 1 THEN r ELSE 'extras' END AS role FROM r",
+    "header_profile": _HEADERS + "SELECT file, count(r) > 0 OR (NOT regexp_full_match(arg_min(header, idx), '[0-9]+') AND count(*) FILTER (WHERE regexp_matches(header, '[A-Za-z]')) >= (count(*) + 1) // 2) AS has_header, CAST(count(*) AS INTEGER) AS n_fields FROM r GROUP BY file",
+    "header_layout_map": _HEADERS
+    + """, m AS (SELECT file, min(idx) FILTER (WHERE norm = 'id') AS i, min(idx) FILTER (WHERE norm = 'name') AS n, min(idx) FILTER (WHERE norm = 'phone') AS p, min(idx) FILTER (WHERE norm = 'username') AS u, min(idx) FILTER (WHERE norm = 'extras') AS e FROM r GROUP BY file),
+f AS (SELECT *, i IS NOT NULL AND (p IS NOT NULL OR u IS NOT NULL) AS fits FROM m)
+SELECT file, CAST(CASE WHEN fits THEN i ELSE 0 END AS INTEGER) AS id, CAST(CASE WHEN fits THEN coalesce(p, -1) ELSE 1 END AS INTEGER) AS phone, CAST(CASE WHEN fits THEN coalesce(u, -1) ELSE 2 END AS INTEGER) AS username,
+ CAST(CASE WHEN fits THEN coalesce(n, -1) ELSE -1 END AS INTEGER) AS name, CAST(CASE WHEN fits THEN coalesce(e, -1) ELSE -1 END AS INTEGER) AS extras,
+ CASE WHEN NOT fits THEN 'config' WHEN p IS NOT NULL AND u IS NOT NULL AND n IS NOT NULL AND e IS NOT NULL THEN 'header:standard' WHEN p IS NOT NULL AND u IS NOT NULL AND n IS NULL AND e IS NULL THEN 'header:legacy' ELSE 'header:partial' END AS mapping_source FROM f""",
+    "format_probe": r"""WITH t AS (SELECT doc_id, ['jsonl','json','txt','csv','xml'][doc_id % 5 + 1] AS ext, CASE WHEN doc_id % 3 = 0 THEN chr(10) || ' {' || text ELSE text END AS t FROM documents)
+SELECT doc_id, ext, CASE WHEN ext = 'jsonl' THEN true WHEN ext = 'xml' THEN false ELSE starts_with(regexp_replace(t, '^\s+', ''), '{') END AS jsonl FROM t""",
+    "delimiter_profile": r"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda v: NOT regexp_full_match(v, '\s*'))[1:20] AS lines FROM documents),
+d AS (SELECT * FROM (VALUES (0, ','), (1, ';'), (2, '|'), (3, chr(9))) AS d(rank, d)),
+c AS (SELECT doc_id, rank, d, unnest(list_transform(lines, lambda v: length(v) - length(replace(v, d, '')))) AS c, unnest(range(len(lines))) AS i FROM l, d),
+w AS (SELECT *, count(*) OVER (PARTITION BY doc_id, rank, c ORDER BY i) AS freq FROM c),
+s AS (SELECT doc_id, rank, d, CASE WHEN arg_max(c, freq * 1000 - i) = 0 THEN -1 ELSE max(freq) / count(*) * 10 + sum(c) / count(*) END AS score FROM w GROUP BY doc_id, rank, d)
+SELECT l.doc_id, coalesce(x.d, ',') AS delimiter FROM l LEFT JOIN (SELECT doc_id, d FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, rank) = 1) x ON x.doc_id = l.doc_id""",
+    "jsonl_scan": "SELECT event_id, event_id % 10 <> 0 AS parsed, CASE WHEN event_id % 10 <> 0 THEN json_extract_string(props, '$.k') ELSE '' END AS k FROM events WHERE event_id % 10 <> 1",
+    "jsonl_record_map": sql("ev", """SELECT event_id AS line_no, CAST(user_id AS VARCHAR) AS id, 'A ' || CAST(k AS VARCHAR) AS name, '' AS phone, CASE WHEN k % 2 = 0 THEN 'nick_' || CAST(k AS VARCHAR) ELSE '' END AS username,
+CASE WHEN k % 2 = 0 THEN '{"city":"x"}' ELSE '{"city":"x","nick":"no!"}' END AS extras FROM ev WHERE event_id % 4 <> 3"""),
+    "delimited_scan": _DELIMITED,
+    "canonical_sink": f"SELECT * FROM ({_DELIMITED}) q WHERE id <> ''",
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import oracles, queries
+from . import file_queries, oracles, queries
 
 _NAMES = """
 rejects_sink reject_reasons id_filter alias_a_clean alias_a_canonical alias_b_clean validate_records name_combine extras_pack record_unpack query_route probe_validate
@@ -12,5 +12,10 @@ ingest_stats convert_stats lookup_stats usage_stats ops_metrics daily_usage inde
 guarded_debits metered_lookup recent_per_user ordered_sample range_seek page_scan multi_source_union
 """.split()
 
-QUERIES = {name: getattr(queries, name) for name in _NAMES}
+_FILE_NAMES = """
+source_discovery delimited_scan jsonl_scan format_probe encoding_profile transcode_scan delimiter_profile header_profile schema_report canonical_sink convert_or_pass
+header_role_map header_layout_map jsonl_record_map
+""".split()
+
+QUERIES = {name: getattr(queries, name) for name in _NAMES} | {name: getattr(file_queries, name) for name in _FILE_NAMES}
 ORACLES = dict(oracles.ORACLES)
