@@ -253,3 +253,31 @@ CASE WHEN k % 2 = 0 THEN '{"city":"x"}' ELSE '{"city":"x","nick":"no!"}' END AS
     "delimited_scan": _DELIMITED,
     "canonical_sink": f"SELECT * FROM ({_DELIMITED}) q WHERE id <> ''",
 }
+
+ORACLES |= {
+    "incremental_ingest": sql("raw", "SELECT seq, source_file, id_raw FROM raw"),
+    "stream_upsert": ORACLES["upsert_merge"],
+    "stream_rate_limit": ORACLES["rate_limit"],
+    "stream_ttl_hits": ORACLES["ttl_hits"],
+    "stream_daily_usage": sql("ev", "SELECT day, count(*) AS n FROM ev GROUP BY day"),
+    "lookup_stats": sql(
+        "looked",
+        """, keyed AS (SELECT event_id, us, coalesce('id:' || id, kind || ':' || key) AS entity, kind || ':' || key AS own, coalesce('id:' || id, '') AS id_key FROM looked WHERE outcome <> 'invalid'),
+l AS (SELECT entity, list({'t': us, 'e': event_id, 'o': own, 'i': id_key} ORDER BY us, event_id) AS l FROM keyed GROUP BY entity),
+a AS (SELECT entity, l, list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda m: (m.o = x.o OR m.i = x.o) AND x.t <= m.t + 86400000000)) = 0 THEN list_append(acc, x) ELSE acc END,
+  []::STRUCT(t BIGINT, e BIGINT, o VARCHAR, i VARCHAR)[]) AS opened FROM l),
+m AS (SELECT unnest(opened).e AS event_id FROM a)
+SELECT k.kind, count(*) AS queries, count(*) FILTER (WHERE outcome = 'hit') AS hits, count(*) FILTER (WHERE outcome = 'miss') AS misses, count(*) FILTER (WHERE outcome = 'invalid') AS invalid,
+  count(*) FILTER (WHERE outcome <> 'invalid' AND m.event_id IS NULL) AS cache_hits, count(m.event_id) AS cache_misses, round(avg(latency_ms), 4) AS avg_latency
+FROM looked k LEFT JOIN m ON m.event_id = k.event_id GROUP BY k.kind""",
+    ).replace("\n, keyed", ", keyed"),
+    "ttl_hits_all": sql(
+        "looked",
+        """, keyed AS (SELECT event_id, us, coalesce('id:' || id, kind || ':' || key) AS entity, kind || ':' || key AS own, coalesce('id:' || id, '') AS id_key FROM looked WHERE outcome <> 'invalid'),
+l AS (SELECT entity, list({'t': us, 'e': event_id, 'o': own, 'i': id_key} ORDER BY us, event_id) AS l FROM keyed GROUP BY entity),
+a AS (SELECT entity, l, list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda m: (m.o = x.o OR m.i = x.o) AND x.t <= m.t + 86400000000)) = 0 THEN list_append(acc, x) ELSE acc END,
+  []::STRUCT(t BIGINT, e BIGINT, o VARCHAR, i VARCHAR)[]) AS opened FROM l),
+m AS (SELECT unnest(opened).e AS event_id FROM a)
+SELECT k.event_id, k.own AS key, m.event_id IS NULL AS cache_hit FROM keyed k LEFT JOIN m ON m.event_id = k.event_id""",
+    ).replace("\n, keyed", ", keyed"),
+}

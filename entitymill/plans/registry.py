@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import file_queries, oracles, queries
+from . import file_queries, oracles, queries, stream_queries
 
 _NAMES = """
 rejects_sink reject_reasons id_filter alias_a_clean alias_a_canonical alias_b_clean validate_records name_combine extras_pack record_unpack query_route probe_validate
@@ -17,5 +17,7 @@ source_discovery delimited_scan jsonl_scan format_probe encoding_profile transco
 header_role_map header_layout_map jsonl_record_map
 """.split()
 
-QUERIES = {name: getattr(queries, name) for name in _NAMES} | {name: getattr(file_queries, name) for name in _FILE_NAMES}
+_STREAM_NAMES = "incremental_ingest stream_upsert stream_rate_limit stream_ttl_hits stream_daily_usage stream_progress".split()
+
+QUERIES = {name: getattr(queries, name) for name in _NAMES} | {name: getattr(file_queries, name) for name in _FILE_NAMES} | {name: getattr(stream_queries, name) for name in _STREAM_NAMES}
 ORACLES = dict(oracles.ORACLES)
