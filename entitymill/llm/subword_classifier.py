@@ -23,7 +23,8 @@ from .textnum import _BYTE, U, Words, _power_tables, mix
 
 BUCKETS = 1 << 16
 GRAMS = (3, 4)
-DIM, EPOCHS, RATE = 10, 8, 0.2
+#: Passes over the training documents; few documents get more, so that training has LEAST_STEPS steps at least.
+DIM, EPOCHS, RATE, LEAST_STEPS = 10, 8, 0.2, 15_000
 MAX_TRAIN = 4000
 THRESHOLD = 0.3
 
@@ -88,8 +89,9 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     share = np.clip(np.bincount(labels, minlength=2) / len(labels), 0.05, 1)
     weight = np.where(labels == 1, 0.5 / share[1], 0.5 / share[0]).astype(np.float32)
     bags = [(b, (n / max(float(n.sum()), 1)).astype(np.float32)) for b, n in bags]
-    steps, done = EPOCHS * len(bags), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // len(bags)))
+    steps, done = epochs * len(bags), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(bags)):
             rate = RATE * (1 - done / steps)
             done += 1
