@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ordered_reduce
+
 
 def first_wins(rows: DataFrame) -> DataFrame:
     """The first row of each id by seq; min_by has a partial form, so hot ids shrink before the shuffle."""
@@ -32,6 +36,30 @@ def merge_flat_json(rows: DataFrame) -> DataFrame:
     return ordered.select("id", "key", folded.alias("merged"))
 
 
+def _parsed(text: str | None):
+    try:
+        return json.loads(text) if text else None
+    except ValueError:
+        return None
+
+
+def deep_merge(old, new):
+    """Objects merge key by key, equal values stay, different ones become [old, new]; nothing or {} gives way."""
+    if old in (None, {}):
+        return new
+    if new in (None, {}):
+        return old
+    if isinstance(old, dict) and isinstance(new, dict):
+        return old | {k: deep_merge(old[k], v) if k in old else v for k, v in new.items()}
+    return new if old == new else [old, new]
+
+
+def merge_nested_json(rows: DataFrame) -> DataFrame:
+    """Left-to-right merge of nested JSON by id in order of seq; rows stream through, only the merged value is held."""
+    text = lambda v: json.dumps({} if v is None else v, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return ordered_reduce(rows.select("id", "seq", "extras"), "id", ["seq"], "id string, merged string", lambda: None, lambda s, r: deep_merge(s, _parsed(r.extras)), lambda k, s: (k, text(s)))
+
+
 def alias_index(rows: DataFrame, alias: str) -> DataFrame:
     """alias to id, last writer wins; each row writes the alias its id carries at that time.
 

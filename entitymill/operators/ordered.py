@@ -30,6 +30,27 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], schema: str, start:
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
+def ordered_reduce(df: DataFrame, key: str, order: list[str], schema: str, start: Callable[[], object], step: Callable, finish: Callable) -> DataFrame:
+    """One output row per key: ``finish(key, state)`` after ``state = step(state, row)`` over its rows in order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.strip().split(" ")[0] for c in schema.split(",")]
+        now, state, any_ = None, None, False
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                if not any_ or getattr(row, key) != now:
+                    if any_:
+                        out.append(finish(now, state))
+                    now, state, any_ = getattr(row, key), start(), True
+                state = step(state, row)
+            yield pd.DataFrame(out, columns=names)
+        if any_:
+            yield pd.DataFrame([finish(now, state)], columns=names)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
 def allow(log: deque, at: int, limit: int, width: int) -> bool:
     """Sliding log: accept if fewer than ``limit`` accepted in (at - width, at]; refused requests leave no trace."""
     if limit <= 0:

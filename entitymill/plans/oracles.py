@@ -281,3 +281,8 @@ m AS (SELECT unnest(opened).e AS event_id FROM a)
 SELECT k.event_id, k.own AS key, m.event_id IS NULL AS cache_hit FROM keyed k LEFT JOIN m ON m.event_id = k.event_id""",
     ).replace("\n, keyed", ", keyed"),
 }
+
+ORACLES["json_nested_merge"] = sql("acc", """, x AS (SELECT id, seq, 'st' AS key, '"' || json_extract_string(extras, '$.st') || '"' AS v FROM acc UNION ALL SELECT id, seq, 'pr', '"' || json_extract_string(extras, '$.pr') || '"' FROM acc
+  UNION ALL SELECT id, seq, 'f', '"' || source_file || '"' FROM acc),
+m AS (SELECT id, key, list_reduce(list(v ORDER BY seq), lambda a, b: CASE WHEN a = b THEN b ELSE '[' || a || ',' || b || ']' END) AS v FROM x GROUP BY id, key)
+SELECT id, '{"a":{"n":{"pr":' || max(v) FILTER (WHERE key = 'pr') || ',"st":' || max(v) FILTER (WHERE key = 'st') || '}},"f":' || max(v) FILTER (WHERE key = 'f') || '}' AS merged FROM m GROUP BY id""").replace("\n, x", ", x")

@@ -181,6 +181,11 @@ def json_deep_merge(spark, d):
     return merge.merge_flat_json(_accepted(spark, d))
 
 
+def json_nested_merge(spark, d):
+    nested = F.concat(F.lit('{"a":{"n":'), F.col("extras"), F.lit('},"f":"'), F.col("source_file"), F.lit('"}'))
+    return merge.merge_nested_json(_accepted(spark, d).withColumn("extras", nested))
+
+
 def alias_index(spark, d):
     rows = _accepted(spark, d)
     out = None

@@ -111,3 +111,9 @@ def test_file_profiles(spark, data):
     assert {f: (r.delimiter, r.has_header) for f, r in found.items() if f in ("semi.csv", "tab.txt", "pipe.txt")} == {"semi.csv": (";", True), "tab.txt": ("\t", True), "pipe.txt": ("|", False)}
     assert found["recs.jsonl"].jsonl and not found["tab.txt"].jsonl
     assert [r.file for r in files.discover(spark, at).collect()] == sorted(f for f in found if f != "x.standard.csv")
+
+
+def test_nested_merge():
+    assert merge.deep_merge({"a": {"b": 1}, "c": 1}, {"a": {"b": 2, "d": 3}, "c": 1}) == {"a": {"b": [1, 2], "d": 3}, "c": 1}
+    assert merge.deep_merge(merge.deep_merge({"k": "a"}, {"k": "b"}), {"k": "c"}) == {"k": [["a", "b"], "c"]}
+    assert merge.deep_merge(None, {"a": 1}) == {"a": 1} == merge.deep_merge({"a": 1}, {})
