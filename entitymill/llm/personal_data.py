@@ -6,8 +6,8 @@ atoms is scored by features of the whole span (digit and group counts, check
 sum, at sign, separators, the characters around it, a cue word before it) and
 dynamic programming over bounded segments picks the boundaries and types
 together. Weights are learned by gradient ascent on the likelihood of
-segmentations, from at most ``MAX_TRAIN`` documents whose base spans are the
-labels. Spans that overlap no base span are added.
+segmentations, from at most ``MAX_TRAIN`` islands of as many documents whose base
+spans are the labels. Spans that overlap no base span are added.
 """
 
 from __future__ import annotations
@@ -182,21 +182,25 @@ class Field:
 
     def learn(self, texts: list[str]) -> "Field":
         """Gradient ascent on the log-likelihood of the segmentations that the base spans give."""
-        cases = []
+        cases: list[tuple] = []
+        names: dict[str, str] = {}  # one string object for each feature, however many spans have it
         for text in texts:
+            if len(cases) >= MAX_TRAIN:
+                break
             gold = {(s, e): k for k, s, e in reversed(base_spans(text))}
             for start, end in islands(text):
                 if end - start > 400:
                     continue
                 bounds, found = self.candidates(text, start, end)
-                segments = [(i, j, k, span_features(*around)) for i, j, *around in found for k in range(len(KINDS))]
+                spans = [(i, j, tuple(names.setdefault(x, x) for x in span_features(*around))) for i, j, *around in found]
+                segments = [(i, j, k, f) for i, j, f in spans for k in range(len(KINDS))]
                 right = [gold.get((bounds[i], bounds[j])) == k for i, j, k, _ in segments]
                 if sum(right) <= 12:
                     cases.append((len(bounds) - 1, segments, right))
         w = self.weights
         for epoch in range(EPOCHS):
             rate = RATE / (1 + epoch)
-            for n, segments, right in cases[: MAX_TRAIN]:
+            for n, segments, right in cases[:MAX_TRAIN]:
                 score = [sum(w.get((k, x), 0.0) for x in f) for _, _, k, f in segments]
                 ahead, behind = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
                 by_end, by_start = {}, {}
