@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 from entitymill.llm.common import Scratch, table
 from entitymill.llm.near_dedup import near_duplicates
 from entitymill.llm.packing import pack
 from entitymill.llm.personal_data import mask_personal_data
 from entitymill.llm.quality_rules import quality_rules
 from entitymill.llm.subword_classifier import quality_scores
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Learned models decide two stages and packing is sequential, so SQL can't say the whole; brute force tests the stages.
@@ -19,7 +18,7 @@ ORACLE_SQL = None
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of the kept ids; a row without an id stays only if some kept row has none either."""
     ids = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, docs.doc_id.eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +33,9 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies stays: five-word shingles, similarity 0.8."""
-    return _only(docs, near_duplicates(docs, k=5, percent=80).where("kept")).dropDuplicates(["doc_id"])
+    """One document of each group of near-copies stays: five-word shingles, similarity 0.8; of repeated rows one."""
+    kept = _only(docs, near_duplicates(docs, k=5, percent=80).where("kept"))
+    return kept.dropDuplicates(["doc_id", "text"])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -163,7 +163,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     Links join texts whose k-word shingle sets (A-Z lower-cased) have
     100 * intersection >= percent * union; a component's id is its smallest
-    doc_id and that document is kept. Texts without words are kept, alone.
+    doc_id and that document is kept. Texts without words are kept, alone. A
+    row with a null id joins the class of equal sets; among themselves such
+    rows have a null component and are all kept.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -185,7 +187,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     out = sk.select("doc_id", "n_shingles", "set_a", "set_b")
     linked = out.where("n_shingles > 0").join(whole, ["set_a", "set_b"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = out.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _rest(scratch: Scratch, docs: DataFrame, one: DataFrame, members: DataFrame, classes: DataFrame, links: DataFrame, k: int, percent: int) -> DataFrame | None:

@@ -78,6 +78,9 @@ def test_near_duplicates_equal_brute_force(spark):
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(docs_of(spark, [])).collect() == []
     assert [r.kept for r in near_dedup.near_duplicates(docs_of(spark, [None, ""])).collect()] == [True, True]
+    odd = docs_of(spark, ["a b c d e", "a b c d e", "f g h i j", "f g h i j"]).withColumn("doc_id", F.when(F.col("doc_id") == 0, 7))
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(odd).collect()), key=str)
+    assert got == [(7, 7, True), (None, 7, False), (None, None, True), (None, None, True)]
 
 
 def test_sketch_estimates_similarity():
