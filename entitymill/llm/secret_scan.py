@@ -20,7 +20,8 @@ from .common import Scratch, table
 
 MAX_TRAIN, TREES, DEPTH = 20_000, 20, 6
 DICTIONARY_WORDS = 200
-CANDIDATE = r"(?:([^\s=:\"']{1,40})[ \t]*([=:]?)[ \t]*)?([\"']?)(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{16,512})(?![A-Za-z0-9+/_=-])([\"']?)"
+# possessive repeats and a prefix that starts only where a word does: each word is read about twice, never again and again
+CANDIDATE = r"(?:(?<![^\s=:\"'])([^\s=:\"']{1,40}+)[ \t]*+([=:]?+)[ \t]*+)?([\"']?+)(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_=-]{16,512}+)(?![A-Za-z0-9+/_=-])([\"']?+)"
 KEY_WORDS = r"(?i)(token|secret|passw|pwd|api_?-?key|auth|credential|private|bearer|access)"
 FEATURES = ("length", "digits", "uppers", "changes", "distinct", "covered", "key_word", "assigned", "quoted", "path")
 
