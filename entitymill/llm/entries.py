@@ -5,7 +5,7 @@ from __future__ import annotations
 from .byte_bpe import op8_byte_bpe
 from .chat_views import OP3_SQL, op3_chat_views
 from .fingerprints import op7_fingerprints
-from .html_text import op4_html_text
+from .html_text import OP4_SQL, op4_html_text
 from .near_dedup import OP1_SQL, op1_near_dedup
 from .packing import op2_packing
 from .personal_data import op9_personal_data
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op3_chat_views": OP3_SQL}
+ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op3_chat_views": OP3_SQL, "op4_html_text": OP4_SQL}
