@@ -2,21 +2,25 @@
 
 The perplexity comes from a character trigram model per language with modified
 Kneser-Ney smoothing. Spark counts the trigrams of all documents and derives
-continuation counts, discounts and back-off weights with groupings and joins;
-the finished log-probabilities are stored under 22-bit hashes in one sorted
-array, so the model has 2^22 entries (48 MB) at most for any corpus and may be
-broadcast. A document whose mean log-perplexity lies outside its language's
+continuation counts, discounts and back-off weights with groupings and joins.
+The finished log-probabilities are written under their full (language, trigram)
+keys, so the model grows with the corpus. Its most frequent trigrams, ``HOT`` of
+them at most, are broadcast as sorted arrays; the occurrences of all others go
+to their values by an equi-join on the key, in which no key is frequent. The
+documents scored are those counted, so each of their trigrams has a value of
+its own and nothing is backed off at scoring. A document whose mean log-perplexity lies outside its language's
 band is rejected; the band is the median over all documents plus or minus a
 multiple of the median absolute deviation.
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +34,8 @@ BAND_BELOW, BAND_ABOVE = 12.0, 40.0
 LEAST_WIDTH = 0.15
 #: Perplexity of fewer characters than this says nothing; such texts are left to the other rules.
 MIN_CHARS = 100
-HASH_BITS = 22
+#: Most trigrams that are broadcast (32 MB); any number of others is joined.
+HOT = 1 << 21
 TRI, BI, UNI, BACK2, BACK1, UNSEEN = range(1, 7)
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -89,8 +94,13 @@ def rule_counts(column: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
+def _language(name: str | None) -> int:
+    """A 64-bit name of a language; null is one of its own."""
+    return int.from_bytes(hashlib.blake2b(b"" if name is None else b"=" + name.encode(), digest_size=8).digest(), "little", signed=True)
+
+
 def _trigrams(text: pa.Array, lang: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Code points with the two before them (0 before a text's start), language salt and text index."""
+    """Code points with the two before them (0 before a text's start), language and text index."""
     joined = [t or "" for t in text.to_pylist()]
     cp = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     sizes = np.fromiter(map(len, joined), np.int64, len(joined))
@@ -103,8 +113,9 @@ def _trigrams(text: pa.Array, lang: pa.Array) -> tuple[np.ndarray, np.ndarray, n
     x = np.zeros_like(cp)
     x[1:] = y[:-1]
     x[first] = 0
-    salt = np.array([zlib.crc32((v or "").encode()) for v in lang.to_pylist()], np.int64)
-    return x, y, cp, salt, doc
+    names = lang.to_pylist()
+    known = {v: _language(v) for v in set(names)}
+    return x, y, cp, np.array([known[v] for v in names], np.int64), doc
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,9 +135,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for whole in batches:
         for part in slices(whole, "text"):
-            x, y, z, salt, doc = _trigrams(part.column("text"), part.column("lang"))
+            x, y, z, langs, doc = _trigrams(part.column("text"), part.column("lang"))
             key = (x << 42) | (y << 21) | z
-            of = salt[doc]
+            of = langs[doc]
             for lang in np.unique(of).tolist():
                 found, n = np.unique(key[of == lang], return_counts=True)
                 parts = held.setdefault(lang, [])
@@ -139,25 +150,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(lang, parts)
 
 
-def _hashed(kind: int, salt, *chars) -> np.ndarray:
-    h = mix(np.asarray(salt).astype(U) * U(64) + U(kind))
-    for c in chars:
-        h = mix(h * U(0x9E3779B97F4A7C15) + c.astype(U))
-    return (h >> U(64 - HASH_BITS)).astype(np.int32)
-
-
-def _to_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        kind, lang, key, value = (np.asarray(b.column(i)) for i in range(4))
-        h = np.zeros(len(kind), np.int32)
-        x, y, z = key >> 42, (key >> 21) & 0x1FFFFF, key & 0x1FFFFF
-        for k, chars in ((TRI, (x, y, z)), (BI, (y, z)), (UNI, (z,)), (BACK2, (y, z)), (BACK1, (z,)), (UNSEEN, ())):
-            m = kind == k
-            if m.any():
-                h[m] = _hashed(k, lang[m], *(c[m] for c in chars))
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(value)], names=["h", "v"])
-
-
 def _discounts(counts: DataFrame) -> DataFrame:
     """Modified Kneser-Ney discounts by language from the counts of counts; usual values where those are missing."""
     c = [F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
@@ -180,7 +172,7 @@ def _level(counts: DataFrame, context: str) -> tuple[DataFrame, DataFrame]:
 
 
 def kneser_ney(counts: DataFrame, keep=lambda df, name: df) -> DataFrame:
-    """``(lang, key, n)`` trigram counts to ``(kind, lang, key, v)`` natural logs of the smoothed model.
+    """``(lang, key, n)`` trigram counts to ``(kind, lang, key, n, v)`` natural logs of the smoothed model; ``n`` is a trigram's count.
 
     ``keep(df, name)`` may write a table that several later steps read.
     """
@@ -197,9 +189,9 @@ def kneser_ney(counts: DataFrame, keep=lambda df, name: df) -> DataFrame:
     p1 = keep(p1.join(g1, "lang").select("lang", "z", (F.col("p") + F.col("unseen")).alias("q1")), "p1")
     p2 = p2.select("lang", "yz", "y", "z", F.col("p")).join(g2.select("lang", "y", "g"), ["lang", "y"]).join(p1, ["lang", "z"]).select("lang", "yz", (F.col("p") + F.col("g") * F.col("q1")).alias("q2"))
     p2 = keep(p2, "p2")
-    p3 = p3.select("lang", "key", "xy", "yz", F.col("p")).join(g3.select("lang", "xy", "g"), ["lang", "xy"]).join(p2, ["lang", "yz"]).select("lang", "key", (F.col("p") + F.col("g") * F.col("q2")).alias("q3"))
+    p3 = p3.select("lang", "key", "xy", "yz", "n", F.col("p")).join(g3.select("lang", "xy", "g"), ["lang", "xy"]).join(p2, ["lang", "yz"]).select("lang", "key", "n", (F.col("p") + F.col("g") * F.col("q2")).alias("q3"))
     parts = [(TRI, p3, "key", "q3"), (BI, p2, "yz", "q2"), (UNI, p1, "z", "q1"), (BACK2, g3, "xy", "g"), (BACK1, g2, "y", "g"), (UNSEEN, g1, "0L", "unseen")]
-    rows = [df.selectExpr(f"{kind} as kind", "lang", f"cast({key} as long) as key", f"ln({value}) as v") for kind, df, key, value in parts]
+    rows = [df.selectExpr(f"{kind} as kind", "lang", f"cast({key} as long) as key", "n" if kind == TRI else "cast(null as long) as n", f"ln({value}) as v") for kind, df, key, value in parts]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
@@ -207,45 +199,68 @@ def kneser_ney(counts: DataFrame, keep=lambda df, name: df) -> DataFrame:
 
 
 class Model:
-    """Sorted hashes and their log-values; at most 2^22 of them."""
-
-    def __init__(self, h: np.ndarray, v: np.ndarray):
-        order = np.argsort(h)
-        self.h, self.v = np.append(h[order], np.int32(2**31 - 1)), np.append(v[order], 0).astype(np.float32)
-
-    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.h, keys)
-        return self.h[at] == keys, self.v[at]
-
-    def log_probability(self, x: np.ndarray, y: np.ndarray, z: np.ndarray, salt: np.ndarray) -> np.ndarray:
-        seen, out = self.get(_hashed(TRI, salt, x, y, z))
-        out = out.astype(np.float64)
-        rest = np.flatnonzero(~seen)
-        if len(rest):
-            x, y, z, salt = x[rest], y[rest], z[rest], salt[rest]
-            known, back2 = self.get(_hashed(BACK2, salt, x, y))
-            seen2, two = self.get(_hashed(BI, salt, y, z))
-            known1, back1 = self.get(_hashed(BACK1, salt, y))
-            seen1, one = self.get(_hashed(UNI, salt, z))
-            has, unseen = self.get(_hashed(UNSEEN, salt))
-            one = np.where(seen1, one, np.where(has, unseen, -20.0))
-            out[rest] = np.where(known, back2, 0.0) + np.where(seen2, two, np.where(known1, back1, 0.0) + one)
-        return out
+    """Of each language, the broadcast trigrams as sorted full keys and their log-values."""
+
+    def __init__(self, lang: np.ndarray, key: np.ndarray, v: np.ndarray):
+        order = np.lexsort((key, lang))
+        lang, key, v = lang[order], key[order], v[order]
+        names, first = np.unique(lang, return_index=True)
+        self.of = {k: (key[i:j], v[i:j]) for k, i, j in zip(names.tolist(), first, [*first[1:], len(lang)])}
+
+    def get(self, lang: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if lang not in self.of:
+            return np.zeros(len(keys), bool), np.zeros(len(keys))
+        held, v = self.of[lang]
+        at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+        return held[at] == keys, v[at]
+
+
+def _hot_from(model: DataFrame) -> int:
+    """The least count of the broadcast trigrams, a power of two; 1 if all of them are."""
+    sizes = model.groupBy(F.length(F.bin("n")).alias("bits")).agg(F.count("*").alias("m")).collect()  # 63 rows at most
+    total, least = 0, 1 << 62
+    for r in sorted(sizes, key=lambda r: -r.bits):
+        total += r.m
+        if total > HOT:
+            return least
+        least = 1 << (r.bits - 1)
+    return 1
+
+
+_SCORED = "row long, doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + ", n_chars long, total double, language long, cold array<long>, times array<long>"
 
 
 def _score(model):
+    """Counts of each row, the sum of its broadcast trigrams, and its other trigrams with how often it has them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
+        row = TaskContext.get().partitionId() << 40
         for whole in batches:
             for part in slices(whole, "text"):
+                n = part.num_rows
                 counts = rule_counts(part.column("text"))
-                x, y, z, salt, doc = _trigrams(part.column("text"), part.column("lang"))
-                logp = m.log_probability(x, y, z, salt[doc])
-                size = np.bincount(doc, minlength=part.num_rows)
-                total = np.bincount(doc, weights=logp, minlength=part.num_rows)
-                mean = np.where(size > 0, -total / np.maximum(size, 1), 0.0)
-                arrays = [part.column("doc_id").cast(pa.int64()), part.column("lang"), *(pa.array(counts[c], pa.int64()) for c in COUNTS), pa.array(size, pa.int64()), pa.array(np.round(mean, 3))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang", *COUNTS, "n_chars", "log_perplexity"])
+                x, y, z, langs, doc = _trigrams(part.column("text"), part.column("lang"))
+                key = (x << 42) | (y << 21) | z
+                seen, logp = np.zeros(len(key), bool), np.zeros(len(key))
+                of = langs[doc]
+                for lang in np.unique(of).tolist():
+                    at = np.flatnonzero(of == lang)
+                    seen[at], logp[at] = m.get(lang, key[at])
+                size = np.bincount(doc, minlength=n)
+                total = np.bincount(doc, weights=np.where(seen, logp, 0.0), minlength=n)
+                d, k = doc[~seen], key[~seen]
+                order = np.lexsort((k, d))
+                d, k = d[order], k[order]
+                first = np.flatnonzero((d[1:] != d[:-1]) | (k[1:] != k[:-1])) + 1 if len(d) else np.zeros(0, np.int64)
+                first = np.concatenate([np.zeros(min(len(d), 1), np.int64), first])
+                times = np.diff(np.append(first, len(d)))
+                bounds = pa.array(np.searchsorted(d[first], np.arange(n + 1)).astype(np.int32))
+                cold, times = (pa.ListArray.from_arrays(bounds, pa.array(a, pa.int64())) for a in (k[first], times))
+                arrays = [pa.array(np.arange(row, row + n)), part.column("doc_id").cast(pa.int64()), part.column("lang"), *(pa.array(counts[c], pa.int64()) for c in COUNTS)]
+                arrays += [pa.array(size, pa.int64()), pa.array(total), pa.array(langs), cold, times]
+                row += n
+                yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "lang", *COUNTS, "n_chars", "total", "language", "cold", "times"])
 
     return run
 
@@ -263,10 +278,19 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "rules")
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     counts = scratch.put(docs.select("text", "lang").mapInArrow(_count, "lang long, key long, n long"), "trigrams")
-    hashed = kneser_ney(counts, scratch.put).mapInArrow(_to_hashes, "h int, v double").groupBy("h").agg(F.max("v").alias("v"))
-    model = hashed.toArrow()  # 2^22 rows at most
-    model = spark.sparkContext.broadcast(Model(model.column("h").to_numpy(), model.column("v").to_numpy()))
-    rows = scratch.put(docs.mapInArrow(_score(model), "doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + ", n_chars long, log_perplexity double"), "scores")
+    model = scratch.put(kneser_ney(counts, scratch.put).where(F.col("kind") == TRI).select("lang", "key", "n", "v"), "model")
+    least = _hot_from(model)
+    hot = model.where(F.col("n") >= least).select("lang", "key", "v").toArrow()  # HOT rows at most
+    hot = spark.sparkContext.broadcast(Model(*(hot.column(c).to_numpy() for c in ("lang", "key", "v"))))
+    # row numbers hold from here on, as the rows are written with them
+    rows = scratch.put(docs.mapInArrow(_score(hot), _SCORED), "scores")
+    total = F.col("total")
+    if least > 1:
+        rare = rows.select("row", F.col("language").alias("lang"), F.explode(F.arrays_zip("cold", "times")).alias("c")).select("row", "lang", F.col("c.cold").alias("key"), F.col("c.times").alias("times"))
+        rare = rare.join(model.where(F.col("n") < least).select("lang", "key", "v"), ["lang", "key"]).groupBy("row").agg(F.sum(F.col("times") * F.col("v")).alias("rest"))
+        rows = scratch.put(rows.drop("cold", "times").join(rare, "row", "left"), "sums")
+        total = total + F.coalesce(F.col("rest"), F.lit(0.0))
+    rows = rows.select("doc_id", "lang", *COUNTS, "n_chars", F.when(F.col("n_chars") > 0, F.round(-total / F.col("n_chars"), 3)).otherwise(F.lit(0.0)).alias("log_perplexity"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     # log-perplexities have three decimals, so a language has few distinct ones and exact percentiles of their counts are small work

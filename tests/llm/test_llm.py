@@ -303,6 +303,28 @@ def test_kneser_ney_sums_to_one(spark):
         assert abs(total - 1) < 1e-9
 
 
+def test_perplexity_is_exact_for_any_number_of_trigrams(spark, monkeypatch):
+    """Hundreds of thousands of distinct trigrams each count with their own value, broadcast or joined."""
+    rng = random.Random(12)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9E00)) for _ in range(10_000)) for _ in range(8)] + ["the cat sat on the mat " * 9] * 2 + sample(20, 13) + ["", None]
+    langs = [("zh", "en", None, "")[i % 4] for i in range(len(texts))]
+    tri = Counter()
+    for t, lang in zip(texts, langs):
+        padded = "\0\0" + (t or "")
+        tri.update((quality_rules._language(lang), (ord(x) << 42) | (ord(y) << 21) | ord(z)) for x, y, z in zip(padded, padded[1:], padded[2:]))
+    counts = spark.createDataFrame([(*k, n) for k, n in tri.items()], "lang long, key long, n long")
+    v = {(r.lang, r.key): r.v for r in quality_rules.kneser_ney(counts).where(f"kind = {quality_rules.TRI}").collect()}
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(zip(texts, langs))], "doc_id long, text string, lang string")
+    results = []
+    for hot in (quality_rules.HOT, 300):
+        monkeypatch.setattr(quality_rules, "HOT", hot)
+        results.append({r.doc_id: r.log_perplexity for r in quality_rules.quality_rules(df).collect()})
+    for i, (t, lang) in enumerate(zip(texts, langs)):
+        padded, of = "\0\0" + (t or ""), quality_rules._language(lang)
+        want = -sum(v[of, (ord(x) << 42) | (ord(y) << 21) | ord(z)] for x, y, z in zip(padded, padded[1:], padded[2:])) / max(len(t or ""), 1)
+        assert all(abs(got[i] - want) < 0.00051 for got in results), i
+
+
 def test_queries_and_oracles_match_names():
     assert set(entries.ORACLES) <= set(entries.QUERIES) and len(entries.QUERIES) == 10
 
