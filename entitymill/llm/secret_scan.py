@@ -1,6 +1,7 @@
 """Secret scan with DataFrame functions only: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long runs of key-like characters. The forest sees length,
+Candidates are runs of 16 or more key-like characters, however long, and the
+values assigned to a name for secrets, however short. The forest sees length,
 changes between letters, digits and case, distinct characters, the share that
 common words of the corpus cover, the path (here ``source``) as a hash, and the
 words beside the candidate. It learns from labelled findings
@@ -20,17 +21,46 @@ from .common import Scratch, table
 
 MAX_TRAIN, TREES, DEPTH = 20_000, 20, 6
 DICTIONARY_WORDS = 200
-# possessive repeats and a prefix that starts only where a word does: each word is read about twice, never again and again
-CANDIDATE = r"(?:(?<![^\s=:\"'])([^\s=:\"']{1,40}+)[ \t]*+([=:]?+)[ \t]*+)?([\"']?+)(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_=-]{16,512}+)(?![A-Za-z0-9+/_=-])([\"']?+)"
+_BODY = "[A-Za-z0-9+/_-]"
+_PAD = r"(?![A-Za-z0-9+/_=-]|[\"'][A-Za-z0-9+/_-])"  # after the '=' of a padding no value follows
+#: A whole run of 16 or more key-like characters, of any length; possessive, so each run is read once.
+RUN = rf"(?:{_BODY}{{16,}}+(?:={{1,2}}+{_PAD})?+|{_BODY}{{15}}={{1,2}}+{_PAD}|{_BODY}{{14}}=={_PAD})"
+CANDIDATE = rf"(?<!{_BODY}){RUN}"
+#: From the end of the last candidate to that of the next; \G keeps the rest of a text from being searched from each of its places.
+STEP = rf"(?s)\G.*?{CANDIDATE}"
 KEY_WORDS = r"(?i)(token|secret|passw|pwd|api_?-?key|auth|credential|private|bearer|access)"
+#: Whatever is assigned to a name for secrets; the value stands in a lookahead, as it may hold a further name.
+ASSIGNED = KEY_WORDS.replace("(token", "(?:token") + r"[^\s=:\"']{0,60}+[\"']?+[ \t]*+[=:][ \t]*+(?=(\"[^\"\r\n]++\"|'[^'\r\n]++'|[^\s\"',;]++))"
+WORD_BEFORE = 40
 FEATURES = ("length", "digits", "uppers", "changes", "distinct", "covered", "key_word", "assigned", "quoted", "path")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Each candidate of each whole text with its number in the text and the words beside it."""
-    found = docs.select("doc_id", "source", F.posexplode(F.regexp_extract_all("text", F.lit(CANDIDATE), 0)).alias("no", "match"))
-    part = lambda i: F.regexp_extract("match", CANDIDATE, i)
-    return found.select("doc_id", "source", "no", part(1).alias("before"), part(2).alias("sign"), part(3).alias("quote"), part(4).alias("candidate")).where("candidate <> ''")
+    """Each candidate of each whole text with its number in the text and the words beside it.
+
+    Runs of key-like characters are numbered in order; after them come the
+    values, of any length and any characters, that are assigned to a name for
+    secrets and are no such run as a whole.
+    """
+    # one array that binds the matches, so that each sees the end of the one before
+    runs = F.transform(
+        F.array(F.regexp_extract_all("text", F.lit(STEP), F.lit(0))),
+        lambda ms: F.transform(ms, lambda m, i: F.struct(F.when(i > 0, F.right(F.get(ms, i - 1), F.lit(WORD_BEFORE + 2))).otherwise(F.lit("")).alias("last"), m.alias("match"))),
+    )[0]
+    values = F.filter(F.regexp_extract_all("text", F.lit(ASSIGNED), F.lit(1)), lambda v: ~F.rlike(v, F.lit(rf"\A[\"']?{RUN}[\"']?\z")))
+    values = F.transform(values, lambda v: F.struct(F.lit(None).cast("string").alias("last"), v.alias("match")))
+    found = docs.select("doc_id", "source", F.posexplode(F.concat(runs, values)).alias("no", "c")).select("doc_id", "source", "no", "c.last", "c.match")
+    run, quoted = F.col("last").isNotNull(), F.col("match").rlike("^[\"']")
+    ends = lambda c, chars: F.regexp_extract(F.right(F.col(c), F.lit(1)), f"[{chars}]", 0)
+    less = lambda c, n: F.substring(F.col(c), F.lit(1), F.length(c) - F.length(n))
+    found = found.withColumn("candidate", F.when(run, F.regexp_extract("match", CANDIDATE, 0)).when(quoted, F.expr("substring(match, 2, length(match) - 2)")).otherwise(F.col("match")))
+    found = found.withColumn("left", F.concat("last", less("match", "candidate"))).withColumn("quote", F.when(run, ends("left", "\"'")).when(quoted, F.substring("match", 1, 1)).otherwise(F.lit("")))
+    found = found.withColumn("left", F.rtrim(less("left", "quote"), F.lit(" \t"))).withColumn("sign", F.when(run, ends("left", "=:")).otherwise(F.lit("=")))
+    found = found.withColumn("left", F.rtrim(less("left", "sign"), F.lit(" \t")))
+    # the name of an assignment may be quoted
+    found = found.withColumn("left", F.when(F.col("sign") != "", less("left", ends("left", "\"'"))).otherwise(F.col("left")))
+    word = F.regexp_extract(F.right("left", F.lit(WORD_BEFORE + 1)), rf"(?<![^\s=:\"'])[^\s=:\"']{{1,{WORD_BEFORE}}}+\z", 0)
+    return found.select("doc_id", "source", "no", F.when(run, word).otherwise(F.lit("secret")).alias("before"), "sign", "quote", "candidate").where("candidate <> ''")
 
 
 def dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS) -> list[str]:

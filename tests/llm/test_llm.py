@@ -185,6 +185,31 @@ def test_secrets(spark, data):
     assert secret_scan.scan_secrets(docs_of(spark, [None, "plain words"])).collect() == []
 
 
+def test_secret_candidates(spark):
+    """Neighbouring keys, runs of any length, short values, and what stands before each."""
+    k1, k2, k3 = "AKIA" + "Q7" * 8, "aB3xZ9qL7p" * 4, "Zz9-_+/y" * 3
+    long = "c4fE" * 5000
+    texts = [
+        f"{k1} {k2}",
+        f"{k1}:{k2}",
+        f"word {k1} {k2} {k3} {k1}",
+        f"x {long} y\n-----\n{long}==",
+        'pwd: hunter2!\n{"api_key": "p q"} auth: token=ab, my password = \'s3\'',
+        f"password={k2} secretsecretsecret={k3} \"token\": \"{k3}\"",
+        "QUJDREVGR0hJSks= note=none " + "w" * 41 + f" {k1}",
+    ]
+    got = {}
+    for r in secret_scan.candidates(docs_of(spark, texts)).orderBy("doc_id", "no").collect():
+        got.setdefault(r.doc_id, []).append((r.before, r.sign, r.quote, r.candidate))
+    assert got[0] == [("", "", "", k1), (k1, "", "", k2)]
+    assert got[1] == [("", "", "", k1), (k1, ":", "", k2)]
+    assert got[2] == [("word", "", "", k1), (k1, "", "", k2), (k2, "", "", k3), (k3, "", "", k1)]
+    assert [c[3] for c in got[3]] == [long, long + "=="]
+    assert [c[2:] for c in got[4]] == [("", "hunter2!"), ('"', "p q"), ("", "token=ab"), ("", "ab"), ("'", "s3")]
+    assert got[5] == [("password", "=", "", k2), (k2, "", "", "secretsecretsecret"), ("secretsecretsecret", "=", "", k3), ("token", ":", '"', k3)]
+    assert got[6] == [("", "", "", "QUJDREVGR0hJSks="), ("none", "", "", "w" * 41), ("", "", "", k1)]
+
+
 def test_fingerprints(spark):
     texts = [t or "" for t in EDGE[:7]] + sample(60, 6) + ["equal text of some words here"] * 2
     got = fingerprints.fingerprint_documents(docs_of(spark, texts)).collect()
