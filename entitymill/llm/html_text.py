@@ -5,9 +5,9 @@ element's tag and class or id from the page's root. Over the m pages that have
 a node, the entropy (to the base m) of its contents and of its presentation
 (the sequence of its children) is its importance: what a site repeats on every
 page has little. Marks of purpose decide a node beforehand: menus, headers,
-footers, sidebars, notices, adverts, forms, scripts and comments have none, and
-an article is kept. A page keeps the blocks whose branch has importance; where
-it has an article, only those inside. Hosts with few pages show nothing by
+footers, sidebars, notices, adverts, forms, scripts and comments have none,
+articles so marked included. A page keeps the blocks whose branch has
+importance; where it has an article, only those inside. Hosts with few pages show nothing by
 entropy, so there the marks alone decide, as they do on a page that would
 otherwise lose everything.
 
@@ -18,9 +18,9 @@ broadcast if there are at most ``MOST_BROADCAST`` of them, else by a join.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,10 +33,8 @@ from .common import Scratch, slices, table
 
 MIN_PAGES, LOW = 8, 0.35
 MOST_BROADCAST = 200_000
-MOST_DEPTH = 12
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-_ARTICLE = re.compile(r"<article[\s>].*?</article\s*>", re.S | re.I)
 _NAME = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noframes", "noembed")}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,6 +46,9 @@ _NO_WORDS = set(
     "ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored sponsors promo promoted promotion nav navbar navigation menu menus breadcrumb breadcrumbs footer sidebar sidebars aside widget widgets "
     "notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended comment comments commentlist disqus respond reply replies discussion pagination pager toolbar masthead topbar banner skip".split()
 )
+_COMMENTS = set("comment comments commentlist disqus respond reply replies discussion".split())
+#: Classes of an article or main part that name what it goes with or is about, not what it is.
+_ABOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no|category|tag|type|format|status)-\S*", re.I)
 _OUTSIDE_ONLY = {"header", "banner", "masthead"}
 
 
@@ -55,11 +56,11 @@ def _words(value: str) -> set[str]:
     return set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
 
 
-_marks: dict[tuple[str, str], tuple[str, bool, bool, bool]] = {}
+_marks: dict[tuple[str, str], tuple[str, bool, bool, bool, bool]] = {}
 
 
-def marks(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """(label of the node, no importance, no importance outside an article, an article) by tag and attributes."""
+def marks(tag: str, attributes: str) -> tuple[str, bool, bool, bool, bool]:
+    """(label of the node, no importance, no importance outside an article, an article, comments) by tag and attributes."""
     key = (tag, attributes if len(attributes) < 200 else "")
     found = _marks.get(key)
     if found is None or key[1] != attributes:
@@ -68,8 +69,11 @@ def marks(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
         role = named.get("role", "").lower()
         article = tag in ("article", "main") or role in ("main", "article") or named.get("itemprop", "") == "articleBody"
         outside = tag == "header" or bool(words & _OUTSIDE_ONLY)
-        none = not article and (tag in _NO_TAGS or role in _NO_ROLES or bool(words & (_NO_WORDS - _OUTSIDE_ONLY)) or "hidden" in named or named.get("aria-hidden") == "true")
-        found = (f"{tag}.{'.'.join(sorted(words))}", none, outside, article)
+        whole = tag == "main" or role == "main"
+        purpose = _words(_ABOUT.sub("", named.get("class", ""))) | _words(_ABOUT.sub("", named.get("id", ""))) if article else words
+        comment = not whole and bool(purpose & _COMMENTS)
+        none = (not article and (tag in _NO_TAGS or role in _NO_ROLES)) or (not whole and bool(purpose & (_NO_WORDS - _OUTSIDE_ONLY))) or "hidden" in named or named.get("aria-hidden") == "true"
+        found = (f"{tag}.{'.'.join(sorted(words))}", none, outside, article, comment)
         if len(_marks) > 20_000:
             _marks.clear()
         if key[1] == attributes:
@@ -77,23 +81,32 @@ def marks(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
     return found
 
 
-def blocks(page: str) -> list[tuple[str, str, bool]]:
-    """(node path, text, inside an article) of each text run between block bounds, without what the marks exclude."""
-    out: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, excluded, article
+def _hash(raw: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little") >> 1
+
+
+def _node(up: int, label: str) -> int:
+    """A stable 63-bit name of a node by its parent's name and its label; it stands for the whole path, however deep."""
+    return _hash(up.to_bytes(8, "little") + label.encode("utf-8", "surrogatepass"))
+
+
+def blocks(page: str) -> list[tuple[int, int, str, str, bool]]:
+    """(node, its parent, its label, text, inside an article) of each text run between block bounds, without what the marks exclude."""
+    out: list[tuple[int, int, str, str, bool]] = []
+    stack: list[tuple[str, int, bool, bool, bool, int, str]] = []  # tag, node, excluded, article, comments, parent, label
     buffer: list[str] = []
-    path, excluded, article = "", False, False
+    node, up, leaf, excluded, article = 0, 0, "", False, False
 
     def flush() -> None:
         if buffer:
             text = " ".join("".join(buffer).split())
             if text:
-                out.append((path, text, article))
+                out.append((node, up, leaf, text, article))
             buffer.clear()
 
     def state() -> None:
-        nonlocal path, excluded, article
-        _, path, excluded, article = stack[-1] if stack else ("", "", False, False)
+        nonlocal node, up, leaf, excluded, article
+        _, node, excluded, article, _, up, leaf = stack[-1] if stack else ("", 0, False, False, False, 0, "")
 
     def close(to: int) -> None:
         if any(e[0] in _BLOCK for e in stack[to:]):
@@ -129,7 +142,7 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
             if tag in ("xmp",) and not excluded:
                 buffer.append(page[raw_stop : end.start() if end else size])
             continue
-        label, none, outside, is_article = marks(tag, m.group(3))
+        label, none, outside, is_article, comment = marks(tag, m.group(3))
         if tag in _CLOSES_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
             for k in range(len(stack) - 1, -1, -1):
@@ -138,27 +151,20 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
                     break
                 if stack[k][0] in ("ul", "ol", "dl", "table", "article", "main", "section", "div", "td", "th", "body"):
                     break
-        if is_article and excluded and not any(e[3] for e in stack):
-            # an article does not stand in a menu or footer: that was never closed
+        if is_article and not none and excluded and not any(e[3] or e[4] for e in stack):
+            # an article does not stand in a menu or footer: that was never closed; among comments it is one
             close(next(k for k, e in enumerate(stack) if e[2]))
         if tag in _BLOCK:
             flush()
         if tag in _VOID or m.group(3).rstrip().endswith("/"):
             continue
         here = article or is_article
-        deep = f"{path}/{label}" if path.count("/") < MOST_DEPTH else path
-        stack.append((tag, deep, excluded or none or (outside and not here), here))
+        stack.append((tag, _node(node, label), excluded or none or (outside and not here), here, comment, node, label))
         state()
     flush()
     return out
 
 
-def _node(path: str) -> int:
-    """A stable 63-bit name of a node."""
-    raw = path.encode()
-    return (zlib.crc32(raw) << 31) | (zlib.crc32(raw[::-1] + b"#") >> 1)
-
-
 def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of contents and presentations by host and node, of nodes that no mark decides."""
     schema = ["host", "node", "kind", "value", "n"]
@@ -172,18 +178,14 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for part in slices(whole, "html"):
             for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
-                content: dict[str, list[str]] = {}
-                children: dict[str, list[str]] = {}
-                # what stands inside an article is kept by its mark, so the tree needs only the rest
-                for path, text, article in blocks(_ARTICLE.sub("<article></article>", page or "")):
-                    if not article:
-                        content.setdefault(path, []).append(text)
-                        up, _, leaf = path.rpartition("/")
-                        children.setdefault(up, []).append(leaf)
-                for path, texts in content.items():
-                    held[host, _node(path), 0, _node("\n".join(texts))] += 1
-                for path, leaves in children.items():
-                    held[host, _node(path), 1, _node("\n".join(leaves))] += 1
+                content: dict[int, list[str]] = {}
+                children: dict[int, list[str]] = {}
+                for node, up, leaf, text, _ in blocks(page or ""):
+                    content.setdefault(node, []).append(text)
+                    children.setdefault(up, []).append(leaf)
+                for kind, parts in ((0, content), (1, children)):
+                    for node, texts in parts.items():
+                        held[host, node, kind, _hash("\n".join(texts).encode("utf-8", "surrogatepass"))] += 1
             if len(held) > 100_000:
                 yield out(held)
                 held = Counter()
@@ -203,10 +205,10 @@ def low_nodes(pages: DataFrame) -> DataFrame:
 def text_of(page: str, low: frozenset | set) -> str:
     """The page's kept blocks, one a line; ``low`` holds the nodes without importance on its host."""
     found = blocks(page)
-    if any(b[2] for b in found):
-        return "\n".join(t for _, t, article in found if article)
-    kept = [t for path, t, _ in found if _node(path) not in low] if low else [t for _, t, _ in found]
-    return "\n".join(kept or [t for _, t, _ in found])
+    if any(b[4] for b in found):
+        found = [b for b in found if b[4]]
+    kept = [b for b in found if b[0] not in low] if low else found
+    return "\n".join(b[3] for b in kept or found)
 
 
 def _extract(low_by_host):

@@ -168,6 +168,19 @@ def test_html(spark, data):
     assert got[90] == got[91] == ("", 0) and got[92][0] == "a\nb & c\nd\ne"
 
 
+def test_html_tree_inside_articles(spark):
+    """Boxes that a host repeats inside <main>, comments in articles, and nodes of any depth."""
+    deep = "<div class=a>" * 15
+
+    def page(i):
+        boxes = f"<main><p>story {i} of many</p><div class=card><p>Jo writes for us</p></div>{deep}<div class=x>far {i}</div><div class=y>all the same</div></main>"
+        return f"<body>{boxes}<div id=comments><article class=post>first {i}</article></div><article class='comment odd'>second {i}</article></body>"
+
+    pages = [(i, f"http://m.n/{i}", page(i)) for i in range(12)] + [(50, "http://o.p/", "<article class='post has-comments category-social'>kept</article><article class=comment>gone</article>")]
+    got = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"story {i} of many\nfar {i}" for i in range(12)) and got[50] == "kept"
+
+
 def test_classifier_on_held_out_rows(spark, data):
     docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
     rows = subword_classifier.quality_scores(docs, labels).join(labels, "doc_id").collect()
