@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +14,15 @@ from ..streaming import ingest as I
 from ..streaming import state as S
 
 
+#: Rows of a slice of time, about; they bound what a rule holds of one key at once.
+SLICE_ROWS = 500_000
+
+
 def _slices(spark: SparkSession, d: str, at: str) -> DataFrame:
-    """The raw rows of each source file as a batch of files of their own, in the order of the sources."""
+    """The raw rows of each source file as files of their own, in the order of the sources."""
     raw = raw_entities(spark, d)
     for s in ("0", "1", "2"):
-        raw.where(F.col("source_file") == s).coalesce(1).write.mode("append").parquet(at)
+        raw.where(F.col("source_file") == s).write.mode("append").parquet(at)
     return raw
 
 
@@ -51,17 +57,33 @@ def _drain(stream: DataFrame, at: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.parquet(f"{at}/out")
 
 
+def _drain_in_time(rows: DataFrame, rule: Callable[[DataFrame], DataFrame], at: str) -> DataFrame:
+    """``rule`` over slices of time, each written and drained before the next; the checkpoint carries the state over.
+
+    Rows of one ``us`` stay in one slice.
+    """
+    spark = rows.sparkSession
+    n = -(-rows.count() // SLICE_ROWS)
+    cuts = sorted(set(rows.approxQuantile("us", [i / n for i in range(1, n)], min(0.01, 0.25 / n)))) if n > 1 else []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = rows if low is None else rows.where(F.col("us") > int(low))
+        part = part if high is None else part.where(F.col("us") <= int(high))
+        part.write.mode("append").parquet(f"{at}/in")
+        out = _drain(rule(spark.readStream.schema(rows.schema).parquet(f"{at}/in")), at)
+    return out
+
+
 def stream_rate_limit(spark, d):
     at = new_folder(spark, "limits")
     events = usage_events(spark, d).select("event_id", "user_id", "us")
-    return _drain(S.rate_limit_stream(_events_stream(spark, events, at)), at).select("event_id", "user_id", "allowed")
+    return _drain_in_time(events, S.rate_limit_stream, at).select("event_id", "user_id", "allowed")
 
 
 def stream_ttl_hits(spark, d):
     at = new_folder(spark, "ttl")
     key = C.probe_key("probe")
     probes = usage_events(spark, d).where((C.route("probe") == "id") & key.isNotNull()).select("event_id", "us", F.concat(F.lit("id:"), key).alias("own"))
-    return _drain(S.ttl_hits_stream(_events_stream(spark, probes, at)), at).select("event_id", "key", "cache_hit")
+    return _drain_in_time(probes, S.ttl_hits_stream, at).select("event_id", "key", "cache_hit")
 
 
 def stream_daily_usage(spark, d):

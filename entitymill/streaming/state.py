@@ -14,7 +14,7 @@ from ..operators.usage import LIMIT, OWNERS, TTL, WIDTH
 
 
 def _in_order(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """The rows of one key in one micro-batch; batch size bounds them (maxFilesPerTrigger)."""
+    """The rows of one key in one micro-batch; the caller bounds the batch (a slice of time)."""
     return pd.concat(list(pdfs)).sort_values(["us", "event_id"])
 
 

@@ -117,3 +117,13 @@ def test_nested_merge():
     assert merge.deep_merge({"a": {"b": 1}, "c": 1}, {"a": {"b": 2, "d": 3}, "c": 1}) == {"a": {"b": [1, 2], "d": 3}, "c": 1}
     assert merge.deep_merge(merge.deep_merge({"k": "a"}, {"k": "b"}), {"k": "c"}) == {"k": [["a", "b"], "c"]}
     assert merge.deep_merge(None, {"a": 1}) == {"a": 1} == merge.deep_merge({"a": 1}, {})
+
+
+def test_streams_in_slices_of_time(spark, data, monkeypatch):
+    """Many small batches in order of time decide as the one ordered pass does."""
+    from entitymill.plans import registry, stream_queries
+
+    monkeypatch.setattr(stream_queries, "SLICE_ROWS", 400)
+    for name in ("rate_limit", "ttl_hits"):
+        got, want = registry.QUERIES[f"stream_{name}"](spark, data), registry.QUERIES[name](spark, data)
+        assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
