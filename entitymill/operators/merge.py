@@ -25,15 +25,27 @@ def upsert(rows: DataFrame) -> DataFrame:
 def merge_flat_json(rows: DataFrame) -> DataFrame:
     """Left-to-right merge of flat JSON objects by id: equal values stay, different ones nest as [old,new].
 
-    Values are grouped by (id, key), and only changes of value are kept before
-    the fold, so a hot id with few distinct values stays small.
+    Rows stream through in order of seq; of an (id, key) only the values that
+    make up the merged one are held, and they are joined once at the end.
     """
     pairs = rows.select("id", "seq", F.explode(F.from_json("extras", "map<string,string>")).alias("key", "value"))
-    quoted = pairs.withColumn("v", F.concat(F.lit('"'), F.col("value"), F.lit('"')))
-    # [a,b] folded with a further v compares v to the whole, so the rows after the second distinct value all count
-    ordered = quoted.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("seq", "v"))).alias("l"))
-    folded = F.aggregate("l", F.lit(None).cast("string"), lambda a, x: F.when(a.isNull() | (a == x.v), x.v).otherwise(F.concat(F.lit("["), a, F.lit(","), x.v, F.lit("]"))))
-    return ordered.select("id", "key", folded.alias("merged"))
+    quoted = pairs.select(F.to_json(F.struct("id", "key")).alias("of"), "seq", F.concat(F.lit('"'), F.col("value"), F.lit('"')).alias("v"))
+
+    def step(parts: list, r) -> list:
+        # a nested value never equals a quoted one; a null value empties the merged one unless it is the first
+        if not parts or parts == [r.v]:
+            return parts or ([] if r.v is None else [r.v])
+        if r.v is None:
+            return []
+        parts.append(r.v)
+        return parts
+
+    def finish(of: str, parts: list) -> tuple:
+        named = json.loads(of)
+        merged = "[" * (len(parts) - 1) + parts[0] + "".join(f",{v}]" for v in parts[1:]) if parts else None
+        return named.get("id"), named.get("key"), merged
+
+    return ordered_reduce(quoted, "of", ["seq", "v"], "id string, key string, merged string", list, step, finish)
 
 
 def _parsed(text: str | None):

@@ -119,6 +119,18 @@ def test_nested_merge():
     assert merge.deep_merge(None, {"a": 1}) == {"a": 1} == merge.deep_merge({"a": 1}, {})
 
 
+def test_flat_merge_streams(spark):
+    """No aggregate collects the values of an (id, key); a long run of changes folds in order."""
+    rows = [("1", i, '{"k":"%d"}' % (i % 3)) for i in range(2000)] + [("2", 1, '{"k":"a"}'), ("2", 2, '{"k":"a"}'), (None, 1, '{"k":"b"}')]
+    merged = merge.merge_flat_json(spark.createDataFrame(rows, "id string, seq long, extras string"))
+    assert "collect_list" not in merged._jdf.queryExecution().toString()
+    got = {(r.id, r.key): r.merged for r in merged.collect()}
+    want = '"0"'
+    for i in range(1, 2000):
+        want = f'[{want},"{i % 3}"]'
+    assert got == {("1", "k"): want, ("2", "k"): '"a"', (None, "k"): '"b"'}
+
+
 def test_streams_in_slices_of_time(spark, data, monkeypatch):
     """Many small batches in order of time decide as the one ordered pass does."""
     from entitymill.plans import registry, stream_queries
