@@ -7,7 +7,8 @@ a node, the entropy (to the base m) of its contents and of its presentation
 page has little. Marks of purpose decide a node beforehand: menus, headers,
 footers, sidebars, notices, adverts, forms, scripts and comments have none,
 articles so marked included. A page keeps the blocks whose branch has
-importance; where it has an article, only those inside. Hosts with few pages show nothing by
+importance; where it has an article, only those inside, and of these it loses
+only what other pages of the host repeat word for word at the same node. Hosts with few pages show nothing by
 entropy, so there the marks alone decide, as they do on a page that would
 otherwise lose everything.
 
@@ -165,6 +166,10 @@ def blocks(page: str) -> list[tuple[int, int, str, str, bool]]:
     return out
 
 
+def _content(texts: list[str]) -> int:
+    return _hash("\n".join(texts).encode("utf-8", "surrogatepass"))
+
+
 def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of contents and presentations by host and node, of nodes that no mark decides."""
     schema = ["host", "node", "kind", "value", "n"]
@@ -185,29 +190,36 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     children.setdefault(up, []).append(leaf)
                 for kind, parts in ((0, content), (1, children)):
                     for node, texts in parts.items():
-                        held[host, node, kind, _hash("\n".join(texts).encode("utf-8", "surrogatepass"))] += 1
+                        held[host, node, kind, _content(texts)] += 1
             if len(held) > 100_000:
                 yield out(held)
                 held = Counter()
     yield out(held)
 
 
-def low_nodes(pages: DataFrame) -> DataFrame:
-    """``(host, node)`` of the nodes whose contents and presentation a host repeats."""
+def low_nodes(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(host, node)`` of the nodes whose contents and presentation a host repeats, and node ^ content of what they repeat."""
     counts = pages.select("host", "html").mapInArrow(_tree_rows, "host string, node long, kind int, value long, n long")
     # (host, node) groups are spread over their values first, so the contents of a hot host are summed by many tasks
-    values = counts.groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("n"))
+    values = scratch.put(counts.groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("n")), "values")
     sums = values.groupBy("host", "node", "kind").agg(F.sum("n").alias("m"), F.sum(F.expr("n * ln(n)")).alias("nlogn"))
     entropy = sums.where(f"m >= {MIN_PAGES}").select("host", "node", F.expr("(ln(m) - nlogn / m) / ln(m)").alias("h"))
-    return entropy.groupBy("host", "node").agg(F.max("h").alias("importance")).where(F.col("importance") < LOW).select("host", "node")
+    low = scratch.put(entropy.groupBy("host", "node").agg(F.max("h").alias("importance")).where(F.col("importance") < LOW).select("host", "node"), "nodes")
+    repeated = values.where("kind = 0 and n > 1").join(low, ["host", "node"]).select("host", F.expr("node ^ value").alias("node"))
+    return low.unionByName(repeated)
 
 
 def text_of(page: str, low: frozenset | set) -> str:
     """The page's kept blocks, one a line; ``low`` holds the nodes without importance on its host."""
     found = blocks(page)
+    gone = low
     if any(b[4] for b in found):
+        content: dict[int, list[str]] = {}
+        for node, _, _, text, _ in found if low else ():
+            content.setdefault(node, []).append(text)
+        gone = {node for node, texts in content.items() if node in low and node ^ _content(texts) in low}
         found = [b for b in found if b[4]]
-    kept = [b for b in found if b[0] not in low] if low else found
+    kept = [b for b in found if b[0] not in gone] if gone else found
     return "\n".join(b[3] for b in kept or found)
 
 
@@ -235,7 +247,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     pages = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host.alias("host"))
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url {pages.schema['url'].dataType.simpleString()}, text string, n_chars long"
-    low = Scratch(spark, "html").put(low_nodes(pages), "low")
+    scratch = Scratch(spark, "html")
+    low = scratch.put(low_nodes(pages, scratch), "low")
     if low.count() <= MOST_BROADCAST:
         by_host: dict[str, set[int]] = {}
         for r in low.toLocalIterator():

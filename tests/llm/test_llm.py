@@ -177,7 +177,10 @@ def test_html_tree_inside_articles(spark):
         return f"<body>{boxes}<div id=comments><article class=post>first {i}</article></div><article class='comment odd'>second {i}</article></body>"
 
     pages = [(i, f"http://m.n/{i}", page(i)) for i in range(12)] + [(50, "http://o.p/", "<article class='post has-comments category-social'>kept</article><article class=comment>gone</article>")]
+    # many copies of one page take no words from the other pages
+    pages += [(100 + i, f"http://q.r/{i}", f"<article><p>{'same' if i < 40 else 'own words'}</p><ul><li>{i}</li></ul></article>") for i in range(41)]
     got = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[140] == "own words\n40" and got[100] == "0"
     assert all(got[i] == f"story {i} of many\nfar {i}" for i in range(12)) and got[50] == "kept"
 
 
