@@ -170,9 +170,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     short = docs.where(F.length("text") <= CHUNK)
-    long = docs.where(F.length("text") > CHUNK).withColumn("key", F.sha2("text", 256)).groupBy("key").agg(F.first("text").alias("text"), F.collect_list("doc_id").alias("ids"))
+    keyed = docs.where(F.length("text") > CHUNK).withColumn("key", F.sha2("text", 256))
     scratch = Scratch(spark, "bpe")
-    long = scratch.put(long, "long")
+    long = scratch.put(keyed.groupBy("key").agg(F.first("text").alias("text")), "long")
     if not long.take(1):
         return short.mapInArrow(_whole(path, pattern), schema)
     cuts = F.expr(f"transform(sequence(0, (length(text) - 1) div {CHUNK}), i -> struct(cast(i as long) as chunk, substring(text, cast(i * {CHUNK} + 1 as int), {CHUNK + OVERLAP}) as piece))")
@@ -186,9 +186,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     split = chunks.join(edges, ["key", "chunk"]).join(lost, "key", "left_anti").select("key", "chunk", "piece", "cut", "next_cut").mapInArrow(_pieces(path, pattern), "key string, chunk long, n long, ids string, raw string")
     split = split.groupBy("key").agg(F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("chunk", "ids", "raw"))).alias("c"))
     split = split.select("key", "n_tokens", F.sha2(F.array_join(F.filter("c.ids", lambda s: s != ""), " "), 256).alias("ids_sha256"), F.sha2(F.array_join("c.raw", ""), 256).alias("decoded_sha256"))
-    split = long.select("key", F.explode("ids").alias("doc_id")).join(split, "key").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
-    whole = short.unionByName(long.join(lost, "key", "left_semi").select(F.explode("ids").alias("doc_id"), "text"))
-    return whole.mapInArrow(_whole(path, pattern), schema).unionByName(split)
+    whole = long.join(lost, "key", "left_semi").select(F.col("key").alias("doc_id"), "text").mapInArrow(_whole(path, pattern), "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    # each distinct text is encoded once; its rows take its digests by a join, so no task holds the ids of all copies
+    digests = scratch.put(split.select("key", "n_tokens", "ids_sha256", "decoded_sha256").unionByName(whole.withColumnRenamed("doc_id", "key")), "digests")
+    copies = keyed.select("doc_id", "key").join(digests, "key").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return short.mapInArrow(_whole(path, pattern), schema).unionByName(copies)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

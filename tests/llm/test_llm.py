@@ -266,6 +266,18 @@ def test_byte_bpe_equals_the_library(spark):
     assert byte_bpe.encode_documents(docs_of(spark, []), path, P.PATTERN).collect() == []
 
 
+def test_byte_bpe_keeps_every_copy(spark, monkeypatch):
+    """Copies of a long text keep their rows, and no grouping collects their ids."""
+    import public_tokenizers as P
+
+    held = []
+    put = byte_bpe.Scratch.put
+    monkeypatch.setattr(byte_bpe.Scratch, "put", lambda self, df, name: held.append((name, df.columns)) or put(self, df, name))
+    rows = byte_bpe.encode_documents(docs_of(spark, ["word " * 14_000] * 30 + ["a", "y" * 70_000]), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(32)) and len({r[1:] for r in map(tuple, rows) if r[0] < 30}) == 1
+    assert not any("ids" in columns and name == "long" for name, columns in held)
+
+
 def plain_spans(t):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
