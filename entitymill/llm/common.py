@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,19 +19,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or one of our own where none is set (local runs)."""
+    """The folder every executor sees: spark.checkpoint.dir. Only a local session may go without; it gets a folder of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-entitymill-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+@contextlib.contextmanager
+def _shuffles_freed(spark: SparkSession):
+    """Inside, Spark removes the shuffle files of each execution at its end."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Intermediate tables of one run, written as Parquet to the shared folder.
 
-    A written table cuts the lineage and outlives the executor that wrote it.
-    ``drop`` removes a table that no later step reads.
+    A written table cuts the lineage and outlives the executor that wrote it,
+    and the shuffle files behind it go as soon as it stands. ``drop`` removes a
+    table that no later step reads. What the result itself reads stays until the session's
+    folder is cleared.
     """
 
     def __init__(self, spark: SparkSession, what: str):
@@ -39,9 +55,8 @@ class Scratch:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.at}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of steps that no plan refers to any more
+        with _shuffles_freed(self.spark):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -51,9 +66,14 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21, rows: int = 2048) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of at most ``rows`` rows whose texts hold about ``most`` bytes; a longer text stands alone."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+def slices(batch: pa.RecordBatch, column: str | pa.Array, most: int = 1 << 18, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of at most ``rows`` rows whose texts hold about ``most`` bytes; a longer text stands alone.
+
+    ``column`` is the texts or their name. Numpy work on a run takes some
+    hundred times its bytes, so short runs keep workers small.
+    """
+    texts = batch.column(column) if isinstance(column, str) else column
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
     ends = np.cumsum(sizes)
     start, n = 0, len(sizes)
     while start < n:
@@ -63,5 +83,9 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21, rows: int =
         start = stop
 
 
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit(""))
+def few(df: DataFrame, by: Column, most: int) -> DataFrame:
+    """The ``most`` rows of smallest hash ``by``: a cut by value first, so that no task sorts more than some times ``most`` rows."""
+    n = df.count()
+    if n > 2 * most:
+        df = df.where(by < F.lit(int(-(1 << 63) + (1 << 64) * 1.5 * most / n)))
+    return df.orderBy(by).limit(most)
