@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import few, slices, table
 from .textnum import _BYTE, U, Words, _power_tables, mix
 
 BUCKETS = 1 << 16
@@ -32,9 +32,9 @@ THRESHOLD = 0.3
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(text index, bucket) of every word and every character n-gram inside a word.
 
-    A word also gives its shape (letter case, digits and symbols, runs
-    shortened to classes), its place among repeats of the text, and n-grams of
-    bytes that start at a character; all share the buckets.
+    A word's n-grams are of bytes and start at a character. Further buckets
+    count words that the text had before, words equal to the one before them,
+    and the text's size in powers of two.
     """
     w = Words(column)
     h = w.hashes()
@@ -111,16 +111,28 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     return margin, float(bias[1] - bias[0] + np.log(share[1] / share[0]))
 
 
+def _scores(model, text: pa.Array) -> np.ndarray:
+    margin, offset = model
+    doc, bucket = features(text)
+    n = np.bincount(doc, minlength=len(text))
+    total = np.bincount(doc, weights=margin[bucket], minlength=len(text))
+    return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + offset, -30, 30)))
+
+
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        margin, offset = model.value
         for whole in batches:
             for part in slices(whole, "text"):
-                doc, bucket = features(part.column("text"))
-                n = np.bincount(doc, minlength=part.num_rows)
-                total = np.bincount(doc, weights=margin[bucket], minlength=part.num_rows)
-                score = 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + offset, -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(score)], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(_scores(model.value, part.column("text")))], names=["doc_id", "score"])
+
+    return run
+
+
+def _pass(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole, whole.column("text").cast(pa.string())):
+                yield part.filter(pa.array(_scores(model.value, part.column("text").cast(pa.string())) >= THRESHOLD))
 
     return run
 
@@ -134,12 +146,13 @@ def classifier(docs: DataFrame, labels: DataFrame, label: str, max_train: int =
     """
     spark = docs.sparkSession
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (F.expr("crc32(cast(doc_id as string))") % 5 != 0)).dropDuplicates(["doc_id"])
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    chosen = few(chosen, F.xxhash64("doc_id"), max_train)
     # the bounded list of ids goes to the scan of the documents, so no text is shuffled
     taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    bags = taught.mapInArrow(_bags, "doc_id long, label int, bucket array<int>, n array<float>").toArrow()
-    first = {i: k for k, i in reversed(list(enumerate(bags.column("doc_id").to_pylist())))}
-    keep = [first[i] for i in sorted(first)]
+    bags = taught.mapInArrow(_bags, "doc_id long, label int, bucket array<int>, n array<float>")
+    # one text of each id, chosen before anything comes to the driver
+    bags = bags.groupBy("doc_id").agg(F.min(F.struct("label", "bucket", "n")).alias("b")).select("doc_id", "b.*").toArrow()
+    keep = np.argsort(bags.column("doc_id").to_numpy()).tolist()
     columns = [bags.column(c).combine_chunks() for c in ("bucket", "n")]
     y = bags.column("label").to_numpy()[keep] if keep else np.zeros(0, np.int64)
     pairs = [(columns[0][k].values.to_numpy(), columns[1][k].values.to_numpy()) for k in keep]
@@ -157,5 +170,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -
     return rows.select("doc_id", (F.expr("crc32(cast(doc_id as string))") % 5 == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is predicted 1: scored and kept in one pass, without a shuffle."""
+    return docs.mapInArrow(_pass(classifier(docs, labels, label)), docs.schema)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
