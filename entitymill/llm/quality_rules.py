@@ -1,21 +1,30 @@
 """Quality rules: word, symbol and repetition counts, and bands of n-gram perplexity.
 
 The perplexity comes from a character trigram model per language with modified
-Kneser-Ney smoothing. Spark counts the trigrams of all documents and derives
+Kneser-Ney smoothing. Spark counts the trigrams of all documents, in two halves
+by a hash of the text (copies share a half), and apart from them those of the
+reference texts: at least ``MIN_WORDS`` words, and at most one symbol in
+``REFERENCE`` words. From the reference counts of each half it derives
 continuation counts, discounts and back-off weights with groupings and joins.
-The finished log-probabilities are written under their full (language, trigram)
-keys, so the model grows with the corpus. Its most frequent trigrams, ``HOT`` of
-them at most, are broadcast as sorted arrays; the occurrences of all others go
-to their values by an equi-join on the key, in which no key is frequent. The
-documents scored are those counted, so each of their trigrams has a value of
-its own and nothing is backed off at scoring. A document whose mean log-perplexity lies outside its language's
-band is rejected; the band is the median over all documents plus or minus a
-multiple of the median absolute deviation.
+Every trigram of a half gets its smoothed log-probability under the model of
+the *other* half, so no text is judged by itself, and this table grows with the
+corpus. Its most frequent rows, ``HOT`` of them at most, are broadcast as sorted
+hash arrays (the hash is a bijection of the full key, so nothing is merged);
+occurrences of the others go to their values by an equi-join on the key, in
+which no key is frequent.
+
+A document's score is the median of the mean log-perplexities of its blocks of
+about ``BLOCK`` characters, so a passage in another language, a table of
+numbers or a licence line decides nothing. A document outside the band of its
+language is rejected: the median of all scores minus ``BAND_BELOW`` or plus
+``BAND_ABOVE`` times their median absolute deviation, wider for short texts by
+sqrt(1 + BLOCK / characters).
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +37,13 @@ from .common import Scratch, slices, table
 from .textnum import _BYTE, U, Words, _power_tables, mix
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: Deviations from the language's median log-perplexity beyond which a document goes: below, above.
-BAND_BELOW, BAND_ABOVE = 12.0, 40.0
+#: Words for each symbol that a text must have at least to be counted as reference text.
+REFERENCE = 10
+BLOCK = 128
+#: Deviations from the language's median score beyond which a document goes: below, above.
+BAND_BELOW, BAND_ABOVE = 12.0, 12.0
 #: Least width of a side of the band, in nats a character; a narrower one would reject on noise.
 LEAST_WIDTH = 0.15
-#: Perplexity of fewer characters than this says nothing; such texts are left to the other rules.
-MIN_CHARS = 100
 #: Most trigrams that are broadcast (32 MB); any number of others is joined.
 HOT = 1 << 21
 TRI, BI, UNI, BACK2, BACK1, UNSEEN = range(1, 7)
@@ -94,18 +104,19 @@ def rule_counts(column: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def _language(name: str | None) -> int:
-    """A 64-bit name of a language; null is one of its own."""
-    return int.from_bytes(hashlib.blake2b(b"" if name is None else b"=" + name.encode(), digest_size=8).digest(), "little", signed=True)
+def _language(name: str | None, half: int) -> int:
+    """A 64-bit name of one half of a language's texts; null is a language of its own."""
+    raw = (b"-" if name is None else b"=" + name.encode()) + bytes([half])
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
 
-def _trigrams(text: pa.Array, lang: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Code points with the two before them (0 before a text's start), language and text index."""
+def _trigrams(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trigram keys (21 bits a code point, 0 before a text's start), sizes in code points, and halves of the texts."""
     joined = [t or "" for t in text.to_pylist()]
     cp = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     sizes = np.fromiter(map(len, joined), np.int64, len(joined))
+    half = np.fromiter((zlib.crc32(t.encode("utf-8", "surrogatepass")) & 1 for t in joined), np.int64, len(joined))
     cp[(cp >= 9) & (cp <= 13)] = 32
-    doc = np.repeat(np.arange(len(joined)), sizes)
     first = (np.cumsum(sizes) - sizes)[sizes > 0]
     y = np.zeros_like(cp)
     y[1:] = cp[:-1]
@@ -113,38 +124,49 @@ def _trigrams(text: pa.Array, lang: pa.Array) -> tuple[np.ndarray, np.ndarray, n
     x = np.zeros_like(cp)
     x[1:] = y[:-1]
     x[first] = 0
+    return (x << 42) | (y << 21) | cp, sizes, half
+
+
+def _names(lang: pa.Array, half: np.ndarray) -> np.ndarray:
     names = lang.to_pylist()
-    known = {v: _language(v) for v in set(names)}
-    return x, y, cp, np.array([known[v] for v in names], np.int64), doc
+    known = {v: (_language(v, 0), _language(v, 1)) for v in set(names)}
+    return np.array([known[v][h] for v, h in zip(names, half.tolist())], np.int64)
+
+
+def _reference(column: pa.Array) -> np.ndarray:
+    """Which texts the models are counted from."""
+    w = Words(column)
+    symbols = np.concatenate([[0], np.cumsum(_SYMBOL[w.buf])])
+    return (w.count >= MIN_WORDS) & (REFERENCE * (symbols[w.off[1:]] - symbols[w.off[:-1]]) <= w.count)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trigram counts by language, summed within the task; sorted arrays are merged as they grow."""
+    """Trigram counts by half of a language, in all and in reference texts, summed within the task as sorted arrays."""
     held: dict[int, list] = {}
 
     def merged(parts: list) -> list:
-        key, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        key, n, ref = (np.concatenate([p[i] for p in parts]) for i in range(3))
         order = np.argsort(key, kind="stable")
-        key, n = key[order], n[order]
+        key, n, ref = key[order], n[order], ref[order]
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        return [(key[at], np.add.reduceat(n, at))]
+        return [(key[at], np.add.reduceat(n, at), np.add.reduceat(ref, at))]
 
     def out(lang: int, parts: list) -> pa.RecordBatch:
-        key, n = merged(parts)[0]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), lang)), pa.array(key), pa.array(n)], names=["lang", "key", "n"])
+        key, n, ref = merged(parts)[0]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), lang)), pa.array(key), pa.array(n), pa.array(ref)], names=["lang", "key", "n", "ref"])
 
     for whole in batches:
-        for part in slices(whole, "text"):
-            x, y, z, langs, doc = _trigrams(part.column("text"), part.column("lang"))
-            key = (x << 42) | (y << 21) | z
-            of = langs[doc]
+        for part in slices(whole, "text", 1 << 20):
+            key, sizes, half = _trigrams(part.column("text"))
+            of, good = np.repeat(_names(part.column("lang"), half), sizes), np.repeat(_reference(part.column("text")), sizes)
             for lang in np.unique(of).tolist():
-                found, n = np.unique(key[of == lang], return_counts=True)
+                own = of == lang
+                found, at, n = np.unique(key[own], return_inverse=True, return_counts=True)
                 parts = held.setdefault(lang, [])
-                parts.append((found, n))
+                parts.append((found, n, np.bincount(at[good[own]], minlength=len(found))))
                 if len(parts) > 24:
                     held[lang] = parts = merged(parts)
-                    if len(parts[0][0]) > 1 << 20:  # a large alphabet: hand it on and start anew
+                    if len(parts[0][0]) > 1 << 19:  # a large alphabet: hand it on and start anew
                         yield out(lang, held.pop(lang))
     for lang, parts in held.items():
         yield out(lang, parts)
@@ -198,26 +220,56 @@ def kneser_ney(counts: DataFrame, keep=lambda df, name: df) -> DataFrame:
     return out
 
 
-class Model:
-    """Of each language, the broadcast trigrams as sorted full keys and their log-values."""
+def held_out_values(counts: DataFrame, halves: DataFrame, keep=lambda df, name: df) -> DataFrame:
+    """``(lang, key, n, v)``: each trigram of a half with its log-probability under the other half's model.
+
+    ``counts(lang, key, n, ref)`` is summed; ``halves(lang, other)`` pairs the
+    two halves of each language. A trigram, bigram or character that the model
+    doesn't know is backed off; where the other half has no reference text, v is
+    NaN and nothing is judged by it.
+    """
+    low = 0x1FFFFF
+    model = keep(kneser_ney(counts.where("ref > 0").select("lang", "key", F.col("ref").alias("n")), keep), "model")
+    rows = counts.join(halves, "lang").selectExpr("lang", "other", "key", "n", "shiftright(key, 21) as xy", f"key & {low * (1 << 21) + low}L as yz", f"shiftright(key, 21) & {low}L as y", f"key & {low}L as z", "0L as none")
+    for kind, on in ((TRI, "key"), (BACK2, "xy"), (BI, "yz"), (BACK1, "y"), (UNI, "z"), (UNSEEN, "none")):
+        one = model.where(F.col("kind") == kind).select(F.col("lang").alias("of"), F.col("key").alias("k"), F.col("v").alias(f"v{kind}"))
+        rows = rows.join(one, (F.col("other") == F.col("of")) & (F.col(on) == F.col("k")), "left").drop("of", "k")
+    v = lambda kind, *rest: F.coalesce(F.col(f"v{kind}"), *rest)
+    value = v(TRI, v(BACK2, F.lit(0.0)) + v(BI, v(BACK1, F.lit(0.0)) + v(UNI, v(UNSEEN, F.lit(float("nan"))))))
+    return rows.select("lang", "key", "n", value.alias("v"))
+
+
+class Values:
+    """Of each half of a language, the broadcast trigrams as a sorted array of hashes, an index of its first bits, and log-values."""
 
     def __init__(self, lang: np.ndarray, key: np.ndarray, v: np.ndarray):
-        order = np.lexsort((key, lang))
-        lang, key, v = lang[order], key[order], v[order]
+        h = mix(key.view(U))
+        order = np.lexsort((h, lang))
+        lang, h, v = lang[order], h[order], v[order]
         names, first = np.unique(lang, return_index=True)
-        self.of = {k: (key[i:j], v[i:j]) for k, i, j in zip(names.tolist(), first, [*first[1:], len(lang)])}
+        self.of = {}
+        for k, i, j in zip(names.tolist(), first, [*first[1:], len(lang)]):
+            bits = max(int(j - i).bit_length(), 1)
+            index = np.searchsorted(h[i:j] >> U(64 - bits), np.arange(1 << bits, dtype=U)).astype(np.int32)
+            self.of[k] = U(64 - bits), index, np.append(h[i:j], U(0xFFFFFFFFFFFFFFFF)), np.append(v[i:j], 0.0)
 
     def get(self, lang: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are held, and their values."""
         if lang not in self.of:
             return np.zeros(len(keys), bool), np.zeros(len(keys))
-        held, v = self.of[lang]
-        at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
-        return held[at] == keys, v[at]
+        shift, index, held, v = self.of[lang]
+        h = mix(keys.view(U))
+        at = index[(h >> shift).astype(np.int64)]
+        todo = np.flatnonzero(held[at] < h)  # hashes are even, so a few steps lead from the index to the place
+        while len(todo):
+            at[todo] += 1
+            todo = todo[held[at[todo]] < h[todo]]
+        return held[at] == h, v[at]
 
 
-def _hot_from(model: DataFrame) -> int:
+def _hot_from(values: DataFrame) -> int:
     """The least count of the broadcast trigrams, a power of two; 1 if all of them are."""
-    sizes = model.groupBy(F.length(F.bin("n")).alias("bits")).agg(F.count("*").alias("m")).collect()  # 63 rows at most
+    sizes = values.groupBy(F.length(F.bin("n")).alias("bits")).agg(F.count("*").alias("m")).collect()  # 63 rows at most
     total, least = 0, 1 << 62
     for r in sorted(sizes, key=lambda r: -r.bits):
         total += r.m
@@ -227,82 +279,128 @@ def _hot_from(model: DataFrame) -> int:
     return 1
 
 
-_SCORED = "row long, doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + ", n_chars long, total double, language long, cold array<long>, times array<long>"
-
-
-def _score(model):
-    """Counts of each row, the sum of its broadcast trigrams, and its other trigrams with how often it has them."""
+def _score(values, carried: list[str]):
+    """Carried columns, counts, and of each block its size and the sum of its broadcast trigrams; then its other trigrams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
+        m: Values = values.value
         row = TaskContext.get().partitionId() << 40
         for whole in batches:
-            for part in slices(whole, "text"):
+            inside = whole.column("row")
+            own = pa.RecordBatch.from_arrays([inside.field(i) for i in range(inside.type.num_fields)], names=[f.name for f in inside.type])
+            texts = own.column("text").cast(pa.string())
+            done = 0
+            for part in slices(own, texts):
                 n = part.num_rows
-                counts = rule_counts(part.column("text"))
-                x, y, z, langs, doc = _trigrams(part.column("text"), part.column("lang"))
-                key = (x << 42) | (y << 21) | z
+                text, done = texts.slice(done, n), done + n
+                counts = rule_counts(text)
+                key, sizes, half = _trigrams(text)
+                langs = _names(part.column("lang").cast(pa.string()), half)
+                of = np.repeat(langs, sizes)
                 seen, logp = np.zeros(len(key), bool), np.zeros(len(key))
-                of = langs[doc]
                 for lang in np.unique(of).tolist():
                     at = np.flatnonzero(of == lang)
                     seen[at], logp[at] = m.get(lang, key[at])
-                size = np.bincount(doc, minlength=n)
-                total = np.bincount(doc, weights=np.where(seen, logp, 0.0), minlength=n)
-                d, k = doc[~seen], key[~seen]
-                order = np.lexsort((k, d))
-                d, k = d[order], k[order]
-                first = np.flatnonzero((d[1:] != d[:-1]) | (k[1:] != k[:-1])) + 1 if len(d) else np.zeros(0, np.int64)
-                first = np.concatenate([np.zeros(min(len(d), 1), np.int64), first])
-                times = np.diff(np.append(first, len(d)))
-                bounds = pa.array(np.searchsorted(d[first], np.arange(n + 1)).astype(np.int32))
-                cold, times = (pa.ListArray.from_arrays(bounds, pa.array(a, pa.int64())) for a in (k[first], times))
-                arrays = [pa.array(np.arange(row, row + n)), part.column("doc_id").cast(pa.int64()), part.column("lang"), *(pa.array(counts[c], pa.int64()) for c in COUNTS)]
-                arrays += [pa.array(size, pa.int64()), pa.array(total), pa.array(langs), cold, times]
+                blocks = np.maximum((sizes + BLOCK // 2) // BLOCK, (sizes > 0).astype(np.int64))
+                start = np.cumsum(blocks) - blocks
+                place = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                block = np.repeat(start, sizes) + place * np.repeat(blocks, sizes) // np.repeat(sizes, sizes)
+                total = int(blocks.sum())
+                size = np.bincount(block, minlength=total)
+                hot = np.bincount(block, weights=np.where(seen, logp, 0.0), minlength=total)
+                b, k = block[~seen], key[~seen]
+                order = np.lexsort((k, b))
+                b, k = b[order], k[order]
+                first = np.flatnonzero(np.concatenate([[True] * min(len(b), 1), (b[1:] != b[:-1]) | (k[1:] != k[:-1])])) if len(b) else np.zeros(0, np.int64)
+                times = np.diff(np.append(first, len(b)))
+                b, k = b[first], k[first]
+                ends = np.append(start, total)
+                by_block = pa.array(ends.astype(np.int32))
+                by_cold = pa.array(np.searchsorted(b, ends).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(by_block, pa.array(a)) for a in (size, hot)]
+                lists += [pa.ListArray.from_arrays(by_cold, pa.array(a)) for a in (b - np.repeat(start, np.diff(np.searchsorted(b, ends))), k, times)]
+                held = pa.StructArray.from_arrays([part.column(c) for c in carried], fields=[part.schema.field(c) for c in carried])
+                arrays = [held, pa.array(np.arange(row, row + n)), part.column("lang").cast(pa.string()), *(pa.array(counts[c], pa.int64()) for c in COUNTS), pa.array(sizes), pa.array(langs), *lists]
                 row += n
-                yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "lang", *COUNTS, "n_chars", "total", "language", "cold", "times"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["own", "row", "lang", *COUNTS, "n_chars", "half", "sizes", "hot", "block", "key", "times"])
 
     return run
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, lang)`` to one row of counts and verdicts per input row.
+def _halves(docs: DataFrame) -> DataFrame:
+    """Names of both halves of each language of the table, paired."""
 
-    ``base_failed``: fewer than 20 words, or more than 30 % of the words inside
-    8-word windows that the text repeats. ``kept``: not base_failed, and the
-    log-perplexity inside the band of the language. Null text is empty, null
-    lang a language of its own; repeated rows get equal rows; an empty table
-    gives an empty result.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = [(_language(v, h), _language(v, 1 - h)) for v in b.column("lang").to_pylist() for h in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["lang", "other"])
+
+    return docs.select("lang").distinct().mapInArrow(run, "lang long, other long")
+
+
+def judged(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """One row per input row: ``own`` (a struct of the ``carried`` columns), the five counts, ``base_failed``, ``kept`` and ``log_perplexity``.
+
+    Documents pass through the scoring tasks as they are. They are shuffled only
+    if the corpus has more than ``HOT`` distinct trigrams, to meet the sums of the rare ones.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "rules")
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = scratch.put(docs.select("text", "lang").mapInArrow(_count, "lang long, key long, n long"), "trigrams")
-    model = scratch.put(kneser_ney(counts, scratch.put).where(F.col("kind") == TRI).select("lang", "key", "n", "v"), "model")
-    least = _hot_from(model)
-    hot = model.where(F.col("n") >= least).select("lang", "key", "v").toArrow()  # HOT rows at most
-    hot = spark.sparkContext.broadcast(Model(*(hot.column(c).to_numpy() for c in ("lang", "key", "v"))))
+    plain = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    counts = scratch.put(plain.mapInArrow(_count, "lang long, key long, n long, ref long"), "counted")
+    counts = scratch.put(counts.groupBy("lang", "key").agg(F.sum("n").alias("n"), F.sum("ref").alias("ref")), "trigrams")
+    scratch.drop("counted")
+    values = scratch.put(held_out_values(counts, scratch.put(_halves(plain), "halves"), scratch.put), "values")
+    least = _hot_from(values)
+    hot = values.where(F.col("n") >= least).select("lang", "key", "v").toArrow()  # HOT rows at most
+    hot = spark.sparkContext.broadcast(Values(*(hot.column(c).to_numpy() for c in ("lang", "key", "v"))))
+    own = docs.select(*carried).schema.simpleString()
+    schema = f"own {own}, row long, lang string, {', '.join(f'{c} long' for c in COUNTS)}, n_chars long, half long, sizes array<long>, hot array<double>, block array<long>, key array<long>, times array<long>"
+    need = dict.fromkeys([*carried, "text", "lang"])
     # row numbers hold from here on, as the rows are written with them
-    rows = scratch.put(docs.mapInArrow(_score(hot), _SCORED), "scores")
-    total = F.col("total")
+    rows = scratch.put(docs.select(F.struct(*need).alias("row")).mapInArrow(_score(hot, carried), schema), "scores")
+    sums = F.col("hot")
     if least > 1:
-        rare = rows.select("row", F.col("language").alias("lang"), F.explode(F.arrays_zip("cold", "times")).alias("c")).select("row", "lang", F.col("c.cold").alias("key"), F.col("c.times").alias("times"))
-        rare = rare.join(model.where(F.col("n") < least).select("lang", "key", "v"), ["lang", "key"]).groupBy("row").agg(F.sum(F.col("times") * F.col("v")).alias("rest"))
-        rows = scratch.put(rows.drop("cold", "times").join(rare, "row", "left"), "sums")
-        total = total + F.coalesce(F.col("rest"), F.lit(0.0))
-    rows = rows.select("doc_id", "lang", *COUNTS, "n_chars", F.when(F.col("n_chars") > 0, F.round(-total / F.col("n_chars"), 3)).otherwise(F.lit(0.0)).alias("log_perplexity"))
+        rare = rows.select("row", F.col("half").alias("lang"), F.explode(F.arrays_zip("block", "key", "times")).alias("c")).select("row", "lang", "c.block", "c.key", "c.times")
+        rare = rare.join(values.where(F.col("n") < least).select("lang", "key", "v"), ["lang", "key"]).groupBy("row", "block").agg(F.sum(F.col("times") * F.col("v")).alias("rest"))
+        rare = scratch.put(rare.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("block", "rest"))).alias("rests")), "rare")  # as many entries as the document has blocks
+        rows = rows.join(rare, "row", "left")
+        sums = F.transform("hot", lambda s, i: s + F.coalesce(F.try_element_at("rests", i.cast("long")), F.lit(0.0)))
+    means = F.array_sort(F.zip_with(sums, "sizes", lambda s, n: s / n))
+    middle = F.round(-F.get(means, F.floor(F.size(means) / 2).cast("int")), 3)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed)
-    # log-perplexities have three decimals, so a language has few distinct ones and exact percentiles of their counts are small work
-    seen = rows.where(~F.col("base_failed") & (F.col("n_chars") >= MIN_CHARS)).groupBy("lang", "log_perplexity").agg(F.count("*").alias("n"))
+    rows = rows.select("own", "lang", *COUNTS, "n_chars", failed.alias("base_failed"), F.when(F.col("n_chars") > 0, F.nanvl(middle, F.lit(None).cast("double"))).alias("log_perplexity"))
+    # scores have three decimals, so a language has few distinct ones and exact percentiles of their counts are small work
+    seen = rows.where(~F.col("base_failed") & F.col("log_perplexity").isNotNull()).groupBy("lang", "log_perplexity").agg(F.count("*").alias("n"))
+    seen = scratch.put(seen, "seen")
     middle = seen.groupBy("lang").agg(F.expr("percentile(log_perplexity, 0.5, n)").alias("middle")).withColumnRenamed("lang", "band_lang")
     off = seen.join(middle, F.col("lang").eqNullSafe(F.col("band_lang"))).withColumn("away", F.abs(F.col("log_perplexity") - F.col("middle")))
-    band = off.groupBy("band_lang").agg(F.first("middle").alias("middle"), F.expr("percentile(away, 0.5, n)").alias("away"))
-    band = band.select("band_lang", (F.col("middle") - F.greatest(F.lit(LEAST_WIDTH), BAND_BELOW * F.col("away"))).alias("low"), (F.col("middle") + F.greatest(F.lit(LEAST_WIDTH), BAND_ABOVE * F.col("away"))).alias("high"))
-    band = scratch.put(band, "bands")
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True)) | (F.col("n_chars") < MIN_CHARS)
+    band = scratch.put(off.groupBy("band_lang").agg(F.first("middle").alias("middle"), F.expr("percentile(away, 0.5, n)").alias("away")), "bands")
     rows = rows.join(band, F.col("lang").eqNullSafe(F.col("band_lang")), "left")
-    return rows.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_perplexity")
+    short = F.sqrt(1 + BLOCK / F.col("n_chars"))
+    low, high = (F.greatest(F.lit(LEAST_WIDTH), k * F.col("away")) * short for k in (BAND_BELOW, BAND_ABOVE))
+    inside = F.coalesce(F.col("log_perplexity").between(F.col("middle") - low, F.col("middle") + high), F.lit(True))
+    return rows.select("own", *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_perplexity")
+
+
+def quality_rules(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text, lang)`` to one row of counts and verdicts per input row.
+
+    ``base_failed``: fewer than 20 words, or more than 30 % of the words inside
+    8-word windows that the text repeats. ``kept``: not base_failed, and the
+    score inside the band of the language. ``log_perplexity`` is null where
+    nothing can be judged (no characters, or no reference text in the other
+    half of the language); such a document is kept if its base is. Null text is
+    empty, null lang a language of its own; repeated rows get equal rows; an
+    empty table gives an empty result; further columns are ignored.
+    """
+    rows = judged(docs, ["doc_id"])
+    return rows.select("own.doc_id", *COUNTS, "base_failed", "kept", "log_perplexity")
+
+
+def passing_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``quality_rules`` keeps."""
+    return judged(docs, docs.columns).where("kept").select("own.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
