@@ -25,6 +25,8 @@ Before a pair's texts are read, its parity sketches are compared: each shingle
 flips one of ``PARITY`` bits, so two sketches never differ in more bits than the
 sets in elements, and a pair with too many differing bits is surely no link.
 Every remaining pair is confirmed on the full shingle sets of both texts.
+A set's node is the least (doc_id, text hash) of its rows, so different texts
+under one id, or without an id, keep their own sets and links.
 Null text is empty; empty texts are in no link; repeated rows share their
 class; an empty table gives an empty result; further columns are ignored.
 """
@@ -45,7 +47,10 @@ from .textnum import U, Words, mix, shingles, sums_by
 BINS, BANDS, ROWS = 320, 36, 5
 PARITY = 1024
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
-_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
+_NODE = "struct<id:long,t:long>"
+_SCHEMA = f"node {_NODE}, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
+#: Stands for a missing id in a node, so that any id comes before it.
+_NO_ID = (1 << 63) - 1
 
 
 def sketch(doc: np.ndarray, element: np.ndarray, n: int, bins: int = BINS) -> np.ndarray:
@@ -95,8 +100,8 @@ def _sketch_rows(k: int):
                     return pa.ListArray.from_arrays(off, x.reshape(-1))
 
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), rows(bands), rows(bits)],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "bits"],
+                    [part.column("node"), pa.array(size, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), rows(bands), rows(bits)],
+                    names=["node", "n_shingles", "set_a", "set_b", "bands", "bits"],
                 )
 
     return run
@@ -128,19 +133,18 @@ def _all_shingles(k: int):
         for whole in batches:
             for part in slices(whole, "text"):
                 doc, sh = shingles(Words(part.column("text"), lower=True), k)
-                ids = part.column("doc_id").cast(pa.int64()).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sh.view(np.int64))], names=["doc_id", "s"])
+                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(doc)), pa.array(sh.view(np.int64))], names=["node", "s"])
 
     return run
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Exact check; the texts of the pairs' documents are read again, only those."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    text = docs.join(need, "doc_id", "left_semi")
-    both = pairs.join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_exact(k, percent), "a long, b long")
+    """Exact check; the texts of the pairs' nodes are read again, only those."""
+    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    text = docs.join(need, "node", "left_semi").dropDuplicates(["node"])
+    both = pairs.join(text.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = both.join(text.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_exact(k, percent), f"a {_NODE}, b {_NODE}")
 
 
 def _near(x: str, y: str, percent: int):
@@ -154,62 +158,90 @@ def _near(x: str, y: str, percent: int):
 
 def _alike(pairs: DataFrame, one: DataFrame, percent: int) -> DataFrame:
     """The pairs that may be links by their sketches."""
-    a, b = (one.select(F.col("doc_id").alias(n), F.col("bits").alias(f"{n}_bits"), F.col("n_shingles").alias(f"{n}_size")) for n in "ab")
+    a, b = (one.select(F.col("node").alias(n), F.col("bits").alias(f"{n}_bits"), F.col("n_shingles").alias(f"{n}_size")) for n in "ab")
     return pairs.join(a, "a").join(b, "b").where(_near("a", "b", percent)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, n_shingles, component_id, kept)``, one row per input row.
+def _nodes(docs: DataFrame) -> DataFrame:
+    """``docs`` with the column ``node``."""
+    return docs.withColumn("node", F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("t")))
 
-    Links join texts whose k-word shingle sets (A-Z lower-cased) have
-    100 * intersection >= percent * union; a component's id is its smallest
-    doc_id and that document is kept. Texts without words are kept, alone. A
-    row with a null id joins the class of equal sets; among themselves such
-    rows have a null component and are all kept.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``docs(node, text)`` to ``(node, n_shingles, component)``, one row per input row; texts without words have no component."""
+    scratch = Scratch(docs.sparkSession, "near")
     sk = scratch.put(docs.mapInArrow(_sketch_rows(k), _SCHEMA), "sketch")
-    reps = scratch.put(sk.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "reps")
-    rows = sk.join(reps.select(F.col("rep").alias("doc_id"), F.col("set_a").alias("ra"), F.col("set_b").alias("rb")), "doc_id").where("set_a = ra and set_b = rb").dropDuplicates(["doc_id"])
-    one = scratch.put(rows.select("doc_id", "n_shingles", "bands", "bits"), "distinct")
-    entries = one.select("doc_id", F.explode("bands").alias("band"))
-    buckets = scratch.put(entries.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc_id").alias("o"), F.col("doc_id").alias("id"))).alias("hub")).where("n > 1").select("band", F.col("hub.id").alias("hub")), "buckets")
+    reps = scratch.put(sk.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("node").alias("rep")), "reps")
+    rows = sk.join(reps.select(F.col("rep").alias("node")), "node", "left_semi").dropDuplicates(["node"])
+    one = scratch.put(rows.select("node", "n_shingles", "bands", "bits"), "distinct")
+    entries = one.select("node", F.explode("bands").alias("band"))
+    buckets = scratch.put(entries.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("o"), "node")).alias("hub")).where("n > 1").select("band", F.col("hub.node").alias("hub")), "buckets")
     members = scratch.put(entries.join(buckets, "band"), "members")
-    pairs = _alike(members.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct(), one, percent)
+    pairs = _alike(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), one, percent)
     links = scratch.put(_confirm(scratch.put(pairs, "star"), docs, k, percent), "links")
     classes = scratch.put(connected_components(links, scratch, "first"), "classes")
     links = _rest(scratch, docs, one, members, classes, links, k, percent)
     if links is not None:
         classes = scratch.put(connected_components(links, scratch, "second"), "classes2")
-    whole = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
-    out = sk.select("doc_id", "n_shingles", "set_a", "set_b")
-    linked = out.where("n_shingles > 0").join(whole, ["set_a", "set_b"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    alone = out.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    scratch.drop("members", "distinct", "buckets")
+    whole = scratch.put(reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component")), "whole")
+    out = sk.select("node", "n_shingles", "set_a", "set_b")
+    linked = out.where("n_shingles > 0").join(whole, ["set_a", "set_b"]).select("node", "n_shingles", "component")
+    return linked.unionByName(out.where("n_shingles = 0").select("node", "n_shingles", F.lit(None).cast(_NODE).alias("component")))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs(doc_id, text)`` to ``(doc_id, n_shingles, component_id, kept)``, one row per input row.
+
+    Links join texts whose k-word shingle sets (A-Z lower-cased) have
+    100 * intersection >= percent * union; a component's id is its smallest
+    doc_id and that document is kept. Texts without words are kept, alone. Rows
+    without an id take part; a component of such rows only has a null id, and
+    of it the rows of one text are kept.
+    """
+    rows = _classes(_nodes(docs.select("doc_id", "text")).select("node", "text"), k, percent)
+    doc_id, component = F.nullif(F.col("node.id"), F.lit(_NO_ID)), F.nullif(F.col("component.id"), F.lit(_NO_ID))
+    kept = F.when(F.col("component").isNull(), True).when(component.isNull(), F.col("node") == F.col("component")).otherwise(doc_id.eqNullSafe(component))
+    return rows.select(doc_id.alias("doc_id"), "n_shingles", F.when(F.col("component").isNull(), doc_id).otherwise(component).alias("component_id"), kept.alias("kept"))
+
+
+def distinct_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of one text of each component; of equal rows of an id and text one stays.
+
+    Rows are told apart by id and text, so what an id's other texts are does not
+    matter, nor whether there is an id. Texts without words all stay.
+    """
+    rows = _nodes(docs.select("doc_id", "text"))
+    kept = _classes(rows.select("node", "text"), k, percent).where("component is null or node = component").select(F.col("node").alias("kept_node")).distinct()
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("text"))
+    row = _nodes(row).select("row", "node").dropDuplicates(["node"])
+    return row.join(kept, F.col("node") == F.col("kept_node"), "left_semi").select("row.*")
 
 
 def _rest(scratch: Scratch, docs: DataFrame, one: DataFrame, members: DataFrame, classes: DataFrame, links: DataFrame, k: int, percent: int) -> DataFrame | None:
     """Step 3: all links with those between different components of a bucket; None if there is no such bucket."""
-    of = classes.select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
-    inside = members.join(of, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-    mixed = inside.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(F.col("doc_id") == F.col("hub"), F.col("c"))).alias("hc"), F.count("*").alias("n")).where("lo <> hi and n > 2")
-    inside = scratch.put(inside.join(mixed.select("band", "hc"), "band").where("doc_id <> hub"), "mixed")
-    ids = scratch.put(inside.select("doc_id").distinct(), "mixed-ids")
+    of = classes.select("node", F.col("component").alias("c"))
+    inside = scratch.put(members.join(of, "node", "left").withColumn("c", F.coalesce("c", "node")), "inside")
+    mixed = inside.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(F.col("node") == F.col("hub"), F.col("c"))).alias("hc"), F.count("*").alias("n")).where("lo <> hi and n > 2")
+    # written, so that the join is no part of the grouping's stage and a large bucket can be split
+    mixed = scratch.put(mixed.select("band", "hc"), "mixed-bands")
+    inside = scratch.put(inside.join(mixed, "band").where("node <> hub").select("node", "c").distinct(), "mixed")
+    ids = scratch.put(inside.select("node").distinct(), "mixed-ids")
     if not ids.take(1):
         return None
-    held = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_all_shingles(k), "doc_id long, s long")
+    held = docs.join(ids, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_all_shingles(k), f"node {_NODE}, s long")
     held = scratch.put(held, "held")
-    common = held.groupBy("s").agg(F.count("*").alias("df"))
-    place = Window.partitionBy("doc_id").orderBy("df", "s")
-    prefix = held.join(common, "s").select("doc_id", "s", "df", F.row_number().over(place).alias("i"))
-    size = inside.groupBy("c").agg(F.approx_count_distinct("doc_id").alias("members"))
-    facts = ids.join(one.select("doc_id", F.col("n_shingles").alias("size")), "doc_id").join(inside.select("doc_id", "c").distinct(), "doc_id").join(size, "c")
-    prefix = prefix.join(facts, "doc_id").where(f"df > 1 and i <= size - ceil({percent} * size / 100D) + 1")
-    prefix = scratch.put(prefix.select("s", F.col("doc_id").alias("id"), "i", "size", "c", "members"), "prefix")
+    common = scratch.put(held.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "common")
+    # places count from a set's rarest shingle on; those that no other set has come first
+    place = Window.partitionBy("node").orderBy("df", "s")
+    prefix = held.join(common, "s", "left").select("node", "s", F.coalesce("df", F.lit(1)).alias("df")).withColumn("i", F.row_number().over(place))
+    size = inside.groupBy("c").agg(F.approx_count_distinct("node").alias("members"))
+    facts = scratch.put(inside.join(one.select("node", F.col("n_shingles").alias("size")), "node").join(size, "c"), "facts")
+    prefix = prefix.join(facts, "node").where(f"df > 1 and i <= size - ceil({percent} * size / 100D) + 1")
+    prefix = scratch.put(prefix.select("s", F.col("node").alias("id"), "i", "size", "c", "members"), "prefix")
     heads = prefix.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.struct("members", "c")).alias("head")).where("lo <> hi").select("s", F.col("head.c").alias("hc"))
-    side = prefix.join(heads, "s").join(one.select(F.col("doc_id").alias("id"), "bits"), "id")
+    heads = scratch.put(heads, "heads")
+    side = scratch.put(prefix.join(heads, "s").join(one.select(F.col("node").alias("id"), "bits"), "id"), "sides")
     x = side.where("c <> hc").select("s", *(F.col(n).alias(f"x_{n}") for n in ("id", "c", "i", "size", "bits")))
     y = side.select("s", "hc", *(F.col(n).alias(f"y_{n}") for n in ("id", "c", "i", "size", "bits")))
     # the most that the sets can share if this is the first shingle that both have; shared >= percent/100 * united, united = sizes - shared
