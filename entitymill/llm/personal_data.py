@@ -5,9 +5,13 @@ that hold digits or an at sign: a candidate segment of up to ``MOST_ATOMS``
 atoms is scored by features of the whole span (digit and group counts, check
 sum, at sign, separators, the characters around it, a cue word before it) and
 dynamic programming over bounded segments picks the boundaries and types
-together. Weights are learned by gradient ascent on the likelihood of
-segmentations, from at most ``MAX_TRAIN`` islands of as many documents whose base
-spans are the labels. Spans that overlap no base span are added.
+together. A segment has at least six characters and at most ``MOST_CHARS``, and
+an at sign or four digits; an island without an at sign has at least seven
+digits, else it is no place for anything but what the base patterns find.
+Weights are learned by gradient ascent on the likelihood of segmentations, from
+at most ``MAX_TRAIN`` islands of as many documents, of under ``TRAIN_CHARS``
+characters, whose base spans are the labels. Spans that overlap no base span are
+added.
 """
 
 from __future__ import annotations
@@ -26,7 +30,11 @@ from .common import slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_ATOMS = 24
-MAX_TRAIN, EPOCHS, RATE, RIDGE = 600, 4, 0.3, 1e-3
+#: The longest valid mail address has 254 characters.
+MOST_CHARS = 254
+MAX_TRAIN, TRAIN_CHARS, EPOCHS, RATE, RIDGE = 600, 20_000, 4, 0.3, 1e-3
+#: Documents of smallest hash that are looked through for training documents.
+LOOKED_THROUGH = 24_000
 #: Added spans need this much more than the best segmentation without them (nats).
 MARGIN = 2.0
 
@@ -37,7 +45,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ISLAND = re.compile(r"\S*[0-9@]\S*(?:[^\S\n]{1,2}\S*[0-9@]\S*)*")
+_WORD_END = re.compile(r"\s|\Z")
+_TO_LAST_SPACE = re.compile(r"[\s\S]*\s")
 _ATOM = re.compile(r"[0-9]+|[A-Za-z]+|.", re.S)
 _CUE = re.compile(r"([A-Za-z]+)[\s:=]*\Z")
 _CUES = {"phone", "tel", "call", "fax", "mobile", "email", "mail", "ip", "host", "address", "card", "account", "visa", "pan"}
@@ -83,13 +92,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def islands(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches of words with digits or at signs that could hold personal data at all."""
-    if not _SEED.search(text):
-        return
-    for m in _ISLAND.finditer(text):
-        part = m.group()
-        if "@" in part or sum(map(part.count, "0123456789")) >= 7:
-            yield m.start(), m.end()
+    """Stretches of words with digits or at signs, one or two blanks apart, that could hold personal data at all.
+
+    Each character is read a fixed number of times, however long the words are.
+    """
+    start, stop = -1, 0
+    m = _SEED.search(text)
+    while m:
+        before = _TO_LAST_SPACE.match(text, stop, m.start())
+        word = before.end() if before else stop
+        if start < 0 or word - stop > 2 or "\n" in text[stop:word]:
+            if start >= 0 and _holds(text, start, stop):
+                yield start, stop
+            start = word
+        stop = _WORD_END.search(text, m.end()).start()
+        m = _SEED.search(text, stop)
+    if start >= 0 and _holds(text, start, stop):
+        yield start, stop
+
+
+def _holds(text: str, start: int, stop: int) -> bool:
+    part = text[start:stop]
+    return "@" in part or sum(map(part.count, "0123456789")) >= 7
 
 
 def _class(c: str) -> str:
@@ -135,7 +159,7 @@ class Field:
             if not (head.isalnum() or head in "+("):
                 continue
             for j in range(i + 1, min(n, i + MOST_ATOMS) + 1):
-                if not text[bounds[j] - 1].isalnum() or bounds[j] - bounds[i] > 80:
+                if not text[bounds[j] - 1].isalnum() or bounds[j] - bounds[i] > MOST_CHARS:
                     continue
                 span = text[bounds[i] : bounds[j]]
                 if len(span) < 6 or ("@" not in span and sum(map(span.count, "0123456789")) < 4):
@@ -241,8 +265,17 @@ def _log_sum(values: list[float]) -> float:
 
 
 def trained_field(docs: DataFrame, max_train: int = MAX_TRAIN):
-    """A broadcast field, taught by at most ``max_train`` documents of those that hold an at sign or a long number."""
-    rows = docs.where(F.col("text").rlike("@|[0-9][0-9 .()-]{7}") & (F.length("text") < 20000)).select(F.col("text"), F.xxhash64("text").alias("h")).orderBy("h", "text").limit(max_train)
+    """A broadcast field, taught by at most ``max_train`` documents that hold an at sign or a long number.
+
+    They are sought among about ``LOOKED_THROUGH`` documents of smallest hash,
+    so no task sorts more than these, whatever the size of the table.
+    """
+    rows = docs.select("text", F.xxhash64("doc_id", "text").alias("h"))
+    n = docs.count()
+    if n > LOOKED_THROUGH:
+        rows = rows.where(F.col("h") < F.lit(int(-(1 << 63) + (1 << 64) * LOOKED_THROUGH / n)))
+    rows = rows.where(F.col("text").rlike("@|[0-9][0-9 .()-]{7}") & (F.length("text") < TRAIN_CHARS))
+    rows = rows.groupBy("h").agg(F.first("text").alias("text")).orderBy("h").limit(max_train)
     return docs.sparkSession.sparkContext.broadcast(Field({}).learn([r.text for r in rows.toLocalIterator()]).weights)
 
 
@@ -264,7 +297,7 @@ def _find(weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = _field(weights.value)
         for whole in batches:
-            for part in slices(whole, "text", 1 << 22):
+            for part in slices(whole, "text", 1 << 20):
                 counts, sha, every = [[] for _ in KINDS], [], []
                 for text in part.column("text").to_pylist():
                     base = base_spans(text or "")
@@ -302,9 +335,10 @@ def _mask(weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = _field(weights.value)
         for whole in batches:
-            texts = [t and masked(t, field.spans(t)) for t in whole.column("text").to_pylist()]
             at = whole.schema.get_field_index("text")
-            yield whole.set_column(at, whole.schema.field(at), pa.array(texts, whole.schema.field(at).type))
+            for part in slices(whole, "text", 1 << 20):
+                texts = [t and masked(t, field.spans(t)) for t in part.column(at).to_pylist()]
+                yield part.set_column(at, whole.schema.field(at), pa.array(texts, whole.schema.field(at).type))
 
     return run
 
