@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from entitymill.llm.common import Scratch, table
-from entitymill.llm.near_dedup import near_duplicates
+from entitymill.llm.near_dedup import distinct_documents
 from entitymill.llm.packing import pack
 from entitymill.llm.personal_data import mask_personal_data
-from entitymill.llm.quality_rules import quality_rules
-from entitymill.llm.subword_classifier import quality_scores
+from entitymill.llm.quality_rules import passing_documents
+from entitymill.llm.subword_classifier import good_documents
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,27 +15,19 @@ from pyspark.sql import functions as F
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of the kept ids; a row without an id stays only if some kept row has none either."""
-    ids = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for low quality go."""
-    scores = quality_scores(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, scores.where("predicted = 1"))
+    return good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or lie outside their language's perplexity band go."""
-    return _only(docs, quality_rules(docs).where("kept"))
+    return passing_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies stays: five-word shingles, similarity 0.8; of repeated rows one."""
-    kept = _only(docs, near_duplicates(docs, k=5, percent=80).where("kept"))
-    return kept.dropDuplicates(["doc_id", "text"])
+    return distinct_documents(docs, k=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +47,10 @@ STAGES = [("quality_classifier", quality_classifier), ("quality_rules", rules),
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again as the next one's input."""
     docs = table(spark, sf_dir, "documents")
-    scratch = Scratch(spark, "pipeline")
+    scratch, before = Scratch(spark, "pipeline"), ""
     for name, stage in STAGES[:-1]:
         docs = scratch.put(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
