@@ -4,13 +4,16 @@ The pages of a host are merged into one tree: a node is the path of an
 element's tag and class or id from the page's root. Over the m pages that have
 a node, the entropy (to the base m) of its contents and of its presentation
 (the sequence of its children) is its importance: what a site repeats on every
-page has little. Marks of purpose decide a node beforehand: menus, headers,
-footers, sidebars, notices, adverts, forms, scripts and comments have none,
-articles so marked included. A page keeps the blocks whose branch has
-importance; where it has an article, only those inside, and of these it loses
-only what other pages of the host repeat word for word at the same node. Hosts with few pages show nothing by
-entropy, so there the marks alone decide, as they do on a page that would
-otherwise lose everything.
+page has little. Few pages say little, so a node's entropy is shrunk towards
+that of the same node over all hosts, and that towards 1, with the weight of
+``SHRINK`` pages each; there is no least number of pages. Marks of purpose are
+evidence on top: the importance of menus, headers, footers, sidebars, notices,
+adverts, forms, scripts and comments is that of their branch times
+``MARKED``, articles so marked included. A page keeps the blocks whose branch
+has an importance of ``LOW`` or more; where it has an article, only those
+inside, and of these it loses only what other pages of the host repeat word for
+word at the same node. A page of which nothing would stay (a site of copies of
+one page) is judged by the marks alone.
 
 Spark groups (host, node, content) counts with partial sums, so a hot host is
 no single task's work; the nodes of low importance come back to the pages by a
@@ -24,6 +27,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +36,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, slices, table
 
-MIN_PAGES, LOW = 8, 0.35
+SHRINK, LOW, MARKED = 3.5, 0.35, 0.3
 MOST_BROADCAST = 200_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+# quotes count after an equals sign only; possessive, so each tag is read once
+_ATTRIBUTES = r"""(?:[\s/]|=|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+)?)?)*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})>|<[!?/][^>]*>", re.S)
 _NAME = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noframes", "noembed")}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,6 +56,8 @@ _NO_WORDS = set(
 _COMMENTS = set("comment comments commentlist disqus respond reply replies discussion".split())
 #: Classes of an article or main part that name what it goes with or is about, not what it is.
 _ABOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no|category|tag|type|format|status)-\S*", re.I)
+_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_HOLDS = {"ul", "ol", "dl", "table", "article", "main", "section", "div", "td", "th", "body"}
 _OUTSIDE_ONLY = {"header", "banner", "masthead"}
 
 
@@ -91,35 +99,47 @@ def _node(up: int, label: str) -> int:
     return _hash(up.to_bytes(8, "little") + label.encode("utf-8", "surrogatepass"))
 
 
-def blocks(page: str) -> list[tuple[int, int, str, str, bool]]:
-    """(node, its parent, its label, text, inside an article) of each text run between block bounds, without what the marks exclude."""
-    out: list[tuple[int, int, str, str, bool]] = []
-    stack: list[tuple[str, int, bool, bool, bool, int, str]] = []  # tag, node, excluded, article, comments, parent, label
+class Block(NamedTuple):
+    """A text run between block bounds: its node (which stands for the path from the root), the node's parent and label, and the marks."""
+
+    node: int
+    parent: int
+    label: str
+    text: str
+    article: bool
+    marked: bool
+
+
+def blocks(page: str) -> list[Block]:
+    """All blocks of a page in order, those in marked branches included; raw text of scripts, styles and titles is none."""
+    out: list[Block] = []
+    stack: list[tuple[str, int, bool, bool, bool, str]] = []  # tag, node, marked, article, comments, label
+    open_: Counter = Counter()
     buffer: list[str] = []
-    node, up, leaf, excluded, article = 0, 0, "", False, False
+    marked, article = False, False
 
     def flush() -> None:
         if buffer:
             text = " ".join("".join(buffer).split())
             if text:
-                out.append((node, up, leaf, text, article))
+                out.append(Block(stack[-1][1] if stack else 0, stack[-2][1] if len(stack) > 1 else 0, stack[-1][5] if stack else "", text, article, marked))
             buffer.clear()
 
-    def state() -> None:
-        nonlocal node, up, leaf, excluded, article
-        _, node, excluded, article, _, up, leaf = stack[-1] if stack else ("", 0, False, False, False, 0, "")
-
     def close(to: int) -> None:
-        if any(e[0] in _BLOCK for e in stack[to:]):
+        nonlocal marked, article
+        if any(e[0] in _BLOCK or e[2] for e in stack[to:]):
             flush()
+        open_.subtract(e[0] for e in stack[to:])
         del stack[to:]
-        state()
+        marked, article = (stack[-1][2], stack[-1][3]) if stack else (False, False)
 
     at, size = 0, len(page)
+    tags_end = page.rfind(">") + 1  # beyond it no tag can end
     while at < size:
-        m = _TOKEN.search(page, at)
-        stop = m.start() if m else size
-        if stop > at and not excluded:
+        m = _TOKEN.search(page, at, tags_end) if at < tags_end else None
+        stop = m.start() if m else page.find("<!--", at)
+        stop = size if stop < 0 else stop
+        if stop > at:
             text = page[at:stop]
             buffer.append(html.unescape(text) if "&" in text else text)
         if not m:
@@ -130,9 +150,8 @@ def blocks(page: str) -> list[tuple[int, int, str, str, bool]]:
             continue
         tag = tag.lower()
         if m.group(1):
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if k is not None:
-                close(k)
+            if open_[tag] > 0:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             elif tag in _BLOCK:
                 flush()
             continue
@@ -140,28 +159,30 @@ def blocks(page: str) -> list[tuple[int, int, str, str, bool]]:
             end = _RAW[tag].search(page, at)
             raw_stop = at
             at = end.end() if end else size
-            if tag in ("xmp",) and not excluded:
+            if tag == "xmp":
                 buffer.append(page[raw_stop : end.start() if end else size])
             continue
         label, none, outside, is_article, comment = marks(tag, m.group(3))
-        if tag in _CLOSES_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
+        same = _SAME.get(tag, ())
+        if (tag in _CLOSES_P and open_["p"] > 0) or any(open_[t] > 0 for t in same):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in same or (stack[k][0] == "p" and tag in _CLOSES_P):
                     close(k)
                     break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "article", "main", "section", "div", "td", "th", "body"):
+                if stack[k][0] in _HOLDS:
                     break
-        if is_article and not none and excluded and not any(e[3] or e[4] for e in stack):
+        if is_article and not none and marked and not any(e[3] or e[4] for e in stack):
             # an article does not stand in a menu or footer: that was never closed; among comments it is one
             close(next(k for k, e in enumerate(stack) if e[2]))
-        if tag in _BLOCK:
+        here = article or is_article
+        now = marked or none or (outside and not here)
+        if tag in _BLOCK or now != marked:
             flush()
         if tag in _VOID or m.group(3).rstrip().endswith("/"):
             continue
-        here = article or is_article
-        stack.append((tag, _node(node, label), excluded or none or (outside and not here), here, comment, node, label))
-        state()
+        stack.append((tag, _node(stack[-1][1] if stack else 0, label), now, here, comment, label))
+        open_[tag] += 1
+        marked, article = now, here
     flush()
     return out
 
@@ -171,7 +192,7 @@ def _content(texts: list[str]) -> int:
 
 
 def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of contents and presentations by host and node, of nodes that no mark decides."""
+    """Counts of contents and presentations by host and node."""
     schema = ["host", "node", "kind", "value", "n"]
 
     def out(held: Counter) -> pa.RecordBatch:
@@ -181,13 +202,13 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held: Counter = Counter()
     for whole in batches:
-        for part in slices(whole, "html"):
+        for part in slices(whole, "html", 1 << 20):
             for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
                 content: dict[int, list[str]] = {}
                 children: dict[int, list[str]] = {}
-                for node, up, leaf, text, _ in blocks(page or ""):
-                    content.setdefault(node, []).append(text)
-                    children.setdefault(up, []).append(leaf)
+                for b in blocks(page or ""):
+                    content.setdefault(b.node, []).append(b.text)
+                    children.setdefault(b.parent, []).append(b.label)
                 for kind, parts in ((0, content), (1, children)):
                     for node, texts in parts.items():
                         held[host, node, kind, _content(texts)] += 1
@@ -197,37 +218,51 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(held)
 
 
-def low_nodes(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(host, node)`` of the nodes whose contents and presentation a host repeats, and node ^ content of what they repeat."""
+def importances(pages: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``(host, node, importance)`` of every node of the style tree, and the counts ``(host, node, kind, value, n)`` behind it."""
     counts = pages.select("host", "html").mapInArrow(_tree_rows, "host string, node long, kind int, value long, n long")
     # (host, node) groups are spread over their values first, so the contents of a hot host are summed by many tasks
     values = scratch.put(counts.groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("n")), "values")
     sums = values.groupBy("host", "node", "kind").agg(F.sum("n").alias("m"), F.sum(F.expr("n * ln(n)")).alias("nlogn"))
-    entropy = sums.where(f"m >= {MIN_PAGES}").select("host", "node", F.expr("(ln(m) - nlogn / m) / ln(m)").alias("h"))
-    low = scratch.put(entropy.groupBy("host", "node").agg(F.max("h").alias("importance")).where(F.col("importance") < LOW).select("host", "node"), "nodes")
+    entropy = sums.select("host", "node", "m", F.expr("CASE WHEN m > 1 THEN (ln(m) - nlogn / m) / ln(m) ELSE 1D END").alias("h"))
+    own = scratch.put(entropy.groupBy("host", "node").agg(F.max("h").alias("h"), (F.max("m") - 1).alias("w")), "entropies")
+    whole = own.groupBy("node").agg(((F.sum(F.col("h") * F.col("w")) + SHRINK) / (F.sum("w") + SHRINK)).alias("prior"))
+    whole = scratch.put(whole, "priors")
+    return own.join(whole, "node").select("host", "node", ((F.col("h") * F.col("w") + SHRINK * F.col("prior")) / (F.col("w") + SHRINK)).alias("importance")), values
+
+
+def low_nodes(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(host, node)`` of the nodes of low importance, and node ^ content of what their host repeats there."""
+    found, values = importances(pages, scratch)
+    low = scratch.put(found.where(F.col("importance") < LOW).select("host", "node"), "nodes")
     repeated = values.where("kind = 0 and n > 1").join(low, ["host", "node"]).select("host", F.expr("node ^ value").alias("node"))
     return low.unionByName(repeated)
 
 
 def text_of(page: str, low: frozenset | set) -> str:
-    """The page's kept blocks, one a line; ``low`` holds the nodes without importance on its host."""
-    found = blocks(page)
-    gone = low
-    if any(b[4] for b in found):
+    """The page's kept blocks, one a line; ``low`` holds the nodes of low importance on its host.
+
+    An importance is 1 at most, so a marked branch stays below ``LOW`` whatever
+    its entropy.
+    """
+    found = [b for b in blocks(page) if not b.marked or MARKED >= LOW]
+    if any(b.article for b in found):
         content: dict[int, list[str]] = {}
-        for node, _, _, text, _ in found if low else ():
-            content.setdefault(node, []).append(text)
+        for b in found if low else ():
+            content.setdefault(b.node, []).append(b.text)
         gone = {node for node, texts in content.items() if node in low and node ^ _content(texts) in low}
-        found = [b for b in found if b[4]]
-    kept = [b for b in found if b[0] not in gone] if gone else found
-    return "\n".join(b[3] for b in kept or found)
+        found = [b for b in found if b.article]
+        kept = [b for b in found if b.node not in gone] if gone else found
+    else:
+        kept = [b for b in found if b.node not in low] if low else found
+    return "\n".join(b.text for b in kept or found)
 
 
 def _extract(low_by_host):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = low_by_host.value if low_by_host else {}
         for whole in batches:
-            for part in slices(whole, "html"):
+            for part in slices(whole, "html", 1 << 20):
                 joined = "low" in part.schema.names
                 lows = part.column("low").to_pylist() if joined else [known.get(h, ()) for h in part.column("host").to_pylist()]
                 texts = [text_of(p or "", set(n or ())) for p, n in zip(part.column("html").to_pylist(), lows)]
