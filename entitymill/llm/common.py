@@ -30,15 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def _shuffles_freed(spark: SparkSession):
-    """Inside, Spark removes the shuffle files of each execution at its end."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def _lean(spark: SparkSession):
+    """Inside, Spark removes the shuffle files of each execution at its end, and Arrow batches have 8 MB at most."""
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+    before = {key: spark.conf.get(key) for key in own}
+    for key, value in own.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 class Scratch:
@@ -55,7 +57,7 @@ class Scratch:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.at}/{name}"
-        with _shuffles_freed(self.spark):
+        with _lean(self.spark):
             df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
