@@ -235,7 +235,7 @@ def _rest(scratch: Scratch, docs: DataFrame, one: DataFrame, members: DataFrame,
     # places count from a set's rarest shingle on; those that no other set has come first
     place = Window.partitionBy("node").orderBy("df", "s")
     prefix = held.join(common, "s", "left").select("node", "s", F.coalesce("df", F.lit(1)).alias("df")).withColumn("i", F.row_number().over(place))
-    size = inside.groupBy("c").agg(F.approx_count_distinct("node").alias("members"))
+    size = scratch.put(inside.groupBy("c").agg(F.approx_count_distinct("node").alias("members")), "sizes")
     facts = scratch.put(inside.join(one.select("node", F.col("n_shingles").alias("size")), "node").join(size, "c"), "facts")
     prefix = prefix.join(facts, "node").where(f"df > 1 and i <= size - ceil({percent} * size / 100D) + 1")
     prefix = scratch.put(prefix.select("s", F.col("node").alias("id"), "i", "size", "c", "members"), "prefix")

@@ -156,7 +156,10 @@ def classifier(docs: DataFrame, labels: DataFrame, label: str, max_train: int =
     columns = [bags.column(c).combine_chunks() for c in ("bucket", "n")]
     y = bags.column("label").to_numpy()[keep] if keep else np.zeros(0, np.int64)
     pairs = [(columns[0][k].values.to_numpy(), columns[1][k].values.to_numpy()) for k in keep]
-    return spark.sparkContext.broadcast(train(pairs, y))
+    model = train(pairs, y)
+    del bags, columns, pairs
+    pa.default_memory_pool().release_unused()
+    return spark.sparkContext.broadcast(model)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
