@@ -62,13 +62,16 @@ def likeness(a: str, b: str) -> Column:
     return 1 - F.bit_count(F.col(a).bitwiseXOR(F.col(b))) / F.lit(float(BITS))
 
 
-def within_radius(fingerprints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """All pairs ``(a, b)``, a < b, of distinct values of column ``fp`` that differ in at most ``radius`` bits.
+def neighbours(fingerprints: DataFrame, scratch: Scratch, radius: int = RADIUS, blocks: int = BLOCKS, rows: int = 256) -> DataFrame:
+    """``(fp, n_near)``: for each distinct value of column ``fp`` the others that differ in 1 to ``radius`` bits, where there are any.
 
     With ``blocks`` blocks, ``radius`` changed bits leave ``blocks - radius`` of
     them equal, so each choice of that many is a table of its own: here 20
     tables with keys of 32 bits, which keep buckets short for billions of
-    fingerprints.
+    fingerprints. A bucket is cut by hash into pieces of about ``rows`` values,
+    and each two pieces are compared as arrays in a row of their own, so a large
+    bucket is the work of many tasks and no pair is ever a row. A pair counts in
+    the first of its tables only.
     """
     one = fingerprints.select("fp").where("fp is not null").distinct()
     bounds = [BITS * i // blocks for i in range(blocks + 1)]
@@ -76,9 +79,24 @@ def within_radius(fingerprints: DataFrame, radius: int = RADIUS, blocks: int = B
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     tables = F.array(*(F.struct(F.lit(i).alias("no"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)))
     keyed = one.select("fp", F.explode(tables).alias("t")).select("fp", "t.no", "t.key")
-    a, b = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    return a.join(b, ["no", "key"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    sizes = scratch.put(keyed.groupBy("no", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    inside = keyed.join(sizes, ["no", "key"]).withColumn("pieces", F.ceil(F.col("n") / rows).cast("int"))
+    inside = inside.withColumn("piece", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
+    pieces = scratch.put(inside.groupBy("no", "key", "pieces", "piece").agg(F.collect_list("fp").alias("fps")), "pieces")
+    whole = pieces.select("no", "key", F.col("fps").alias("a"), F.col("fps").alias("b"))
+    many = pieces.where("pieces > 1")
+    x = many.select("no", "key", F.col("fps").alias("a"), F.col("piece").alias("i"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("j")).where("i <> j")
+    y = many.select(F.col("no").alias("yno"), F.col("key").alias("ykey"), F.col("piece").alias("yj"), F.col("fps").alias("b"))
+    across = x.join(y, (F.col("no") == F.col("yno")) & (F.col("key") == F.col("ykey")) & (F.col("j") == F.col("yj"))).select("no", "key", "a", "b")
+    # column of its own, as a lambda evaluates what it holds for each element
+    both = whole.unionByName(across).withColumn("earlier", F.slice(F.array(*map(F.lit, signed)), F.lit(1), F.col("no")))
+
+    def near(u: Column, v: Column) -> Column:
+        apart = u.bitwiseXOR(v)
+        return F.bit_count(apart).between(1, radius) & ~F.exists("earlier", lambda m: apart.bitwiseAND(m) == 0)
+
+    found = both.select(F.explode(F.transform("a", lambda u: F.struct(u.alias("fp"), F.size(F.filter("b", lambda v: near(u, v))).alias("n")))).alias("f"))
+    return found.select("f.fp", "f.n").where("n > 0").groupBy("fp").agg(F.sum("n").alias("n_near"))
 
 
 def _bounds(docs: DataFrame) -> list[int]:
@@ -139,8 +157,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     other = votes.where("kind = 1").select(F.col("bucket").alias("eb"), F.col("no").alias("en"), F.col("fp").alias("edited_fp"))
     following = own.select(F.col("bucket").alias("nb"), F.col("no").alias("nn"), F.col("fp").alias("next_fp"))
     out = own.join(other, (F.col("bucket") == F.col("eb")) & (F.col("no") == F.col("en"))).join(following, (F.col("next_bucket") == F.col("nb")) & (F.col("next_no") == F.col("nn")))
-    pairs = within_radius(own)
-    near = pairs.select(F.explode(F.array("a", "b")).alias("near_fp")).groupBy("near_fp").agg(F.count("*").alias("n_near"))
+    # written, so that this join is no part of the grouping's stage and a fingerprint of many copies can be split
+    near = scratch.put(neighbours(own, scratch), "near").withColumnRenamed("fp", "near_fp")
     out = out.join(near, F.col("fp") == F.col("near_fp"), "left")
     text = lambda c: F.lower(F.lpad(F.hex(F.col(c)), 16, "0"))
     return out.select("doc_id", "n_chars", "edited_sha256", text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
