@@ -377,7 +377,7 @@ def judged(docs: DataFrame, carried: list[str]) -> DataFrame:
     off = seen.join(middle, F.col("lang").eqNullSafe(F.col("band_lang"))).withColumn("away", F.abs(F.col("log_perplexity") - F.col("middle")))
     band = scratch.put(off.groupBy("band_lang").agg(F.first("middle").alias("middle"), F.expr("percentile(away, 0.5, n)").alias("away")), "bands")
     rows = rows.join(band, F.col("lang").eqNullSafe(F.col("band_lang")), "left")
-    short = F.sqrt(1 + BLOCK / F.col("n_chars"))
+    short = F.sqrt(1 + BLOCK / F.greatest(F.col("n_chars"), F.lit(1)))
     low, high = (F.greatest(F.lit(LEAST_WIDTH), k * F.col("away")) * short for k in (BAND_BELOW, BAND_ABOVE))
     inside = F.coalesce(F.col("log_perplexity").between(F.col("middle") - low, F.col("middle") + high), F.lit(True))
     return rows.select("own", *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_perplexity")
