@@ -36,19 +36,21 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Ranks with a bounded memory of the pieces seen; one per Python worker and vocabulary."""
 
-    _known: dict[tuple[str, str], "Codec"] = {}
+    _known: dict[tuple[int, str], "Codec"] = {}
 
-    def __init__(self, path: str, pattern: str):
-        self.ranks = read_ranks(path)
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.ranks = ranks
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.seen: dict[str, tuple[int, str, bytes]] = {}
 
     @classmethod
-    def of(cls, path: str, pattern: str) -> "Codec":
-        if (path, pattern) not in cls._known:
-            cls._known[path, pattern] = cls(path, pattern)
-        return cls._known[path, pattern]
+    def of(cls, ranks: dict[bytes, int], pattern: str) -> "Codec":
+        key = id(ranks), pattern  # the codec holds the ranks, so the id stays theirs
+        if key not in cls._known:
+            cls._known.clear()
+            cls._known[key] = cls(ranks, pattern)
+        return cls._known[key]
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Merge the adjacent pair of lowest rank, leftmost first, until no pair has a rank."""
@@ -100,11 +102,11 @@ class Codec:
         return sum(f[0] for f in found), " ".join([f[1] for f in found]), b"".join([f[2] for f in found])
 
 
-def _whole(path: str, pattern: str):
+def _whole(ranks, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(path, pattern)
+        codec = Codec.of(ranks.value, pattern)
         for whole in batches:
-            for part in slices(whole, "text", 1 << 22):
+            for part in slices(whole, "text", 1 << 20):
                 n, ids_sha, bytes_sha = [], [], []
                 for text in part.column("text").to_pylist():
                     count, ids, raw = codec.encode(codec.pattern.findall(text or ""))
@@ -141,9 +143,9 @@ def _boundaries(pattern: str):
     return run
 
 
-def _pieces(path: str, pattern: str):
+def _pieces(ranks, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(path, pattern)
+        codec = Codec.of(ranks.value, pattern)
         for b in batches:
             rows = []
             for i, text, start, stop in zip(*(b.column(c).to_pylist() for c in ("chunk", "piece", "cut", "next_cut"))):
@@ -164,9 +166,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, n_tokens, ids_sha256, decoded_sha256)``, one row per input row.
 
     Null and empty texts have no tokens and the digests of nothing; repeated
-    rows give repeated rows; an empty table gives an empty result.
+    rows give repeated rows; an empty table gives an empty result. The driver
+    reads the ranks at ``path`` and broadcasts them (2 MB for 50,000).
     """
     spark = docs.sparkSession
+    ranks = spark.sparkContext.broadcast(read_ranks(path))
     docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     short = docs.where(F.length("text") <= CHUNK)
@@ -174,7 +178,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     scratch = Scratch(spark, "bpe")
     long = scratch.put(keyed.groupBy("key").agg(F.first("text").alias("text")), "long")
     if not long.take(1):
-        return short.mapInArrow(_whole(path, pattern), schema)
+        return short.mapInArrow(_whole(ranks, pattern), schema)
     cuts = F.expr(f"transform(sequence(0, (length(text) - 1) div {CHUNK}), i -> struct(cast(i as long) as chunk, substring(text, cast(i * {CHUNK} + 1 as int), {CHUNK + OVERLAP}) as piece))")
     chunks = scratch.put(long.select("key", F.explode(cuts).alias("c")).select("key", "c.chunk", "c.piece").repartition("key", "chunk"), "chunks")
     order = Window.partitionBy("key").orderBy("chunk")
@@ -183,14 +187,14 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     edges = edges.withColumn("cut", cut).select("key", "chunk", "cut", F.lead("cut").over(order).alias("next_cut"))
     edges = scratch.put(edges, "edges")
     lost = edges.where("cut is null").select("key").distinct()
-    split = chunks.join(edges, ["key", "chunk"]).join(lost, "key", "left_anti").select("key", "chunk", "piece", "cut", "next_cut").mapInArrow(_pieces(path, pattern), "key string, chunk long, n long, ids string, raw string")
+    split = chunks.join(edges, ["key", "chunk"]).join(lost, "key", "left_anti").select("key", "chunk", "piece", "cut", "next_cut").mapInArrow(_pieces(ranks, pattern), "key string, chunk long, n long, ids string, raw string")
     split = split.groupBy("key").agg(F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("chunk", "ids", "raw"))).alias("c"))
     split = split.select("key", "n_tokens", F.sha2(F.array_join(F.filter("c.ids", lambda s: s != ""), " "), 256).alias("ids_sha256"), F.sha2(F.array_join("c.raw", ""), 256).alias("decoded_sha256"))
-    whole = long.join(lost, "key", "left_semi").select(F.col("key").alias("doc_id"), "text").mapInArrow(_whole(path, pattern), "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    whole = long.join(lost, "key", "left_semi").select(F.col("key").alias("doc_id"), "text").mapInArrow(_whole(ranks, pattern), "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
     # each distinct text is encoded once; its rows take its digests by a join, so no task holds the ids of all copies
     digests = scratch.put(split.select("key", "n_tokens", "ids_sha256", "decoded_sha256").unionByName(whole.withColumnRenamed("doc_id", "key")), "digests")
     copies = keyed.select("doc_id", "key").join(digests, "key").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
-    return short.mapInArrow(_whole(path, pattern), schema).unionByName(copies)
+    return short.mapInArrow(_whole(ranks, pattern), schema).unionByName(copies)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
