@@ -91,22 +91,28 @@ def _pack(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, clusters: DataFrame | None = None) -> DataFrame:
     """``docs(doc_id, text, source)`` to one row per piece with its shard, bin and first word in the bin.
 
     No bin holds more than ``capacity`` words, two pieces of one source or two
-    of one cluster of equal texts. Every word is in one piece: piece p has the
+    of one duplicate cluster. Clusters are of equal word sequences (A-Z
+    lower-cased); ``clusters(doc_id, cluster long)``, unique by id, names others,
+    such as components of near copies, for the documents that it lists. Every word is in one piece: piece p has the
     words from p * capacity on. A null or empty text is one piece of no words;
     null sources are one source; a repeated row is packed again, in another
-    bin; an empty table gives an empty result.
+    bin and perhaps another shard; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     sizes = docs.mapInArrow(_sizes, "doc_id long, source string, n_words long, cluster long")
+    if clusters is not None:
+        named = clusters.select(F.col("doc_id").cast("long").alias("named_id"), F.col("cluster").cast("long").alias("named"))
+        sizes = sizes.join(named, F.col("doc_id") == F.col("named_id"), "left").withColumn("cluster", F.coalesce("named", "cluster"))
     pieces = sizes.select("doc_id", "source", "cluster", F.posexplode(F.expr(f"transform(sequence(0L, greatest(n_words - 1, 0L) div {capacity}), p -> least({capacity}L, n_words - p * {capacity}))")).alias("piece", "size"))
-    pieces = scratch.put(pieces, "pieces")
+    # the number is written with the row and deals repeated rows over shards
+    pieces = scratch.put(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     shards = -(-pieces.count() // shard_pieces) or 1
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)))
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster", "row"), F.lit(shards))).drop("row")
     return pieces.groupBy("shard").applyInArrow(_pack(capacity), "doc_id long, piece int, n_words long, source string, cluster long, shard long, bin long, start long")
 
 
