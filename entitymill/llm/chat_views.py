@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -11,6 +11,10 @@ from .common import table
 BLOCK = 64
 
 
+def _harmless(column: str, empty: str) -> Column:
+    return F.replace(F.coalesce(F.col(column).cast("string"), F.lit(empty)), F.lit("<|"), F.lit("< |"))
+
+
 def perspectives(turns: DataFrame) -> DataFrame:
     """``turns(conv_id, turn, role, text)`` to one row per turn and participant of its conversation.
 
@@ -21,13 +25,16 @@ def perspectives(turns: DataFrame) -> DataFrame:
     whole, and ``train_start``, ``train_stop`` the part that the loss mask
     covers (the text and end mark of own turns; null for the others).
 
+    No text or speaker can forge a turn: ``<|`` in them becomes ``< |``, and
+    white space in a speaker's name becomes ``_``.
+
     Turns go in order of (turn, role, text), nulls first. A null role is the
     speaker "unknown", a null text is empty; a conversation of system turns
     only has no participant and no rows; repeated rows are repeated turns.
     Offsets come from sums by blocks of ``BLOCK`` turn numbers, so a very long
     conversation is spread over tasks.
     """
-    turns = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    turns = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.regexp_replace(_harmless("role", "unknown"), r"[\x20\x09-\x0D]", "_").alias("role"), _harmless("text", "").alias("text"))
     turns = turns.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 60))))
     people = turns.where("role <> 'system'").select(F.col("conv_id").alias("pc"), F.col("role").alias("perspective")).distinct()
     rows = turns.join(people, F.col("conv_id").eqNullSafe(F.col("pc"))).drop("pc")
@@ -59,7 +66,7 @@ def op3_chat_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH turns AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+WITH turns AS (SELECT conv_id, turn, regexp_replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '[\x20\x09-\x0D]', '_', 'g') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
 people AS (SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'),
 parts AS (
   SELECT t.conv_id, p.perspective, t.turn, t.role, t.text,
