@@ -83,6 +83,15 @@ def test_near_duplicates_of_nothing(spark):
     assert got == [(7, 7, True), (None, 7, False), (None, None, True), (None, None, True)]
 
 
+def test_near_duplicates_of_texts_that_share_an_id(spark):
+    rows = [(5, "a b c d e f"), (5, "g h i j k l"), (6, "g h i j k l m"), (None, "g h i j k l m"), (None, "q r s t u v w x y z"), (None, "q r s t u v w x y z 0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("own"))
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, k=2).collect()), key=str)
+    assert sorted(got, key=str)[:3] == [(5, 5, True), (5, 5, True), (6, 5, False)] and got[3] == (None, 5, False) and sorted(g[2] for g in got[4:]) == [False, True]
+    left = sorted(r.text for r in near_dedup.distinct_documents(df, k=2).collect())
+    assert left[:2] == ["a b c d e f", "g h i j k l"] and len(left) == 3 and left[2].startswith("q r s")
+
+
 def test_sketch_estimates_similarity():
     import numpy as np
 
@@ -94,30 +103,22 @@ def test_sketch_estimates_similarity():
     assert (s[:2] != near_dedup._EMPTY).all() and (s[2] == near_dedup._EMPTY).all()
 
 
-def best_fit(pieces, capacity):
-    """Plain best fit with conflicts: the tightest open bin, the lowest source set order aside."""
-    bins = []
-    for size, source, cluster in pieces:
-        fit = [b for b in bins if b["room"] >= size and source not in b["s"] and cluster not in b["c"]]
-        room = min((b["room"] for b in fit), default=None)
-        yield room
-        if room is None:
-            bins.append({"room": capacity - size, "s": {source}, "c": {cluster}})
-        else:
-            b = next(b for b in fit if b["room"] == room)
-            b["room"] -= size
-            b["s"].add(source)
-            b["c"].add(cluster)
-
-
 def test_bins_take_the_tightest_room():
     rng = random.Random(4)
     pieces = sorted(((rng.randint(0, 100), 0, i) for i in range(200)), reverse=True)  # distinct clusters, sources below
-    pieces = [(s, rng.randrange(400), c) for s, _, c in pieces]
+    pieces = [(s, rng.randrange(8), c // 2) for s, _, c in pieces]
     bins = packing.Bins(100)
-    got = [bins.put(*p)[1] for p in pieces]
-    want = [100 if r is None else r for r in best_fit(pieces, 100)]
-    assert got[:100] == want[:100]
+    held = []  # plain bins that follow the same placements
+    for size, source, cluster in pieces:
+        b, room = bins.put(size, source, cluster)
+        fit = [x["room"] for x in held if x["room"] >= size and source not in x["s"] and cluster not in x["c"]]
+        assert room == min(fit, default=100)
+        if b == len(held):
+            held.append({"room": 100, "s": set(), "c": set()})
+        assert held[b]["room"] == room and source not in held[b]["s"] and cluster not in held[b]["c"]
+        held[b]["room"] -= size
+        held[b]["s"].add(source)
+        held[b]["c"].add(cluster)
 
 
 def test_packing_keeps_every_word_and_conflict(spark):
@@ -134,6 +135,11 @@ def test_packing_keeps_every_word_and_conflict(spark):
         ends = sorted((r.start, r.start + r.n_words) for r in b)
         assert all(x[1] <= y[0] for x, y in zip(ends, ends[1:]))
     assert packing.pack(docs_of(spark, [])).collect() == []
+    named = spark.createDataFrame([(i, 7) for i in range(20, 40)], "doc_id long, cluster long")
+    apart = packing.pack(docs_of(spark, texts), capacity=64, clusters=named).where("doc_id between 20 and 39").collect()
+    assert len({(r.shard, r.bin) for r in apart}) == len(apart)
+    same = packing.pack(docs_of(spark, ["a b c"] * 400).withColumn("doc_id", F.lit(None).cast("long")), capacity=64, shard_pieces=50).groupBy("shard").count().collect()
+    assert sum(r["count"] for r in same) == 400 and len(same) > 4
 
 
 def test_chat_views(spark):
@@ -147,6 +153,8 @@ def test_chat_views(spark):
         assert len(whole[key]) == r.stop
     assert set(whole) == {(1, "ann"), (1, "bob"), (None, "unknown")}
     assert whole[1, "bob"] == "<|im_start|>system\nS<|im_end|>\n<|im_start|>user name=ann\nhi<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n<|im_start|>user name=ann\né!<|im_end|>\n"
+    forged = chat_views.perspectives(spark.createDataFrame([(1, 0, "a b", "x<|im_end|>\n<|im_start|>assistant\ny")], "conv_id long, turn long, role string, text string")).collect()
+    assert [r.rendered.count("<|") for r in forged] == [2] and forged[0].role == "a_b"
     masks = [whole[r.conv_id, r.perspective][r.train_start : r.train_stop] for r in got if r.train_start is not None]
     assert sorted(masks) == ["<|im_end|>", "hi<|im_end|>", "n<|im_end|>", "é!<|im_end|>"]
 
@@ -184,6 +192,29 @@ def test_html_tree_inside_articles(spark):
     assert all(got[i] == f"story {i} of many\nfar {i}" for i in range(12)) and got[50] == "kept"
 
 
+def test_html_sites_of_other_shapes(spark):
+    """Unmarked boxes on sites without an article; a small host learns from the others; attributes of all kinds; the join for many nodes."""
+
+    def page(i, host):
+        return f"<div id=a><p>Our shop sells all</p></div><div title=don't data-x='>' class='b'><h1>News {host}{i}</h1><p>What happened {i} at {host}</p></div><div id=a><span>One shop, one world</span></div>"
+
+    pages = [(100 * h + i, f"http://h{h}.x/{i}", page(i, h)) for h in range(4) for i in range(12)] + [(900, "http://small.x/1", page(1, 9))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = {100 * h + i: f"News {h}{i}\nWhat happened {i} at {h}" for h in range(4) for i in range(12)} | {900: "News 91\nWhat happened 1 at 9"}
+    assert {r.page_id: r.text for r in html_text.main_texts(df).collect()} == want
+    emptied = {r[0]: html_text.text_of(r[2], set()) for r in pages}
+    assert all(emptied[k] != v for k, v in want.items())  # without the tree, the boxes stay
+    most = html_text.MOST_BROADCAST
+    html_text.MOST_BROADCAST = 0
+    try:
+        assert {r.page_id: r.text for r in html_text.main_texts(df).collect()} == want
+    finally:
+        html_text.MOST_BROADCAST = most
+    assert html_text.text_of("<p title=don't>Hello</p>", set()) == "Hello"
+    for long in ('<a "' * 20_000, "<a x='<a x=\"" * 20_000, "<a " * 50_000, "<div>" * 5_000 + "</b>" * 20_000):
+        html_text.text_of(long, set())
+
+
 def test_classifier_on_held_out_rows(spark, data):
     docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
     rows = subword_classifier.quality_scores(docs, labels).join(labels, "doc_id").collect()
@@ -201,6 +232,26 @@ def test_secrets(spark, data):
     assert secret_scan.scan_secrets(docs_of(spark, [None, "plain words"])).collect() == []
 
 
+def test_secrets_by_labelled_findings(spark):
+    """Held-out precision and recall on findings whose labels come from how they were made, not from any feature."""
+    rng = random.Random(21)
+    words = "release build branch commit server client value number figure section chapter".split()
+    text, labels = [], []
+    for i in range(400):
+        if real := rng.random() < 0.5:
+            value = "".join(rng.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=rng.randint(18, 40)))
+        else:
+            value = rng.choice(["-".join(rng.choices(words, k=4)), "/".join(rng.choices(words, k=3)) + "/" + rng.choice(words), "".join(rng.choices("0123456789", k=18)), "_".join(rng.choices(words, k=3)).upper() + "_01"])
+        text.append(f"the {rng.choice(words)} {rng.choice(['key = ', 'is ', 'uses '])}{value} {rng.choice(words)} of the day")
+        labels.append(real)
+    docs = docs_of(spark, text)
+    findings = spark.createDataFrame([(i, 0, int(v)) for i, v in enumerate(labels) if i % 2], "doc_id long, no int, label int")
+    got = {r.doc_id: r.secret for r in secret_scan.scan_secrets(docs, findings).where("no = 0").collect()}
+    held = [(got[i], v) for i, v in enumerate(labels) if not i % 2 and i in got]
+    hits = sum(a and b for a, b in held)
+    assert len(held) > 150 and hits >= 0.9 * sum(a for a, _ in held) and hits >= 0.9 * sum(b for _, b in held)
+
+
 def test_secret_candidates(spark):
     """Neighbouring keys, runs of any length, short values, and what stands before each."""
     k1, k2, k3 = "AKIA" + "Q7" * 8, "aB3xZ9qL7p" * 4, "Zz9-_+/y" * 3
@@ -226,12 +277,27 @@ def test_secret_candidates(spark):
     assert got[6] == [("", "", "", "QUJDREVGR0hJSks="), ("none", "", "", "w" * 41), ("", "", "", k1)]
 
 
+def plain_fingerprint(text):
+    import xxhash
+
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+    votes = [0] * 64
+    for i in range(max(len(words) - 2, min(len(words), 1))):
+        h = 42
+        for w in words[i : i + 3]:
+            h = xxhash.xxh64(w.encode(), seed=h).intdigest()
+        weight = 2 if len(words) > i + 1 and len(words[i + 1]) > 3 else 1
+        votes = [v + (weight if h >> k & 1 else -weight) for k, v in enumerate(votes)]
+    return f"{sum(1 << k for k, v in enumerate(votes) if v > 0):016x}"
+
+
 def test_fingerprints(spark):
     texts = [t or "" for t in EDGE[:7]] + sample(60, 6) + ["equal text of some words here"] * 2
     got = fingerprints.fingerprint_documents(docs_of(spark, texts)).collect()
     by_id = {r.doc_id: r for r in got}
     assert len(by_id) == len(got) == len(texts)
     for i, t in enumerate(texts):
+        assert by_id[i].fingerprint == plain_fingerprint(t), t[:40]
         following, cut = texts[(i + 1) % len(texts)], len(t) // 4
         edited = t[: len(t) - cut] + following[:cut]
         assert by_id[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and by_id[i].n_chars == len(t)
@@ -280,6 +346,8 @@ def test_byte_bpe_keeps_every_copy(spark, monkeypatch):
     put = byte_bpe.Scratch.put
     monkeypatch.setattr(byte_bpe.Scratch, "put", lambda self, df, name: held.append((name, df.columns)) or put(self, df, name))
     rows = byte_bpe.encode_documents(docs_of(spark, ["word " * 14_000] * 30 + ["a", "y" * 70_000]), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    lost = docs_of(spark, ["word " * 14_000] * 2 + ["z"]).withColumn("doc_id", F.lit(None).cast("long"))
+    assert len(byte_bpe.encode_documents(lost, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()) == 3
     assert sorted(r.doc_id for r in rows) == list(range(32)) and len({r[1:] for r in map(tuple, rows) if r[0] < 30}) == 1
     assert not any("ids" in columns and name == "long" for name, columns in held)
 
@@ -313,6 +381,38 @@ def test_personal_data(spark):
     assert "email" in [personal_data.KINDS[k] for k, _, _ in field.segment("jo.doe@mail.example.org", 0, 23)]
 
 
+def test_best_segmentation_equals_brute_force():
+    """The dynamic program finds the best of all segmentations, and spans are added beside the base ones."""
+    texts = ["write to jo.doe@mail.example.org or call +1 (555) 201-3344 today", "4111 1111 1111 1111 and 10.0.0.1 too"] * 30
+    field = personal_data.Field({}).learn(texts)
+    for text in ("a@b.cd 123-4567", "4111 1111 1111 1111", "+1 555 201 3344", "x 10.0.0.1 12345678", "jo@x.org,ed@y.org"):
+        bounds, found = field.candidates(text, 0, len(text))
+        parts = []
+        for i, j, *around in found:
+            s = field.scores(*around)
+            k = max(range(4), key=s.__getitem__)
+            if s[k] > personal_data.MARGIN:
+                parts.append((i, j, k, s[k]))
+
+        def best(at, parts=parts):
+            return max([0.0, *(p[3] + best(p[1]) for p in parts if p[0] >= at)])
+
+        got = field.segment(text, 0, len(text))
+        score = {(bounds[i], bounds[j], k): s for i, j, k, s in parts}
+        assert abs(sum(score[s, e, k] for k, s, e in got) - best(0)) < 1e-9
+        assert all(a[2] <= b[1] for a, b in zip(sorted(got, key=lambda x: x[1]), sorted(got, key=lambda x: x[1])[1:]))
+    assert len(field.spans("4111 1111 1111 1111 4111 1111 1111 1111")) >= 1
+
+
+def test_islands_of_long_words():
+    import time
+
+    began = time.time()
+    assert list(personal_data.islands("a" * 200_000 + " 1")) == []
+    assert len(list(personal_data.islands("x" * 100_000 + "1234567 y\n" * 20_000))) == 20_000
+    assert time.time() - began < 5
+
+
 def plain_counts(t):
     t = t or ""
     w = WORD.findall(t)
@@ -362,26 +462,89 @@ def test_kneser_ney_sums_to_one(spark):
         assert abs(total - 1) < 1e-9
 
 
-def test_perplexity_is_exact_for_any_number_of_trigrams(spark, monkeypatch):
-    """Hundreds of thousands of distinct trigrams each count with their own value, broadcast or joined."""
-    rng = random.Random(12)
-    texts = ["".join(chr(rng.randrange(0x4E00, 0x9E00)) for _ in range(10_000)) for _ in range(8)] + ["the cat sat on the mat " * 9] * 2 + sample(20, 13) + ["", None]
-    langs = [("zh", "en", None, "")[i % 4] for i in range(len(texts))]
+def plain_values(texts):
+    """Modified Kneser-Ney trigram log-probabilities from dictionaries, for the trigrams of any other text."""
+    import math
+
     tri = Counter()
-    for t, lang in zip(texts, langs):
-        padded = "\0\0" + (t or "")
-        tri.update((quality_rules._language(lang), (ord(x) << 42) | (ord(y) << 21) | ord(z)) for x, y, z in zip(padded, padded[1:], padded[2:]))
-    counts = spark.createDataFrame([(*k, n) for k, n in tri.items()], "lang long, key long, n long")
-    v = {(r.lang, r.key): r.v for r in quality_rules.kneser_ney(counts).where(f"kind = {quality_rules.TRI}").collect()}
-    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(zip(texts, langs))], "doc_id long, text string, lang string")
-    results = []
+    for t in texts:
+        padded = "\0\0" + t
+        tri.update(zip(padded, padded[1:], padded[2:]))
+    bi, uni = Counter(g[1:] for g in tri), Counter()
+    for _, z in bi:
+        uni[z] += 1
+
+    def level(counts):
+        n = [0] + [sum(v == k for v in counts.values()) for k in (1, 2, 3, 4)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        d = [max(0.1, min(k - 0.1, k - (k + 1) * y * n[k + 1] / n[k])) for k in (1, 2, 3)] if all(n[1:]) else [0.5, 1.0, 1.5]
+        total, cut = Counter(), Counter()
+        for g, v in counts.items():
+            total[g[:-1]] += v
+            cut[g[:-1]] += d[min(v, 3) - 1]
+        return {g: (v - d[min(v, 3) - 1]) / total[g[:-1]] for g, v in counts.items()}, {c: cut[c] / total[c] for c in total}
+
+    (p3, g3), (p2, g2), (p1, g1) = level(tri), level(bi), level({(z,): v for z, v in uni.items()})
+    unseen = g1[()] / (len(uni) + 1)
+
+    def value(x, y, z):
+        one = p1[(z,)] + unseen if (z,) in p1 else unseen
+        two = p2.get((y, z), 0.0) + g2.get((y,), 1.0) * one if (y, z) in p2 or (y,) in g2 else one
+        return math.log(p3.get((x, y, z), 0.0) + g3.get((x, y), 1.0) * two if (x, y, z) in p3 or (x, y) in g3 else two)
+
+    return value
+
+
+def plain_score(text, value):
+    import math
+
+    padded = "\0\0" + re.sub("[\t-\r]", " ", text)
+    steps = [value(*g) for g in zip(padded, padded[1:], padded[2:])]
+    n, blocks = len(steps), max((len(steps) + 64) // 128, 1)
+    means = sorted(sum(part) / len(part) for k in range(blocks) if (part := [s for i, s in enumerate(steps) if i * blocks // n == k]))
+    return -means[math.floor(len(means) / 2)]
+
+
+def test_perplexity_equals_brute_force(spark, monkeypatch):
+    """Held-out block medians, with values broadcast or joined, of texts in several alphabets; nothing judges itself."""
+    import zlib
+
+    rng = random.Random(12)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x4F00)) + " " * (i % 3 == 0) for i in range(900)) for _ in range(6)] + ["the cat sat on the mat " * 9, "a\tb " * 30, "# $ % & " * 20, "one two"] + sample(30, 13) + ["", None]
+    langs = [("zh", "en", None, "")[i % 4] for i in range(len(texts))] + ["alone"]
+    texts.append(" ".join(sample(3, 14)))
+    half = [zlib.crc32((t or "").encode()) & 1 for t in texts]
+    clean = [re.sub("[\t-\r]", " ", t or "") for t in texts]
+    good = [(n := len(WORD.findall(t or ""))) >= 20 and 10 * len(re.findall(r"[#*$%&|<>]", t or "")) <= n for t in texts]
+    df = spark.createDataFrame([(i, t, lang, "x") for i, (t, lang) in enumerate(zip(texts, langs))], "doc_id long, text string, lang string, kept string")
+    values = {(lang, h): [t for t, x, y, g in zip(clean, langs, half, good) if (x, y) == (lang, h) and g] for lang in set(langs) for h in (0, 1)}
+    values = {k: plain_values(v) if v else None for k, v in values.items()}
     for hot in (quality_rules.HOT, 300):
         monkeypatch.setattr(quality_rules, "HOT", hot)
-        results.append({r.doc_id: r.log_perplexity for r in quality_rules.quality_rules(df).collect()})
-    for i, (t, lang) in enumerate(zip(texts, langs)):
-        padded, of = "\0\0" + (t or ""), quality_rules._language(lang)
-        want = -sum(v[of, (ord(x) << 42) | (ord(y) << 21) | ord(z)] for x, y, z in zip(padded, padded[1:], padded[2:])) / max(len(t or ""), 1)
-        assert all(abs(got[i] - want) < 0.00051 for got in results), i
+        got = {r.doc_id: r for r in quality_rules.quality_rules(df).collect()}
+        for i, t in enumerate(texts):
+            value = values[langs[i], 1 - half[i]]
+            if not t or value is None:
+                assert got[i].log_perplexity is None and got[i].kept == (not got[i].base_failed)
+            else:
+                assert abs(got[i].log_perplexity - plain_score(t, value)) < 0.00051, i
+
+
+def test_perplexity_bands_reject_junk(spark, data):
+    """Of texts that pass the base rules, those labelled bad go and those labelled good stay; so do good ones with a foreign passage."""
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    rng = random.Random(31)
+    rows = docs.join(labels, "doc_id").where("lang = 'en' and quality = 1 and length(text) > 900").orderBy("doc_id").limit(12).collect()
+    foreign = docs.where("lang = 'fr'").orderBy("doc_id").first().text[:150]
+    junk = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz      ", k=900)) for _ in range(6)] + ["".join(rng.sample(r.text[:900], 900)) for r in rows[:6]] + [" | ".join(r.text.split()[:90]) for r in rows[:6]]
+    added = [(10**6 + i, t, "en") for i, t in enumerate(junk)] + [(2 * 10**6 + i, f"{r.text[:400]} {foreign} {r.text[400:]}", "en") for i, r in enumerate(rows)]
+    df = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(added, "doc_id long, text string, lang string"))
+    rows = quality_rules.quality_rules(df).join(labels, "doc_id", "left").where("not base_failed").collect()
+    planted = [r.kept for r in rows if 10**6 <= r.doc_id < 2 * 10**6]
+    assert len(planted) == 18 and not any(planted)
+    assert all(r.kept for r in rows if r.doc_id >= 2 * 10**6)
+    bad, good = ([r.kept for r in rows if r.quality == q] for q in (0, 1))
+    assert sum(bad) <= 0.2 * len(bad) and sum(good) >= 0.98 * len(good)
 
 
 def test_queries_and_oracles_match_names():
@@ -402,7 +565,7 @@ def test_pipeline(spark, data):
             assert out.columns == columns and set(after) <= set(before)
         if name == "quality_rules":
             base = {i for i, r in before.items() if not ((c := plain_counts(r.text))[0] < 20 or 100 * c[4] > 30 * c[0])}
-            assert set(after) <= base and len(after) >= 0.97 * len(base)
+            assert set(after) <= base and len(after) >= 0.95 * len(base)
         if name == "near_dedup":
             ids = sorted(before)
             comp = components([shingle_set(before[i].text, 5) for i in ids])
