@@ -3,52 +3,66 @@
 Later decisions depend on earlier ones, so no window frame expresses them. Rows
 are sorted by (key, order) within partitions and streamed through Arrow batches
 with a small state per key: no group is ever collected, whatever its size.
+Values arrive as Python's own, so large ids stay exact; rows without a key are
+those of one key, None.
 """
 
 from __future__ import annotations
 
-from collections import deque
+from collections import deque, namedtuple
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator:
+    row = namedtuple("Row", batch.schema.names)
+    return map(row, *(c.to_pylist() for c in batch.columns))
+
+
+def _out(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split() for c in schema.split(",")))
+    columns = zip(*rows) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(columns, kinds)], names=list(names))
+
 
 def ordered_fold(df: DataFrame, key: str, order: list[str], schema: str, start: Callable[[], object], step: Callable) -> DataFrame:
     """``step(state, row)`` gives an output tuple of ``schema`` for each row, in order, with a fresh state per key."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state, names = object(), None, [c.strip().split(" ")[0] for c in schema.split(",")]
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = object(), None
+        for batch in batches:
             out = []
-            for row in pdf.itertuples(index=False):
+            for row in _rows(batch):
                 if (k := getattr(row, key)) != now:
                     now, state = k, start()
                 out.append(step(state, row))
-            yield pd.DataFrame(out, columns=names)
+            yield _out(out, schema)
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def ordered_reduce(df: DataFrame, key: str, order: list[str], schema: str, start: Callable[[], object], step: Callable, finish: Callable) -> DataFrame:
     """One output row per key: ``finish(key, state)`` after ``state = step(state, row)`` over its rows in order."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, any_ = None, None, False
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for row in pdf.itertuples(index=False):
+            for row in _rows(batch):
                 if not any_ or getattr(row, key) != now:
                     if any_:
                         out.append(finish(now, state))
                     now, state, any_ = getattr(row, key), start(), True
                 state = step(state, row)
-            yield pd.DataFrame(out, columns=names)
+            yield _out(out, schema)
         if any_:
-            yield pd.DataFrame([finish(now, state)], columns=names)
+            yield _out([finish(now, state)], schema)
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def allow(log: deque, at: int, limit: int, width: int) -> bool:

@@ -22,8 +22,10 @@ def access(events: DataFrame) -> DataFrame:
 
 
 def rate_limit(events: DataFrame, limit: int = LIMIT, width: int = WIDTH) -> DataFrame:
+    """``allowed`` of each request; one without a valid user is refused."""
+
     def step(log: deque, r) -> tuple:
-        if r.user_id <= 0:
+        if r.user_id is None or r.user_id <= 0:
             return r.event_id, r.user_id, False
         return r.event_id, r.user_id, r.user_id in OWNERS or allow(log, r.us, limit, width)
 
