@@ -16,7 +16,7 @@ def text(c: Column | str) -> Column:
 
 def trim(c: Column | str) -> Column:
     """Strips Unicode white space at both ends."""
-    return F.regexp_replace(text(c), "(?U)^\\s+|\\s+$", "")
+    return F.regexp_replace(text(c), "(?U)^\\s++|(?<!\\s)\\s++$", "")
 
 
 def is_id(c: Column) -> Column:

@@ -34,6 +34,20 @@ def role_of(header: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), normal_header(header))
 
 
+def role_of_key(key: Column) -> Column:
+    """Role of a record's key, by the keys of each role; null if unknown."""
+    known: dict[str, str] = {}
+    for role, keys in (("id", ID_KEYS), ("username", NICK_KEYS), ("phone", PHONE_KEYS), ("lastname", LAST_KEYS), ("name", NAME_KEYS + FIRST_KEYS + NICK_NAME_KEYS)):
+        for k in keys:
+            known.setdefault(k.replace("_", "").lower(), role)
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in known.items() for x in pair)), F.lower(F.regexp_replace(key, "[\\s_-]", "")))
+
+
+def roles(fields: Column, of) -> Column:
+    """Role of each field: the first of a role has it, all others are extras."""
+    return F.transform(fields, lambda f, i: F.when(of(f).isNotNull() & ~F.exists(F.slice(fields, F.lit(1), i), lambda e: of(e).eqNullSafe(of(f))), of(f)).otherwise(F.lit("extras")))
+
+
 def header_roles(headers: DataFrame) -> DataFrame:
     """``headers(file, fields array)`` to ``(file, idx, header, role)``: the first column of a role has it, others are extras."""
     cols = headers.select("file", F.posexplode("fields").alias("idx", "header")).withColumn("r", role_of(F.col("header")))
@@ -71,9 +85,12 @@ def _first(m: Column, normal: Column, keys: list[str]) -> Column:
 
 
 def map_records(lines: DataFrame) -> DataFrame:
-    """``lines(line_no, value)`` of JSON to canonical rows; lines without an object or a valid id give a null id."""
+    """``lines(line_no, value)`` of JSON to canonical rows; lines without an object or a valid id give a null id.
+
+    Extras keep their JSON values: numbers, booleans, lists and objects stay what they are.
+    """
     m = F.from_json("value", "map<string,string>")
-    rows = lines.select("line_no", m.alias("m"))
+    rows = lines.select("line_no", m.alias("m"), F.try_parse_json("value").try_cast("map<string,variant>").alias("raw"))
     # of keys that are equal once normalised the first in key order counts
     entries = F.transform(F.array_sort(F.map_entries("m")), lambda e: F.struct(F.lower(F.regexp_replace(e.key, "[\\s_-]", "")).alias("key"), e.value.alias("value")))
     firsts = F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda acc, e: F.when(F.map_contains_key(acc, e.key), acc).otherwise(F.map_concat(acc, F.map_from_arrays(F.array(e.key), F.array(e.value)))))
@@ -81,8 +98,10 @@ def map_records(lines: DataFrame) -> DataFrame:
     get = lambda keys: _first(F.col("m"), F.col("n"), keys)
     name = F.coalesce(F.nullif(get(NAME_KEYS), F.lit("")), F.nullif(C.combine_name(get(FIRST_KEYS), get(LAST_KEYS)), F.lit("")), get(NICK_NAME_KEYS))
     nick = C.lower_alias_b(get(NICK_KEYS))
-    rows = rows.select("line_no", "m", get(ID_KEYS).alias("id"), name.alias("name"), get(PHONE_KEYS).alias("phone"), F.when(nick.rlike(C.ALIAS_B), nick).otherwise("").alias("username"))
+    rows = rows.select("line_no", "m", "raw", get(ID_KEYS).alias("id"), name.alias("name"), get(PHONE_KEYS).alias("phone"), F.when(nick.rlike(C.ALIAS_B), nick).otherwise("").alias("username"))
     used = [k.replace("_", "").lower() for keys in (ID_KEYS, NAME_KEYS, FIRST_KEYS, LAST_KEYS, PHONE_KEYS) for k in keys]
-    extras = F.map_filter("m", lambda k, v: ~F.lower(F.regexp_replace(k, "[\\s_-]", "")).isin(*set(used)) & ~((F.col("username") != "") & F.lower(F.regexp_replace(k, "[\\s_-]", "")).isin("nick", "nickname", "username", "login")) & v.isNotNull())
+    extras = F.map_filter("raw", lambda k, v: ~F.lower(F.regexp_replace(k, "[\\s_-]", "")).isin(*set(used)) & ~((F.col("username") != "") & F.lower(F.regexp_replace(k, "[\\s_-]", "")).isin("nick", "nickname", "username", "login")) & v.isNotNull() & ~F.is_variant_null(v))
+    rows = rows.withColumn("extras", extras).withColumn("keys", F.array_sort(F.map_keys("extras")))
+    ordered = F.map_from_arrays("keys", F.transform("keys", lambda k: F.element_at("extras", k)))
     ok = F.col("id").rlike(C.ID)
-    return rows.select("line_no", F.when(ok, F.col("id")).alias("id"), *(F.when(ok, F.col(c)).alias(c) for c in ("name", "phone", "username")), F.when(ok, F.to_json(F.map_from_entries(F.array_sort(F.map_entries(extras))))).alias("extras"))
+    return rows.select("line_no", F.when(ok, F.col("id")).alias("id"), *(F.when(ok, F.col(c)).alias(c) for c in ("name", "phone", "username")), F.when(ok, F.to_json(ordered)).alias("extras"))

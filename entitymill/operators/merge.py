@@ -25,11 +25,13 @@ def upsert(rows: DataFrame) -> DataFrame:
 def merge_flat_json(rows: DataFrame) -> DataFrame:
     """Left-to-right merge of flat JSON objects by id: equal values stay, different ones nest as [old,new].
 
+    Values are JSON tokens, so numbers, booleans and escapes stay what they are.
+    A text that is no object, or repeats a key, counts as {}.
     Rows stream through in order of seq; of an (id, key) only the values that
     make up the merged one are held, and they are joined once at the end.
     """
-    pairs = rows.select("id", "seq", F.explode(F.from_json("extras", "map<string,string>")).alias("key", "value"))
-    quoted = pairs.select(F.to_json(F.struct("id", "key")).alias("of"), "seq", F.concat(F.lit('"'), F.col("value"), F.lit('"')).alias("v"))
+    pairs = rows.select("id", "seq", F.explode(F.try_parse_json("extras").try_cast("map<string,variant>")).alias("key", "value"))
+    quoted = pairs.select(F.to_json(F.struct("id", "key")).alias("of"), "seq", F.when(~F.is_variant_null("value"), F.to_json("value")).alias("v"))
 
     def step(parts: list, r) -> list:
         # a nested value never equals a quoted one; a null value empties the merged one unless it is the first
@@ -48,6 +50,16 @@ def merge_flat_json(rows: DataFrame) -> DataFrame:
     return ordered_reduce(quoted, "of", ["seq", "v"], "id string, key string, merged string", list, step, finish)
 
 
+def upsert_with_extras(rows: DataFrame) -> DataFrame:
+    """``upsert`` and, in the same table, the merged extras of each id as one object with its keys in order."""
+    merged = merge_flat_json(rows).where("merged is not null")
+    pair = F.concat(F.to_json(F.array("key")).substr(F.lit(2), F.length(F.to_json(F.array("key"))) - 2), F.lit(":"), F.col("merged"))
+    # an id has as many entries as distinct keys
+    objects = merged.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("key", pair.alias("pair")))).alias("p"))
+    objects = objects.select("id", F.concat(F.lit("{"), F.array_join("p.pair", ","), F.lit("}")).alias("extras"))
+    return upsert(rows).join(objects, "id", "left").withColumn("extras", F.coalesce("extras", F.lit("{}")))
+
+
 def _parsed(text: str | None):
     try:
         return json.loads(text) if text else None
@@ -56,14 +68,17 @@ def _parsed(text: str | None):
 
 
 def deep_merge(old, new):
-    """Objects merge key by key, equal values stay, different ones become [old, new]; nothing or {} gives way."""
+    """Objects merge key by key, equal values stay, different ones become [old, new]; nothing or {} gives way.
+
+    Values are equal if their JSON is: 1, 1.0 and true are three values.
+    """
     if old in (None, {}):
         return new
     if new in (None, {}):
         return old
     if isinstance(old, dict) and isinstance(new, dict):
         return old | {k: deep_merge(old[k], v) if k in old else v for k, v in new.items()}
-    return new if old == new else [old, new]
+    return new if json.dumps(old, sort_keys=True) == json.dumps(new, sort_keys=True) else [old, new]
 
 
 def merge_nested_json(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,18 +15,29 @@ PREFIX = 65536
 
 
 def first_lines(text: Column, most: int = 20) -> Column:
+    """The first ``most`` lines that aren't blank; only the head of the text that holds them is split."""
+    blank = r"(?:[\s\p{Z}\p{Cc}&&[^\n]]*+\n)*+"
+    text = F.regexp_extract(text, rf"\A(?:{blank}[^\n]*+(?:\n|\z)){{0,{most}}}+", 0)
     lines = F.transform(F.split(text, "\n"), lambda v: F.regexp_replace(v, "\r+$", ""))
     return F.slice(F.filter(lines, lambda v: C.trim(v) != ""), 1, most)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once; an expression inside a lambda would be computed for each element."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def delimiter_score(lines: Column, delimiter: str) -> Column:
     """10 * share of the most frequent count (the first to become so) + mean count; -1 if that count is 0."""
     counts = F.transform(lines, lambda v: F.length(v) - F.length(F.replace(v, F.lit(delimiter), F.lit(""))))
-    running = F.transform(counts, lambda c, i: F.struct(F.size(F.filter(F.slice(counts, 1, i + 1), lambda x: x == c)).alias("freq"), (-i).alias("late"), c.alias("c")))
-    top = F.array_max(running)
-    n = F.size(lines)
-    mean = F.aggregate(counts, F.lit(0), lambda a, x: a + x) / n
-    return F.when((n == 0) | (top.c == 0), F.lit(-1.0)).otherwise(top.freq / n * 10 + mean)
+
+    def score(counts: Column) -> Column:
+        running = F.transform(counts, lambda c, i: F.struct(F.size(F.filter(F.slice(counts, 1, i + 1), lambda x: x == c)).alias("freq"), (-i).alias("late"), c.alias("c")))
+        n = F.size(counts)
+        mean = F.aggregate(counts, F.lit(0), lambda a, x: a + x) / n
+        return _let(F.array_max(running), lambda top: F.when((n == 0) | (top.c == 0), F.lit(-1.0)).otherwise(top.freq / n * 10 + mean))
+
+    return _let(counts, score)
 
 
 def delimiter(lines: Column) -> Column:
@@ -63,8 +77,32 @@ def encoding(prefix: Column) -> Column:
 
 
 def file_prefixes(raw_lines: DataFrame) -> DataFrame:
-    """``raw_lines(file, part, line_no, value binary)`` to ``(file, prefix)``: the first lines of each first part, up to ``PREFIX`` bytes."""
-    first = raw_lines.groupBy("file").agg(F.min("part").alias("part"))
-    few = raw_lines.join(first, ["file", "part"]).where("line_no < 2000").withColumn("line", F.decode("value", "ISO-8859-1"))
-    joined = few.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    return joined.select("file", F.substring(F.array_join("l.line", "\n"), 1, PREFIX).alias("prefix"))
+    """``raw_lines(file, part, start, value binary)`` to ``(file, prefix)``: the first ``PREFIX`` bytes of each first part, as Latin-1.
+
+    Lines stream through in order; of each part only the prefix is kept, so nothing else is shuffled.
+    """
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lines, size = None, [], 0
+
+        def out() -> pa.RecordBatch:
+            rows = [(*now, b"\n".join(lines)[:PREFIX].decode("latin-1"))] if now else []
+            return pa.RecordBatch.from_pylist([dict(zip(("file", "part", "prefix"), r)) for r in rows], pa.schema([(c, pa.string()) for c in ("file", "part", "prefix")]))
+
+        for batch in batches:
+            files, parts = batch.column("file"), batch.column("part")
+            if size >= PREFIX and batch.num_rows and (files[0].as_py(), parts[0].as_py()) == now == (files[-1].as_py(), parts[-1].as_py()):
+                continue  # deep inside a part
+            for i, key in enumerate(zip(files.to_pylist(), parts.to_pylist())):
+                if key != now:
+                    if now:
+                        yield out()
+                    now, lines, size = key, [], 0
+                if size < PREFIX:
+                    line = batch.column("value")[i].as_py() or b""
+                    lines.append(line)
+                    size += len(line) + 1
+        yield out()
+
+    kept = raw_lines.where("start = 0").select("file", "part", "value").mapInArrow(heads, "file string, part string, prefix string")
+    return kept.groupBy("file").agg(F.min_by("prefix", "part").alias("prefix"))

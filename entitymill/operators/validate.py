@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
@@ -27,6 +29,10 @@ INJECTION_PATTERNS = [
 ]
 
 
+#: Of each pattern, lower-case strings of which any match holds one.
+INJECTION_NEEDS = [["union"], ["union"], ["drop"], ["insert"], ["delete"], ["update"], ["="], ["="], ["sleep"], ["benchmark"], ["xp_cmdshell"], ["information_schema"], [";"], ["--", "/*", "*/"], ["'"]]
+
+
 def validate(raw: DataFrame) -> DataFrame:
     """Every row with its cleaned fields and ``reason`` (null where accepted): one projection, no shuffle."""
     i = C.trim("id_raw")
@@ -55,26 +61,33 @@ def rejects(raw: DataFrame) -> DataFrame:
 
 def sanitize_text(df: DataFrame, column: str, most_bytes: int = 4096) -> DataFrame:
     """``clean`` text and ``reason`` of rejection, one of the two null."""
-    t = F.col(column)
-    out = F.regexp_replace(F.regexp_replace(C.trim(t), r"[\n\t\r]", " "), r"\p{Cf}", "")
+    # longer texts are refused unread; a column of its own, so the patterns below see only what may pass
+    df = df.withColumn("_short", F.when(F.octet_length(column) <= most_bytes, F.col(column)))
+    df = df.withColumn("_trimmed", C.trim("_short"))
+    t, trimmed = F.col(column), F.col("_trimmed")
+    out = F.regexp_replace(F.regexp_replace(trimmed, r"[\n\t\r]", " "), r"\p{Cf}", "")
     out = F.regexp_replace(C.trim(out), r"(?U)\s+", " ")
-    control = F.regexp_replace(C.trim(t), r"[\n\t\r]", "").rlike(r"\p{Cc}")
+    control = trimmed.rlike(r"[\p{Cc}&&[^\n\t\r]]")
     reason = (
         F.when(t.isNull(), "is empty")
         .when(~F.is_valid_utf8(t), "invalid UTF-8")
         .when(t.contains("\x00"), "contains null bytes")
         .when(F.octet_length(t) > most_bytes, "exceeds size")
-        .when(C.trim(t) == "", "is empty")
+        .when(trimmed == "", "is empty")
         .when(control, "control characters")
         .when(out == "", "is empty")
     )
-    return df.withColumns({"reason": reason, "clean": F.when(reason.isNull(), out)})
+    return df.withColumn("reason", reason).withColumn("clean", F.when(F.col("reason").isNull(), out)).drop("_short", "_trimmed")
 
 
 def injection_counts(df: DataFrame, column: str) -> DataFrame:
-    """Rows that match each pattern; the sums are partial in every task, so only one row a task is shuffled."""
-    t = C.text(column)
-    hits = df.agg(*(F.sum(t.rlike(p).cast("long")).alias(f"p{i}") for i, p in enumerate(INJECTION_PATTERNS)))
+    """Rows that match each pattern; the sums are partial in every task, so only one row a task is shuffled.
+
+    A pattern is tried only on texts that hold the characters which any match of it has.
+    """
+    df = df.select(C.text(column).alias("t")).select("t", F.lower("t").alias("l"))
+    holds = lambda words: reduce(Column.__or__, (F.col("l").contains(w) for w in words))
+    hits = df.agg(*(F.sum(F.when(holds(words), F.col("t").rlike(p)).otherwise(F.lit(False)).cast("long")).alias(f"p{i}") for i, (p, words) in enumerate(zip(INJECTION_PATTERNS, INJECTION_NEEDS))))
     return hits.select(F.explode(F.array(*(F.struct(F.lit(i).alias("pattern"), F.coalesce(F.col(f"p{i}"), F.lit(0)).alias("matches")) for i in range(len(INJECTION_PATTERNS))))).alias("r")).select("r.pattern", "r.matches")
 
 

@@ -66,13 +66,14 @@ def transcode_scan(spark, d):
 
 def schema_report(spark, d):
     r = files.report(spark, _write_samples(spark, d))
-    return r.select("file", "encoding", "delimiter", "has_header", "jsonl", F.array_join("fields", ",").alias("fields"))
+    r = r.withColumn("extras", F.filter("fields", lambda f, i: F.get("roles", i) == "extras"))
+    return r.select("file", "encoding", "delimiter", "has_header", "jsonl", *(F.array_join(c, ",").alias(c) for c in ("fields", "roles", "extras")))
 
 
 def _converted(spark, d):
     at = _write_samples(spark, d)
-    facts = [r for r in files.report(spark, at).collect() if r.file in ("semi.csv", "tab.txt", "pipe.txt")]  # one row a file
-    return files.delimited(files.transcode(spark, at, {r.file: r.encoding for r in facts}), facts)
+    facts = [r for r in files.report(spark, at).collect() if r.encoding == "utf-8" and not r.jsonl and not r.file.endswith(".standard.csv")]  # one row a file
+    return files.delimited(files.transcode(spark, at, {r.file: r.encoding for r in facts}, {r.file for r in facts if r.has_header}), facts)
 
 
 def delimited_scan(spark, d):
@@ -89,7 +90,7 @@ def convert_or_pass(spark, d):
     at = _write_samples(spark, d)
     facts = files.report(spark, at).collect()  # one row a file
     flat = [r for r in facts if not r.jsonl and not r.file.endswith(".standard.csv")]
-    out = files.delimited(files.transcode(spark, at, {r.file: r.encoding for r in flat}), flat)
+    out = files.delimited(files.transcode(spark, at, {r.file: r.encoding for r in flat}, {r.file for r in flat if r.has_header}), flat)
     done = spark.read.option("header", "true").schema(", ".join(f"{c} string" for c in files.CANONICAL)).csv(f"{at}/x.standard.csv").na.fill("").select(F.lit("x.standard.csv").alias("file"), *files.CANONICAL)
     records = mapping.map_records(spark.read.text(f"{at}/recs.jsonl").select(F.lit(0).alias("line_no"), "value")).where("id is not null").select(F.lit("recs.jsonl").alias("file"), *files.CANONICAL)
     return out.unionByName(done).unionByName(records).where(F.col("id").rlike(C.ID))

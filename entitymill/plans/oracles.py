@@ -149,7 +149,9 @@ LEFT JOIN aliases a ON a.kind = 'alias_a' AND a.alias = e.alias LEFT JOIN merged
     "cascade_delete": "SELECT 'orders' AS child, count(*) AS kept FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0) UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0))",
     "batch_delete": "SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)",
     "first_wins_dedup": sql("acc", "SELECT id, seq, name, alias_a, alias_b FROM acc QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1"),
-    "upsert_merge": sql("merged", "SELECT * FROM merged"),
+    "upsert_merge": sql("merged acc", """, x AS (SELECT id, seq, 'st' AS key, json_extract_string(extras, '$.st') AS v FROM acc UNION ALL SELECT id, seq, 'pr', json_extract_string(extras, '$.pr') FROM acc),
+e AS (SELECT id, key, list_reduce(list('"' || v || '"' ORDER BY seq), lambda a, b: CASE WHEN a = b THEN b ELSE '[' || a || ',' || b || ']' END) AS v FROM x GROUP BY id, key)
+SELECT merged.*, (SELECT '{' || string_agg('"' || key || '":' || v, ',' ORDER BY key) || '}' FROM e WHERE e.id = merged.id) AS extras FROM merged""").replace("\n, x", ", x"),
     "json_deep_merge": sql("acc", """, x AS (SELECT id, seq, 'st' AS key, '"' || json_extract_string(extras, '$.st') || '"' AS v FROM acc UNION ALL SELECT id, seq, 'pr', '"' || json_extract_string(extras, '$.pr') || '"' FROM acc)
 SELECT id, key, list_reduce(list(v ORDER BY seq), lambda a, b: CASE WHEN a = b THEN b ELSE '[' || a || ',' || b || ']' END) AS merged FROM x GROUP BY id, key""").replace("\n, x", ", x"),
     "alias_index": sql("aliases", "SELECT * FROM aliases"),
@@ -286,3 +288,17 @@ ORACLES["json_nested_merge"] = sql("acc", """, x AS (SELECT id, seq, 'st' AS key
   UNION ALL SELECT id, seq, 'f', '"' || source_file || '"' FROM acc),
 m AS (SELECT id, key, list_reduce(list(v ORDER BY seq), lambda a, b: CASE WHEN a = b THEN b ELSE '[' || a || ',' || b || ']' END) AS v FROM x GROUP BY id, key)
 SELECT id, '{"a":{"n":{"pr":' || max(v) FILTER (WHERE key = 'pr') || ',"st":' || max(v) FILTER (WHERE key = 'st') || '}},"f":' || max(v) FILTER (WHERE key = 'f') || '}' AS merged FROM m GROUP BY id""").replace("\n, x", ", x")
+
+#: What the files are, as the sample writer makes them.
+ORACLES |= {
+    "source_discovery": "SELECT * FROM (VALUES ('cp1251.csv', 'csv'), ('latin1.csv', 'csv'), ('pipe.txt', 'txt'), ('recs.jsonl', 'jsonl'), ('semi.csv', 'csv'), ('tab.txt', 'txt'), ('utf16.csv', 'csv')) t(file, extension)",
+    "encoding_profile": "SELECT * FROM (VALUES ('cp1251.csv', 'windows-1251'), ('latin1.csv', 'iso-8859-1'), ('pipe.txt', 'utf-8'), ('recs.jsonl', 'utf-8'), ('semi.csv', 'utf-8'), ('tab.txt', 'utf-8'), ('utf16.csv', 'utf-16le'), ('x.standard.csv', 'utf-8')) t(file, encoding)",
+    "schema_report": """SELECT * FROM (VALUES ('cp1251.csv', 'windows-1251', ',', true, false, 'name,id', 'name,id', ''),
+ ('latin1.csv', 'iso-8859-1', ',', true, false, 'id,name,phone,username', 'id,name,phone,username', ''),
+ ('pipe.txt', 'utf-8', '|', false, false, 'id,col_1,col_2,col_3', 'id,extras,extras,extras', 'col_1,col_2,col_3'),
+ ('recs.jsonl', 'utf-8', ',', false, true, 'name,nick,telegram_id', 'name,username,id', ''),
+ ('semi.csv', 'utf-8', ';', true, false, 'Telegram_ID,First Name,Mobile,NickName', 'id,name,phone,username', ''),
+ ('tab.txt', 'utf-8', chr(9), true, false, 'id,foo,phone,username', 'id,extras,phone,username', 'foo'),
+ ('utf16.csv', 'utf-16le', ',', true, false, 'id,name,phone,username', 'id,name,phone,username', ''),
+ ('x.standard.csv', 'utf-8', ',', true, false, 'id,name,phone,username,extras', 'id,name,phone,username,extras', 'extras')) t(file, encoding, delimiter, has_header, jsonl, fields, roles, extras)""",
+}

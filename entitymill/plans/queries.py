@@ -174,7 +174,7 @@ def first_wins_dedup(spark, d):
 
 
 def upsert_merge(spark, d):
-    return merge.upsert(_accepted(spark, d))
+    return merge.upsert_with_extras(_accepted(spark, d))
 
 
 def json_deep_merge(spark, d):
@@ -226,10 +226,15 @@ def insert_if_absent(spark, d):
 
 
 def ledger_append(spark, d):
-    """Ids go up with event_id: the rank inside a block of ids plus the rows of the blocks before, so no task holds all rows."""
+    """Ids go up with event_id: the rank inside a block of ids plus the rows of the blocks before, so no task holds all rows.
+
+    Blocks are summed in groups of 65,536, so the one window without a key has a row for 2^28 ids.
+    """
     rows = usage.ledger(usage_events(spark, d)).withColumn("block", F.floor(F.col("event_id") / 4096))
-    ahead = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy("block").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(ahead), F.lit(0))).select("block", "base")
+    blocks = rows.groupBy("block").agg(F.count("*").alias("n")).withColumn("group", F.floor(F.col("block") / 65536))
+    before = lambda w: F.coalesce(F.sum("n").over(w.orderBy(F.asc_nulls_first("o")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = blocks.groupBy("group").agg(F.sum("n").alias("n")).withColumn("o", F.col("group")).select("group", before(Window.partitionBy()).alias("group_base"))
+    blocks = blocks.withColumn("o", F.col("block")).withColumn("inside", before(Window.partitionBy("group"))).join(groups, "group").select("block", (F.col("inside") + F.col("group_base")).alias("base"))
     place = F.row_number().over(Window.partitionBy("block").orderBy("event_id"))
     return rows.withColumn("place", place).join(blocks, "block").select((F.col("base") + F.col("place")).alias("id"), "event_id", "user_id", "amount", F.col("ledger_type").alias("type"))
 
@@ -270,8 +275,8 @@ def lookup_stats(spark, d):
 
 def usage_stats(spark, d):
     looked = _looked_up(spark, d)
-    today = usage_events(spark, d).agg(F.max("day")).first()[0]  # the day that counts as today is a parameter
-    e = looked.where("outcome <> 'invalid'").withColumn("today", F.lit(today))
+    today = usage_events(spark, d).agg(F.max("day")).scalar()  # the last day of the log counts as today
+    e = looked.where("outcome <> 'invalid'").withColumn("today", today)
     ok = F.col("outcome") == "hit"
     return e.agg(F.count("*").alias("total"), F.count_if(F.col("day") == F.col("today")).alias("today"), F.count_if(ok).alias("success"), F.count_if(~ok).alias("failed"), F.floor(F.avg("latency_ms")).alias("avg_latency"), F.count_if(ok).alias("points_spent"), F.count_distinct("user_id").alias("registered"), F.count_distinct(F.when(F.col("user_id") % 5 == 0, F.col("user_id"))).alias("banned"))
 

@@ -7,6 +7,7 @@ the same with their own name.
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,10 @@ from ..operators import mapping, profile
 
 EXTENSIONS = ("csv", "txt", "jsonl", "json", "ndjson")
 JAVA_NAMES = {"utf-8": "UTF-8", "utf-8-bom": "UTF-8", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE", "windows-1251": "windows-1251", "iso-8859-1": "ISO-8859-1"}
+#: Longer lines are rejected.
+MOST_BYTES = 16 << 20
+#: Stands where a reader wants a separator and lines are to stay whole.
+_NO_SEPARATOR = "\x01\x1e\x02\x1f"
 CANONICAL = ["id", "name", "phone", "username", "extras"]
 
 
@@ -31,54 +36,58 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
     return files.withColumn("extension", ext).where(F.col("extension").isin(*EXTENSIONS) & ~F.lower("file").endswith(".standard.csv")).orderBy("file")
 
 
-def raw_lines(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """``(file, part, line_no, value)`` with values as raw bytes; numbers rise within a part."""
+def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """``(file, part, start, value)``: raw bytes of each line, its part file and where its split begins; a split's lines come in order."""
     lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(folder)
-    part = F.concat("_metadata.file_name", F.lit("@"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 18, "0"))
-    return lines.select(_file().alias("file"), part.alias("part"), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33)).alias("id"), F.col("value").cast("binary").alias("value")).withColumn("line_no", F.col("id") - F.min("id").over(_by_part())).drop("id")
-
-
-def _by_part():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("file", "part")
+    return lines.select(_file().alias("file"), F.col("_metadata.file_name").alias("part"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
 
 
 def report(spark: SparkSession, folder: str) -> DataFrame:
-    """Encoding, delimiter, header flag and column roles of every file, from its first lines."""
+    """Encoding, delimiter, header flag, fields and their roles of every file, from its first lines; nothing is converted.
+
+    The fields of a file of JSON records are the keys of those lines in order of name.
+    """
     heads = profile.file_prefixes(raw_lines(spark, folder)).withColumn("encoding", profile.encoding(F.col("prefix")))
     text = F.expr("CASE encoding " + " ".join(f"WHEN '{k}' THEN decode(encode(prefix, 'ISO-8859-1'), '{v}')" for k, v in JAVA_NAMES.items() if k != "windows-1251") + " ELSE prefix END")
     heads = heads.withColumn("lines", profile.first_lines(F.regexp_replace(text, "^﻿", ""), 100)).withColumn("delimiter", profile.delimiter(F.slice("lines", 1, 20)))
     fields = F.transform(F.split(F.get("lines", 0), F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E"))), lambda f: F.regexp_replace(f, '^"|"$', ""))
     heads = heads.withColumn("fields", fields).withColumn("has_header", mapping.header_flag(F.col("fields")))
     synthetic = F.transform(F.col("fields"), lambda f, i: F.when(i == 0, F.lit("id")).otherwise(F.concat(F.lit("col_"), i.cast("string"))))
-    return heads.select("file", "encoding", "delimiter", "has_header", F.when(F.col("has_header"), F.col("fields")).otherwise(synthetic).alias("fields"), profile.is_jsonl(F.lower(F.regexp_extract("file", r"\.([^.]+)$", 1)), F.get("lines", 0)).alias("jsonl"))
+    heads = heads.withColumn("jsonl", profile.is_jsonl(F.lower(F.regexp_extract("file", r"\.([^.]+)$", 1)), F.get("lines", 0)))
+    keys = F.array_sort(F.array_distinct(F.flatten(F.transform("lines", lambda v: F.coalesce(F.json_object_keys(v), F.array().cast("array<string>"))))))
+    named = F.when(F.col("jsonl"), keys).when(F.col("has_header"), F.col("fields")).otherwise(synthetic)
+    heads = heads.select("file", "encoding", "delimiter", (F.col("has_header") & ~F.col("jsonl")).alias("has_header"), named.alias("fields"), "jsonl")
+    return heads.withColumn("roles", F.when(F.col("jsonl"), mapping.roles(F.col("fields"), mapping.role_of_key)).otherwise(mapping.roles(F.col("fields"), mapping.role_of)))
+
 
+def transcode(spark: SparkSession, folder: str, encodings: dict[str, str], headed: Collection[str] = (), most_bytes: int = MOST_BYTES, over: bool = False) -> DataFrame:
+    """``(file, value)``: lines of every file as UTF-8, one reader for each encoding, not for each file.
 
-def transcode(spark: SparkSession, folder: str, encodings: dict[str, str]) -> DataFrame:
-    """Lines of every file as UTF-8: one reader for each encoding, not for each file."""
+    Blank lines are dropped, and so are lines of more than ``most_bytes`` bytes
+    (``over`` gives those instead, so that they can be counted). Of the files in
+    ``headed``, the reader leaves out the first line that isn't blank of each part, whatever its quoting.
+    """
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    groups: dict[str, list[str]] = {}
+    groups: dict[tuple[str, bool], list[str]] = {}
     for file, enc in encodings.items():
-        groups.setdefault(enc, []).append(f"{folder}/{file}")
+        groups.setdefault((enc, file in headed), []).append(f"{folder}/{file}")
     parts = []
-    for enc, paths in sorted(groups.items()):
-        one = spark.read.option("encoding", JAVA_NAMES[enc]).option("lineSep", "\n").option("sep", "\x01").option("quote", "").schema("value string").csv(sorted(paths))
-        parts.append(one.select(_file().alias("file"), F.regexp_replace("value", "^﻿|\r+$", "").alias("value")))
-    return reduce(DataFrame.unionByName, parts).where("trim(value) <> ''")
+    for (enc, header), paths in sorted(groups.items()):
+        one = spark.read.options(encoding=JAVA_NAMES[enc], lineSep="\n", sep=_NO_SEPARATOR, quote="", header=str(header).lower()).schema("value string").csv(sorted(paths))
+        parts.append(one.select(_file().alias("file"), F.regexp_replace("value", "^﻿|\r++$", "").alias("value")))
+    size = F.octet_length("value")
+    return reduce(DataFrame.unionByName, parts).where("trim(value) <> ''").where(size > most_bytes if over else size <= most_bytes)
 
 
 def delimited(lines: DataFrame, facts: list) -> DataFrame:
-    """Canonical rows of delimited lines: one parser for each (delimiter, roles) group of files."""
+    """Canonical rows of delimited data lines: one parser for each (delimiter, roles) group of files."""
     groups: dict[tuple, list[str]] = {}
     for r in facts:
-        groups.setdefault((r.delimiter, r.has_header, tuple(r.fields)), []).append(r.file)
+        groups.setdefault((r.delimiter, tuple(r.fields)), []).append(r.file)
     parts = []
-    for (sep, header, fields), files in sorted(groups.items(), key=str):
+    for (sep, fields), files in sorted(groups.items(), key=str):
         schema = ", ".join(f"c{i} string" for i in range(len(fields)))
         rows = lines.where(F.col("file").isin(*files)).select("file", F.from_csv("value", schema, {"sep": sep, "ignoreLeadingWhiteSpace": "true", "escape": '"'}).alias("r"), "value")
-        if header:
-            rows = rows.where(F.col("value") != sep.join(fields))
         at: dict[str, int] = {}
         for i, f in enumerate(fields):
             norm = "".join(ch for ch in f.strip().lower() if ch not in " _-")

@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
-    """A new path under spark.checkpoint.dir; that is set to a local folder only where it is unset."""
+    """A new path under spark.checkpoint.dir; a local session that has none gets a local folder, a cluster an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-entitymill-")
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"
