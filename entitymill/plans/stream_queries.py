@@ -63,7 +63,7 @@ def _drain_in_time(rows: DataFrame, rule: Callable[[DataFrame], DataFrame], at:
     Rows of one ``us`` stay in one slice.
     """
     spark = rows.sparkSession
-    n = -(-rows.count() // SLICE_ROWS)
+    n = max(3, -(-rows.count() // SLICE_ROWS))
     cuts = sorted(set(rows.approxQuantile("us", [i / n for i in range(1, n)], min(0.01, 0.25 / n)))) if n > 1 else []
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = rows if low is None else rows.where(F.col("us") > int(low))
@@ -96,6 +96,7 @@ def stream_daily_usage(spark, d):
 
 def stream_progress(spark, d):
     at = new_folder(spark, "progress")
-    raw = _slices(spark, d, f"{at}/in")
+    raw = raw_entities(spark, d)
+    raw.repartition(12).write.parquet(f"{at}/in")
     batches = I.ingest(spark, f"{at}/in", raw.schema, f"{at}/out", f"{at}/checkpoint")
-    return spark.createDataFrame(I.progress([b for b in batches if b["rows"]], raw.count()), "batch long, rows long, done long, percent double")
+    return spark.createDataFrame(I.progress([b for b in batches if b["rows"]], raw.count()), "batch long, rows long, done long, percent double, rows_per_second double, seconds_left double")

@@ -14,7 +14,7 @@ def ingest(spark: SparkSession, source: str, schema: StructType, sink: str, chec
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(source)
     query = rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return [dict(batch=p["batchId"], rows=p["numInputRows"]) for p in query.recentProgress]
+    return [dict(batch=p["batchId"], rows=p["numInputRows"], ms=p["durationMs"].get("triggerExecution", 0)) for p in query.recentProgress]
 
 
 def upsert_stream(spark: SparkSession, source: str, schema: StructType, log: str, checkpoint: str) -> None:
@@ -29,15 +29,17 @@ def upsert_stream(spark: SparkSession, source: str, schema: StructType, log: str
 
 def current(spark: SparkSession, log: str) -> DataFrame:
     """The keyed table that the log's batches make, in order of seq."""
-    return merge.upsert(spark.read.parquet(log))
+    return merge.upsert_with_extras(spark.read.parquet(log))
 
 
-def progress(batches: list[dict], total: int) -> list[tuple[int, int, int, float]]:
-    """(batch, rows, rows so far, percent of the total) of each batch."""
-    out, done = [], 0
+def progress(batches: list[dict], total: int) -> list[tuple[int, int, int, float, float, float]]:
+    """(batch, rows, rows so far, percent of the total, rows a second so far, seconds left at that rate) of each batch."""
+    out, done, seconds = [], 0, 0.0
     for b in batches:
         done += b["rows"]
-        out.append((b["batch"], b["rows"], done, round(min(100.0, 100.0 * done / max(total, 1)), 4)))
+        seconds += max(b["ms"], 1) / 1000
+        rate = done / seconds
+        out.append((b["batch"], b["rows"], done, round(min(100.0, 100.0 * done / max(total, 1)), 4), round(rate, 3), round(max(total - done, 0) / rate, 3) if rate else 0.0))
     return out
 
 

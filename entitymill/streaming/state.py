@@ -1,4 +1,8 @@
-"""Per-key rules online: state survives from batch to batch, rows of a batch go in time order."""
+"""Per-key rules online: state survives from batch to batch, rows of a batch go in time order.
+
+Batches come in order of time, so the watermark is the latest time seen. A key's
+state times out once it can't matter for any later row.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ordered import allow
@@ -18,24 +23,38 @@ def _in_order(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(pdfs)).sort_values(["us", "event_id"])
 
 
+def _timed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("at", F.timestamp_micros("us")).withWatermark("at", "0 seconds")
+
+
 def rate_limit_stream(events: DataFrame, limit: int = LIMIT, width: int = WIDTH) -> DataFrame:
     """Same decisions as the batch rule; the state is the last accepted times, at most ``limit`` of them."""
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         log = deque(state.get[0] if state.exists else ())
-        out = []
+        out, last = [], 0
         for r in _in_order(pdfs).itertuples(index=False):
+            last = max(last, r.us)
             out.append((r.event_id, key[0], key[0] > 0 and (key[0] in OWNERS or allow(log, r.us, limit, width))))
         state.update((list(log),))
+        state.setTimeoutTimestamp((last + width) // 1000 + 1)
         yield pd.DataFrame(out, columns=["event_id", "user_id", "allowed"])
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, allowed boolean", "log array<long>", "append", GroupStateTimeout.NoTimeout)
+    # a request without a user is refused and needs no state; key values of one type stay exact
+    known = _timed(events.where("user_id is not null"))
+    return known.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, allowed boolean", "log array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ttl_hits_stream(probes: DataFrame, ttl: int = TTL) -> DataFrame:
     """Cache hits of ``(event_id, us, own)``: the first access opens a fixed time to live that hits don't extend."""
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         ends = state.get[0] if state.exists else None
         out = []
         for r in _in_order(pdfs).itertuples(index=False):
@@ -44,6 +63,7 @@ def ttl_hits_stream(probes: DataFrame, ttl: int = TTL) -> DataFrame:
                 ends = r.us + ttl
             out.append((r.event_id, key[0], hit))
         state.update((ends,))
+        state.setTimeoutTimestamp(ends // 1000 + 1)
         yield pd.DataFrame(out, columns=["event_id", "key", "cache_hit"])
 
-    return probes.groupBy("own").applyInPandasWithState(step, "event_id long, key string, cache_hit boolean", "ends long", "append", GroupStateTimeout.NoTimeout)
+    return _timed(probes).groupBy("own").applyInPandasWithState(step, "event_id long, key string, cache_hit boolean", "ends long", "append", GroupStateTimeout.EventTimeTimeout)
