@@ -1,5 +1,6 @@
 """Literal cases of the rules."""
 
+import json
 from collections import deque
 
 from entitymill.functions import clean as C
@@ -95,10 +96,65 @@ def test_records(spark):
     df = spark.createDataFrame(list(enumerate(lines)), "line_no int, value string")
     got = {r.line_no: tuple(r)[1:] for r in mapping.map_records(df).collect()}
     assert [got[i][0] for i in range(5)] == [None, None, "12345678901234567890", "7", None]
-    assert got[2][1:4] == ("C", "", "") and '"t":"[1]"' in got[2][4]
+    assert got[2][1:4] == ("C", "", "") and '"t":[1]' in got[2][4]
     assert got[3] == ("7", "Tanya_y", "", "tanya_y", "{}")
 
 
+def test_extras_keep_their_types(spark):
+    """Numbers, booleans, lists, objects and escapes of extras are the JSON they were."""
+    line = '{"uid": "7", "n": 7, "b": true, "o": {"a": 1}, "s": "x\\"y", "z": null, "city": "x"}'
+    got = mapping.map_records(spark.createDataFrame([(1, line)], "line_no int, value string")).first()
+    assert json.loads(got.extras) == {"n": 7, "b": True, "o": {"a": 1}, "s": 'x"y', "city": "x"}
+    rows = spark.createDataFrame([("1", 1, '{"a":"x\\"y","b":1}'), ("1", 2, '{"a":5,"b":true}'), ("1", 3, "no json"), ("2", 1, "{}")], "id string, seq long, extras string")
+    assert {r.key: json.loads(r.merged) for r in merge.merge_flat_json(rows).collect()} == {"a": ['x"y', 5], "b": [1, True]}
+    full = {r.id: r for r in merge.upsert_with_extras(rows.withColumns({c: F.lit("v") for c in ("name", "alias_a", "alias_b")})).collect()}
+    assert json.loads(full["1"].extras) == {"a": ['x"y', 5], "b": [1, True]} and full["2"].extras == "{}"
+    assert merge.deep_merge(1, True) == [1, True] and merge.deep_merge(1, 1.0) == [1, 1.0]
+
+
+def test_rules_without_a_user_and_with_large_ids(spark):
+    big = 1152921504606846977
+    rows = [(1, None, 1), (2, big, 2), (3, None, 3), (4, 3, 4)] + [(10 + i, big, 10 + i) for i in range(6)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, us long")
+    got = {r.event_id: (r.user_id, r.allowed) for r in usage.rate_limit(events).collect()}
+    assert got[1] == got[3] == (None, False) and got[2] == (big, True) and got[15] == (big, False) and got[4] == (3, True)
+    money = spark.createDataFrame([(1, None, "credit", 2), (2, None, "debit", 1), (3, None, "debit", 2), (4, big, "debit", 1)], "event_id long, user_id long, ledger_type string, amount long")
+    assert {r.event_id: (r.user_id, r.applied, r.balance) for r in usage.guarded_debits(money).collect()} == {1: (None, True, 2), 2: (None, True, 1), 3: (None, False, 1), 4: (big, False, 0)}
+
+
+def test_delimited_files_as_they_come(spark, tmp_path):
+    """Quoted headers go by their place, equal data lines stay, U+0001 cuts nothing, over-long lines are counted."""
+    (tmp_path / "q.csv").write_text('\n"id";"name";"phone"\n1;"A";+15551234567\n"id";"name";"phone"\n2;B\x01b;3\n3;' + "x" * 3000 + ";4\n")
+    facts = [r for r in files.report(spark, f"file://{tmp_path}").collect()]
+    assert [(r.file, r.delimiter, r.has_header) for r in facts] == [("q.csv", ";", True)]
+    read = lambda **o: files.transcode(spark, f"file://{tmp_path}", {"q.csv": "utf-8"}, {"q.csv"}, most_bytes=1000, **o)
+    got = [(r.id, r.name, r.phone) for r in files.delimited(read(), facts).collect()]
+    assert got == [("1", "A", "+15551234567"), ("id", "name", "phone"), ("2", "B\x01b", "3")]
+    assert read(over=True).count() == 1
+
+
+def test_prefixes_end_at_their_size(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"ab\n" * 40_000)
+    (tmp_path / "b.txt").write_bytes(b"\xe9\n" + b"y" * 200_000)
+    got = {r.file: r.prefix for r in profile.file_prefixes(files.raw_lines(spark, f"file://{tmp_path}")).collect()}
+    assert got == {"a.txt": ("ab\n" * 40_000)[:65536], "b.txt": ("é\n" + "y" * 200_000)[:65536]}
+
+
+def test_blank_lines_and_long_runs(spark):
+    import time
+
+    assert one(spark, "\n \t\n a\r\n\u2003\nb\n" + "c\n" * 30, profile.first_lines(F.col("v"), 3)) == [" a", "b", "c"]
+    began = time.time()
+    assert one(spark, "x" + " " * 200_000 + "y", F.length(C.trim("v"))) == 200_002
+    assert time.time() - began < 20
+
+
+def test_progress_has_rate_and_time_left():
+    from entitymill.streaming import ingest
+
+    assert ingest.progress([dict(batch=0, rows=10, ms=1000), dict(batch=1, rows=30, ms=1000)], 80) == [(0, 10, 10, 12.5, 10.0, 7.0), (1, 30, 40, 50.0, 20.0, 2.0)]
+
+
 def test_delimiters(spark):
     for text, want in [("a;b;c\n1;2;3", ";"), ("a\tb\n1\t2", "\t"), ("a|b\nc|d", "|"), ("abc\ndef", ","), ("", ",")]:
         assert one(spark, text, profile.delimiter(profile.first_lines(F.col("v")))) == want
