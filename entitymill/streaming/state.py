@@ -28,7 +28,10 @@ def _timed(rows: DataFrame) -> DataFrame:
 
 
 def rate_limit_stream(events: DataFrame, limit: int = LIMIT, width: int = WIDTH) -> DataFrame:
-    """Same decisions as the batch rule; the state is the last accepted times, at most ``limit`` of them."""
+    """Same decisions as the batch rule; the state is the last accepted times, at most ``limit`` of them.
+
+    Requests without a user are refused without a row here.
+    """
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -43,7 +46,7 @@ def rate_limit_stream(events: DataFrame, limit: int = LIMIT, width: int = WIDTH)
         state.setTimeoutTimestamp((last + width) // 1000 + 1)
         yield pd.DataFrame(out, columns=["event_id", "user_id", "allowed"])
 
-    # a request without a user is refused and needs no state; key values of one type stay exact
+    # without nulls the keys stay exact integers
     known = _timed(events.where("user_id is not null"))
     return known.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, allowed boolean", "log array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
