@@ -87,7 +87,7 @@ def _first(m: Column, normal: Column, keys: list[str]) -> Column:
 def map_records(lines: DataFrame) -> DataFrame:
     """``lines(line_no, value)`` of JSON to canonical rows; lines without an object or a valid id give a null id.
 
-    Extras keep their JSON values: numbers, booleans, lists and objects stay what they are.
+    Extras keep their JSON values: numbers, booleans, lists, objects and nulls stay what they are.
     """
     m = F.from_json("value", "map<string,string>")
     rows = lines.select("line_no", m.alias("m"), F.try_parse_json("value").try_cast("map<string,variant>").alias("raw"))
@@ -100,8 +100,8 @@ def map_records(lines: DataFrame) -> DataFrame:
     nick = C.lower_alias_b(get(NICK_KEYS))
     rows = rows.select("line_no", "m", "raw", get(ID_KEYS).alias("id"), name.alias("name"), get(PHONE_KEYS).alias("phone"), F.when(nick.rlike(C.ALIAS_B), nick).otherwise("").alias("username"))
     used = [k.replace("_", "").lower() for keys in (ID_KEYS, NAME_KEYS, FIRST_KEYS, LAST_KEYS, PHONE_KEYS) for k in keys]
-    extras = F.map_filter("raw", lambda k, v: ~F.lower(F.regexp_replace(k, "[\\s_-]", "")).isin(*set(used)) & ~((F.col("username") != "") & F.lower(F.regexp_replace(k, "[\\s_-]", "")).isin("nick", "nickname", "username", "login")) & v.isNotNull() & ~F.is_variant_null(v))
+    extras = F.map_filter("raw", lambda k, v: ~F.lower(F.regexp_replace(k, "[\\s_-]", "")).isin(*set(used)) & ~((F.col("username") != "") & F.lower(F.regexp_replace(k, "[\\s_-]", "")).isin("nick", "nickname", "username", "login")))
     rows = rows.withColumn("extras", extras).withColumn("keys", F.array_sort(F.map_keys("extras")))
-    ordered = F.map_from_arrays("keys", F.transform("keys", lambda k: F.element_at("extras", k)))
+    ordered = F.map_from_arrays("keys", F.transform("keys", lambda k: F.coalesce(F.element_at("extras", k), F.parse_json(F.lit("null")))))
     ok = F.col("id").rlike(C.ID)
     return rows.select("line_no", F.when(ok, F.col("id")).alias("id"), *(F.when(ok, F.col(c)).alias(c) for c in ("name", "phone", "username")), F.when(ok, F.to_json(ordered)).alias("extras"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..operators.validate import INJECTION_PATTERNS
+
 PARTS = {
     "raw": (
         "",
@@ -90,23 +92,6 @@ def sql(parts: str, body: str) -> str:
 CLEAN_A = r"regexp_replace(alias_a_raw, '[\s()-]', '', 'g')"
 DIGITS = r"regexp_replace(regexp_replace(trim(alias_a_raw), '^\+', ''), '[-(). ]', '', 'g')"
 REASON_TEXT = r"""CASE WHEN text IS NULL THEN 'is empty' WHEN strlen(text) > 4096 THEN 'exceeds size' WHEN trim(text) = '' THEN 'is empty' WHEN regexp_matches(regexp_replace(trim(text), '[\n\t\r]', '', 'g'), '\p{Cc}') THEN 'control characters' ELSE '' END"""
-PATTERNS = [
-    r"(?i)\bunion\s+all\s+select\b",
-    r"(?i)\bunion\s+select\b",
-    r"(?i)\bdrop\s+table\b",
-    r"(?i)\binsert\s+into\b",
-    r"(?i)\bdelete\s+from\b",
-    r"(?i)\bupdate\s+\w+\s+set\b",
-    r"(?i)\bor\s+1\s*=\s*1\b",
-    r"(?i)\band\s+1\s*=\s*1\b",
-    r"(?i)\bsleep\s*\(",
-    r"(?i)\bbenchmark\s*\(",
-    r"(?i)\bxp_cmdshell\b",
-    r"(?i)\binformation_schema\b",
-    r"(?i);\s*(drop|delete|insert|update|select)\b",
-    r"--|/\*|\*/",
-    r"(?i)'\s*(or|and)\s+",
-]
 
 ORACLES = {
     "rejects_sink": sql("checked", "SELECT source_file, seq AS line_no, reason, id_raw AS raw FROM checked WHERE reason IS NOT NULL"),
@@ -124,7 +109,7 @@ ORACLES = {
     "text_sanitize": rf"""WITH t AS (SELECT 'documents' AS source, doc_id AS id, text FROM documents UNION ALL SELECT 'conversations', conv_id * 1000 + turn, text FROM conversations),
 r AS (SELECT *, {REASON_TEXT} AS reason FROM t)
 SELECT source, id, CASE WHEN reason = '' THEN trim(regexp_replace(regexp_replace(regexp_replace(trim(text), '[\n\t\r]', ' ', 'g'), '\p{{Cf}}', '', 'g'), '\s+', ' ', 'g')) ELSE '' END AS clean, reason FROM r""",
-    "injection_scan": "WITH t AS (SELECT text FROM documents UNION ALL SELECT html FROM pages) " + " UNION ALL ".join("SELECT CAST({} AS BIGINT) AS pattern, count(*) AS matches FROM t WHERE regexp_matches(text, '{}')".format(i, p.replace("'", "''")) for i, p in enumerate(PATTERNS)),
+    "injection_scan": "WITH t AS (SELECT text FROM documents UNION ALL SELECT html FROM pages) " + " UNION ALL ".join("SELECT CAST({} AS BIGINT) AS pattern, count(*) AS matches FROM t WHERE regexp_matches(text, '{}')".format(i, p.replace("'", "''")) for i, p in enumerate(INJECTION_PATTERNS)),
     "key_quality": r"""WITH k AS (SELECT c_name AS key FROM customer UNION ALL SELECT url FROM pages)
 SELECT CASE WHEN coalesce(key, '') = '' THEN 'empty' WHEN strlen(key) > 511 THEN 'too long' WHEN regexp_matches(key, '\p{Cc}') THEN 'control characters' ELSE 'ok' END AS reason, count(*) AS n FROM k GROUP BY 1""",
     "path_hygiene": r"""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*', '') AS path FROM pages),
@@ -302,3 +287,11 @@ ORACLES |= {
  ('utf16.csv', 'utf-16le', ',', true, false, 'id,name,phone,username', 'id,name,phone,username', ''),
  ('x.standard.csv', 'utf-8', ',', true, false, 'id,name,phone,username,extras', 'id,name,phone,username,extras', 'extras')) t(file, encoding, delimiter, has_header, jsonl, fields, roles, extras)""",
 }
+
+_OTHERS = sql("raw", """SELECT 'cp1251.csv' AS file, id_raw AS id, trim('ИмяФамилия ГородМосква ' || trim(name_raw)) AS name, '' AS phone, '' AS username, '{}' AS extras FROM raw WHERE source_file = '0'
+UNION ALL SELECT 'utf16.csv', id_raw, trim('ИмяФамилия ГородМосква ' || trim(name_raw)), alias_a_raw, alias_b_raw, '{}' FROM raw WHERE source_file = '0'
+UNION ALL SELECT 'latin1.csv', id_raw, trim('Éléonore ' || trim(name_raw)), alias_a_raw, alias_b_raw, '{}' FROM raw WHERE source_file = '1'
+UNION ALL SELECT 'x.standard.csv', id_raw, trim(name_raw), alias_a_raw, alias_b_raw, '{}' FROM raw WHERE source_file = '2'
+UNION ALL SELECT 'recs.jsonl', id_raw, CASE WHEN trim(name_raw) <> '' THEN trim(name_raw) ELSE alias_b_raw END, '',
+ CASE WHEN alias_b_raw LIKE '@%' THEN lower(ltrim(alias_b_raw, '@')) ELSE '' END, CASE WHEN alias_b_raw LIKE '@%' THEN '{}' ELSE '{"nick":"' || alias_b_raw || '"}' END FROM raw WHERE source_file = '0'""")
+ORACLES["convert_or_pass"] = f"SELECT * FROM (SELECT * FROM ({_DELIMITED}) UNION ALL SELECT * FROM ({_OTHERS})) WHERE regexp_full_match(id, '0|[1-9][0-9]{{0,31}}')"

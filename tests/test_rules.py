@@ -104,7 +104,7 @@ def test_extras_keep_their_types(spark):
     """Numbers, booleans, lists, objects and escapes of extras are the JSON they were."""
     line = '{"uid": "7", "n": 7, "b": true, "o": {"a": 1}, "s": "x\\"y", "z": null, "city": "x"}'
     got = mapping.map_records(spark.createDataFrame([(1, line)], "line_no int, value string")).first()
-    assert json.loads(got.extras) == {"n": 7, "b": True, "o": {"a": 1}, "s": 'x"y', "city": "x"}
+    assert json.loads(got.extras) == {"n": 7, "b": True, "o": {"a": 1}, "s": 'x"y', "z": None, "city": "x"}
     rows = spark.createDataFrame([("1", 1, '{"a":"x\\"y","b":1}'), ("1", 2, '{"a":5,"b":true}'), ("1", 3, "no json"), ("2", 1, "{}")], "id string, seq long, extras string")
     assert {r.key: json.loads(r.merged) for r in merge.merge_flat_json(rows).collect()} == {"a": ['x"y', 5], "b": [1, True]}
     full = {r.id: r for r in merge.upsert_with_extras(rows.withColumns({c: F.lit("v") for c in ("name", "alias_a", "alias_b")})).collect()}
