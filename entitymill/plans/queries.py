@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean as C
 from ..operators import lookup, merge, usage, validate
+from ..sources.shared import new_folder
 from ..sources.views import raw_entities, table, usage_events
 
 
@@ -240,8 +241,9 @@ def ledger_append(spark, d):
 
 
 def index_tables(spark, d):
-    records, a, b = _indexes(spark, d)
-    return lookup.search_index(records, a, b)
+    path = new_folder(spark, "index")
+    lookup.write_indexes(*_indexes(spark, d), path)
+    return lookup.search_index(*lookup.read_indexes(spark, path))
 
 
 # aggregates
@@ -267,10 +269,10 @@ def convert_stats(spark, d):
 
 def lookup_stats(spark, d):
     looked = _looked_up(spark, d)
-    cached = usage.ttl_hits(looked).select("event_id", "cache_hit")
-    rows = looked.join(cached, "event_id", "left")
-    count = lambda c: F.count_if(c)
-    return rows.groupBy("kind").agg(F.count("*").alias("queries"), count(F.col("outcome") == "hit").alias("hits"), count(F.col("outcome") == "miss").alias("misses"), count(F.col("outcome") == "invalid").alias("invalid"), count(F.col("cache_hit")).alias("cache_hits"), count(~F.col("cache_hit")).alias("cache_misses"), F.round(F.avg("latency_ms"), 4).alias("avg_latency"))
+    cached = usage.ttl_hits(looked).groupBy(F.substring_index("key", ":", 1).alias("kind")).agg(F.count_if("cache_hit").alias("cache_hits"), F.count_if(~F.col("cache_hit")).alias("cache_misses"))
+    count = lambda outcome: F.count_if(F.col("outcome") == outcome)
+    sums = looked.groupBy("kind").agg(F.count("*").alias("queries"), count("hit").alias("hits"), count("miss").alias("misses"), count("invalid").alias("invalid"), F.round(F.avg("latency_ms"), 4).alias("avg_latency"))
+    return sums.join(cached, "kind", "left").na.fill(0, ["cache_hits", "cache_misses"])
 
 
 def usage_stats(spark, d):
