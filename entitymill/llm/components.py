@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is hung on the node's smallest neighbour."""
+def _large_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Every larger neighbour of a node is hung on the node's smallest neighbour; a node without a smaller one keeps its own."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = scratch.put(edges.groupBy("u").agg(F.min("v").alias("m")), name)
+    return both.where("v > u").join(least, "u", "left").select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are hung on the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = scratch.put(edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")), name)
+    # a node with one neighbour moves nothing
+    moved = edges.join(least.where("m < most"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -27,15 +28,17 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str, most_rou
 
     Each round shuffles the remaining links twice and writes them; the number
     of rounds grows with the logarithm of the longest chain. Groupings are
-    partial minima and the joins back are plain equi-joins that adaptive
-    execution may split, so a hub with very many links is no single task's work.
+    partial minima. They are written before they are joined back, so that the
+    join is no part of the grouping's stage: small minima are broadcast, and for
+    large ones adaptive execution splits a hub with very many links.
     Null ends and self links are ignored; no links give an empty table.
     """
     edges = scratch.put(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
     seen = None
     for k in range(1, most_rounds):
-        edges = scratch.put(_small_star(_large_star(edges)), f"{name}-{k}")
-        scratch.drop(f"{name}-{k - 1}")
+        large = scratch.put(_large_star(edges, scratch, f"{name}-{k}-least"), f"{name}-{k}-large")
+        edges = scratch.put(_small_star(large, scratch, f"{name}-{k}-low"), f"{name}-{k}")
+        scratch.drop(f"{name}-{k - 1}", *(f"{name}-{k}-{part}" for part in ("least", "large", "low")))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

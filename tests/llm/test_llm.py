@@ -11,6 +11,8 @@ import pytest
 pytest.importorskip("entitymill.llm")
 
 from entitymill.llm import byte_bpe, chat_views, entries, fingerprints, html_text, near_dedup, packing, personal_data, quality_rules, secret_scan, subword_classifier  # noqa: E402
+from entitymill.llm.common import Scratch  # noqa: E402
+from entitymill.llm.components import connected_components  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -92,6 +94,32 @@ def test_near_duplicates_of_texts_that_share_an_id(spark):
     assert left[:2] == ["a b c d e f", "g h i j k l"] and len(left) == 3 and left[2].startswith("q r s")
 
 
+def test_components_of_hubs_chains_and_cliques(spark):
+    rnd = random.Random(11)
+    hub = [(0, i) for i in range(100, 400)] + [(950, i) for i in range(500, 700)]
+    chain = [(i + 1, i) for i in range(1000, 1060)]
+    ring = [(2000, 2010), (2010, 2005), (2005, 2000)]
+    loose = [(rnd.randrange(3000, 3200), rnd.randrange(3000, 3200)) for _ in range(120)]
+    pairs = hub + chain + ring + loose + loose[:9] + [(7, 7), (None, 8), (9, None)]
+    rnd.shuffle(pairs)
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a is not None and b is not None and a != b:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    links = spark.createDataFrame(pairs, "a long, b long")
+    rows = connected_components(links, Scratch(spark, "test"), "x").collect()
+    assert len(rows) == len(parent)
+    assert {r.node: r.component for r in rows} == {n: root(n) for n in parent}
+    assert connected_components(links.where("a = b"), Scratch(spark, "test"), "x").count() == 0
+
+
 def test_sketch_estimates_similarity():
     import numpy as np
 
