@@ -12,6 +12,7 @@ from .personal_data import op9_personal_data
 from .quality_rules import op10_quality_rules
 from .secret_scan import op6_secret_scan
 from .subword_classifier import op5_quality_classifier
+from .turn_repair import OP13_SQL, op13_turn_repair
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_personal_data": op9_personal_data,
     "op10_quality_rules": op10_quality_rules,
+    "op13_turn_repair": op13_turn_repair,
 }
 
-ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op3_chat_views": OP3_SQL, "op4_html_text": OP4_SQL}
+ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op3_chat_views": OP3_SQL, "op4_html_text": OP4_SQL, "op13_turn_repair": OP13_SQL}
