@@ -56,12 +56,12 @@ def utf8(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]
 
 
 class Words:
-    """The words of a batch: byte starts and ends, text index, hashes."""
+    """The words of a batch: byte starts and ends, text index, hashes. ``space`` tells the bytes between words."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, space: np.ndarray = _SPACE):
         self.buf, self.off = utf8(column, lower)
         self.n = len(column)
-        word = ~_SPACE[self.buf]
+        word = ~space[self.buf]
         full = self.off[:-1] < self.off[1:]
         before = np.zeros(len(word), bool)
         before[1:] = word[:-1]
