@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import clean as C
+from . import jsontree
 
 #: Header names (letters only, lower case) of each role.
 ROLE_ALIASES = {
@@ -84,13 +87,22 @@ def _first(m: Column, normal: Column, keys: list[str]) -> Column:
     return F.coalesce(*exact, *loose, F.lit(""))
 
 
+@F.pandas_udf(StringType())
+def _last_keys(texts: pd.Series) -> pd.Series:
+    """The same objects with the last value of each key."""
+    return texts.map(lambda t: None if t is None or (tree := jsontree.parse(t)) is None else jsontree.write(tree))
+
+
 def map_records(lines: DataFrame) -> DataFrame:
     """``lines(line_no, value)`` of JSON to canonical rows; lines without an object or a valid id give a null id.
 
-    Extras keep their JSON values: numbers, booleans, lists, objects and nulls stay what they are.
+    Extras keep their JSON values: numbers, booleans, lists, objects and nulls stay what they are; of a repeated key the last value counts.
     """
     m = F.from_json("value", "map<string,string>")
-    rows = lines.select("line_no", m.alias("m"), F.try_parse_json("value").try_cast("map<string,variant>").alias("raw"))
+    read = F.try_parse_json("value")
+    # objects that repeat a key are read as null; only these are rewritten
+    rows = lines.select("line_no", m.alias("m"), "value", read.alias("read")).withColumn("again", _last_keys(F.when(F.col("m").isNotNull() & F.col("read").isNull(), F.col("value"))))
+    rows = rows.select("line_no", "m", F.coalesce("read", F.try_parse_json("again")).try_cast("map<string,variant>").alias("raw"))
     # of keys that are equal once normalised the first in key order counts
     entries = F.transform(F.array_sort(F.map_entries("m")), lambda e: F.struct(F.lower(F.regexp_replace(e.key, "[\\s_-]", "")).alias("key"), e.value.alias("value")))
     firsts = F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda acc, e: F.when(F.map_contains_key(acc, e.key), acc).otherwise(F.map_concat(acc, F.map_from_arrays(F.array(e.key), F.array(e.value)))))

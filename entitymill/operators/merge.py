@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .jsontree import Merged, write
 from .ordered import ordered_reduce
 
 
@@ -22,69 +21,53 @@ def upsert(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(last("name"), last("alias_a"), last("alias_b"), F.count("*").alias("n_rows"))
 
 
-def merge_flat_json(rows: DataFrame) -> DataFrame:
-    """Left-to-right merge of flat JSON objects by id: equal values stay, different ones nest as [old,new].
-
-    Values are JSON tokens, so numbers, booleans and escapes stay what they are.
-    A text that is no object, or repeats a key, counts as {}.
-    Rows stream through in order of seq; of an (id, key) only the values that
-    make up the merged one are held, and they are joined once at the end.
-    """
-    pairs = rows.select("id", "seq", F.explode(F.try_parse_json("extras").try_cast("map<string,variant>")).alias("key", "value"))
-    quoted = pairs.select(F.to_json(F.struct("id", "key")).alias("of"), "seq", F.when(~F.is_variant_null("value"), F.to_json("value")).alias("v"))
-
-    def step(parts: list, r) -> list:
-        # a nested value never equals a quoted one; a null value empties the merged one unless it is the first
-        if not parts or parts == [r.v]:
-            return parts or ([] if r.v is None else [r.v])
-        if r.v is None:
-            return []
-        parts.append(r.v)
-        return parts
-
-    def finish(of: str, parts: list) -> tuple:
-        named = json.loads(of)
-        merged = "[" * (len(parts) - 1) + parts[0] + "".join(f",{v}]" for v in parts[1:]) if parts else None
-        return named.get("id"), named.get("key"), merged
-
-    return ordered_reduce(quoted, "of", ["seq", "v"], "id string, key string, merged string", list, step, finish)
+def merge_json(rows: DataFrame) -> DataFrame:
+    """``rows(id, seq, extras)`` to ``(id, merged)``: the texts of each id merged in order of seq, see ``jsontree``."""
+    return ordered_reduce(rows.select("id", "seq", "extras"), "id", ["seq"], "id string, merged string", Merged, lambda s, r: s.take(r.extras), lambda k, s: (k, s.text()))
 
 
-def upsert_with_extras(rows: DataFrame) -> DataFrame:
-    """``upsert`` and, in the same table, the merged extras of each id as one object with its keys in order."""
-    merged = merge_flat_json(rows).where("merged is not null")
-    pair = F.concat(F.to_json(F.array("key")).substr(F.lit(2), F.length(F.to_json(F.array("key"))) - 2), F.lit(":"), F.col("merged"))
-    # an id has as many entries as distinct keys
-    objects = merged.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("key", pair.alias("pair")))).alias("p"))
-    objects = objects.select("id", F.concat(F.lit("{"), F.array_join("p.pair", ","), F.lit("}")).alias("extras"))
-    return upsert(rows).join(objects, "id", "left").withColumn("extras", F.coalesce("extras", F.lit("{}")))
+def merge_json_keys(rows: DataFrame) -> DataFrame:
+    """The merged object of each id as ``(id, key, merged)``, a row for each of its keys."""
+    pairs = lambda k, s: [(k, key, write(value)) for key, value in (s.tree or {}).items()]
+    return ordered_reduce(rows.select("id", "seq", "extras"), "id", ["seq"], "id string, key string, merged string", Merged, lambda s, r: s.take(r.extras), pairs)
 
 
-def _parsed(text: str | None):
-    try:
-        return json.loads(text) if text else None
-    except ValueError:
-        return None
+def upsert_with_extras(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """``upsert`` with merged extras, onto the ``existing`` records if there are any: one shuffle by id, one ordered pass.
 
+    ``existing`` has the columns of the result; its rows come before all others.
+    """
+    fields = ["name", "alias_a", "alias_b"]
+    new = rows.select("id", F.col("seq").cast("long").alias("seq"), *fields, "extras", F.lit(1).cast("long").alias("n_rows"))
+    if existing is not None:
+        new = existing.select("id", F.lit(None).cast("long").alias("seq"), *fields, "extras", F.col("n_rows").cast("long").alias("n_rows")).unionByName(new)
+
+    def step(state: list, r) -> list:
+        for k, value in enumerate((r.name, r.alias_a, r.alias_b)):
+            state[k] = value or state[k]
+        state[3] += r.n_rows
+        state[4].take(r.extras)
+        return state
+
+    return ordered_reduce(new, "id", ["seq"], "id string, name string, alias_a string, alias_b string, n_rows long, extras string", lambda: ["", "", "", 0, Merged()], step, lambda k, s: (k, *s[:4], s[4].text()))
+
+
+def _carried(rows: DataFrame, alias: str, existing: DataFrame | None = None) -> DataFrame:
+    """``(id, seq, alias)``: the alias that each row's id carries at that time, from ``existing(id, alias)`` on; rows without one are left out."""
+    rows = rows.select("id", F.col("seq").cast("long").alias("seq"), F.nullif(F.col(alias), F.lit("")).alias("alias"))
+    if existing is not None:
+        rows = rows.unionByName(existing.select("id", F.lit(None).cast("long").alias("seq"), F.nullif(F.col(alias), F.lit("")).alias("alias")))
+    run = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("id", "seq", F.last("alias", ignorenulls=True).over(run).alias("alias")).where("alias is not null")
 
-def deep_merge(old, new):
-    """Objects merge key by key, equal values stay, different ones become [old, new]; nothing or {} gives way.
 
-    Values are equal if their JSON is: 1, 1.0 and true are three values.
-    """
-    if old in (None, {}):
-        return new
-    if new in (None, {}):
-        return old
-    if isinstance(old, dict) and isinstance(new, dict):
-        return old | {k: deep_merge(old[k], v) if k in old else v for k, v in new.items()}
-    return new if json.dumps(old, sort_keys=True) == json.dumps(new, sort_keys=True) else [old, new]
+def alias_writes(rows: DataFrame, alias: str, existing: DataFrame | None = None) -> DataFrame:
+    """``(alias, id, seq)``: the last write of each alias by ``rows``, whose ids start from the ``existing`` records."""
+    return last_writes(_carried(rows, alias, existing).where("seq is not null"))
 
 
-def merge_nested_json(rows: DataFrame) -> DataFrame:
-    """Left-to-right merge of nested JSON by id in order of seq; rows stream through, only the merged value is held."""
-    text = lambda v: json.dumps({} if v is None else v, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    return ordered_reduce(rows.select("id", "seq", "extras"), "id", ["seq"], "id string, merged string", lambda: None, lambda s, r: deep_merge(s, _parsed(r.extras)), lambda k, s: (k, text(s)))
+def last_writes(writes: DataFrame) -> DataFrame:
+    return writes.groupBy("alias").agg(F.max(F.struct("seq", "id")).alias("r")).select("alias", "r.id", "r.seq")
 
 
 def alias_index(rows: DataFrame, alias: str) -> DataFrame:
@@ -92,13 +75,16 @@ def alias_index(rows: DataFrame, alias: str) -> DataFrame:
 
     ``is_current`` tells whether the id still has that alias at the end.
     """
-    run = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("id")
-    carried = rows.select("id", "seq", F.last(F.nullif(F.col(alias), F.lit("")), ignorenulls=True).over(run).alias("alias"))
-    carried = carried.withColumn("final", F.max_by("alias", "seq").over(whole)).where("alias is not null")
+    carried = _carried(rows, alias).withColumn("final", F.max_by("alias", "seq").over(Window.partitionBy("id")))
     return carried.groupBy("alias").agg(F.max(F.struct("seq", "id", "final")).alias("r")).select("alias", "r.id", (F.col("r.final") == F.col("alias")).alias("is_current"))
 
 
+def with_current(index: DataFrame, records: DataFrame, alias: str) -> DataFrame:
+    """A kept index ``(alias, id, seq)`` with ``is_current``, from the kept records."""
+    final = records.select(F.col("id").alias("of"), F.col(alias).alias("final"))
+    return index.join(final, F.col("id") == F.col("of"), "left").select("alias", "id", F.coalesce(F.col("final") == F.col("alias"), F.lit(False)).alias("is_current"))
+
+
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Last row of each key in batch order."""
     fields = [c for c in rows.columns if c not in (key, order)]

@@ -46,7 +46,11 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], schema: str, start:
 
 
 def ordered_reduce(df: DataFrame, key: str, order: list[str], schema: str, start: Callable[[], object], step: Callable, finish: Callable) -> DataFrame:
-    """One output row per key: ``finish(key, state)`` after ``state = step(state, row)`` over its rows in order."""
+    """Output rows of each key: ``finish(key, state)``, a tuple or a list of them, after ``state = step(state, row)`` over its rows in order."""
+
+    def ended(key: object, state: object) -> list[tuple]:
+        rows = finish(key, state)
+        return rows if isinstance(rows, list) else [rows]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, any_ = None, None, False
@@ -55,12 +59,12 @@ def ordered_reduce(df: DataFrame, key: str, order: list[str], schema: str, start
             for row in _rows(batch):
                 if not any_ or getattr(row, key) != now:
                     if any_:
-                        out.append(finish(now, state))
+                        out += ended(now, state)
                     now, state, any_ = getattr(row, key), start(), True
                 state = step(state, row)
             yield _out(out, schema)
         if any_:
-            yield _out([finish(now, state)], schema)
+            yield _out(ended(now, state), schema)
 
     return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 

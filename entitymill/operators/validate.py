@@ -33,10 +33,15 @@ INJECTION_PATTERNS = [
 INJECTION_NEEDS = [["union"], ["union"], ["drop"], ["insert"], ["delete"], ["update"], ["="], ["="], ["sleep"], ["benchmark"], ["xp_cmdshell"], ["information_schema"], [";"], ["--", "/*", "*/"], ["'"]]
 
 
+def reason(column: str) -> Column:
+    """Why a row with such an id is rejected; null where it isn't."""
+    i = C.trim(column)
+    return F.when(i == "", "missing id").when(~C.is_id(i), "invalid id")
+
+
 def validate(raw: DataFrame) -> DataFrame:
     """Every row with its cleaned fields and ``reason`` (null where accepted): one projection, no shuffle."""
     i = C.trim("id_raw")
-    reason = F.when(i == "", "missing id").when(~C.is_id(i), "invalid id")
     extras = C.trim("extras_raw")
     return raw.select(
         "seq",
@@ -46,7 +51,7 @@ def validate(raw: DataFrame) -> DataFrame:
         C.clean_alias_a("alias_a_raw").alias("alias_a"),
         C.clean_alias_b("alias_b_raw").alias("alias_b"),
         F.when(extras == "", "{}").otherwise(extras).alias("extras"),
-        reason.alias("reason"),
+        reason("id_raw").alias("reason"),
         "id_raw",
     )
 

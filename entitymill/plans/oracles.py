@@ -244,6 +244,8 @@ CASE WHEN k % 2 = 0 THEN '{"city":"x"}' ELSE '{"city":"x","nick":"no!"}' END AS
 ORACLES |= {
     "incremental_ingest": sql("raw", "SELECT seq, source_file, id_raw FROM raw"),
     "stream_upsert": ORACLES["upsert_merge"],
+    "stream_alias_index": ORACLES["alias_index"],
+    "stream_counts": sql("checked acc", "SELECT count(*) AS read, count(*) FILTER (WHERE reason IS NULL) AS parsed, count(*) FILTER (WHERE reason IS NOT NULL) AS invalid, (SELECT count(DISTINCT id) FROM acc) AS inserts, (SELECT count(*) - count(DISTINCT id) FROM acc) AS updates FROM checked"),
     "stream_rate_limit": ORACLES["rate_limit"],
     "stream_ttl_hits": ORACLES["ttl_hits"],
     "stream_daily_usage": sql("ev", "SELECT day, count(*) AS n FROM ev GROUP BY day"),
@@ -269,10 +271,13 @@ SELECT k.event_id, k.own AS key, m.event_id IS NULL AS cache_hit FROM keyed k LE
     ).replace("\n, keyed", ", keyed"),
 }
 
-ORACLES["json_nested_merge"] = sql("acc", """, x AS (SELECT id, seq, 'st' AS key, '"' || json_extract_string(extras, '$.st') || '"' AS v FROM acc UNION ALL SELECT id, seq, 'pr', '"' || json_extract_string(extras, '$.pr') || '"' FROM acc
-  UNION ALL SELECT id, seq, 'f', '"' || source_file || '"' FROM acc),
-m AS (SELECT id, key, list_reduce(list(v ORDER BY seq), lambda a, b: CASE WHEN a = b THEN b ELSE '[' || a || ',' || b || ']' END) AS v FROM x GROUP BY id, key)
-SELECT id, '{"a":{"n":{"pr":' || max(v) FILTER (WHERE key = 'pr') || ',"st":' || max(v) FILTER (WHERE key = 'st') || '}},"f":' || max(v) FILTER (WHERE key = 'f') || '}' AS merged FROM m GROUP BY id""").replace("\n, x", ", x")
+_NESTED = sql("merged acc", """, x AS (SELECT id, seq, 'st' AS key, '"' || json_extract_string(extras, '$.st') || '"' AS v FROM acc UNION ALL SELECT id, seq, 'pr', '"' || json_extract_string(extras, '$.pr') || '"' FROM acc
+  UNION ALL SELECT id, seq, 'f', '"' || source_file || '"' FROM acc UNION ALL SELECT id, seq, 'q', CASE WHEN seq % 2 = 0 THEN 'null' ELSE source_file END FROM acc),
+m AS (SELECT id, key, list_reduce(list(v ORDER BY seq), lambda a, b: CASE WHEN a = b THEN b ELSE '[' || a || ',' || b || ']' END) AS v FROM x GROUP BY id, key),
+n AS (SELECT id, '{"a":{"n":{"pr":' || max(v) FILTER (WHERE key = 'pr') || ',"st":' || max(v) FILTER (WHERE key = 'st') || '},"q":' || max(v) FILTER (WHERE key = 'q') || ',"w":7.0},"f":' || max(v) FILTER (WHERE key = 'f') || ',"z":null}' AS merged FROM m GROUP BY id)
+""").replace("\n, x", ", x")
+ORACLES["json_nested_merge"] = _NESTED + "SELECT id, merged FROM n"
+ORACLES["nested_upsert"] = _NESTED + "SELECT merged.*, n.merged AS extras FROM merged JOIN n ON n.id = merged.id"
 
 #: What the files are, as the sample writer makes them.
 ORACLES |= {

@@ -179,12 +179,22 @@ def upsert_merge(spark, d):
 
 
 def json_deep_merge(spark, d):
-    return merge.merge_flat_json(_accepted(spark, d))
+    return merge.merge_json_keys(_accepted(spark, d))
+
+
+def _nested_extras(spark, d):
+    """Rows whose extras are nested, hold nulls and numbers, and disagree at several depths."""
+    nested = F.concat(F.lit('{"a":{"n":'), F.col("extras"), F.lit(',"q":'), F.when(F.col("seq") % 2 == 0, "null").otherwise(F.col("source_file")), F.lit(',"w":7.0},"f":"'), F.col("source_file"), F.lit('","z":null}'))
+    return _accepted(spark, d).withColumn("extras", nested)
 
 
 def json_nested_merge(spark, d):
-    nested = F.concat(F.lit('{"a":{"n":'), F.col("extras"), F.lit('},"f":"'), F.col("source_file"), F.lit('"}'))
-    return merge.merge_nested_json(_accepted(spark, d).withColumn("extras", nested))
+    return merge.merge_json(_nested_extras(spark, d))
+
+
+def nested_upsert(spark, d):
+    """``upsert_merge`` whose extras recurse into objects."""
+    return merge.upsert_with_extras(_nested_extras(spark, d))
 
 
 def alias_index(spark, d):

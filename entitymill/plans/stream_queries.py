@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
+from ..operators import merge
 from ..sources.shared import new_folder
 from ..sources.views import raw_entities, table, usage_events
 from ..streaming import ingest as I
@@ -18,12 +19,13 @@ from ..streaming import state as S
 SLICE_ROWS = 500_000
 
 
-def _slices(spark: SparkSession, d: str, at: str) -> DataFrame:
-    """The raw rows of each source file as files of their own, in the order of the sources."""
-    raw = raw_entities(spark, d)
-    for s in ("0", "1", "2"):
-        raw.where(F.col("source_file") == s).write.mode("append").parquet(at)
-    return raw
+def _in_order(rows: DataFrame, by: str, at: str, n: int, files: int = 2) -> None:
+    """Rows as ``n`` slices by value of ``by``, one after the other, of ``files`` files each (fewer where a slice is tiny)."""
+    cuts = sorted(set(rows.approxQuantile(by, [i / n for i in range(1, n)], 0.25 / n)))
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = rows if low is None else rows.where(F.col(by) > int(low))
+        part = part if high is None else part.where(F.col(by) <= int(high))
+        part.repartition(files).write.mode("append").parquet(at)
 
 
 def incremental_ingest(spark, d):
@@ -36,11 +38,33 @@ def incremental_ingest(spark, d):
     return spark.read.parquet(f"{at}/out").select("seq", "source_file", "id_raw")
 
 
+def _upserted(spark: SparkSession, d: str):
+    """The kept tables after a stream of four batches, each a slice of the raw rows in order."""
+    at, raw = new_folder(spark, "upsert"), raw_entities(spark, d)
+    _in_order(raw, "seq", f"{at}/in", 4)
+    tables = I.target(spark, f"{at}/target", 16)
+    I.upsert_stream(spark, f"{at}/in", raw.schema, tables, f"{at}/checkpoint", 2)
+    return tables
+
+
 def stream_upsert(spark, d):
-    at = new_folder(spark, "upsert")
-    raw = _slices(spark, d, f"{at}/in")
-    I.upsert_stream(spark, f"{at}/in", raw.schema, f"{at}/log", f"{at}/checkpoint")
-    return I.current(spark, f"{at}/log")
+    return _upserted(spark, d).read("records").select("id", "name", "alias_a", "alias_b", "n_rows", "extras")
+
+
+def stream_alias_index(spark, d):
+    tables = _upserted(spark, d)
+    records, out = tables.read("records"), None
+    for alias in ("alias_a", "alias_b"):
+        one = merge.with_current(tables.read(alias), records, alias).withColumn("kind", F.lit(alias))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def stream_counts(spark, d):
+    """Counts of all batches together, as each batch's own passes counted them."""
+    kept = [m["counts"] for m in _upserted(spark, d).manifests()]
+    names = ("read", "parsed", "invalid", "inserts", "updates")
+    return spark.createDataFrame([tuple(sum(c[n] for c in kept) for n in names)], ", ".join(f"{n} long" for n in names))
 
 
 def _events_stream(spark: SparkSession, rows: DataFrame, at: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""A folder that driver and executors share, for files that operators write and read again."""
+"""A folder that driver and executors share, for files that operators write and read again, and small files in it."""
 
 from __future__ import annotations
 
@@ -17,3 +17,36 @@ def new_folder(spark: SparkSession, what: str) -> str:
         at = "file://" + tempfile.mkdtemp(prefix="spark-entitymill-")
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, in order; a folder that isn't there has none."""
+    at, fs = _hadoop(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a new file; one that is there already is an error, so of two writers one fails."""
+    at, fs = _hadoop(spark, path)
+    out = fs.create(at, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    at, fs = _hadoop(spark, path)
+    read = fs.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(read, "UTF-8")
+    finally:
+        read.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, fs = _hadoop(spark, path)
+    fs.delete(at, True)

@@ -1,35 +1,116 @@
-"""Resumable ingest and keyed upsert with Structured Streaming."""
+"""Resumable ingest, a kept keyed target and progress records, with Structured Streaming."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import threading
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from ..operators import merge, validate
+from ..sources.keyed import KeyedTables
+
+#: The record table and the index of each alias: key and columns.
+TARGET = {
+    "records": ("id", "id string, name string, alias_a string, alias_b string, n_rows long, extras string"),
+    "alias_a": ("alias", "alias string, id string, seq long"),
+    "alias_b": ("alias", "alias string, id string, seq long"),
+}
+
+
+class Recorder(StreamingQueryListener):
+    """A row for every batch of the queries that run while it listens; nothing is forgotten, however many batches there are."""
+
+    def __init__(self):
+        self.batches: list[dict] = []
+        self.ended = threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        seen = {k: v for row in (p.observedMetrics or {}).values() for k, v in row.asDict().items()}
+        self.batches.append({"batch": p.batchId, "rows": p.numInputRows, "ms": dict(p.durationMs).get("triggerExecution", 0), **seen})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.set()
+
+
+def run_to_end(spark: SparkSession, start: Callable[[], object], wait: float = 60) -> list[dict]:
+    """Starts a query that ends by itself and gives the record of each batch, in order."""
+    recorder = Recorder()
+    spark.streams.addListener(recorder)
+    try:
+        start().awaitTermination()
+        recorder.ended.wait(wait)
+    finally:
+        spark.streams.removeListener(recorder)
+    return sorted(recorder.batches, key=lambda b: b["batch"])
+
+
+def counters(reason: Column) -> list[Column]:
+    """What a pass over rows with a reason of rejection counts on its way."""
+    return [F.count(F.lit(1)).alias("read"), F.count_if(reason.isNull()).alias("parsed"), F.count_if(reason.isNotNull()).alias("invalid")]
+
 
+def ingest(spark: SparkSession, source: str, schema: StructType, sink: str, checkpoint: str, files: int = 4) -> list[dict]:
+    """One run over the files that earlier runs have not committed; the record of each batch with its counts."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    reason = validate.reason("id_raw")
+    rows = rows.observe("rows", *counters(reason))
+    return run_to_end(spark, lambda: rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
-def ingest(spark: SparkSession, source: str, schema: StructType, sink: str, checkpoint: str) -> list[dict]:
-    """One run over the files that earlier runs have not committed; the progress of its batches."""
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(source)
-    query = rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return [dict(batch=p["batchId"], rows=p["numInputRows"], ms=p["durationMs"].get("triggerExecution", 0)) for p in query.recentProgress]
 
+def target(spark: SparkSession, path: str, buckets: int = 64) -> KeyedTables:
+    return KeyedTables(spark, path, TARGET, buckets)
 
-def upsert_stream(spark: SparkSession, source: str, schema: StructType, log: str, checkpoint: str) -> None:
-    """Appends each batch's accepted rows to a log, a folder per batch id, so a repeated batch replaces itself."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        validate.accepted(batch).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+def upsert_batch(tables: KeyedTables, raw: DataFrame, batch: int) -> None:
+    """Merges a batch of raw rows into the record table and both alias indexes; of each only the buckets that it touches.
 
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    A batch that is committed already changes nothing. Rows within a batch go in order of seq, batches in their own order.
+    """
+    if batch <= tables.current()["batch"]:
+        return
+    counted = Observation()
+    checked = validate.validate(raw).persist()
+    try:
+        rows = checked.observe(counted, *counters(F.col("reason"))).where("reason is null").drop("reason", "id_raw")
+        # which buckets are touched is asked of the whole batch once; the counts come with it
+        touched = {"records": tables.touched(rows, "id")}
+        if not touched["records"]:
+            tables.commit(batch, {}, counted.get | {"inserts": 0, "updates": 0})
+            return
+        before = tables.current()
+        old = tables.read("records", touched["records"], before)
+        merged, known = Observation(), F.col("known")
+        new = merge.upsert_with_extras(rows, old)
+        here = rows.groupBy("id").agg(F.count("*").alias("here"))
+        new = new.join(here, "id", "left").withColumn("known", F.col("n_rows") > F.coalesce("here", F.lit(0)))
+        written = F.col("here").isNotNull()
+        new = new.observe(merged, F.count_if(written & ~known).alias("inserts"), F.coalesce(F.sum(F.when(known, F.col("here")).otherwise(F.col("here") - 1)), F.lit(0)).alias("updates"))
+        tables.stage("records", batch, new)
+        for alias in ("alias_a", "alias_b"):
+            writes = merge.alias_writes(rows, alias, old).persist()
+            touched[alias] = tables.touched(writes, "alias")
+            tables.stage(alias, batch, merge.last_writes(tables.read(alias, touched[alias], before).unionByName(writes)))
+            writes.unpersist()
+        tables.commit(batch, touched, counted.get | merged.get)
+    finally:
+        checked.unpersist()
 
 
-def current(spark: SparkSession, log: str) -> DataFrame:
-    """The keyed table that the log's batches make, in order of seq."""
-    return merge.upsert_with_extras(spark.read.parquet(log))
+def upsert_stream(spark: SparkSession, source: str, schema: StructType, tables: KeyedTables, checkpoint: str, files: int = 1) -> list[dict]:
+    """Upserts the files that earlier runs have not committed, ``files`` to a batch, in order of their arrival."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    return run_to_end(spark, lambda: rows.writeStream.foreachBatch(lambda batch, n: upsert_batch(tables, batch, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def progress(batches: list[dict], total: int) -> list[tuple[int, int, int, float, float, float]]:

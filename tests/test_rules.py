@@ -50,7 +50,7 @@ def test_update_merge_keeps_earlier_fields(spark):
     rows = spark.createDataFrame([("1", 1, "A", "+1555", "", '{"wo":"1","x":"y"}'), ("1", 2, "", "", "bob", '{"wo":"2"}'), ("1", 3, "", "", "", '{"wo":"3"}')], "id string, seq long, name string, alias_a string, alias_b string, extras string")
     got = merge.upsert(rows).first()
     assert (got.name, got.alias_a, got.alias_b, got.n_rows) == ("A", "+1555", "bob", 3)
-    assert {r.key: r.merged for r in merge.merge_flat_json(rows).collect()} == {"wo": '[["1","2"],"3"]', "x": '"y"'}
+    assert {r.key: r.merged for r in merge.merge_json_keys(rows).collect()} == {"wo": '[["1","2"],"3"]', "x": '"y"'}
     assert merge.first_wins(rows).first().seq == 1
 
 
@@ -106,10 +106,9 @@ def test_extras_keep_their_types(spark):
     got = mapping.map_records(spark.createDataFrame([(1, line)], "line_no int, value string")).first()
     assert json.loads(got.extras) == {"n": 7, "b": True, "o": {"a": 1}, "s": 'x"y', "z": None, "city": "x"}
     rows = spark.createDataFrame([("1", 1, '{"a":"x\\"y","b":1}'), ("1", 2, '{"a":5,"b":true}'), ("1", 3, "no json"), ("2", 1, "{}")], "id string, seq long, extras string")
-    assert {r.key: json.loads(r.merged) for r in merge.merge_flat_json(rows).collect()} == {"a": ['x"y', 5], "b": [1, True]}
+    assert {r.key: json.loads(r.merged) for r in merge.merge_json_keys(rows).collect()} == {"a": ['x"y', 5], "b": [1, True]}
     full = {r.id: r for r in merge.upsert_with_extras(rows.withColumns({c: F.lit("v") for c in ("name", "alias_a", "alias_b")})).collect()}
     assert json.loads(full["1"].extras) == {"a": ['x"y', 5], "b": [1, True]} and full["2"].extras == "{}"
-    assert merge.deep_merge(1, True) == [1, True] and merge.deep_merge(1, 1.0) == [1, 1.0]
 
 
 def test_rules_without_a_user_and_with_large_ids(spark):
@@ -169,16 +168,10 @@ def test_file_profiles(spark, data):
     assert [r.file for r in files.discover(spark, at).collect()] == sorted(f for f in found if f != "x.standard.csv")
 
 
-def test_nested_merge():
-    assert merge.deep_merge({"a": {"b": 1}, "c": 1}, {"a": {"b": 2, "d": 3}, "c": 1}) == {"a": {"b": [1, 2], "d": 3}, "c": 1}
-    assert merge.deep_merge(merge.deep_merge({"k": "a"}, {"k": "b"}), {"k": "c"}) == {"k": [["a", "b"], "c"]}
-    assert merge.deep_merge(None, {"a": 1}) == {"a": 1} == merge.deep_merge({"a": 1}, {})
-
-
 def test_flat_merge_streams(spark):
     """No aggregate collects the values of an (id, key); a long run of changes folds in order."""
     rows = [("1", i, '{"k":"%d"}' % (i % 3)) for i in range(2000)] + [("2", 1, '{"k":"a"}'), ("2", 2, '{"k":"a"}'), (None, 1, '{"k":"b"}')]
-    merged = merge.merge_flat_json(spark.createDataFrame(rows, "id string, seq long, extras string"))
+    merged = merge.merge_json_keys(spark.createDataFrame(rows, "id string, seq long, extras string"))
     assert "collect_list" not in merged._jdf.queryExecution().toString()
     got = {(r.id, r.key): r.merged for r in merged.collect()}
     want = '"0"'
