@@ -93,16 +93,19 @@ def _last_keys(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None or (tree := jsontree.parse(t)) is None else jsontree.write(tree))
 
 
-def map_records(lines: DataFrame) -> DataFrame:
+def map_records(lines: DataFrame, *keep: str | Column) -> DataFrame:
     """``lines(line_no, value)`` of JSON to canonical rows; lines without an object or a valid id give a null id.
 
+    ``keep`` names other columns that the result has in place of ``line_no``.
+
     Extras keep their JSON values: numbers, booleans, lists, objects and nulls stay what they are; of a repeated key the last value counts.
     """
     m = F.from_json("value", "map<string,string>")
+    kept = F.struct(*(keep or ("line_no",))).alias("kept")
     read = F.try_parse_json("value")
     # objects that repeat a key are read as null; only these are rewritten
-    rows = lines.select("line_no", m.alias("m"), "value", read.alias("read")).withColumn("again", _last_keys(F.when(F.col("m").isNotNull() & F.col("read").isNull(), F.col("value"))))
-    rows = rows.select("line_no", "m", F.coalesce("read", F.try_parse_json("again")).try_cast("map<string,variant>").alias("raw"))
+    rows = lines.select(kept, m.alias("m"), "value", read.alias("read")).withColumn("again", _last_keys(F.when(F.col("m").isNotNull() & F.col("read").isNull(), F.col("value"))))
+    rows = rows.select("kept", "m", F.coalesce("read", F.try_parse_json("again")).try_cast("map<string,variant>").alias("raw"))
     # of keys that are equal once normalised the first in key order counts
     entries = F.transform(F.array_sort(F.map_entries("m")), lambda e: F.struct(F.lower(F.regexp_replace(e.key, "[\\s_-]", "")).alias("key"), e.value.alias("value")))
     firsts = F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda acc, e: F.when(F.map_contains_key(acc, e.key), acc).otherwise(F.map_concat(acc, F.map_from_arrays(F.array(e.key), F.array(e.value)))))
@@ -110,10 +113,10 @@ def map_records(lines: DataFrame) -> DataFrame:
     get = lambda keys: _first(F.col("m"), F.col("n"), keys)
     name = F.coalesce(F.nullif(get(NAME_KEYS), F.lit("")), F.nullif(C.combine_name(get(FIRST_KEYS), get(LAST_KEYS)), F.lit("")), get(NICK_NAME_KEYS))
     nick = C.lower_alias_b(get(NICK_KEYS))
-    rows = rows.select("line_no", "m", "raw", get(ID_KEYS).alias("id"), name.alias("name"), get(PHONE_KEYS).alias("phone"), F.when(nick.rlike(C.ALIAS_B), nick).otherwise("").alias("username"))
+    rows = rows.select("kept", "m", "raw", get(ID_KEYS).alias("id"), name.alias("name"), get(PHONE_KEYS).alias("phone"), F.when(nick.rlike(C.ALIAS_B), nick).otherwise("").alias("username"))
     used = [k.replace("_", "").lower() for keys in (ID_KEYS, NAME_KEYS, FIRST_KEYS, LAST_KEYS, PHONE_KEYS) for k in keys]
     extras = F.map_filter("raw", lambda k, v: ~F.lower(F.regexp_replace(k, "[\\s_-]", "")).isin(*set(used)) & ~((F.col("username") != "") & F.lower(F.regexp_replace(k, "[\\s_-]", "")).isin("nick", "nickname", "username", "login")))
     rows = rows.withColumn("extras", extras).withColumn("keys", F.array_sort(F.map_keys("extras")))
     ordered = F.map_from_arrays("keys", F.transform("keys", lambda k: F.coalesce(F.element_at("extras", k), F.parse_json(F.lit("null")))))
     ok = F.col("id").rlike(C.ID)
-    return rows.select("line_no", F.when(ok, F.col("id")).alias("id"), *(F.when(ok, F.col(c)).alias(c) for c in ("name", "phone", "username")), F.when(ok, F.to_json(ordered)).alias("extras"))
+    return rows.select("kept.*", F.when(ok, F.col("id")).alias("id"), *(F.when(ok, F.col(c)).alias(c) for c in ("name", "phone", "username")), F.when(ok, F.to_json(ordered)).alias("extras"))

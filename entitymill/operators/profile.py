@@ -46,6 +46,17 @@ def delimiter(lines: Column) -> Column:
     return F.when(F.size(lines) == 0, F.lit(",")).otherwise(F.array_max(scores).d)
 
 
+def split_fields(line: Column, delimiter: Column) -> Column:
+    """Fields of a line whose delimiter is one of the candidates. A quote opens or closes a quoted part anywhere in a field; a doubled one inside is a quote."""
+    patterns = {d: f'{d}((?:[^"{d}]++|"(?:[^"]++|"")*+(?:"|\\z))*+)' for d in (",", ";", "\\|", "\\t")}
+    regex = F.when(F.lit(False), F.lit(""))
+    for d, p in zip(DELIMITERS, patterns.values()):
+        regex = regex.when(delimiter == d, p)
+    fields = F.regexp_extract_all(F.concat(delimiter, line), regex, F.lit(1))
+    bare = lambda f: F.replace(F.regexp_replace(f, '"((?:[^"]++|"")*+)(?:"|\\z)', "$1"), F.lit('""'), F.lit('"'))
+    return F.transform(fields, lambda f: F.when(f.contains('"'), bare(f)).otherwise(f))
+
+
 def is_jsonl(extension: Column, first_line: Column) -> Column:
     probe = C.trim(first_line).startswith("{")
     return F.when(extension.isin("jsonl", "ndjson"), True).when(extension.isin("json", "txt", "csv", ""), F.coalesce(probe, F.lit(False))).otherwise(False)

@@ -54,14 +54,12 @@ def source_discovery(spark, d):
 
 
 def encoding_profile(spark, d):
-    at = _write_samples(spark, d)
-    return profile.file_prefixes(files.raw_lines(spark, at)).select("file", profile.encoding(F.col("prefix")).alias("encoding"))
+    return files.file_prefixes(spark, _write_samples(spark, d)).select("file", profile.encoding(F.col("prefix")).alias("encoding"))
 
 
 def transcode_scan(spark, d):
     at = _write_samples(spark, d)
-    known = profile.file_prefixes(files.raw_lines(spark, at)).select("file", profile.encoding(F.col("prefix")).alias("encoding")).collect()  # one row a file
-    return files.transcode(spark, at, {r.file: r.encoding for r in known})
+    return files.text_lines(spark, at, files.report(spark, at))
 
 
 def schema_report(spark, d):
@@ -71,29 +69,35 @@ def schema_report(spark, d):
 
 
 def _converted(spark, d):
+    """Records and rejects of the files that are neither JSON nor canonical already."""
     at = _write_samples(spark, d)
-    facts = [r for r in files.report(spark, at).collect() if r.encoding == "utf-8" and not r.jsonl and not r.file.endswith(".standard.csv")]  # one row a file
-    return files.delimited(files.transcode(spark, at, {r.file: r.encoding for r in facts}, {r.file for r in facts if r.has_header}), facts)
+    facts = files.report(spark, at).where(~F.col("jsonl") & ~F.col("file").endswith(".standard.csv"))
+    return at, files.records(files.lines(spark, at, facts))
 
 
 def delimited_scan(spark, d):
-    return _converted(spark, d)
+    return _converted(spark, d)[1].where("reason is null").select("file", *files.CANONICAL)
+
+
+def file_rejects(spark, d):
+    """Every skipped line with its file, line number, reason and text."""
+    at = _write_samples(spark, d)
+    facts = files.report(spark, at)
+    rejects = files.records(files.lines(spark, at, facts)).where("reason is not null")
+    # part names differ from run to run, and a number is that of a part
+    return files.line_numbers(rejects, files.split_lines(spark, at, facts)).groupBy("file", "reason").agg(F.count("*").alias("n"), F.count_if(F.col("line_no") < 1).alias("unplaced"), (F.count_distinct("part", "line_no") == F.count("*")).alias("unique"))
 
 
 def canonical_sink(spark, d):
     path = new_folder(spark, "canonical")
-    files.write_canonical(_converted(spark, d).where(F.col("id") != ""), path)
-    return files.read_canonical(spark, path).select("file", *files.CANONICAL)
+    files.write_canonical(spark, _converted(spark, d)[1].where("reason is null").select("file", *files.CANONICAL), path)
+    return files.read_canonical(spark, path)
 
 
 def convert_or_pass(spark, d):
     at = _write_samples(spark, d)
-    facts = files.report(spark, at).collect()  # one row a file
-    flat = [r for r in facts if not r.jsonl and not r.file.endswith(".standard.csv")]
-    out = files.delimited(files.transcode(spark, at, {r.file: r.encoding for r in flat}, {r.file for r in flat if r.has_header}), flat)
-    done = spark.read.option("header", "true").schema(", ".join(f"{c} string" for c in files.CANONICAL)).csv(f"{at}/x.standard.csv").na.fill("").select(F.lit("x.standard.csv").alias("file"), *files.CANONICAL)
-    records = mapping.map_records(spark.read.text(f"{at}/recs.jsonl").select(F.lit(0).alias("line_no"), "value")).where("id is not null").select(F.lit("recs.jsonl").alias("file"), *files.CANONICAL)
-    return out.unionByName(done).unionByName(records).where(F.col("id").rlike(C.ID))
+    rows = files.records(files.lines(spark, at, files.report(spark, at)))
+    return rows.where(F.col("reason").isNull() & F.col("id").rlike(C.ID)).select("file", *files.CANONICAL)
 
 
 def format_probe(spark, d):

@@ -212,10 +212,14 @@ _HEADERS = """WITH h AS (SELECT c_custkey AS file, [['Telegram_ID','First Name',
 u AS (SELECT file, fields, unnest(fields) AS header, unnest(range(len(fields))) AS idx FROM h),
 n AS (SELECT *, regexp_replace(lower(trim(header)), '[\\s_-]', '', 'g') AS norm FROM u),
 r AS (SELECT *, """ + _ROLES.format("norm") + " AS r FROM n)\n"
+#: An empty id is a reject. The converter drops one @ in front of a handle.
 _DELIMITED = sql("raw", """SELECT CASE source_file WHEN '0' THEN 'semi.csv' WHEN '1' THEN 'tab.txt' ELSE 'pipe.txt' END AS file, id_raw AS id,
- CASE WHEN source_file = '0' THEN trim(name_raw) ELSE '' END AS name, CASE WHEN source_file = '2' THEN '' ELSE alias_a_raw END AS phone, CASE WHEN source_file = '2' THEN '' ELSE alias_b_raw END AS username,
+ CASE WHEN source_file = '0' THEN trim(name_raw) ELSE '' END AS name, CASE WHEN source_file = '2' THEN '' ELSE alias_a_raw END AS phone, CASE WHEN source_file = '2' THEN '' ELSE regexp_replace(alias_b_raw, '^@', '') END AS username,
  CASE WHEN source_file = '0' THEN '{}' WHEN source_file = '1' THEN CASE WHEN trim(name_raw) = '' THEN '{}' ELSE '{"foo":"' || trim(name_raw) || '"}' END
-   ELSE '{' || array_to_string(list_filter([CASE WHEN trim(name_raw) <> '' THEN '"col_1":"' || trim(name_raw) || '"' END, CASE WHEN alias_a_raw <> '' THEN '"col_2":"' || alias_a_raw || '"' END, CASE WHEN alias_b_raw <> '' THEN '"col_3":"' || alias_b_raw || '"' END], lambda x: x IS NOT NULL), ',') || '}' END AS extras FROM raw""")
+   ELSE '{' || array_to_string(list_filter([CASE WHEN trim(name_raw) <> '' THEN '"col_1":"' || trim(name_raw) || '"' END, CASE WHEN alias_a_raw <> '' THEN '"col_2":"' || alias_a_raw || '"' END, CASE WHEN alias_b_raw <> '' THEN '"col_3":"' || alias_b_raw || '"' END], lambda x: x IS NOT NULL), ',') || '}' END AS extras FROM raw
+UNION ALL SELECT 'cp1251.csv', id_raw, trim('ИмяФамилия ГородМосква ' || trim(name_raw)), '', '', '{}' FROM raw WHERE source_file = '0'
+UNION ALL SELECT 'utf16.csv', id_raw, trim('ИмяФамилия ГородМосква ' || trim(name_raw)), alias_a_raw, regexp_replace(alias_b_raw, '^@', ''), '{}' FROM raw WHERE source_file = '0'
+UNION ALL SELECT 'latin1.csv', id_raw, trim('Éléonore ' || trim(name_raw)), alias_a_raw, regexp_replace(alias_b_raw, '^@', ''), '{}' FROM raw WHERE source_file = '1'""")
 
 ORACLES |= {
     "header_role_map": _HEADERS + "SELECT file, CAST(idx AS INTEGER) AS idx, header, CASE WHEN r IS NOT NULL AND row_number() OVER (PARTITION BY file, r ORDER BY idx) = 1 THEN r ELSE 'extras' END AS role FROM r",
@@ -237,12 +241,24 @@ SELECT l.doc_id, coalesce(x.d, ',') AS delimiter FROM l LEFT JOIN (SELECT doc_id
     "jsonl_scan": "SELECT event_id, event_id % 10 <> 0 AS parsed, CASE WHEN event_id % 10 <> 0 THEN json_extract_string(props, '$.k') ELSE '' END AS k FROM events WHERE event_id % 10 <> 1",
     "jsonl_record_map": sql("ev", """SELECT event_id AS line_no, CAST(user_id AS VARCHAR) AS id, 'A ' || CAST(k AS VARCHAR) AS name, '' AS phone, CASE WHEN k % 2 = 0 THEN 'nick_' || CAST(k AS VARCHAR) ELSE '' END AS username,
 CASE WHEN k % 2 = 0 THEN '{"city":"x"}' ELSE '{"city":"x","nick":"no!"}' END AS extras FROM ev WHERE event_id % 4 <> 3"""),
-    "delimited_scan": _DELIMITED,
-    "canonical_sink": f"SELECT * FROM ({_DELIMITED}) q WHERE id <> ''",
+    "delimited_scan": f"SELECT * FROM ({_DELIMITED}) q WHERE id <> ''",
+    "canonical_sink": f"SELECT replace(replace(file, '.csv', ''), '.txt', '') || '.standard.csv' AS file, id, name, phone, username, extras FROM ({_DELIMITED}) q WHERE id <> ''",
+    "file_rejects": sql("raw", f"""SELECT file, reason, count(*) AS n, 0::BIGINT AS unplaced, true AS unique FROM (
+ SELECT file, 'missing id' AS reason FROM ({_DELIMITED}) WHERE id = '' UNION ALL SELECT 'x.standard.csv', 'missing id' FROM raw WHERE source_file = '2' AND id_raw = ''
+ UNION ALL SELECT 'recs.jsonl', 'no record' FROM raw WHERE source_file = '0' AND NOT regexp_full_match(id_raw, '0|[1-9][0-9]{{0,31}}')) GROUP BY file, reason"""),
+    "transcode_scan": sql("raw", """SELECT * FROM (SELECT 'semi.csv' AS file, concat_ws(';', id_raw, trim(name_raw), alias_a_raw, alias_b_raw) AS value FROM raw WHERE source_file = '0'
+ UNION ALL SELECT 'tab.txt', concat_ws(chr(9), id_raw, trim(name_raw), alias_a_raw, alias_b_raw) FROM raw WHERE source_file = '1'
+ UNION ALL SELECT 'pipe.txt', concat_ws('|', id_raw, trim(name_raw), alias_a_raw, alias_b_raw) FROM raw WHERE source_file = '2'
+ UNION ALL SELECT 'cp1251.csv', concat_ws(',', trim('ИмяФамилия ГородМосква ' || trim(name_raw)), id_raw) FROM raw WHERE source_file = '0'
+ UNION ALL SELECT 'utf16.csv', concat_ws(',', id_raw, trim('ИмяФамилия ГородМосква ' || trim(name_raw)), alias_a_raw, alias_b_raw) FROM raw WHERE source_file = '0'
+ UNION ALL SELECT 'latin1.csv', concat_ws(',', id_raw, trim('Éléonore ' || trim(name_raw)), alias_a_raw, alias_b_raw) FROM raw WHERE source_file = '1'
+ UNION ALL SELECT 'recs.jsonl', '{"telegram_id":"' || id_raw || '","name":"' || name_raw || '","nick":"' || alias_b_raw || '"}' FROM raw WHERE source_file = '0'
+ UNION ALL SELECT 'x.standard.csv', array_to_string(list_transform([id_raw, trim(name_raw), alias_a_raw, alias_b_raw, '{}'], lambda v: CASE WHEN v = '' THEN '""' ELSE v END), ',') FROM raw WHERE source_file = '2')"""),
 }
 
 ORACLES |= {
     "incremental_ingest": sql("raw", "SELECT seq, source_file, id_raw FROM raw"),
+    "resumed_ingest": sql("acc", "SELECT id, count(*) AS n_rows FROM acc GROUP BY id"),
     "stream_upsert": ORACLES["upsert_merge"],
     "stream_alias_index": ORACLES["alias_index"],
     "stream_counts": sql("checked acc", "SELECT count(*) AS read, count(*) FILTER (WHERE reason IS NULL) AS parsed, count(*) FILTER (WHERE reason IS NOT NULL) AS invalid, (SELECT count(DISTINCT id) FROM acc) AS inserts, (SELECT count(*) - count(DISTINCT id) FROM acc) AS updates FROM checked"),
@@ -293,10 +309,7 @@ ORACLES |= {
  ('x.standard.csv', 'utf-8', ',', true, false, 'id,name,phone,username,extras', 'id,name,phone,username,extras', 'extras')) t(file, encoding, delimiter, has_header, jsonl, fields, roles, extras)""",
 }
 
-_OTHERS = sql("raw", """SELECT 'cp1251.csv' AS file, id_raw AS id, trim('ИмяФамилия ГородМосква ' || trim(name_raw)) AS name, '' AS phone, '' AS username, '{}' AS extras FROM raw WHERE source_file = '0'
-UNION ALL SELECT 'utf16.csv', id_raw, trim('ИмяФамилия ГородМосква ' || trim(name_raw)), alias_a_raw, alias_b_raw, '{}' FROM raw WHERE source_file = '0'
-UNION ALL SELECT 'latin1.csv', id_raw, trim('Éléonore ' || trim(name_raw)), alias_a_raw, alias_b_raw, '{}' FROM raw WHERE source_file = '1'
-UNION ALL SELECT 'x.standard.csv', id_raw, trim(name_raw), alias_a_raw, alias_b_raw, '{}' FROM raw WHERE source_file = '2'
+_OTHERS = sql("raw", """SELECT 'x.standard.csv' AS file, id_raw AS id, trim(name_raw) AS name, alias_a_raw AS phone, alias_b_raw AS username, '{}' AS extras FROM raw WHERE source_file = '2'
 UNION ALL SELECT 'recs.jsonl', id_raw, CASE WHEN trim(name_raw) <> '' THEN trim(name_raw) ELSE alias_b_raw END, '',
  CASE WHEN alias_b_raw LIKE '@%' THEN lower(ltrim(alias_b_raw, '@')) ELSE '' END, CASE WHEN alias_b_raw LIKE '@%' THEN '{}' ELSE '{"nick":"' || alias_b_raw || '"}' END FROM raw WHERE source_file = '0'""")
 ORACLES["convert_or_pass"] = f"SELECT * FROM (SELECT * FROM ({_DELIMITED}) UNION ALL SELECT * FROM ({_OTHERS})) WHERE regexp_full_match(id, '0|[1-9][0-9]{{0,31}}')"

@@ -13,11 +13,11 @@ guarded_debits metered_lookup recent_per_user ordered_sample range_seek page_sca
 """.split()
 
 _FILE_NAMES = """
-source_discovery delimited_scan jsonl_scan format_probe encoding_profile transcode_scan delimiter_profile header_profile schema_report canonical_sink convert_or_pass
+source_discovery delimited_scan file_rejects jsonl_scan format_probe encoding_profile transcode_scan delimiter_profile header_profile schema_report canonical_sink convert_or_pass
 header_role_map header_layout_map jsonl_record_map
 """.split()
 
-_STREAM_NAMES = "incremental_ingest stream_upsert stream_alias_index stream_counts stream_rate_limit stream_ttl_hits stream_daily_usage stream_progress".split()
+_STREAM_NAMES = "incremental_ingest resumed_ingest stream_upsert stream_alias_index stream_counts stream_rate_limit stream_ttl_hits stream_daily_usage stream_progress".split()
 
 QUERIES = {name: getattr(queries, name) for name in _NAMES} | {name: getattr(file_queries, name) for name in _FILE_NAMES} | {name: getattr(stream_queries, name) for name in _STREAM_NAMES}
 ORACLES = dict(oracles.ORACLES)

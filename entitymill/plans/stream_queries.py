@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean as C
 from ..operators import merge
+from ..sources import shared
 from ..sources.shared import new_folder
 from ..sources.views import raw_entities, table, usage_events
 from ..streaming import ingest as I
@@ -38,6 +39,25 @@ def incremental_ingest(spark, d):
     return spark.read.parquet(f"{at}/out").select("seq", "source_file", "id_raw")
 
 
+def resumed_ingest(spark, d):
+    """Rows by id after three deliveries of the same growing files: half of the lines, all of them, and all of them again."""
+    at, raw = new_folder(spark, "resumed"), raw_entities(spark, d)
+    half = raw.approxQuantile("seq", [0.5], 0.1)[0]
+    tables = I.target(spark, f"{at}/target", 8)
+    for k, part in enumerate((raw.where(F.col("seq") <= half), raw, raw)):
+        out = part.select("source_file", "seq", F.col("id_raw").alias("id"), F.col("name_raw").alias("name"), F.col("alias_a_raw").alias("phone"), F.col("alias_b_raw").alias("username"))
+        for s in ("0", "1", "2"):
+            # one file for each source, whose lines only grow
+            lines = out.where(F.col("source_file") == s).drop("source_file").coalesce(1).sortWithinPartitions("seq").drop("seq")
+            lines.write.options(header="true", emptyValue="", nullValue="").csv(f"{at}/new-{k}-{s}")
+            name = next(n for n in shared.names(spark, f"{at}/new-{k}-{s}") if n.startswith("part-"))
+            shared.remove(spark, f"{at}/in/{s}.csv")
+            shared.make(spark, f"{at}/in")
+            shared.rename(spark, f"{at}/new-{k}-{s}/{name}", f"{at}/in/{s}.csv")
+        I.ingest_files(tables, f"{at}/in")
+    return tables.read("records").select("id", "n_rows")
+
+
 def _upserted(spark: SparkSession, d: str):
     """The kept tables after a stream of four batches, each a slice of the raw rows in order."""
     at, raw = new_folder(spark, "upsert"), raw_entities(spark, d)

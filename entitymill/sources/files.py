@@ -1,113 +1,215 @@
-"""Text files in unknown dialects: discovery, raw lines, transcoding and delimited scans, and canonical output.
+"""Text files in unknown dialects: discovery, facts, lines with their places, records and rejects of one pass, canonical output.
 
 A dataset is a folder of part files with the extension in the folder's name
 (``a.csv/part-0.csv``), as distributed writers leave them; single files work
-the same with their own name.
+the same with their own name. What is known of a file is a row of a table (``report``),
+and lines meet it by a join: no list of files is kept on the driver, and files of
+all dialects are read in one plan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import clean as C
 from ..operators import mapping, profile
+from . import prefixes, shared
 
 EXTENSIONS = ("csv", "txt", "jsonl", "json", "ndjson")
 JAVA_NAMES = {"utf-8": "UTF-8", "utf-8-bom": "UTF-8", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE", "windows-1251": "windows-1251", "iso-8859-1": "ISO-8859-1"}
+#: Encodings whose line end is not the byte of a line feed.
+_WIDE = ("utf-16le", "utf-16be")
 #: Longer lines are rejected.
 MOST_BYTES = 16 << 20
-#: Stands where a reader wants a separator and lines are to stay whole.
-_NO_SEPARATOR = "\x01\x1e\x02\x1f"
 CANONICAL = ["id", "name", "phone", "username", "extras"]
+#: Splits of files whose line counts are sent to every task; more are joined.
+MOST_SPLITS = 200_000
 
 
-def _file():
-    name = F.regexp_extract("_metadata.file_path", r"/([^/]+)/(?:part-[^/]*)$", 1)
-    return F.when(name != "", name).otherwise(F.regexp_extract("_metadata.file_path", r"/([^/]+)$", 1))
+def _file(path: Column | str = "_metadata.file_path") -> Column:
+    name = F.regexp_extract(path, r"/([^/]+)/(?:part-[^/]*)$", 1)
+    return F.when(name != "", name).otherwise(F.regexp_extract(path, r"([^/]+)$", 1))
+
+
+def _depth(path: Column) -> Column:
+    return F.size(F.split(F.regexp_replace(path, "^[A-Za-z0-9+.-]+:/*|/+$", ""), "/+"))
 
 
 def discover(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct inputs of a folder in name order: known extensions, without files that are canonical already. No content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(_file().alias("file")).distinct()
+    """Distinct inputs right in a folder, in name order: known extensions, without files that are canonical already. No content is read, nor any subfolder that is no dataset."""
+    path = F.col("_metadata.file_path")
+    below = _depth(path) - _depth(F.lit(shared.qualified(spark, folder)))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    files = files.where((below == 1) | ((below == 2) & path.rlike("/part-[^/]*$"))).select(_file().alias("file")).distinct()
     ext = F.lower(F.regexp_extract("file", r"\.([^.]+)$", 1))
     return files.withColumn("extension", ext).where(F.col("extension").isin(*EXTENSIONS) & ~F.lower("file").endswith(".standard.csv")).orderBy("file")
 
 
-def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
+def raw_lines(spark: SparkSession, folder: str, encoding: str = "utf-8") -> DataFrame:
     """``(file, part, start, value)``: raw bytes of each line, its part file and where its split begins; a split's lines come in order."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(folder)
+    lines = spark.read.options(recursiveFileLookup="true", lineSep="\n", encoding=JAVA_NAMES[encoding]).text(folder)
     return lines.select(_file().alias("file"), F.col("_metadata.file_name").alias("part"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
 
 
+def file_prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    """``(file, prefix)``: the first 64 KiB of each dataset's first part, as Latin-1; no more is read."""
+    if not prefixes.known_store(folder):
+        return profile.file_prefixes(raw_lines(spark, folder))
+    found = prefixes.read_prefixes(spark, folder).where("size > 0")
+    return found.groupBy(_file(F.col("path")).alias("file")).agg(F.decode(F.min_by("prefix", "path"), "ISO-8859-1").alias("prefix"))
+
+
 def report(spark: SparkSession, folder: str) -> DataFrame:
     """Encoding, delimiter, header flag, fields and their roles of every file, from its first lines; nothing is converted.
 
     The fields of a file of JSON records are the keys of those lines in order of name.
     """
-    heads = profile.file_prefixes(raw_lines(spark, folder)).withColumn("encoding", profile.encoding(F.col("prefix")))
-    text = F.expr("CASE encoding " + " ".join(f"WHEN '{k}' THEN decode(encode(prefix, 'ISO-8859-1'), '{v}')" for k, v in JAVA_NAMES.items() if k != "windows-1251") + " ELSE prefix END")
+    heads = file_prefixes(spark, folder).withColumn("encoding", profile.encoding(F.col("prefix")))
+    _allow_charsets(spark)
+    text = _decoded(F.encode("prefix", "ISO-8859-1"), F.col("encoding"))
     heads = heads.withColumn("lines", profile.first_lines(F.regexp_replace(text, "^﻿", ""), 100)).withColumn("delimiter", profile.delimiter(F.slice("lines", 1, 20)))
-    fields = F.transform(F.split(F.get("lines", 0), F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E"))), lambda f: F.regexp_replace(f, '^"|"$', ""))
-    heads = heads.withColumn("fields", fields).withColumn("has_header", mapping.header_flag(F.col("fields")))
-    synthetic = F.transform(F.col("fields"), lambda f, i: F.when(i == 0, F.lit("id")).otherwise(F.concat(F.lit("col_"), i.cast("string"))))
+    heads = heads.withColumn("first", profile.split_fields(F.coalesce(F.get("lines", 0), F.lit("")), F.col("delimiter"))).withColumn("has_header", mapping.header_flag(F.col("first")))
+    synthetic = F.transform(F.col("first"), lambda f, i: F.when(i == 0, F.lit("id")).otherwise(F.concat(F.lit("col_"), i.cast("string"))))
     heads = heads.withColumn("jsonl", profile.is_jsonl(F.lower(F.regexp_extract("file", r"\.([^.]+)$", 1)), F.get("lines", 0)))
     keys = F.array_sort(F.array_distinct(F.flatten(F.transform("lines", lambda v: F.coalesce(F.json_object_keys(v), F.array().cast("array<string>"))))))
-    named = F.when(F.col("jsonl"), keys).when(F.col("has_header"), F.col("fields")).otherwise(synthetic)
+    named = F.when(F.col("jsonl"), keys).when(F.col("has_header"), F.transform("first", C.trim)).otherwise(synthetic)
     heads = heads.select("file", "encoding", "delimiter", (F.col("has_header") & ~F.col("jsonl")).alias("has_header"), named.alias("fields"), "jsonl")
     return heads.withColumn("roles", F.when(F.col("jsonl"), mapping.roles(F.col("fields"), mapping.role_of_key)).otherwise(mapping.roles(F.col("fields"), mapping.role_of)))
 
 
-def transcode(spark: SparkSession, folder: str, encodings: dict[str, str], headed: Collection[str] = (), most_bytes: int = MOST_BYTES, over: bool = False) -> DataFrame:
-    """``(file, value)``: lines of every file as UTF-8, one reader for each encoding, not for each file.
+def _allow_charsets(spark: SparkSession) -> None:
+    """Lets ``decode`` know the Cyrillic encoding, and put U+FFFD for bytes that are no character."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
+
+
+def _decoded(value: Column, encoding: Column) -> Column:
+    """Text of bytes, row by row, by the encoding that the row names."""
+    out = F.make_valid_utf8(value.cast("string"))
+    for name in _WIDE + ("windows-1251", "iso-8859-1"):
+        out = F.when(encoding == name, F.decode(value, JAVA_NAMES[name])).otherwise(out)
+    return out
+
+
+_PLACED = pa.schema([("file", pa.string()), ("part", pa.string()), ("start", pa.int64()), ("place", pa.int64()), ("first", pa.bool_()), ("value", pa.binary())])
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts the lines of each split as they stream by; ``first`` marks a part's first line that isn't blank."""
+    now, count, begun = None, 0, False
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        key = pc.binary_join_element_wise(batch.column("file"), batch.column("part"), batch.column("start").cast(pa.string()), "\n")
+        changes = np.flatnonzero(np.asarray(pc.not_equal(key[1:], key[:-1]))) + 1 if n > 1 else np.zeros(0, np.int64)
+        place, first = np.zeros(n, np.int64), np.zeros(n, bool)
+        for low, high in zip([0, *changes.tolist()], [*changes.tolist(), n]):
+            if (k := key[low].as_py()) != now:
+                now, count, begun = k, 0, not k.endswith("\n0")
+            place[low:high] = np.arange(count, count + high - low)
+            count += high - low
+            for i in range(low, high) if not begun else ():
+                if batch.column("value")[i].as_py().strip(b" \t\r\n\x0b\x0c\x00"):
+                    first[i], begun = True, True
+                    break
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file", "part", "start")), pa.array(place), pa.array(first), batch.column("value")], schema=_PLACED)
+
+
+def _readers(spark: SparkSession, folder: str, facts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """Raw lines and the facts of the files whose lines they are: one reader for all byte encodings, one for each of two-byte characters that occurs."""
+    present = {r.encoding for r in facts.select("encoding").distinct().collect()}  # six at most
+    groups = [tuple(e for e in JAVA_NAMES if e not in _WIDE), *((e,) for e in _WIDE if e in present)]
+    return [(raw_lines(spark, folder, group[-1] if group[0] in _WIDE else "utf-8"), facts.where(F.col("encoding").isin(*group)).withColumnRenamed("file", "of")) for group in groups]
+
+
+def lines(spark: SparkSession, folder: str, facts: DataFrame) -> DataFrame:
+    """Every line of the files in ``facts`` as text, with its place (file, part, start of its split, place in it) and its file's facts.
+
+    Files are read once, as bytes; only where a file of two-byte characters is
+    among them, whose lines end otherwise, the folder is read again for these.
+    """
+    _allow_charsets(spark)
+    placed = [(raw.mapInArrow(_places, "file string, part string, start long, place long, first boolean, value binary"), own) for raw, own in _readers(spark, folder, facts)]
+    rows = reduce(DataFrame.unionByName, (p.join(own, F.col("file") == F.col("of")).drop("of") for p, own in placed)).withColumn("bytes", F.octet_length("value"))
+    # what is too long is never decoded
+    text = F.when(F.col("bytes") <= MOST_BYTES, F.regexp_replace(_decoded(F.col("value"), F.col("encoding")), "^\ufeff|\r++$", ""))
+    return rows.withColumn("value", text)
+
 
-    Blank lines are dropped, and so are lines of more than ``most_bytes`` bytes
-    (``over`` gives those instead, so that they can be counted). Of the files in
-    ``headed``, the reader leaves out the first line that isn't blank of each part, whatever its quoting.
+def split_lines(spark: SparkSession, folder: str, facts: DataFrame) -> DataFrame:
+    """``(file, part, start, n)``: lines of each split of the files in ``facts``; only counts are shuffled."""
+    counted = (raw.groupBy("file", "part", "start").agg(F.count("*").alias("n")).join(own.select("of"), F.col("file") == F.col("of")).drop("of") for raw, own in _readers(spark, folder, facts))
+    return reduce(DataFrame.unionByName, counted)
+
+
+def text_lines(spark: SparkSession, folder: str, facts: DataFrame) -> DataFrame:
+    """``(file, value)``: data lines as UTF-8, without blank lines, headers and lines that are too long."""
+    rows = lines(spark, folder, facts)
+    return rows.where(F.col("value").isNotNull() & (C.trim("value") != "") & ~(F.col("has_header") & F.col("first"))).select("file", "value")
+
+
+def records(rows: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """``lines`` to canonical rows with ``reason`` (null: a record), and the place of each; blank lines and headers are neither.
+
+    One pass makes both: ``where("reason is null")`` are the records, the others the rejects.
     """
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    groups: dict[tuple[str, bool], list[str]] = {}
-    for file, enc in encodings.items():
-        groups.setdefault((enc, file in headed), []).append(f"{folder}/{file}")
-    parts = []
-    for (enc, header), paths in sorted(groups.items()):
-        one = spark.read.options(encoding=JAVA_NAMES[enc], lineSep="\n", sep=_NO_SEPARATOR, quote="", header=str(header).lower()).schema("value string").csv(sorted(paths))
-        parts.append(one.select(_file().alias("file"), F.regexp_replace("value", "^﻿|\r++$", "").alias("value")))
-    size = F.octet_length("value")
-    return reduce(DataFrame.unionByName, parts).where("trim(value) <> ''").where(size > most_bytes if over else size <= most_bytes)
-
-
-def delimited(lines: DataFrame, facts: list) -> DataFrame:
-    """Canonical rows of delimited data lines: one parser for each (delimiter, roles) group of files."""
-    groups: dict[tuple, list[str]] = {}
-    for r in facts:
-        groups.setdefault((r.delimiter, tuple(r.fields)), []).append(r.file)
-    parts = []
-    for (sep, fields), files in sorted(groups.items(), key=str):
-        schema = ", ".join(f"c{i} string" for i in range(len(fields)))
-        rows = lines.where(F.col("file").isin(*files)).select("file", F.from_csv("value", schema, {"sep": sep, "ignoreLeadingWhiteSpace": "true", "escape": '"'}).alias("r"), "value")
-        at: dict[str, int] = {}
-        for i, f in enumerate(fields):
-            norm = "".join(ch for ch in f.strip().lower() if ch not in " _-")
-            role = next((k for k, names in mapping.ROLE_ALIASES.items() if norm in names), None)
-            if role and role not in at:
-                at[role] = i
-        at.setdefault("id", 0)
-        get = lambda role: F.coalesce(F.col(f"r.c{at[role]}"), F.lit("")) if role in at else F.lit("")
-        extras = [(f, i) for i, f in enumerate(fields) if i not in at.values()]
-        packed = F.lit("{}") if not extras else F.to_json(F.map_filter(F.map_from_entries(F.array_sort(F.array(*(F.struct(F.lit(f).alias("k"), F.coalesce(F.col(f"r.c{i}"), F.lit("")).alias("v")) for f, i in extras)))), lambda k, v: v != ""))
-        from ..functions import clean as C
-
-        parts.append(rows.select("file", C.trim(get("id")).alias("id"), C.combine_name(get("name"), get("lastname")).alias("name"), get("phone").alias("phone"), get("username").alias("username"), packed.alias("extras")))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def write_canonical(rows: DataFrame, path: str) -> None:
-    """Canonical CSV, a folder for each source file."""
+    long = F.col("bytes") > most_bytes
+    rows = rows.where(long | ((C.trim("value") != "") & ~(F.col("has_header") & F.col("first"))))
+    value = F.when(~long, F.col("value"))
+    rows = rows.withColumn("raw", F.col("value")).withColumn("f", F.when(F.col("jsonl"), F.array().cast("array<string>")).otherwise(F.transform(profile.split_fields(value, F.col("delimiter")), C.trim)))
+    at = lambda role: F.coalesce(F.get("f", (F.array_position("roles", F.lit(role)) - 1).cast("int")), F.lit(""))
+    first = F.when(F.array_contains("roles", F.lit("id")), at("id")).otherwise(F.coalesce(F.get("f", 0), F.lit("")))
+    pairs = F.transform("fields", lambda name, i: F.struct(name.alias("k"), F.coalesce(F.get("f", i), F.lit("")).alias("v"), F.get("roles", i).alias("r")))
+    pairs = F.filter(pairs, lambda p: (p.r == "extras") & (p.k != "") & (p.v != ""))
+    rows = rows.withColumn("pairs", pairs)
+    last = F.filter("pairs", lambda p, i: ~F.exists(F.slice("pairs", i + 2, F.greatest(F.size("pairs"), F.lit(1))), lambda q: q.k == p.k))
+    rows = rows.withColumn("pairs", F.array_sort(last))
+    packed = F.when(F.size("pairs") > 0, F.to_json(F.map_from_arrays(F.col("pairs.k"), F.col("pairs.v")))).otherwise("{}")
+    canonical = F.transform("fields", lambda f: F.lower(f)) == F.array(*map(F.lit, CANONICAL))
+    flat = {
+        "id": first,
+        "name": C.combine_name(at("name"), at("lastname")),
+        "phone": at("phone"),
+        "username": F.when(canonical, at("username")).otherwise(F.regexp_replace(at("username"), "^@", "")),
+        "extras": F.when(canonical, F.coalesce(F.nullif(F.get("f", 4), F.lit("")), F.lit("{}"))).otherwise(packed),
+    }
+    mapped = mapping.map_records(rows.withColumn("value", F.when(F.col("jsonl"), value)), "file", "part", "start", "place", "bytes", "jsonl", long.alias("long"), F.struct(*(c.alias(n) for n, c in flat.items())).alias("flat"), "raw")
+    out = {n: F.when(F.col("jsonl"), F.coalesce(n, F.lit(""))).otherwise(F.col(f"flat.{n}")) for n in CANONICAL}
+    reason = F.when(F.col("long"), "line too long").when(F.col("jsonl") & F.col("id").isNull(), "no record").when(~F.col("jsonl") & (F.col("flat.id") == ""), "missing id")
+    return mapped.select("file", "part", "start", "place", *(c.alias(n) for n, c in out.items()), reason.alias("reason"), F.when(reason.isNotNull(), F.col("raw")).alias("raw"))
+
+
+def line_numbers(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Adds ``line_no``, from 1, to rows with a place: the lines of the splits before by ``split_lines``, and the place in the own split. No line moves."""
+    before = Window.partitionBy("cf", "cp").orderBy("cs").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("file").alias("cf"), F.col("part").alias("cp"), F.col("start").alias("cs"), "n").withColumn("base", F.sum("n").over(before))
+    counts = counts.where("base is not null").drop("n")  # a part's first split has nothing before it
+    if counts.count() <= MOST_SPLITS:
+        counts = F.broadcast(counts)
+    joined = rows.join(counts, (F.col("file") == F.col("cf")) & (F.col("part") == F.col("cp")) & (F.col("start") == F.col("cs")), "left")
+    return joined.withColumn("line_no", F.coalesce("base", F.lit(0)) + F.col("place") + 1).drop("cf", "cp", "cs", "base")
+
+
+def write_canonical(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """Canonical CSV, for each input ``x.csv`` a dataset ``x.standard.csv`` of one job (``x.csv.standard.csv`` where the short name is taken)."""
     rows.write.partitionBy("file").option("header", "true").option("escape", '"').mode("overwrite").csv(path)
+    for folder in shared.names(spark, path):
+        if folder.startswith("file="):
+            name = shared.unescaped(spark, folder.removeprefix("file="))
+            base = name.rsplit(".", 1)[0] if "." in name else name
+            if not shared.rename(spark, f"{path}/{folder}", f"{path}/{base}.standard.csv"):
+                shared.rename(spark, f"{path}/{folder}", f"{path}/{name}.standard.csv")
 
 
 def read_canonical(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", "true").option("escape", '"').schema(", ".join(f"{c} string" for c in [*CANONICAL, "file"])).csv(path).na.fill("")
+    """The canonical datasets of a folder, with ``file``, the name of each."""
+    rows = spark.read.options(header="true", escape='"', recursiveFileLookup="true").schema(", ".join(f"{c} string" for c in CANONICAL)).csv(path)
+    return rows.select(_file().alias("file"), *CANONICAL).na.fill("")

@@ -50,3 +50,25 @@ def get_text(spark: SparkSession, path: str) -> str:
 def remove(spark: SparkSession, path: str) -> None:
     at, fs = _hadoop(spark, path)
     fs.delete(at, True)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    at, fs = _hadoop(spark, path)
+    return fs.makeQualified(at).toString()
+
+
+def unescaped(spark: SparkSession, name: str) -> str:
+    """The value that a partition folder's name stands for."""
+    return spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(name)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> bool:
+    """Whether the path was renamed; not where the new name is taken."""
+    at, fs = _hadoop(spark, old)
+    to, _ = _hadoop(spark, new)
+    return not fs.exists(to) and fs.rename(at, to)
+
+
+def make(spark: SparkSession, folder: str) -> None:
+    at, fs = _hadoop(spark, folder)
+    fs.mkdirs(at)

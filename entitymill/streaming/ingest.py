@@ -5,12 +5,13 @@ from __future__ import annotations
 import threading
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from ..operators import merge, validate
+from ..sources import files
 from ..sources.keyed import KeyedTables
 
 #: The record table and the index of each alias: key and columns.
@@ -18,7 +19,10 @@ TARGET = {
     "records": ("id", "id string, name string, alias_a string, alias_b string, n_rows long, extras string"),
     "alias_a": ("alias", "alias string, id string, seq long"),
     "alias_b": ("alias", "alias string, id string, seq long"),
+    "progress": ("part", "part string, lines long"),
 }
+#: Lines of a file at most, in the numbers that order the rows of all deliveries.
+_FILE_LINES = 1 << 36
 
 
 class Recorder(StreamingQueryListener):
@@ -72,10 +76,11 @@ def target(spark: SparkSession, path: str, buckets: int = 64) -> KeyedTables:
     return KeyedTables(spark, path, TARGET, buckets)
 
 
-def upsert_batch(tables: KeyedTables, raw: DataFrame, batch: int) -> None:
+def upsert_batch(tables: KeyedTables, raw: DataFrame, batch: int, also: dict[str, DataFrame] | None = None, notes: dict | None = None) -> None:
     """Merges a batch of raw rows into the record table and both alias indexes; of each only the buckets that it touches.
 
     A batch that is committed already changes nothing. Rows within a batch go in order of seq, batches in their own order.
+    ``also`` are rows of other tables that replace those of their keys under the same manifest, ``notes`` numbers that go with its counts.
     """
     if batch <= tables.current()["batch"]:
         return
@@ -85,10 +90,15 @@ def upsert_batch(tables: KeyedTables, raw: DataFrame, batch: int) -> None:
         rows = checked.observe(counted, *counters(F.col("reason"))).where("reason is null").drop("reason", "id_raw")
         # which buckets are touched is asked of the whole batch once; the counts come with it
         touched = {"records": tables.touched(rows, "id")}
+        before = tables.current()
+        replaced = {name: tables.touched(new, tables.tables[name][0]) for name, new in (also or {}).items()}
+        for name, new in (also or {}).items():
+            key = tables.tables[name][0]
+            kept = tables.read(name, replaced[name], before).join(new.select(key), key, "left_anti")
+            tables.stage(name, batch, kept.unionByName(new))
         if not touched["records"]:
-            tables.commit(batch, {}, counted.get | {"inserts": 0, "updates": 0})
+            tables.commit(batch, replaced, (notes or {}) | counted.get | {"inserts": 0, "updates": 0})
             return
-        before = tables.current()
         old = tables.read("records", touched["records"], before)
         merged, known = Observation(), F.col("known")
         new = merge.upsert_with_extras(rows, old)
@@ -102,11 +112,42 @@ def upsert_batch(tables: KeyedTables, raw: DataFrame, batch: int) -> None:
             touched[alias] = tables.touched(writes, "alias")
             tables.stage(alias, batch, merge.last_writes(tables.read(alias, touched[alias], before).unionByName(writes)))
             writes.unpersist()
-        tables.commit(batch, touched, counted.get | merged.get)
+        tables.commit(batch, touched | replaced, (notes or {}) | counted.get | merged.get)
     finally:
         checked.unpersist()
 
 
+def ingest_files(tables: KeyedTables, folder: str) -> bool:
+    """Upserts the lines of a folder's files beyond those that earlier runs took; whether there were any.
+
+    What was taken is a kept table of (part, lines), committed with the records. So a file
+    that has grown adds its new lines, one delivered again adds none, and a run that failed is
+    as if it had never been. Lines that come while a run reads are left to the next one.
+    """
+    spark, before = tables.spark, tables.current()
+    facts = files.report(spark, folder).persist()
+    try:
+        counts = files.split_lines(spark, folder, facts).persist()
+        done = tables.read("progress", manifest=before).withColumnRenamed("lines", "done")
+        now = counts.groupBy("file", "part").agg(F.sum("n").alias("lines")).withColumn("key", F.concat_ws("/", "file", "part"))
+        # a row for each part file with new lines
+        grown = now.join(done.withColumnRenamed("part", "key"), "key", "left").where("lines > coalesce(done, 0)")
+        grown = grown.withColumn("place_of_file", F.row_number().over(Window.orderBy("key"))).select(F.col("file").alias("gf"), F.col("part").alias("gp"), "key", "lines", "done", "place_of_file").persist()
+        n, base = grown.count(), before.get("counts", {}).get("top", 0)
+        if n:
+            rows = files.line_numbers(files.records(files.lines(spark, folder, facts)), counts).join(grown, (F.col("file") == F.col("gf")) & (F.col("part") == F.col("gp")))
+            rows = rows.where("line_no > coalesce(done, 0) and line_no <= lines")
+            seq = F.lit(base) + F.col("place_of_file") * F.lit(_FILE_LINES) + F.col("line_no")
+            raw = rows.select(seq.alias("seq"), F.col("file").alias("source_file"), F.col("id").alias("id_raw"), F.col("name").alias("name_raw"), F.col("phone").alias("alias_a_raw"), F.col("username").alias("alias_b_raw"), F.col("extras").alias("extras_raw"))
+            progressed = grown.select(F.col("key").alias("part"), "lines")
+            upsert_batch(tables, raw, before["batch"] + 1, {"progress": progressed}, {"top": base + (n + 1) * _FILE_LINES})
+        grown.unpersist()
+        counts.unpersist()
+        return n > 0
+    finally:
+        facts.unpersist()
+
+
 def upsert_stream(spark: SparkSession, source: str, schema: StructType, tables: KeyedTables, checkpoint: str, files: int = 1) -> list[dict]:
     """Upserts the files that earlier runs have not committed, ``files`` to a batch, in order of their arrival."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
