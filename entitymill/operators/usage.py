@@ -32,6 +32,12 @@ def rate_limit(events: DataFrame, limit: int = LIMIT, width: int = WIDTH) -> Dat
     return ordered_fold(events.select("event_id", "user_id", "us"), "user_id", ["us", "event_id"], "event_id long, user_id long, allowed boolean", deque, step)
 
 
+def cache_entities(looked_up: DataFrame) -> DataFrame:
+    """Valid probes with the entity whose cache entries they share, their own key, and the id's key."""
+    own, of = F.concat("kind", F.lit(":"), "key"), F.concat(F.lit("id:"), "id")
+    return looked_up.where("outcome <> 'invalid'").select("event_id", "us", F.coalesce(of, own).alias("entity"), own.alias("own"), F.coalesce(of, F.lit("")).alias("id_key"))
+
+
 def ttl_hits(looked_up: DataFrame, ttl: int = TTL) -> DataFrame:
     """Cache classification of routed probes: hit or miss; the first access opens a fixed time to live.
 
@@ -39,7 +45,7 @@ def ttl_hits(looked_up: DataFrame, ttl: int = TTL) -> DataFrame:
     the id that the probe resolves to (by the probe's own key where it finds
     nothing). Invalid probes never reach the cache.
     """
-    rows = looked_up.where("outcome <> 'invalid'").select("event_id", "us", F.coalesce(F.concat(F.lit("id:"), "id"), F.concat("kind", F.lit(":"), "key")).alias("entity"), F.concat("kind", F.lit(":"), "key").alias("own"), F.coalesce(F.concat(F.lit("id:"), "id"), F.lit("")).alias("id_key"))
+    rows = cache_entities(looked_up)
 
     def step(open_: dict, r) -> tuple:
         hit = r.own in open_ and r.us <= open_[r.own]

@@ -263,7 +263,7 @@ ORACLES |= {
     "stream_alias_index": ORACLES["alias_index"],
     "stream_counts": sql("checked acc", "SELECT count(*) AS read, count(*) FILTER (WHERE reason IS NULL) AS parsed, count(*) FILTER (WHERE reason IS NOT NULL) AS invalid, (SELECT count(DISTINCT id) FROM acc) AS inserts, (SELECT count(*) - count(DISTINCT id) FROM acc) AS updates FROM checked"),
     "stream_rate_limit": ORACLES["rate_limit"],
-    "stream_ttl_hits": ORACLES["ttl_hits"],
+    "stream_progress_totals": sql("checked", "SELECT count(*) AS rows, count(*) AS done, count(*) FILTER (WHERE reason IS NULL) AS parsed, count(*) FILTER (WHERE reason IS NOT NULL) AS invalid, 100.0 AS percent, true AS every_batch, true AS timed FROM checked"),
     "stream_daily_usage": sql("ev", "SELECT day, count(*) AS n FROM ev GROUP BY day"),
     "lookup_stats": sql(
         "looked",
@@ -313,3 +313,4 @@ _OTHERS = sql("raw", """SELECT 'x.standard.csv' AS file, id_raw AS id, trim(name
 UNION ALL SELECT 'recs.jsonl', id_raw, CASE WHEN trim(name_raw) <> '' THEN trim(name_raw) ELSE alias_b_raw END, '',
  CASE WHEN alias_b_raw LIKE '@%' THEN lower(ltrim(alias_b_raw, '@')) ELSE '' END, CASE WHEN alias_b_raw LIKE '@%' THEN '{}' ELSE '{"nick":"' || alias_b_raw || '"}' END FROM raw WHERE source_file = '0'""")
 ORACLES["convert_or_pass"] = f"SELECT * FROM (SELECT * FROM ({_DELIMITED}) UNION ALL SELECT * FROM ({_OTHERS})) WHERE regexp_full_match(id, '0|[1-9][0-9]{{0,31}}')"
+ORACLES["stream_ttl_hits"] = ORACLES["ttl_hits_all"]

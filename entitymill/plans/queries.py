@@ -15,13 +15,13 @@ def _accepted(spark: SparkSession, d: str) -> DataFrame:
     return validate.accepted(raw_entities(spark, d))
 
 
-def _indexes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def indexes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = _accepted(spark, d)
     return merge.upsert(rows), merge.alias_index(rows, "alias_a"), merge.alias_index(rows, "alias_b")
 
 
 def _looked_up(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.routed_lookup(usage_events(spark, d), lookup.search_index(*_indexes(spark, d)))
+    return lookup.routed_lookup(usage_events(spark, d), lookup.search_index(*indexes(spark, d)))
 
 
 # rows and predicates
@@ -126,7 +126,7 @@ def key_lookup(spark, d):
 
 
 def alias_lookup(spark, d):
-    records, a, _ = _indexes(spark, d)
+    records, a, _ = indexes(spark, d)
     hop = usage_events(spark, d).select("event_id", C.clean_alias_a("probe").alias("alias")).where("alias <> ''").join(a.select("alias", "id"), "alias", "left")
     return hop.join(records.select("id", "name"), "id", "left").select("event_id", "alias", F.coalesce("id", F.lit("")).alias("id"), F.coalesce("name", F.lit("")).alias("name"), F.col("name").isNotNull().alias("found"))
 
@@ -252,7 +252,7 @@ def ledger_append(spark, d):
 
 def index_tables(spark, d):
     path = new_folder(spark, "index")
-    lookup.write_indexes(*_indexes(spark, d), path)
+    lookup.write_indexes(*indexes(spark, d), path)
     return lookup.search_index(*lookup.read_indexes(spark, path))
 
 
@@ -304,7 +304,7 @@ def daily_usage(spark, d):
 
 
 def index_counts(spark, d):
-    records, a, b = _indexes(spark, d)
+    records, a, b = indexes(spark, d)
     return records.agg(F.lit("records").alias("name"), F.count("*").alias("entries")).unionByName(a.agg(F.lit("alias_a").alias("name"), F.count("*").alias("entries"))).unionByName(b.agg(F.lit("alias_b").alias("name"), F.count("*").alias("entries")))
 
 

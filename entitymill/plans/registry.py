@@ -17,7 +17,7 @@ source_discovery delimited_scan file_rejects jsonl_scan format_probe encoding_pr
 header_role_map header_layout_map jsonl_record_map
 """.split()
 
-_STREAM_NAMES = "incremental_ingest resumed_ingest stream_upsert stream_alias_index stream_counts stream_rate_limit stream_ttl_hits stream_daily_usage stream_progress".split()
+_STREAM_NAMES = "incremental_ingest resumed_ingest stream_upsert stream_alias_index stream_counts stream_rate_limit stream_ttl_hits stream_daily_usage stream_progress stream_progress_totals".split()
 
 QUERIES = {name: getattr(queries, name) for name in _NAMES} | {name: getattr(file_queries, name) for name in _FILE_NAMES} | {name: getattr(stream_queries, name) for name in _STREAM_NAMES}
 ORACLES = dict(oracles.ORACLES)

@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import clean as C
-from ..operators import merge
+from ..operators import lookup, merge
 from ..sources import shared
 from ..sources.shared import new_folder
-from ..sources.views import raw_entities, table, usage_events
+from ..sources.views import raw_entities, usage_events
 from ..streaming import ingest as I
 from ..streaming import state as S
-
-
-#: Rows of a slice of time, about; they bound what a rule holds of one key at once.
-SLICE_ROWS = 500_000
+from .queries import indexes
 
 
 def _in_order(rows: DataFrame, by: str, at: str, n: int, files: int = 2) -> None:
@@ -87,60 +81,57 @@ def stream_counts(spark, d):
     return spark.createDataFrame([tuple(sum(c[n] for c in kept) for n in names)], ", ".join(f"{n} long" for n in names))
 
 
-def _events_stream(spark: SparkSession, rows: DataFrame, at: str) -> DataFrame:
-    """Rows written as files and read as a stream in one batch, as later batches may not hold earlier times."""
-    rows.write.parquet(f"{at}/in")
-    return spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+def _drain(spark: SparkSession, stream: DataFrame, at: str, mode: str = "append") -> tuple[DataFrame, list[dict]]:
+    """Runs one stream to the end of its input; what it wrote, with the batch of each row, and the record of each batch."""
 
-
-def _drain(stream: DataFrame, at: str, mode: str = "append") -> DataFrame:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={batch_id}")
 
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.parquet(f"{at}/out")
+    start = lambda: stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    batches = I.run_to_end(spark, start)
+    return spark.read.parquet(f"{at}/out"), batches
 
 
-def _drain_in_time(rows: DataFrame, rule: Callable[[DataFrame], DataFrame], at: str) -> DataFrame:
-    """``rule`` over slices of time, each written and drained before the next; the checkpoint carries the state over.
-
-    Rows of one ``us`` stay in one slice.
-    """
-    spark = rows.sparkSession
-    n = max(3, -(-rows.count() // SLICE_ROWS))
-    cuts = sorted(set(rows.approxQuantile("us", [i / n for i in range(1, n)], min(0.01, 0.25 / n)))) if n > 1 else []
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        part = rows if low is None else rows.where(F.col("us") > int(low))
-        part = part if high is None else part.where(F.col("us") <= int(high))
-        part.write.mode("append").parquet(f"{at}/in")
-        out = _drain(rule(spark.readStream.schema(rows.schema).parquet(f"{at}/in")), at)
-    return out
+def _timely(spark: SparkSession, rows: DataFrame, at: str, n: int = 6) -> DataFrame:
+    """Rows as a stream of ``n`` micro-batches in order of time; each row is written once and read once."""
+    _in_order(rows, "us", f"{at}/in", n)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
 
 
 def stream_rate_limit(spark, d):
     at = new_folder(spark, "limits")
     events = usage_events(spark, d).select("event_id", "user_id", "us")
-    return _drain_in_time(events, S.rate_limit_stream, at).select("event_id", "user_id", "allowed")
+    return _drain(spark, S.rate_limit_stream(_timely(spark, events, at)), at)[0].select("event_id", "user_id", "allowed")
 
 
 def stream_ttl_hits(spark, d):
+    """Probes of all kinds stream by, are looked up in the written index, and meet the cache's state."""
     at = new_folder(spark, "ttl")
-    key = C.probe_key("probe")
-    probes = usage_events(spark, d).where((C.route("probe") == "id") & key.isNotNull()).select("event_id", "us", F.concat(F.lit("id:"), key).alias("own"))
-    return _drain_in_time(probes, S.ttl_hits_stream, at).select("event_id", "key", "cache_hit")
+    probes = _timely(spark, usage_events(spark, d).select("event_id", "us", "probe"), at)
+    lookup.write_indexes(*indexes(spark, d), f"{at}/index")  # once; every batch reads it
+    looked = lookup.routed_lookup(probes, lookup.search_index(*lookup.read_indexes(spark, f"{at}/index")))
+    return _drain(spark, S.ttl_hits_stream(looked), at)[0].select("event_id", "key", "cache_hit")
 
 
 def stream_daily_usage(spark, d):
     at = new_folder(spark, "days")
-    events = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("at"))
-    out = _drain(I.count_days(_events_stream(spark, events, at)), at, "update")
-    newest = out.groupBy("day").agg(F.max_by("n", "batch").alias("n"))  # an updated day replaces its earlier count
-    return newest
+    events = usage_events(spark, d).select("event_id", "us")
+    stream = _timely(spark, events, at).withColumn("at", F.timestamp_micros("us"))
+    out, _ = _drain(spark, I.count_days(stream), at, "update")
+    return out.groupBy("day").agg(F.max_by("n", "batch").alias("n"))  # an updated day replaces its earlier count
 
 
 def stream_progress(spark, d):
+    """A row for every batch: its counts, how far the stream is, its rate and the time left."""
     at = new_folder(spark, "progress")
     raw = raw_entities(spark, d)
     raw.repartition(12).write.parquet(f"{at}/in")
-    batches = I.ingest(spark, f"{at}/in", raw.schema, f"{at}/out", f"{at}/checkpoint")
-    return spark.createDataFrame(I.progress([b for b in batches if b["rows"]], raw.count()), "batch long, rows long, done long, percent double, rows_per_second double, seconds_left double")
+    batches = [b for b in I.ingest(spark, f"{at}/in", raw.schema, f"{at}/out", f"{at}/checkpoint") if b["rows"]]
+    rows = [(*p, b["parsed"], b["invalid"]) for p, b in zip(I.progress(batches, raw.count()), batches)]
+    return spark.createDataFrame(rows, "batch long, rows long, done long, percent double, rows_per_second double, seconds_left double, parsed long, invalid long")
+
+
+def stream_progress_totals(spark, d):
+    """What all batches of ``stream_progress`` add up to: the part of it that no clock decides."""
+    p = stream_progress(spark, d)
+    return p.agg(F.sum("rows").alias("rows"), F.max("done").alias("done"), F.sum("parsed").alias("parsed"), F.sum("invalid").alias("invalid"), F.max("percent").alias("percent"), (F.max("batch") + 1 == F.count("*")).alias("every_batch"), F.min_by("seconds_left", "done").isNotNull().alias("timed"))

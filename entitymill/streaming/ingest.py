@@ -38,7 +38,8 @@ class Recorder(StreamingQueryListener):
     def onQueryProgress(self, event) -> None:
         p = event.progress
         seen = {k: v for row in (p.observedMetrics or {}).values() for k, v in row.asDict().items()}
-        self.batches.append({"batch": p.batchId, "rows": p.numInputRows, "ms": dict(p.durationMs).get("triggerExecution", 0), **seen})
+        kept = sum(s.numRowsTotal for s in p.stateOperators)
+        self.batches.append({"batch": p.batchId, "rows": p.numInputRows, "ms": dict(p.durationMs).get("triggerExecution", 0), "state": kept, **seen})
 
     def onQueryIdle(self, event) -> None:
         pass

@@ -1,7 +1,9 @@
-"""Per-key rules online: state survives from batch to batch, rows of a batch go in time order.
+"""Per-key rules online, in one running stream whose state lies in a store on disk.
 
-Batches come in order of time, so the watermark is the latest time seen. A key's
-state times out once it can't matter for any later row.
+Batches come in order of time, and rows of a batch go in time order of their
+key, so the decisions are those of the batch rules. A timer ends what can't
+matter for any later row: the last accepted times of a user once the youngest
+left the window, an entry of the cache once its time to live is over.
 """
 
 from __future__ import annotations
@@ -10,17 +12,94 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.ordered import allow
-from ..operators.usage import LIMIT, OWNERS, TTL, WIDTH
+from ..operators.usage import LIMIT, OWNERS, TTL, WIDTH, cache_entities
 
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def _in_order(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """The rows of one key in one micro-batch; the caller bounds the batch (a slice of time)."""
-    return pd.concat(list(pdfs)).sort_values(["us", "event_id"])
+
+def keep_state_on_disk(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
+
+
+def _in_order(pdfs: Iterator[pd.DataFrame]) -> Iterator:
+    """The rows of one key in one micro-batch, by time; the number of files of a batch bounds them."""
+    return pd.concat(list(pdfs)).sort_values(["us", "event_id"]).itertuples(index=False)
+
+
+class _Timed(StatefulProcessor):
+    """A processor with at most one timer a key, at the end of all that its state is for."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+
+    def wake(self, us: int) -> None:
+        """Sets the key's timer to the first millisecond after ``us``; an earlier one goes."""
+        at = us // 1000 + 1
+        for old in [t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()]:
+            if old == at:
+                return
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
+
+    def close(self) -> None:
+        pass
+
+
+class _Limit(_Timed):
+    def __init__(self, limit: int, width: int):
+        self.limit, self.width = limit, width
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.log = handle.getListState("log", "us long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        user = int(key[0])
+        log = deque(t[0] for t in self.log.get()) if self.log.exists() else deque()
+        out = [(r.event_id, user, user > 0 and (user in OWNERS or allow(log, int(r.us), self.limit, self.width))) for r in _in_order(rows)]
+        if log:
+            self.log.put([(t,) for t in log])
+            self.wake(log[-1] + self.width)
+        yield pd.DataFrame(out, columns=["event_id", "user_id", "allowed"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.log.clear()
+        return iter(())
+
+
+class _Cache(_Timed):
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.ends = handle.getMapState("ends", "own string", "us long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        ends = {own[0]: us[0] for own, us in self.ends.iterator()} if self.ends.exists() else {}
+        before, out = dict(ends), []
+        for r in _in_order(rows):
+            us = int(r.us)
+            hit = r.own in ends and us <= ends[r.own]
+            if not hit:
+                ends[r.own] = us + self.ttl
+                if r.id_key:
+                    ends[r.id_key] = us + self.ttl
+            out.append((r.event_id, r.own, hit))
+        for own, us in ends.items():
+            if before.get(own) != us:
+                self.ends.updateValue((own,), (us,))
+        self.wake(max(ends.values()))
+        yield pd.DataFrame(out, columns=["event_id", "key", "cache_hit"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.ends.clear()
+        return iter(())
 
 
 def _timed(rows: DataFrame) -> DataFrame:
@@ -32,41 +111,17 @@ def rate_limit_stream(events: DataFrame, limit: int = LIMIT, width: int = WIDTH)
 
     Requests without a user are refused without a row here.
     """
-
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        log = deque(state.get[0] if state.exists else ())
-        out, last = [], 0
-        for r in _in_order(pdfs).itertuples(index=False):
-            last = max(last, r.us)
-            out.append((r.event_id, key[0], key[0] > 0 and (key[0] in OWNERS or allow(log, r.us, limit, width))))
-        state.update((list(log),))
-        state.setTimeoutTimestamp((last + width) // 1000 + 1)
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "allowed"])
-
+    keep_state_on_disk(events.sparkSession)
     # without nulls the keys stay exact integers
     known = _timed(events.where("user_id is not null"))
-    return known.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, allowed boolean", "log array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return known.groupBy("user_id").transformWithStateInPandas(_Limit(limit, width), "event_id long, user_id long, allowed boolean", "append", "eventTime")
 
 
-def ttl_hits_stream(probes: DataFrame, ttl: int = TTL) -> DataFrame:
-    """Cache hits of ``(event_id, us, own)``: the first access opens a fixed time to live that hits don't extend."""
+def ttl_hits_stream(looked_up: DataFrame, ttl: int = TTL) -> DataFrame:
+    """Cache hits of routed probes of all kinds, as the batch rule has them: a fetch by alias restarts the id's own entry.
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        ends = state.get[0] if state.exists else None
-        out = []
-        for r in _in_order(pdfs).itertuples(index=False):
-            hit = ends is not None and r.us <= ends
-            if not hit:
-                ends = r.us + ttl
-            out.append((r.event_id, key[0], hit))
-        state.update((ends,))
-        state.setTimeoutTimestamp(ends // 1000 + 1)
-        yield pd.DataFrame(out, columns=["event_id", "key", "cache_hit"])
-
-    return _timed(probes).groupBy("own").applyInPandasWithState(step, "event_id long, key string, cache_hit boolean", "ends long", "append", GroupStateTimeout.EventTimeTimeout)
+    The state of an entity holds the ends of its entries, one for each key that was asked for.
+    """
+    keep_state_on_disk(looked_up.sparkSession)
+    rows = _timed(cache_entities(looked_up))
+    return rows.groupBy("entity").transformWithStateInPandas(_Cache(ttl), "event_id long, key string, cache_hit boolean", "append", "eventTime")

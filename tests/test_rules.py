@@ -179,11 +179,25 @@ def test_flat_merge_streams(spark):
     assert got == {("1", "k"): want, ("2", "k"): '"a"', (None, "k"): '"b"'}
 
 
-def test_streams_in_slices_of_time(spark, data, monkeypatch):
-    """Many small batches in order of time decide as the one ordered pass does."""
-    from entitymill.plans import registry, stream_queries
-
-    monkeypatch.setattr(stream_queries, "SLICE_ROWS", 400)
-    for name in ("rate_limit", "ttl_hits"):
-        got, want = registry.QUERIES[f"stream_{name}"](spark, data), registry.QUERIES[name](spark, data)
-        assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+def test_streams_decide_as_the_ordered_pass(spark, data, tmp_path):
+    """One stream of eight micro-batches, its state on disk, decides as the one ordered pass does; each input row is read once, and state goes with time."""
+    from entitymill.plans import queries, registry, stream_queries
+    from entitymill.sources.views import usage_events
+    from entitymill.streaming import state
+
+    events = usage_events(spark, data)
+    # users of the first days never come back, so what was kept of them goes
+    shifted = events.withColumn("user_id", F.col("user_id") + F.floor(F.col("us") / (3 * usage.DAY)) * 100_000)
+    at = f"file://{tmp_path}/limits"
+    out, batches = stream_queries._drain(spark, state.rate_limit_stream(stream_queries._timely(spark, shifted.select("event_id", "user_id", "us"), at, 8)), at)
+    assert sorted(map(tuple, out.select("event_id", "user_id", "allowed").collect())) == sorted(map(tuple, usage.rate_limit(shifted).collect()))
+    fed = [b for b in batches if b["rows"]]
+    assert len(fed) == 8 and sum(b["rows"] for b in fed) == events.count()
+    kept = [b["state"] for b in batches]
+    assert 0 < kept[-1] < max(kept)
+    at = f"file://{tmp_path}/hits"
+    looked = queries.lookup.routed_lookup(stream_queries._timely(spark, events.select("event_id", "us", "probe"), at, 8), queries.lookup.search_index(*queries.indexes(spark, data)))
+    out, batches = stream_queries._drain(spark, state.ttl_hits_stream(looked), at)
+    want = registry.QUERIES["ttl_hits_all"](spark, data)
+    assert sorted(map(tuple, out.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert len({b["batch"] for b in batches if b["rows"]}) == 8 and min(b["state"] for b in batches[1:]) < max(b["state"] for b in batches)
