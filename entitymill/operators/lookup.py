@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
+from ..sources import sorted as sorted_
 
 
 def key_lookup(probes: DataFrame, records: DataFrame, probe: str, key: str) -> DataFrame:
@@ -21,14 +22,33 @@ def search_index(records: DataFrame, index_a: DataFrame, index_b: DataFrame) ->
     return keys
 
 
-def write_indexes(records: DataFrame, index_a: DataFrame, index_b: DataFrame, path: str) -> None:
-    """The three keyed tables as Parquet. Files are sorted by key, so a point or range lookup reads few row groups; rows stay where the merge left them."""
-    for name, key, rows in (("records", "id", records), ("alias_a", "alias", index_a), ("alias_b", "alias", index_b)):
-        rows.sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/{name}")
+#: The kept tables and their keys.
+TABLES = {"records": "id", "alias_a": "alias", "alias_b": "alias"}
+
+
+def write_indexes(records: DataFrame, index_a: DataFrame, index_b: DataFrame, path: str, ranges: int | None = None) -> None:
+    """The three keyed tables as files by ranges of their keys, so a look-up opens only those that can hold its keys."""
+    for (name, key), rows in zip(TABLES.items(), (records, index_a, index_b)):
+        sorted_.write_sorted(rows, key, f"{path}/{name}", ranges)
 
 
 def read_indexes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{path}/{name}") for name in ("records", "alias_a", "alias_b"))
+    return tuple(sorted_.read_sorted(spark, f"{path}/{name}") for name in TABLES)
+
+
+def kept_key_lookup(probes: DataFrame, path: str, probe: str, name: str = "records") -> DataFrame:
+    """``key_lookup`` over a kept table: ranges that no probe falls in are not read."""
+    key = TABLES[name]
+    return key_lookup(probes, sorted_.around(probes.sparkSession, f"{path}/{name}", key, probes, probe), probe, key)
+
+
+def kept_alias_lookup(probes: DataFrame, path: str, probe: str, name: str) -> DataFrame:
+    """Alias to id to record over kept tables, two exact hops; ``found`` tells whether both met."""
+    spark = probes.sparkSession
+    index = sorted_.around(spark, f"{path}/{name}", "alias", probes, probe).select(F.col("alias").alias("key"), F.col("id").alias("of"))
+    hop = probes.join(index, F.col(probe) == F.col("key"), "left").drop("key")
+    records = sorted_.around(spark, f"{path}/records", "id", hop, "of")
+    return hop.join(records.withColumn("found", F.lit(True)), F.col("of") == F.col("id"), "left").withColumn("found", F.coalesce("found", F.lit(False))).drop("of")
 
 
 def routed_lookup(probes: DataFrame, index: DataFrame, probe: str = "probe") -> DataFrame:

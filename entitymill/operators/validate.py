@@ -39,8 +39,8 @@ def reason(column: str) -> Column:
     return F.when(i == "", "missing id").when(~C.is_id(i), "invalid id")
 
 
-def validate(raw: DataFrame) -> DataFrame:
-    """Every row with its cleaned fields and ``reason`` (null where accepted): one projection, no shuffle."""
+def validate(raw: DataFrame, *keep: str) -> DataFrame:
+    """Every row with its cleaned fields and ``reason`` (null where accepted), and the columns ``keep``: one projection, no shuffle."""
     i = C.trim("id_raw")
     extras = C.trim("extras_raw")
     return raw.select(
@@ -53,6 +53,7 @@ def validate(raw: DataFrame) -> DataFrame:
         F.when(extras == "", "{}").otherwise(extras).alias("extras"),
         reason("id_raw").alias("reason"),
         "id_raw",
+        *keep,
     )
 
 

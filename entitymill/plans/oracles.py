@@ -150,16 +150,24 @@ UNION ALL SELECT p_partkey, p_retailprice, 'not_found' FROM part WHERE p_partkey
     "ingest_stats": sql(
         "checked carried",
         """, n AS (SELECT seq, row_number() OVER (PARTITION BY id ORDER BY seq) AS nth FROM acc), w AS (SELECT seq, count(alias) AS writes FROM carried GROUP BY seq),
-f AS (SELECT c.source_file, c.reason IS NULL AS ok, coalesce(n.nth = 1, false) AS ins, coalesce(w.writes, 0) AS writes FROM checked c LEFT JOIN n ON n.seq = c.seq LEFT JOIN w ON w.seq = c.seq)
-SELECT coalesce(source_file, 'total') AS source_file, count(*) AS read, count(*) FILTER (WHERE ok) AS parsed, count(*) FILTER (WHERE NOT ok) AS invalid, count(*) FILTER (WHERE ins) AS inserts, count(*) FILTER (WHERE ok AND NOT ins) AS updates, CAST(sum(writes) AS BIGINT) AS alias_writes FROM f GROUP BY ROLLUP (source_file)""",
+f AS (SELECT c.source_file, c.reason IS NULL AS ok, coalesce(n.nth = 1, false) AS ins, coalesce(w.writes, 0) AS writes, CAST(alias_a <> '' AS INT) + CAST(alias_b <> '' AS INT) AS own, extras NOT IN ('', '{}') AS x FROM checked c LEFT JOIN n ON n.seq = c.seq LEFT JOIN w ON w.seq = c.seq)
+SELECT 'update' AS mode, coalesce(source_file, 'total') AS source_file, count(*) AS read, count(*) AS parsed, count(*) FILTER (WHERE NOT ok) AS invalid, count(*) FILTER (WHERE ins) AS inserts, count(*) FILTER (WHERE ok AND NOT ins) AS updates, 0::BIGINT AS duplicates,
+  CAST(sum(writes) AS BIGINT) AS alias_writes, count(*) FILTER (WHERE ok AND x) AS extras_retained FROM f GROUP BY ROLLUP (source_file)
+UNION ALL SELECT 'skip', coalesce(source_file, 'total'), count(*), count(*), count(*) FILTER (WHERE NOT ok), count(*) FILTER (WHERE ins), 0, count(*) FILTER (WHERE ok AND NOT ins), CAST(coalesce(sum(own) FILTER (WHERE ins), 0) AS BIGINT), count(*) FILTER (WHERE ins AND x) FROM f GROUP BY ROLLUP (source_file)""",
     ).replace("\n, n", ", n"),
-    "convert_stats": sql("checked", "SELECT source_file, count(*) AS input_rows, count(*) FILTER (WHERE reason IS NULL) AS output_rows, count(*) FILTER (WHERE reason IS NOT NULL) AS skipped_rows FROM checked GROUP BY source_file"),
+    "convert_stats": sql("checked", """, f AS (SELECT c.source_file, count(*) AS input_rows, count(*) FILTER (WHERE reason IS NULL) AS output_rows, count(*) FILTER (WHERE reason IS NOT NULL) AS skipped_rows,
+  CAST(sum(strlen(r.id_raw) + strlen(name_raw) + strlen(alias_a_raw) + strlen(alias_b_raw) + strlen(extras_raw) + 5) AS BIGINT) AS bytes, any_value(1.0::DOUBLE + CAST(c.source_file AS INT) * 0.25::DOUBLE) AS seconds FROM checked c JOIN raw r ON r.seq = c.seq GROUP BY c.source_file),
+w AS (SELECT *, sum(bytes) OVER (ORDER BY source_file) AS done, sum(seconds) OVER (ORDER BY source_file) AS spent, sum(bytes) OVER () AS total FROM f)
+SELECT source_file, input_rows, output_rows, skipped_rows, bytes, round(input_rows / seconds, 3) AS rows_per_second, round(100.0::DOUBLE * done / total, 4) AS percent, round(CASE WHEN done < total THEN (total - done) / (done / spent) ELSE 0 END, 4) AS seconds_left FROM w""").replace("\n, f", ", f"),
     "usage_stats": sql(
         "looked",
         """SELECT count(*) AS total, count(*) FILTER (WHERE day = (SELECT max(day) FROM ev)) AS today, count(*) FILTER (WHERE outcome = 'hit') AS success, count(*) FILTER (WHERE outcome <> 'hit') AS failed, CAST(floor(avg(latency_ms)) AS BIGINT) AS avg_latency,
 count(*) FILTER (WHERE outcome = 'hit') AS points_spent, count(DISTINCT user_id) AS registered, count(DISTINCT CASE WHEN user_id % 5 = 0 THEN user_id END) AS banned FROM looked WHERE outcome <> 'invalid'""",
     ),
-    "ops_metrics": sql("looked", "SELECT round(avg(latency_ms), 4) AS avg_latency, max(latency_ms) AS peak_latency, round(count(*) FILTER (WHERE outcome = 'hit') / count(*) FILTER (WHERE outcome <> 'invalid'), 6) AS hit_rate, CAST(sum(amount) FILTER (WHERE amount > 0) AS BIGINT) AS point_usage FROM looked WHERE latency_ms >= 0"),
+    "ops_metrics": sql("looked acc", """, m AS (SELECT count(*) AS total, count(*) FILTER (WHERE outcome = 'hit') AS successful, count(*) FILTER (WHERE outcome <> 'hit') AS failed, count(*) FILTER (WHERE day = (SELECT max(day) FROM ev)) AS today, count(DISTINCT user_id) AS users,
+  round(avg(latency_ms) FILTER (WHERE latency_ms >= 0), 4) AS avg_latency, max(latency_ms) FILTER (WHERE latency_ms >= 0) AS peak_latency, count(*) FILTER (WHERE outcome = 'hit') AS hits, count(*) FILTER (WHERE outcome = 'miss') AS misses,
+  round(count(*) FILTER (WHERE outcome = 'hit') / count(*) FILTER (WHERE outcome <> 'invalid'), 6) AS hit_rate, CAST(sum(amount) FILTER (WHERE amount > 0) AS BIGINT) AS point_usage, round((SELECT count(*) FROM acc) / 10.0::DOUBLE, 3) AS rows_per_second FROM looked)
+SELECT m.*, CAST(to_json(m) AS VARCHAR) AS export FROM m""").replace("\n, m", ", m"),
     "daily_usage": sql("ev", "SELECT day, count(*) AS n, count(DISTINCT user_id) AS users FROM ev GROUP BY day"),
     "index_counts": sql("merged aliases", "SELECT 'records' AS name, count(*) AS entries FROM merged UNION ALL SELECT 'alias_a', count(*) FROM aliases WHERE kind = 'alias_a' UNION ALL SELECT 'alias_b', count(*) FROM aliases WHERE kind = 'alias_b'"),
     "balances": sql("led", "SELECT u.user_id, CAST(coalesce(sum(signed), 0) AS BIGINT) AS balance, coalesce(sum(signed), 0) >= 3 AS can_afford FROM (SELECT DISTINCT user_id FROM ev) u LEFT JOIN led ON led.user_id = u.user_id GROUP BY u.user_id"),
@@ -314,3 +322,5 @@ UNION ALL SELECT 'recs.jsonl', id_raw, CASE WHEN trim(name_raw) <> '' THEN trim(
  CASE WHEN alias_b_raw LIKE '@%' THEN lower(ltrim(alias_b_raw, '@')) ELSE '' END, CASE WHEN alias_b_raw LIKE '@%' THEN '{}' ELSE '{"nick":"' || alias_b_raw || '"}' END FROM raw WHERE source_file = '0'""")
 ORACLES["convert_or_pass"] = f"SELECT * FROM (SELECT * FROM ({_DELIMITED}) UNION ALL SELECT * FROM ({_OTHERS})) WHERE regexp_full_match(id, '0|[1-9][0-9]{{0,31}}')"
 ORACLES["stream_ttl_hits"] = ORACLES["ttl_hits_all"]
+ORACLES["record_lookup"] = sql("routed merged", "SELECT r.event_id, coalesce(r.key, '') AS key, coalesce(m.name, '') AS name, m.id IS NOT NULL AS found FROM routed r LEFT JOIN merged m ON m.id = r.key WHERE r.kind = 'id'")
+ORACLES["record_seek"] = sql("merged", "SELECT id, name FROM merged WHERE id >= '11' ORDER BY id LIMIT 50")

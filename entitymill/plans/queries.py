@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
-from ..operators import lookup, merge, usage, validate
+from ..operators import lookup, merge, stats, usage, validate
+from ..sources import sorted as sorted_
 from ..sources.shared import new_folder
 from ..sources.views import raw_entities, table, usage_events
 
@@ -125,10 +126,23 @@ def key_lookup(spark, d):
     return lookup.key_lookup(table(spark, d, "orders"), customers, "o_custkey", "c_custkey").select("o_orderkey", "o_custkey", F.coalesce("c_name", F.lit("")).alias("c_name"), "found")
 
 
+def _kept(spark, d):
+    """The three keyed tables as written once by this query; look-ups read them."""
+    path = new_folder(spark, "index")
+    lookup.write_indexes(*indexes(spark, d), path)
+    return path
+
+
 def alias_lookup(spark, d):
-    records, a, _ = indexes(spark, d)
-    hop = usage_events(spark, d).select("event_id", C.clean_alias_a("probe").alias("alias")).where("alias <> ''").join(a.select("alias", "id"), "alias", "left")
-    return hop.join(records.select("id", "name"), "id", "left").select("event_id", "alias", F.coalesce("id", F.lit("")).alias("id"), F.coalesce("name", F.lit("")).alias("name"), F.col("name").isNotNull().alias("found"))
+    probes = usage_events(spark, d).select("event_id", C.clean_alias_a("probe").alias("probe_alias")).where("probe_alias <> ''")
+    found = lookup.kept_alias_lookup(probes, _kept(spark, d), "probe_alias", "alias_a")
+    return found.select("event_id", F.col("probe_alias").alias("alias"), F.coalesce("id", F.lit("")).alias("id"), F.coalesce("name", F.lit("")).alias("name"), "found")
+
+
+def record_lookup(spark, d):
+    """Probes of kind id against the kept record table."""
+    probes = usage_events(spark, d).where(C.route("probe") == "id").select("event_id", C.probe_key("probe").alias("key"))
+    return lookup.kept_key_lookup(probes, _kept(spark, d), "key").select("event_id", F.coalesce("key", F.lit("")).alias("key"), F.coalesce("name", F.lit("")).alias("name"), "found")
 
 
 def routed_lookup(spark, d):
@@ -251,30 +265,25 @@ def ledger_append(spark, d):
 
 
 def index_tables(spark, d):
-    path = new_folder(spark, "index")
-    lookup.write_indexes(*indexes(spark, d), path)
-    return lookup.search_index(*lookup.read_indexes(spark, path))
+    return lookup.search_index(*lookup.read_indexes(spark, _kept(spark, d)))
 
 
 # aggregates
 
 
 def ingest_stats(spark, d):
-    raw = raw_entities(spark, d)
-    rows = validate.validate(raw)
-    first = Window.partitionBy("id").orderBy("seq")
-    ok = rows.where("reason is null").withColumn("nth", F.row_number().over(first))
-    run = first.rowsBetween(Window.unboundedPreceding, 0)
-    for c in ("alias_a", "alias_b"):
-        ok = ok.withColumn(f"w_{c}", F.last(F.nullif(F.col(c), F.lit("")), ignorenulls=True).over(run).isNotNull().cast("long"))
-    facts = ok.select("source_file", F.lit(1).alias("parsed"), (F.col("nth") == 1).cast("long").alias("ins"), (F.col("w_alias_a") + F.col("w_alias_b")).alias("writes")).unionByName(rows.where("reason is not null").select("source_file", F.lit(0).alias("parsed"), F.lit(0).cast("long").alias("ins"), F.lit(0).cast("long").alias("writes")))
-    sums = facts.rollup("source_file").agg(F.count("*").alias("read"), F.sum("parsed").alias("parsed"), F.sum(1 - F.col("parsed")).alias("invalid"), F.sum("ins").alias("inserts"), F.sum(F.col("parsed") - F.col("ins")).alias("updates"), F.sum("writes").alias("alias_writes"))
-    return sums.withColumn("source_file", F.coalesce("source_file", F.lit("total")))
+    rows = validate.validate(raw_entities(spark, d))
+    modes = [stats.ingest_stats(rows, skip).withColumn("mode", F.lit("skip" if skip else "update")) for skip in (False, True)]
+    return modes[0].unionByName(modes[1])
 
 
 def convert_stats(spark, d):
-    rows = validate.validate(raw_entities(spark, d))
-    return rows.groupBy("source_file").agg(F.count("*").alias("input_rows"), F.count_if(F.col("reason").isNull()).alias("output_rows"), F.count_if(F.col("reason").isNotNull()).alias("skipped_rows"))
+    """Conversion of the three sources at a given pace: a second and a quarter more for each."""
+    raw = raw_entities(spark, d)
+    size = sum((F.octet_length(c) + 1 for c in raw.columns if c.endswith("_raw")), F.lit(0))
+    rows = validate.validate(raw.withColumn("size", size), "size")
+    seconds = rows.select("source_file").distinct().withColumn("seconds", 1.0 + F.col("source_file").cast("int") * 0.25)
+    return stats.convert_stats(rows, F.col("size"), seconds)
 
 
 def lookup_stats(spark, d):
@@ -294,9 +303,9 @@ def usage_stats(spark, d):
 
 
 def ops_metrics(spark, d):
-    e = _looked_up(spark, d).where("latency_ms >= 0")
-    hits, seen = F.count_if(F.col("outcome") == "hit"), F.count_if(F.col("outcome").isin("hit", "miss"))
-    return e.agg(F.round(F.avg("latency_ms"), 4).alias("avg_latency"), F.max("latency_ms").alias("peak_latency"), F.round(F.when(seen > 0, hits / seen).otherwise(F.lit(0.0)), 6).alias("hit_rate"), F.coalesce(F.sum(F.when(F.col("amount") > 0, F.col("amount"))), F.lit(0)).alias("point_usage"))
+    today = usage_events(spark, d).agg(F.max("day")).scalar()  # the last day of the log counts as today
+    looked = _looked_up(spark, d).withColumn("latest", today)
+    return stats.ops_metrics(looked, F.col("latest"), _accepted(spark, d).count(), 10.0)
 
 
 def daily_usage(spark, d):
@@ -368,7 +377,14 @@ def ordered_sample(spark, d):
 
 
 def range_seek(spark, d):
-    return table(spark, d, "part").where("p_partkey >= 100").orderBy("p_partkey").limit(20).select("p_partkey", "p_name")
+    path = new_folder(spark, "parts")
+    sorted_.write_sorted(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", path)
+    return sorted_.seek(spark, path, "p_partkey", 100, 20)
+
+
+def record_seek(spark, d):
+    """The first records whose id is not below a text, in byte order."""
+    return sorted_.seek(spark, f"{_kept(spark, d)}/records", "id", "11", 50).select("id", "name")
 
 
 def page_scan(spark, d):
