@@ -20,6 +20,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,10 @@ CAPACITY, LAST_ID = 4096, 2
 SENTENCE_CUT, HARD_CUT = 24, 96
 #: Tokens that are solved at once; a longer document counts as one step.
 SEGMENT = 1 << 19
-#: Words whose ids a worker remembers.
-CACHE = 400_000
+#: Words whose ids a worker remembers, about.
+CACHE = 1_000_000
 #: A letter before a mark: pre-tokens always part there, so a space changes no id.
-_MARK = "([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?])"
+_MARK = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~])"
 _ENDS = re.compile(r"[.!?…]+[\"')\]]*(</w>)?\Z")
 
 
@@ -63,7 +64,7 @@ class WordIds:
         for word, i in vocabulary.items():
             self.ends[i] = bool(_ENDS.match(word))
             self.digit[i] = word.removesuffix("</w>").isdigit()
-        self._forget()
+        self._keep([])
 
     @classmethod
     def of(cls, path: str) -> "WordIds":
@@ -71,16 +72,19 @@ class WordIds:
             cls._known[path] = cls(path)
         return cls._known[path]
 
-    def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+    def _keep(self, words: list[str]) -> None:
+        """Forgets all but these words."""
+        known = [(w, self.ids[self.starts[p] : self.starts[p + 1]]) for w in words if (p := self.place.get(w)) is not None] if words else []
+        self.place: dict[str, int] = {w: k for k, (w, _) in enumerate(known)}
+        self.starts = np.concatenate([[0], np.cumsum([len(i) for _, i in known], dtype=np.int64)]).astype(np.int64)
+        self.ids = np.concatenate([np.zeros(0, np.uint32), *(i for _, i in known)])
 
     def _learn(self, words: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        sizes = np.array(list(map(len, found)), np.int64)
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.uint32, int(sizes.sum()))])
+        self.ids = np.concatenate([self.ids, np.array(list(chain.from_iterable(found)), np.uint32)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text's begin and end; null is empty."""
@@ -89,14 +93,16 @@ class WordIds:
         flat = words.flatten().dictionary_encode()
         names = flat.dictionary.to_pylist()
         if len(self.place) > CACHE:
-            self._forget()
+            self._keep(names)
         fresh = [w for w in names if w not in self.place]
         if fresh:
             self._learn(fresh)
-        place = np.fromiter((self.place[w] for w in names), np.int64, len(names))[np.asarray(flat.indices)]
-        sizes = self.starts[place + 1] - self.starts[place]
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.ids[np.arange(total[-1]) + np.repeat(self.starts[place] - total[:-1], sizes)]
+        place = np.array(list(map(self.place.__getitem__, names)), np.int64)
+        first, sizes = self.starts[place].astype(np.int32), np.diff(self.starts)[place].astype(np.int32)
+        order = np.asarray(flat.indices)
+        first, sizes = first[order], sizes[order]
+        total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        ids = self.ids[np.arange(total[-1], dtype=np.int32) + np.repeat(first - total[:-1].astype(np.int32), sizes)]
         return ids, total[np.asarray(words.offsets) - words.offsets[0].as_py()]
 
 
@@ -223,7 +229,7 @@ def _pack(path: str, capacity: int, segment: int):
             return pa.RecordBatch.from_arrays([pa.array([base + v for v in c] if f.name == "sequence_id" else c, f.type) for c, f in zip(columns, _KIND)], schema=_KIND)
 
         for whole in batches:
-            for part in slices(whole, "text", most=1 << 22):
+            for part in slices(whole, "text", most=1 << 23, rows=8192):
                 ids, bounds = words.encode(part.column("text"))
                 for doc, low, high in zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                     own = np.append(ids[low:high], np.uint32(LAST_ID))
