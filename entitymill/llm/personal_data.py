@@ -19,8 +19,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -147,12 +149,13 @@ class Field:
         self.weights = weights
         self.seen: dict[tuple, list[tuple[int, float]]] = {}
 
-    def candidates(self, text: str, start: int, end: int) -> tuple[list[int], list[tuple[int, int, str, str, str, bool]]]:
-        """Atom bounds of an island, and its candidate segments (first atom, atom after the last, span and surroundings)."""
+    def candidates(self, text: str, start: int, end: int) -> tuple[list[int], Iterator[tuple[int, int, str, str, str, bool]]]:
+        """Atom bounds of an island, and its candidate segments (first atom, atom after the last, span and surroundings), one at a time."""
         bounds = [start + m.start() for m in _ATOM.finditer(text[start:end])] + [end]
         m = _CUE.search(text[max(0, start - 24) : start])
-        cue = bool(m and m.group(1).lower() in _CUES)
-        out = []
+        return bounds, self._segments(text, bounds, bool(m and m.group(1).lower() in _CUES))
+
+    def _segments(self, text: str, bounds: list[int], cue: bool) -> Iterator[tuple[int, int, str, str, str, bool]]:
         n = len(bounds) - 1
         for i in range(n):
             head = text[bounds[i]]
@@ -164,8 +167,7 @@ class Field:
                 span = text[bounds[i] : bounds[j]]
                 if len(span) < 6 or ("@" not in span and sum(map(span.count, "0123456789")) < 4):
                     continue
-                out.append((i, j, span, text[bounds[i] - 1] if bounds[i] else "", text[bounds[j]] if bounds[j] < len(text) else "", cue and i < 2))
-        return bounds, out
+                yield i, j, span, text[bounds[i] - 1] if bounds[i] else "", text[bounds[j]] if bounds[j] < len(text) else "", cue and i < 2
 
     def scores(self, span: str, before: str, after: str, cue: bool) -> list[float]:
         key = (span, _class(before), _class(after), cue)
@@ -251,10 +253,13 @@ class Field:
         if not _SEED.search(text):
             return base
         taken = sorted((s, e) for _, s, e in base)
+        starts = [s for s, _ in taken]
+        reach = list(accumulate((e for _, e in taken), max))  # the furthest end of a base span up to each
         added = []
         for start, end in islands(text):
             for k, s, e in self.segment(text, start, end):
-                if not any(s < b and a < e for a, b in taken if b > start and a < end):
+                before = bisect_left(starts, e)
+                if not before or reach[before - 1] <= s:
                     added.append((k, s, e))
         return sorted(base + added)
 
@@ -314,7 +319,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` to one row of counts and spans per input row.
 
     Null and empty texts have no spans; repeated rows give equal rows; an empty
-    table gives an empty result.
+    table gives an empty result; other columns are not read. The time for a text grows in
+    proportion to its length. Taught are islands of at most 400 characters and 12 spans.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
