@@ -46,6 +46,8 @@ from .textnum import U, Words, mix, shingles, sums_by
 
 BINS, BANDS, ROWS = 320, 36, 5
 PARITY = 1024
+#: Nodes that are sent to every task, some 30 MB.
+MOST_NODES = 500_000
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 _NODE = "struct<id:long,t:long>"
 _SCHEMA = f"node {_NODE}, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
@@ -138,10 +140,19 @@ def _all_shingles(k: int):
     return run
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _only(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row for each of ``nodes`` (distinct, written) that ``docs`` has.
+
+    Up to ``MOST_NODES`` nodes are sent to every task, so that only their texts are shuffled; more are joined.
+    """
+    if nodes.count() <= MOST_NODES:
+        nodes = F.broadcast(nodes)
+    return docs.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _confirm(scratch: Scratch, name: str, pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Exact check; the texts of the pairs' nodes are read again, only those."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    text = docs.join(need, "node", "left_semi").dropDuplicates(["node"])
+    text = _only(docs, scratch.put(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), name))
     both = pairs.join(text.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(text.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_exact(k, percent), f"a {_NODE}, b {_NODE}")
@@ -178,7 +189,7 @@ def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     buckets = scratch.put(entries.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("o"), "node")).alias("hub")).where("n > 1").select("band", F.col("hub.node").alias("hub")), "buckets")
     members = scratch.put(entries.join(buckets, "band"), "members")
     pairs = _alike(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), one, percent)
-    links = scratch.put(_confirm(scratch.put(pairs, "star"), docs, k, percent), "links")
+    links = scratch.put(_confirm(scratch, "star-nodes", scratch.put(pairs, "star"), docs, k, percent), "links")
     classes = scratch.put(connected_components(links, scratch, "first"), "classes")
     links = _rest(scratch, docs, one, members, classes, links, k, percent)
     if links is not None:
@@ -211,11 +222,16 @@ def distinct_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     Rows are told apart by id and text, so what an id's other texts are does not
     matter, nor whether there is an id. Texts without words all stay.
     """
+    scratch = Scratch(docs.sparkSession, "distinct")
     rows = _nodes(docs.select("doc_id", "text"))
-    kept = _classes(rows.select("node", "text"), k, percent).where("component is null or node = component").select(F.col("node").alias("kept_node")).distinct()
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("text"))
-    row = _nodes(row).select("row", "node").dropDuplicates(["node"])
-    return row.join(kept, F.col("node") == F.col("kept_node"), "left_semi").select("row.*")
+    classes = scratch.put(_classes(rows.select("node", "text"), k, percent).select("node", "component"), "classes")
+    # few nodes go and few are repeated, so rows meet these and no text is shuffled where they can be sent to every task
+    gone = scratch.put(classes.where("component is not null and node <> component").select("node").distinct(), "gone")
+    repeated = scratch.put(classes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "repeated")
+    gone, repeated = (F.broadcast(t) if t.count() <= MOST_NODES else t for t in (gone, repeated))
+    row = _nodes(docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("text"))).select("row", "node").join(gone, "node", "left_anti")
+    once = row.join(repeated, "node", "left_anti")
+    return once.unionByName(row.join(repeated, "node", "left_semi").dropDuplicates(["node"])).select("row.*")
 
 
 def _rest(scratch: Scratch, docs: DataFrame, one: DataFrame, members: DataFrame, classes: DataFrame, links: DataFrame, k: int, percent: int) -> DataFrame | None:
@@ -229,7 +245,7 @@ def _rest(scratch: Scratch, docs: DataFrame, one: DataFrame, members: DataFrame,
     ids = scratch.put(inside.select("node").distinct(), "mixed-ids")
     if not ids.take(1):
         return None
-    held = docs.join(ids, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_all_shingles(k), f"node {_NODE}, s long")
+    held = _only(docs, ids).mapInArrow(_all_shingles(k), f"node {_NODE}, s long")
     held = scratch.put(held, "held")
     common = scratch.put(held.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "common")
     # places count from a set's rarest shingle on; those that no other set has come first
@@ -249,7 +265,7 @@ def _rest(scratch: Scratch, docs: DataFrame, one: DataFrame, members: DataFrame,
     enough = (100 + percent) * most >= percent * (F.col("x_size") + F.col("y_size"))
     apart = (F.col("x_c") != F.col("y_c")) & ((F.col("y_c") == F.col("hc")) | (F.col("x_id") < F.col("y_id")))
     pairs = x.join(y, (x.s == y.s) & apart & enough & _near("x", "y", percent)).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
-    more = _confirm(scratch.put(pairs, "rest"), docs, k, percent)
+    more = _confirm(scratch, "rest-nodes", scratch.put(pairs, "rest"), docs, k, percent)
     return links.unionByName(more)
 
 
