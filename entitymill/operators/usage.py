@@ -63,9 +63,31 @@ def ledger(events: DataFrame) -> DataFrame:
     return events.where("ledger_type is not null and amount > 0").withColumn("signed", F.when(F.col("ledger_type") == "credit", F.col("amount")).otherwise(-F.col("amount")))
 
 
-def running_balance(events: DataFrame) -> DataFrame:
-    order = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return ledger(events).select("event_id", "user_id", "signed", F.sum("signed").over(order).alias("balance"))
+#: Rows of a user from which on its ledger is summed in blocks, ids of a block, and users of that kind that every task is told.
+HOT_ROWS, BLOCK_IDS, MOST_HOT = 1_000_000, 65_536, 100_000
+
+
+def running_balance(events: DataFrame, hot_rows: int = HOT_ROWS, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """Balance after each ledger row, in order of event_id.
+
+    A user with very many rows is no one task's window: its rows are summed by
+    blocks of ids, the blocks' sums run up, and each block adds up its own rows.
+    """
+    rows = ledger(events).select("event_id", "user_id", "signed")
+    order = lambda *keys: Window.partitionBy(*keys).orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    hot = rows.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select(F.col("user_id").alias("hot_user"))
+    n = hot.count()
+    if not n:
+        return rows.select("event_id", "user_id", "signed", F.sum("signed").over(order("user_id")).alias("balance"))
+    hot = F.broadcast(hot) if n <= MOST_HOT else hot
+    rows = rows.join(hot, F.col("user_id").eqNullSafe(F.col("hot_user")), "left")
+    # the null user may be a hot one, so what is hot is told by the match and not by the value
+    rows = rows.withColumn("block", F.when(F.col("hot_user").isNotNull() | F.col("user_id").isNull(), F.floor(F.col("event_id") / block_ids)).otherwise(F.lit(0))).drop("hot_user")
+    before = Window.partitionBy("user_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("user_id", "block").agg(F.sum("signed").alias("sum"))
+    sums = sums.select(F.col("user_id").alias("su"), F.col("block").alias("sb"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
+    inside = rows.withColumn("inside", F.sum("signed").over(order("user_id", "block")))
+    return inside.join(sums, F.col("user_id").eqNullSafe(F.col("su")) & (F.col("block") == F.col("sb"))).select("event_id", "user_id", "signed", (F.col("base") + F.col("inside")).alias("balance"))
 
 
 def guarded_debits(events: DataFrame) -> DataFrame:

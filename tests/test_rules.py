@@ -74,6 +74,17 @@ def test_balances_agree(spark, data):
     assert total == last
 
 
+def test_a_hot_ledger_is_summed_in_blocks(spark):
+    """One user, or the rows without one, with half of all rows: blocks of ids give the sums that one window gives."""
+    rows = [(i, 7 if i % 2 else (None if i % 6 == 0 else i % 5), "credit" if i % 3 else "debit", 1 + i % 4) for i in range(3000)]
+    money = spark.createDataFrame(rows, "event_id long, user_id long, ledger_type string, amount long")
+    want = sorted(map(str, usage.running_balance(money).collect()))
+    got = usage.running_balance(money, hot_rows=300, block_ids=64)
+    assert sorted(map(str, got.collect())) == want
+    largest = usage.ledger(money).where("user_id = 7").groupBy(F.floor(F.col("event_id") / 64)).count().agg(F.max("count")).first()[0]
+    assert largest <= 64
+
+
 def test_text_rules(spark):
     texts = ["a\tb\n c", "x" * 4097, "a\x01b", None, "  ", "zero​width"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
