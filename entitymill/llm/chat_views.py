@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
-
-#: Turns of a conversation that one task of the running sums handles; longer ones are cut into blocks of these.
-BLOCK = 64
-
+from .common import Scratch, table
 
 def _harmless(column: str, empty: str) -> Column:
     return F.replace(F.coalesce(F.col(column).cast("string"), F.lit(empty)), F.lit("<|"), F.lit("< |"))
@@ -31,16 +27,19 @@ def perspectives(turns: DataFrame) -> DataFrame:
     Turns go in order of (turn, role, text), nulls first. A null role is the
     speaker "unknown", a null text is empty; a conversation of system turns
     only has no participant and no rows; repeated rows are repeated turns.
-    Offsets come from sums by blocks of ``BLOCK`` turn numbers, so a very long
-    conversation is spread over tasks.
+    Other columns are not read, and an empty table gives an empty result.
+    Rows are dealt out by ranges of (conversation, participant, turn, role, start of the text); what of a
+    view lies in one range is a block, and offsets come from the blocks' sums and the rows' own. So
+    a very long conversation is spread over tasks, also where its turns have no number or one.
     """
     turns = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.regexp_replace(_harmless("role", "unknown"), r"[\x20\x09-\x0D]", "_").alias("role"), _harmless("text", "").alias("text"))
-    turns = turns.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 60))))
     people = turns.where("role <> 'system'").select(F.col("conv_id").alias("pc"), F.col("role").alias("perspective")).distinct()
     rows = turns.join(people, F.col("conv_id").eqNullSafe(F.col("pc"))).drop("pc")
     own = F.col("role") == F.col("perspective")
     head = F.when(own, F.lit("<|im_start|>assistant\n")).when(F.col("role") == "system", F.lit("<|im_start|>system\n")).otherwise(F.concat(F.lit("<|im_start|>user name="), F.col("role"), F.lit("\n")))
     rows = rows.withColumns({"head": head, "own": own}).withColumn("rendered", F.concat("head", "text", F.lit("<|im_end|>\n"))).withColumn("size", F.length("rendered").cast("long"))
+    rows = rows.repartitionByRange("conv_id", "perspective", "turn", "role", F.substring("text", 1, 64)).withColumn("block", F.spark_partition_id())
+    rows = Scratch(turns.sparkSession, "chat-views").put(rows, "rows")
     blocks = rows.groupBy("conv_id", "perspective", "block").agg(F.sum("size").alias("total"))
     before = Window.partitionBy("conv_id", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(F.col("conv_id").alias("bc"), F.col("perspective").alias("bp"), F.col("block").alias("bb"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
