@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean as C
 from ..operators import lookup, merge, stats, usage, validate
+from ..sources import shared
 from ..sources import sorted as sorted_
 from ..sources.shared import new_folder
 from ..sources.views import raw_entities, table, usage_events
@@ -21,8 +22,22 @@ def indexes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     return merge.upsert(rows), merge.alias_index(rows, "alias_a"), merge.alias_index(rows, "alias_b")
 
 
+#: Folders of kept tables by application, input and the state of its files.
+_KEPT: dict[tuple, str] = {}
+
+
+def kept_tables(spark, d):
+    """The three keyed tables, written once in a session for each state of the input; look-ups read them."""
+    of = (spark.sparkContext.applicationId, d, shared.state(spark, f"{d}/orders.parquet"))
+    if of not in _KEPT:
+        path = new_folder(spark, "index")
+        lookup.write_indexes(*indexes(spark, d), path)
+        _KEPT[of] = path
+    return _KEPT[of]
+
+
 def _looked_up(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.routed_lookup(usage_events(spark, d), lookup.search_index(*indexes(spark, d)))
+    return lookup.routed_lookup(usage_events(spark, d), lookup.search_index(*lookup.read_indexes(spark, kept_tables(spark, d))))
 
 
 # rows and predicates
@@ -126,23 +141,16 @@ def key_lookup(spark, d):
     return lookup.key_lookup(table(spark, d, "orders"), customers, "o_custkey", "c_custkey").select("o_orderkey", "o_custkey", F.coalesce("c_name", F.lit("")).alias("c_name"), "found")
 
 
-def _kept(spark, d):
-    """The three keyed tables as written once by this query; look-ups read them."""
-    path = new_folder(spark, "index")
-    lookup.write_indexes(*indexes(spark, d), path)
-    return path
-
-
 def alias_lookup(spark, d):
     probes = usage_events(spark, d).select("event_id", C.clean_alias_a("probe").alias("probe_alias")).where("probe_alias <> ''")
-    found = lookup.kept_alias_lookup(probes, _kept(spark, d), "probe_alias", "alias_a")
+    found = lookup.kept_alias_lookup(probes, kept_tables(spark, d), "probe_alias", "alias_a")
     return found.select("event_id", F.col("probe_alias").alias("alias"), F.coalesce("id", F.lit("")).alias("id"), F.coalesce("name", F.lit("")).alias("name"), "found")
 
 
 def record_lookup(spark, d):
     """Probes of kind id against the kept record table."""
     probes = usage_events(spark, d).where(C.route("probe") == "id").select("event_id", C.probe_key("probe").alias("key"))
-    return lookup.kept_key_lookup(probes, _kept(spark, d), "key").select("event_id", F.coalesce("key", F.lit("")).alias("key"), F.coalesce("name", F.lit("")).alias("name"), "found")
+    return lookup.kept_key_lookup(probes, kept_tables(spark, d), "key").select("event_id", F.coalesce("key", F.lit("")).alias("key"), F.coalesce("name", F.lit("")).alias("name"), "found")
 
 
 def routed_lookup(spark, d):
@@ -265,7 +273,9 @@ def ledger_append(spark, d):
 
 
 def index_tables(spark, d):
-    return lookup.search_index(*lookup.read_indexes(spark, _kept(spark, d)))
+    path = new_folder(spark, "index")
+    lookup.write_indexes(*indexes(spark, d), path)
+    return lookup.search_index(*lookup.read_indexes(spark, path))
 
 
 # aggregates
@@ -384,7 +394,7 @@ def range_seek(spark, d):
 
 def record_seek(spark, d):
     """The first records whose id is not below a text, in byte order."""
-    return sorted_.seek(spark, f"{_kept(spark, d)}/records", "id", "11", 50).select("id", "name")
+    return sorted_.seek(spark, f"{kept_tables(spark, d)}/records", "id", "11", 50).select("id", "name")
 
 
 def page_scan(spark, d):

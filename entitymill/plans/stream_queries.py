@@ -11,7 +11,7 @@ from ..sources.shared import new_folder
 from ..sources.views import raw_entities, usage_events
 from ..streaming import ingest as I
 from ..streaming import state as S
-from .queries import indexes
+from .queries import kept_tables
 
 
 def _in_order(rows: DataFrame, by: str, at: str, n: int, files: int = 2) -> None:
@@ -108,8 +108,7 @@ def stream_ttl_hits(spark, d):
     """Probes of all kinds stream by, are looked up in the written index, and meet the cache's state."""
     at = new_folder(spark, "ttl")
     probes = _timely(spark, usage_events(spark, d).select("event_id", "us", "probe"), at)
-    lookup.write_indexes(*indexes(spark, d), f"{at}/index")  # once; every batch reads it
-    looked = lookup.routed_lookup(probes, lookup.search_index(*lookup.read_indexes(spark, f"{at}/index")))
+    looked = lookup.routed_lookup(probes, lookup.search_index(*lookup.read_indexes(spark, kept_tables(spark, d))))
     return _drain(spark, S.ttl_hits_stream(looked), at)[0].select("event_id", "key", "cache_hit")
 
 

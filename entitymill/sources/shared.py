@@ -72,3 +72,10 @@ def rename(spark: SparkSession, old: str, new: str) -> bool:
 def make(spark: SparkSession, folder: str) -> None:
     at, fs = _hadoop(spark, folder)
     fs.mkdirs(at)
+
+
+def state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes and newest change of a file, or of the files right in a folder."""
+    at, fs = _hadoop(spark, path)
+    found = list(fs.listStatus(at))
+    return sum(s.getLen() for s in found), max((s.getModificationTime() for s in found), default=0)
