@@ -32,10 +32,10 @@ def merge_json_keys(rows: DataFrame) -> DataFrame:
     return ordered_reduce(rows.select("id", "seq", "extras"), "id", ["seq"], "id string, key string, merged string", Merged, lambda s, r: s.take(r.extras), pairs)
 
 
-def upsert_with_extras(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+def upsert_with_extras(rows: DataFrame, existing: DataFrame | None = None, tell_old: bool = False) -> DataFrame:
     """``upsert`` with merged extras, onto the ``existing`` records if there are any: one shuffle by id, one ordered pass.
 
-    ``existing`` has the columns of the result; its rows come before all others.
+    ``existing`` has the columns of the result; its rows come before all others. ``tell_old`` adds ``n_old``, the rows that an existing record had.
     """
     fields = ["name", "alias_a", "alias_b"]
     new = rows.select("id", F.col("seq").cast("long").alias("seq"), *fields, "extras", F.lit(1).cast("long").alias("n_rows"))
@@ -47,9 +47,12 @@ def upsert_with_extras(rows: DataFrame, existing: DataFrame | None = None) -> Da
             state[k] = value or state[k]
         state[3] += r.n_rows
         state[4].take(r.extras)
+        state[5] += r.n_rows if r.seq is None else 0
         return state
 
-    return ordered_reduce(new, "id", ["seq"], "id string, name string, alias_a string, alias_b string, n_rows long, extras string", lambda: ["", "", "", 0, Merged()], step, lambda k, s: (k, *s[:4], s[4].text()))
+    schema = "id string, name string, alias_a string, alias_b string, n_rows long, extras string, n_old long"
+    out = ordered_reduce(new, "id", ["seq"], schema, lambda: ["", "", "", 0, Merged(), 0], step, lambda k, s: (k, *s[:4], s[4].text(), s[5]))
+    return out if tell_old else out.drop("n_old")
 
 
 def _carried(rows: DataFrame, alias: str, existing: DataFrame | None = None) -> DataFrame:

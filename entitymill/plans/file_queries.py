@@ -44,6 +44,12 @@ def _write_samples(spark: SparkSession, d: str) -> str:
     return at
 
 
+def _facts(spark: SparkSession, at: str) -> DataFrame:
+    """What is known of each file, as a table that is written once and joined to lines wherever they are read."""
+    files.report(spark, at).write.parquet(f"{at}-facts")
+    return spark.read.parquet(f"{at}-facts")
+
+
 def _headers(spark, d) -> DataFrame:
     choice = F.array(*(F.array(*map(F.lit, h)) for h in HEADERS))
     return table(spark, d, "customer").select(F.col("c_custkey").alias("file"), F.get(choice, (F.col("c_custkey") % len(HEADERS)).cast("int")).alias("fields"))
@@ -59,7 +65,7 @@ def encoding_profile(spark, d):
 
 def transcode_scan(spark, d):
     at = _write_samples(spark, d)
-    return files.text_lines(spark, at, files.report(spark, at))
+    return files.text_lines(spark, at, _facts(spark, at))
 
 
 def schema_report(spark, d):
@@ -71,7 +77,7 @@ def schema_report(spark, d):
 def _converted(spark, d):
     """Records and rejects of the files that are neither JSON nor canonical already."""
     at = _write_samples(spark, d)
-    facts = files.report(spark, at).where(~F.col("jsonl") & ~F.col("file").endswith(".standard.csv"))
+    facts = _facts(spark, at).where(~F.col("jsonl") & ~F.col("file").endswith(".standard.csv"))
     return at, files.records(files.lines(spark, at, facts))
 
 
@@ -82,7 +88,7 @@ def delimited_scan(spark, d):
 def file_rejects(spark, d):
     """Every skipped line with its file, line number, reason and text."""
     at = _write_samples(spark, d)
-    facts = files.report(spark, at)
+    facts = _facts(spark, at)
     rejects = files.records(files.lines(spark, at, facts)).where("reason is not null")
     # part names differ from run to run, and a number is that of a part
     return files.line_numbers(rejects, files.split_lines(spark, at, facts)).groupBy("file", "reason").agg(F.count("*").alias("n"), F.count_if(F.col("line_no") < 1).alias("unplaced"), (F.count_distinct("part", "line_no") == F.count("*")).alias("unique"))
@@ -96,7 +102,7 @@ def canonical_sink(spark, d):
 
 def convert_or_pass(spark, d):
     at = _write_samples(spark, d)
-    rows = files.records(files.lines(spark, at, files.report(spark, at)))
+    rows = files.records(files.lines(spark, at, _facts(spark, at)))
     return rows.where(F.col("reason").isNull() & F.col("id").rlike(C.ID)).select("file", *files.CANONICAL)
 
 

@@ -101,12 +101,9 @@ def upsert_batch(tables: KeyedTables, raw: DataFrame, batch: int, also: dict[str
             tables.commit(batch, replaced, (notes or {}) | counted.get | {"inserts": 0, "updates": 0})
             return
         old = tables.read("records", touched["records"], before)
-        merged, known = Observation(), F.col("known")
-        new = merge.upsert_with_extras(rows, old)
-        here = rows.groupBy("id").agg(F.count("*").alias("here"))
-        new = new.join(here, "id", "left").withColumn("known", F.col("n_rows") > F.coalesce("here", F.lit(0)))
-        written = F.col("here").isNotNull()
-        new = new.observe(merged, F.count_if(written & ~known).alias("inserts"), F.coalesce(F.sum(F.when(known, F.col("here")).otherwise(F.col("here") - 1)), F.lit(0)).alias("updates"))
+        merged, added = Observation(), F.col("n_rows") - F.col("n_old")
+        new = merge.upsert_with_extras(rows, old, tell_old=True)
+        new = new.observe(merged, F.count_if((F.col("n_old") == 0) & (added > 0)).alias("inserts"), F.coalesce(F.sum(F.when(F.col("n_old") > 0, added).otherwise(added - 1)), F.lit(0)).alias("updates"))
         tables.stage("records", batch, new)
         for alias in ("alias_a", "alias_b"):
             writes = merge.alias_writes(rows, alias, old).persist()
