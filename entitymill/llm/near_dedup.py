@@ -46,8 +46,8 @@ from .textnum import U, Words, mix, shingles, sums_by
 
 BINS, BANDS, ROWS = 320, 36, 5
 PARITY = 1024
-#: Nodes that are sent to every task, some 30 MB.
-MOST_NODES = 500_000
+#: Nodes that are sent to every task, some 30 MB, and bits of the table that stands for more of them, as much.
+MOST_NODES, BITS = 500_000, 1 << 25
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 _NODE = "struct<id:long,t:long>"
 _SCHEMA = f"node {_NODE}, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
@@ -140,14 +140,35 @@ def _all_shingles(k: int):
     return run
 
 
-def _only(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row for each of ``nodes`` (distinct, written) that ``docs`` has.
+def _met(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` that may be among ``nodes`` (distinct, written), and those that surely aren't; None where the first are exact.
 
-    Up to ``MOST_NODES`` nodes are sent to every task, so that only their texts are shuffled; more are joined.
+    Up to ``MOST_NODES`` nodes are sent to every task. Of more nodes a table of ``BITS`` hashed bits is sent, at most
+    ``BITS`` / 64 numbers, and only rows whose bit is set are shuffled to be joined.
     """
     if nodes.count() <= MOST_NODES:
-        nodes = F.broadcast(nodes)
-    return docs.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+        return rows.join(F.broadcast(nodes), "node", "left_semi"), None
+    place = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(BITS))
+    word, bit = F.floor(place / 64), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    bits = nodes.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    rows = rows.withColumns({"word": word, "bit": bit}).join(F.broadcast(bits), "word", "left")
+    hit = F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False))
+    maybe, never = (rows.where(c).drop("word", "bit", "bits") for c in (hit, ~hit))
+    return maybe, never
+
+
+def _only(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row for each of ``nodes`` that ``docs`` has."""
+    met, others = _met(docs, nodes)
+    return (met if others is None else met.join(nodes, "node", "left_semi")).dropDuplicates(["node"])
+
+
+def _parted(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` among ``nodes``, and all others."""
+    met, others = _met(rows, nodes)
+    if others is None:
+        return met, rows.join(F.broadcast(nodes), "node", "left_anti")
+    return met.join(nodes, "node", "left_semi"), others.unionByName(met.join(nodes, "node", "left_anti"))
 
 
 def _confirm(scratch: Scratch, name: str, pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -228,10 +249,9 @@ def distinct_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     # few nodes go and few are repeated, so rows meet these and no text is shuffled where they can be sent to every task
     gone = scratch.put(classes.where("component is not null and node <> component").select("node").distinct(), "gone")
     repeated = scratch.put(classes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "repeated")
-    gone, repeated = (F.broadcast(t) if t.count() <= MOST_NODES else t for t in (gone, repeated))
-    row = _nodes(docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("text"))).select("row", "node").join(gone, "node", "left_anti")
-    once = row.join(repeated, "node", "left_anti")
-    return once.unionByName(row.join(repeated, "node", "left_semi").dropDuplicates(["node"])).select("row.*")
+    _, row = _parted(_nodes(docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("text"))).select("row", "node"), gone)
+    again, once = _parted(row, repeated)
+    return once.unionByName(again.dropDuplicates(["node"])).select("row.*")
 
 
 def _rest(scratch: Scratch, docs: DataFrame, one: DataFrame, members: DataFrame, classes: DataFrame, links: DataFrame, k: int, percent: int) -> DataFrame | None:

@@ -7,7 +7,7 @@ import pytest
 
 pytest.importorskip("entitymill.llm")
 
-from entitymill.llm import chat_views, personal_data  # noqa: E402
+from entitymill.llm import chat_views, near_dedup, personal_data  # noqa: E402
 
 
 def test_chat_views_of_hot_and_strange_conversations(spark):
@@ -64,3 +64,21 @@ def test_overlaps_are_those_of_a_plain_search():
         base = personal_data.base_spans(text)
         want = [x for start, end in personal_data.islands(text) for x in field.segment(text, start, end) if not any(x[1] < b and a < x[2] for _, a, b in base)]
         assert got == sorted(base + want)
+
+
+def test_near_duplicates_with_more_nodes_than_are_sent(spark, monkeypatch):
+    """Where nodes are too many to be sent, hashed bits stand for them: links, components and kept rows stay the same."""
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(90)}" for _ in range(60)] for _ in range(12)]
+    texts = [" ".join(w if rng.random() > 0.01 else "new" for w in rng.choice(base)) for _ in range(160)]
+    rows = [(i % 150, t, f"s{i}") for i, t in enumerate(texts)] + [(3, texts[3], "s3")] * 3 + [(None, texts[5], "n"), (None, None, "n"), (900, None, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+    def both():
+        classes = sorted(map(str, near_dedup.near_duplicates(df, k=4).collect()))
+        return classes, sorted((r.doc_id or -1, r.text or "") for r in near_dedup.distinct_documents(df).collect())
+
+    want = both()
+    monkeypatch.setattr(near_dedup, "MOST_NODES", 2)
+    monkeypatch.setattr(near_dedup, "BITS", 256)
+    assert both() == want and len(want[1]) < len(rows)
