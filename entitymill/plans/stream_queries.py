@@ -53,10 +53,10 @@ def resumed_ingest(spark, d):
 
 
 def _upserted(spark: SparkSession, d: str):
-    """The kept tables after a stream of four batches, each a slice of the raw rows in order."""
+    """The kept tables after a stream of three batches, each a slice of the raw rows in order."""
     at, raw = new_folder(spark, "upsert"), raw_entities(spark, d)
-    _in_order(raw, "seq", f"{at}/in", 4)
-    tables = I.target(spark, f"{at}/target", 16)
+    _in_order(raw, "seq", f"{at}/in", 3)
+    tables = I.target(spark, f"{at}/target", 8)
     I.upsert_stream(spark, f"{at}/in", raw.schema, tables, f"{at}/checkpoint", 2)
     return tables
 
