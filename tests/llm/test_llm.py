@@ -576,7 +576,7 @@ def test_perplexity_bands_reject_junk(spark, data):
 
 
 def test_queries_and_oracles_match_names():
-    assert set(entries.ORACLES) <= set(entries.QUERIES) and len(entries.QUERIES) == 10
+    assert set(entries.ORACLES) <= set(entries.QUERIES) and len(entries.QUERIES) == 13
 
 
 def test_pipeline(spark, data):
