@@ -102,6 +102,26 @@ def test_prefixes_read_no_more(spark, tmp_path):
     assert {r.file: (r.delimiter, r.has_header) for r in files.report(spark, f"file://{tmp_path}").where("file = 'huge.csv'").collect()} == {"huge.csv": (";", True)}
 
 
+def test_a_first_part_of_a_header_only(spark, tmp_path):
+    """As a writer leaves it whose first task had no rows: what a dataset is, its next parts tell."""
+    for name, enc, value in (("c.csv", "cp1251", "ИмяФамилия ГородМосква"), ("l.csv", "latin-1", "Éléonore"), ("le.csv", "utf-16-le", "ИмяФамилия")):
+        for k, rows in enumerate(("", f"\n5,{value}\n6,{value}\n", f"\n7,{value}")):
+            (tmp_path / name).mkdir(exist_ok=True)
+            (tmp_path / name / f"part-{k}").write_bytes(f"id,full_name{rows}".encode(enc))
+    (tmp_path / "d.csv").mkdir()
+    for k in range(3):
+        (tmp_path / "d.csv" / f"part-{k}").write_bytes(b"id,name\n" + b"1,x\n" * (20_000 if k == 1 else 0))
+    folder = f"file://{tmp_path}"
+    assert {r.path.rsplit("/", 2)[-1] for r in prefixes.read_prefixes(spark, folder).collect() if "/d.csv/" in r.path} == {"part-0", "part-1"}
+    want = [("c.csv", "windows-1251", ["id", "full_name"]), ("d.csv", "utf-8", ["id", "name"]), ("l.csv", "iso-8859-1", ["id", "full_name"]), ("le.csv", "utf-16le", ["id", "full_name"])]
+    facts = files.report(spark, folder)
+    assert sorted((r.file, r.encoding, list(r.fields)) for r in facts.collect()) == want
+    scanned = profile.file_prefixes(files.raw_lines(spark, folder)).select("file", profile.encoding(F.col("prefix")).alias("e"))
+    assert {r.file: r.e for r in scanned.collect()} == {f: e for f, e, _ in want}
+    rows = files.text_lines(spark, folder, facts).where("file <> 'd.csv'").collect()
+    assert sorted((r.file, r.value) for r in rows) == sorted((f, f"{i},{v}") for f, v in (("c.csv", "ИмяФамилия ГородМосква"), ("l.csv", "Éléonore"), ("le.csv", "ИмяФамилия")) for i in (5, 6, 7))
+
+
 def test_discovery_is_not_recursive(spark, tmp_path):
     for path in ("a.csv", "b.TXT", "x.standard.csv", "notes.md", "sub/c.csv", "d.csv/part-0.csv", "d.csv/part-1.csv", "sub/e.csv/part-0.csv"):
         (tmp_path / path).parent.mkdir(exist_ok=True, parents=True)
