@@ -212,3 +212,24 @@ def test_streams_decide_as_the_ordered_pass(spark, data, tmp_path):
     want = registry.QUERIES["ttl_hits_all"](spark, data)
     assert sorted(map(tuple, out.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
     assert len({b["batch"] for b in batches if b["rows"]}) == 8 and min(b["state"] for b in batches[1:]) < max(b["state"] for b in batches)
+
+
+def test_a_batch_writes_a_state_for_each_bucket_not_each_user(spark, tmp_path):
+    """500 users in 4 buckets: as many kept rows as buckets and their timers, and the decisions of the ordered pass."""
+    from entitymill.plans import stream_queries
+    from entitymill.streaming import state
+
+    events = spark.range(0, 8000, 1, 4).selectExpr("id AS event_id", "id * 7919 % 500 - 3 AS user_id", "(id + 1) * 60000000 AS us")
+    at = f"file://{tmp_path}/limits"
+    stream = stream_queries._timely(spark, events, at, 2)
+    out, batches = stream_queries._drain(spark, state.rate_limit_stream(stream, buckets=4), at)
+    want = usage.rate_limit(events).collect()
+    assert sorted(map(tuple, out.select("event_id", "user_id", "allowed").collect())) == sorted(map(tuple, want)) and len({r.allowed for r in want}) == 2
+    assert 0 < max(b["state"] for b in batches) <= 16
+
+
+def test_settled_columns_are_computed_once(spark):
+    """A filter on a settled column is not moved before it, where it would carry a copy of all that the column is made of."""
+    rows = spark.createDataFrame([(1, '{"uid":"7","name":"A"}')], "line_no int, value string")
+    plan = mapping.map_records(rows).where("id is not null")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
