@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,9 @@ from ..operators.usage import LIMIT, OWNERS, TTL, WIDTH, cache_entities
 
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Buckets of users: each is one value of the state, read and written once in a batch.
+BUCKETS = 1024
+
 
 def keep_state_on_disk(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
@@ -51,24 +55,31 @@ class _Timed(StatefulProcessor):
 
 
 class _Limit(_Timed):
+    """The users of one bucket, whose last accepted times are one packed value: a batch reads and writes the state once for all of them."""
+
     def __init__(self, limit: int, width: int):
         self.limit, self.width = limit, width
 
     def init(self, handle) -> None:
         super().init(handle)
-        self.log = handle.getListState("log", "us long")
+        self.logs = handle.getValueState("logs", "packed binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        user = int(key[0])
-        log = deque(t[0] for t in self.log.get()) if self.log.exists() else deque()
-        out = [(r.event_id, user, user > 0 and (user in OWNERS or allow(log, int(r.us), self.limit, self.width))) for r in _in_order(rows)]
-        if log:
-            self.log.put([(t,) for t in log])
-            self.wake(log[-1] + self.width)
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "allowed"])
+        kept = self.logs.get()
+        logs: dict[int, deque] = {}
+        for user, us in np.frombuffer(kept[0], np.int64).reshape(-1, 2).tolist() if kept else ():
+            logs.setdefault(user, deque()).append(us)
+        pdf = pd.concat(list(rows)).sort_values(["us", "event_id"])
+        users, times = pdf["user_id"].tolist(), pdf["us"].tolist()
+        allowed = [u > 0 and (u in OWNERS or allow(logs.setdefault(u, deque()), us, self.limit, self.width)) for u, us in zip(users, times)]
+        # later rows are no earlier than these, so users whose times have all left the window go
+        pairs = [(u, us) for u, log in logs.items() if log and log[-1] > times[-1] - self.width for us in log]
+        self.logs.update((np.array(pairs, np.int64).tobytes(),))
+        self.wake(max((us for _, us in pairs), default=times[-1]) + self.width)
+        yield pd.DataFrame({"event_id": pdf["event_id"], "user_id": pdf["user_id"], "allowed": allowed})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.log.clear()
+        self.logs.clear()
         return iter(())
 
 
@@ -106,15 +117,16 @@ def _timed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("at", F.timestamp_micros("us")).withWatermark("at", "0 seconds")
 
 
-def rate_limit_stream(events: DataFrame, limit: int = LIMIT, width: int = WIDTH) -> DataFrame:
-    """Same decisions as the batch rule; the state is the last accepted times, at most ``limit`` of them.
+def rate_limit_stream(events: DataFrame, limit: int = LIMIT, width: int = WIDTH, buckets: int = BUCKETS) -> DataFrame:
+    """Same decisions as the batch rule; the state is the last accepted times of each user, at most ``limit`` of them, by hashed buckets of users.
 
     Requests without a user are refused without a row here.
     """
     keep_state_on_disk(events.sparkSession)
     # without nulls the keys stay exact integers
     known = _timed(events.where("user_id is not null"))
-    return known.groupBy("user_id").transformWithStateInPandas(_Limit(limit, width), "event_id long, user_id long, allowed boolean", "append", "eventTime")
+    known = known.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)))
+    return known.groupBy("bucket").transformWithStateInPandas(_Limit(limit, width), "event_id long, user_id long, allowed boolean", "append", "eventTime")
 
 
 def ttl_hits_stream(looked_up: DataFrame, ttl: int = TTL) -> DataFrame:
