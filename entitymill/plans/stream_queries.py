@@ -14,13 +14,23 @@ from ..streaming import state as S
 from .queries import kept_tables
 
 
-def _in_order(rows: DataFrame, by: str, at: str, n: int, files: int = 2) -> None:
-    """Rows as ``n`` slices by value of ``by``, one after the other, of ``files`` files each (fewer where a slice is tiny)."""
+#: Rows of a file that a query writes for its stream, and input rows for each bucket of its kept tables.
+_ROWS_PER_FILE, _ROWS_PER_BUCKET = 100_000, 500_000
+
+
+def _buckets(n: int) -> int:
+    return max(8, -(-n // _ROWS_PER_BUCKET))
+
+
+def _in_order(rows: DataFrame, by: str, at: str, n: int) -> int:
+    """Rows as ``n`` slices by value of ``by``, one after the other; the number of files of each: two or more, by its rows (fewer where a slice is tiny)."""
+    files = max(2, -(-rows.count() // n // _ROWS_PER_FILE))
     cuts = sorted(set(rows.approxQuantile(by, [i / n for i in range(1, n)], 0.25 / n)))
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = rows if low is None else rows.where(F.col(by) > int(low))
         part = part if high is None else part.where(F.col(by) <= int(high))
         part.repartition(files).write.mode("append").parquet(at)
+    return files
 
 
 def incremental_ingest(spark, d):
@@ -37,17 +47,21 @@ def resumed_ingest(spark, d):
     """Rows by id after three deliveries of the same growing files: half of the lines, all of them, and all of them again."""
     at, raw = new_folder(spark, "resumed"), raw_entities(spark, d)
     half = raw.approxQuantile("seq", [0.5], 0.1)[0]
-    tables = I.target(spark, f"{at}/target", 8)
+    n = raw.count()
+    tables, parts = I.target(spark, f"{at}/target", _buckets(n)), max(1, n // (3 * _ROWS_PER_FILE))
     for k, part in enumerate((raw.where(F.col("seq") <= half), raw, raw)):
         out = part.select("source_file", "seq", F.col("id_raw").alias("id"), F.col("name_raw").alias("name"), F.col("alias_a_raw").alias("phone"), F.col("alias_b_raw").alias("username"))
+        # part files of each source, whose lines only grow; each is written by one task
+        lines = out.withColumn("p", F.pmod(F.xxhash64("seq"), F.lit(parts))).repartition(3 * parts, "source_file", "p").sortWithinPartitions("source_file", "p", "seq").drop("seq")
+        lines.write.partitionBy("source_file", "p").options(header="true", emptyValue="", nullValue="").csv(f"{at}/new-{k}")
+        shared.remove(spark, f"{at}/in")
         for s in ("0", "1", "2"):
-            # one file for each source, whose lines only grow
-            lines = out.where(F.col("source_file") == s).drop("source_file").coalesce(1).sortWithinPartitions("seq").drop("seq")
-            lines.write.options(header="true", emptyValue="", nullValue="").csv(f"{at}/new-{k}-{s}")
-            name = next(n for n in shared.names(spark, f"{at}/new-{k}-{s}") if n.startswith("part-"))
-            shared.remove(spark, f"{at}/in/{s}.csv")
-            shared.make(spark, f"{at}/in")
-            shared.rename(spark, f"{at}/new-{k}-{s}/{name}", f"{at}/in/{s}.csv")
+            shared.make(spark, f"{at}/in/{s}.csv")
+            for p in range(parts):
+                new = f"{at}/new-{k}/source_file={s}/p={p}"
+                for name in shared.names(spark, new):
+                    if name.startswith("part-"):
+                        shared.rename(spark, f"{new}/{name}", f"{at}/in/{s}.csv/part-{p:06d}.csv")
         I.ingest_files(tables, f"{at}/in")
     return tables.read("records").select("id", "n_rows")
 
@@ -55,9 +69,9 @@ def resumed_ingest(spark, d):
 def _upserted(spark: SparkSession, d: str):
     """The kept tables after a stream of three batches, each a slice of the raw rows in order."""
     at, raw = new_folder(spark, "upsert"), raw_entities(spark, d)
-    _in_order(raw, "seq", f"{at}/in", 3)
-    tables = I.target(spark, f"{at}/target", 8)
-    I.upsert_stream(spark, f"{at}/in", raw.schema, tables, f"{at}/checkpoint", 2)
+    files = _in_order(raw, "seq", f"{at}/in", 3)
+    tables = I.target(spark, f"{at}/target", _buckets(raw.count()))
+    I.upsert_stream(spark, f"{at}/in", raw.schema, tables, f"{at}/checkpoint", files)
     return tables
 
 
@@ -94,8 +108,8 @@ def _drain(spark: SparkSession, stream: DataFrame, at: str, mode: str = "append"
 
 def _timely(spark: SparkSession, rows: DataFrame, at: str, n: int = 6) -> DataFrame:
     """Rows as a stream of ``n`` micro-batches in order of time; each row is written once and read once."""
-    _in_order(rows, "us", f"{at}/in", n)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    files = _in_order(rows, "us", f"{at}/in", n)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{at}/in")
 
 
 def stream_rate_limit(spark, d):

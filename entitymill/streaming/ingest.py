@@ -133,8 +133,10 @@ def ingest_files(tables: KeyedTables, folder: str) -> bool:
         grown = grown.withColumn("place_of_file", F.row_number().over(Window.orderBy("key"))).select(F.col("file").alias("gf"), F.col("part").alias("gp"), "key", "lines", "done", "place_of_file").persist()
         n, base = grown.count(), before.get("counts", {}).get("top", 0)
         if n:
-            rows = files.line_numbers(files.records(files.lines(spark, folder, facts)), counts).join(grown, (F.col("file") == F.col("gf")) & (F.col("part") == F.col("gp")))
+            # lines that earlier runs took are never split into fields
+            rows = files.line_numbers(files.lines(spark, folder, facts), counts).join(grown, (F.col("file") == F.col("gf")) & (F.col("part") == F.col("gp")))
             rows = rows.where("line_no > coalesce(done, 0) and line_no <= lines")
+            rows = files.records(rows, jsonl=not facts.where("jsonl").isEmpty(), keep=("line_no", "place_of_file"))
             seq = F.lit(base) + F.col("place_of_file") * F.lit(_FILE_LINES) + F.col("line_no")
             raw = rows.select(seq.alias("seq"), F.col("file").alias("source_file"), F.col("id").alias("id_raw"), F.col("name").alias("name_raw"), F.col("phone").alias("alias_a_raw"), F.col("username").alias("alias_b_raw"), F.col("extras").alias("extras_raw"))
             progressed = grown.select(F.col("key").alias("part"), "lines")
