@@ -38,20 +38,23 @@ def upsert_with_extras(rows: DataFrame, existing: DataFrame | None = None, tell_
     ``existing`` has the columns of the result; its rows come before all others. ``tell_old`` adds ``n_old``, the rows that an existing record had.
     """
     fields = ["name", "alias_a", "alias_b"]
-    new = rows.select("id", F.col("seq").cast("long").alias("seq"), *fields, "extras", F.lit(1).cast("long").alias("n_rows"))
+    new = rows.select("id", F.col("seq").cast("long").alias("seq"), *fields, "extras", F.lit(1).cast("long").alias("n_rows"), F.lit(1).alias("late"))
     if existing is not None:
-        new = existing.select("id", F.lit(None).cast("long").alias("seq"), *fields, "extras", F.col("n_rows").cast("long").alias("n_rows")).unionByName(new)
+        new = existing.select("id", F.lit(None).cast("long").alias("seq"), *fields, "extras", F.col("n_rows").cast("long").alias("n_rows"), F.lit(0).alias("late")).unionByName(new)
 
     def step(state: list, r) -> list:
         for k, value in enumerate((r.name, r.alias_a, r.alias_b)):
             state[k] = value or state[k]
         state[3] += r.n_rows
-        state[4].take(r.extras)
-        state[5] += r.n_rows if r.seq is None else 0
+        if r.late:
+            state[4].take(r.extras)
+        else:
+            # most existing records meet no row: what they have is neither read nor written again
+            state[4], state[5] = Merged(r.extras), r.n_rows
         return state
 
     schema = "id string, name string, alias_a string, alias_b string, n_rows long, extras string, n_old long"
-    out = ordered_reduce(new, "id", ["seq"], schema, lambda: ["", "", "", 0, Merged(), 0], step, lambda k, s: (k, *s[:4], s[4].text(), s[5]))
+    out = ordered_reduce(new, "id", ["late", "seq"], schema, lambda: ["", "", "", 0, Merged(), 0], step, lambda k, s: (k, *s[:4], s[4].text(), s[5]))
     return out if tell_old else out.drop("n_old")
 
 

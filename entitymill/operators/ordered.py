@@ -20,7 +20,15 @@ _KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolea
 
 def _rows(batch: pa.RecordBatch) -> Iterator:
     row = namedtuple("Row", batch.schema.names)
-    return map(row, *(c.to_pylist() for c in batch.columns))
+    return map(row, *map(_values, batch.columns))
+
+
+def _values(c: pa.Array) -> list:
+    """``to_pylist``, by way of NumPy where that gives the same Python values: it is several times as fast."""
+    t = c.type
+    if pa.types.is_string(t) or pa.types.is_large_string(t) or (not c.null_count and (pa.types.is_integer(t) or pa.types.is_floating(t) or pa.types.is_boolean(t))):
+        return c.to_numpy(zero_copy_only=False).tolist()
+    return c.to_pylist()
 
 
 def _out(rows: list[tuple], schema: str) -> pa.RecordBatch:
