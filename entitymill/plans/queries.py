@@ -18,7 +18,10 @@ def _accepted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def indexes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = _accepted(spark, d)
+    """Records and both alias indexes; rows are cleaned once for all three, into a folder."""
+    at = new_folder(spark, "accepted")
+    _accepted(spark, d).select("seq", "id", "name", "alias_a", "alias_b").write.parquet(at)
+    rows = spark.read.parquet(at)
     return merge.upsert(rows), merge.alias_index(rows, "alias_a"), merge.alias_index(rows, "alias_b")
 
 

@@ -14,20 +14,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from . import shared
+
 #: Keys of a look-up that are sent into the scan as a filter; the ranges are chosen for any number of keys.
 MOST_POINTS = 1000
 _ROWS_PER_RANGE = 1_000_000
 
 
 def write_sorted(rows: DataFrame, key: str, path: str, ranges: int | None = None) -> None:
-    """Ranges of about equal size; without a number of them, one for each million rows, at least 8."""
+    """Ranges of about equal size; without a number of them, one for each million rows, at least 8.
+
+    Rows are worked out once, into a folder that goes: they are counted, sampled for the ranges' edges and dealt out from there.
+    """
     spark = rows.sparkSession
+    rows.write.mode("overwrite").parquet(f"{path}/undealt")
+    rows = spark.read.schema(rows.schema).parquet(f"{path}/undealt")
     if ranges is None:
         ranges = max(8, -(-rows.count() // _ROWS_PER_RANGE))
     dealt = rows.repartitionByRange(ranges, key).withColumn("r", F.spark_partition_id()).sortWithinPartitions(key)
     dealt.write.mode("overwrite").partitionBy("r").option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.expected.ndv#{key}", str(_ROWS_PER_RANGE)).parquet(f"{path}/data")
     kept = spark.read.schema(f"{dealt.schema[key].name} {dealt.schema[key].dataType.simpleString()}, r int").parquet(f"{path}/data")
     kept.groupBy("r").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/zones")
+    shared.remove(spark, f"{path}/undealt")
 
 
 def read_sorted(spark: SparkSession, path: str) -> DataFrame:
