@@ -53,6 +53,7 @@ def kept_alias_lookup(probes: DataFrame, path: str, probe: str, name: str) -> Da
 
 def routed_lookup(probes: DataFrame, index: DataFrame, probe: str = "probe") -> DataFrame:
     """Adds kind, key, id and outcome (hit, miss or invalid) to every probe row, by one equi-join on (kind, key)."""
-    routed = probes.withColumns({"kind": C.route(probe), "key": C.probe_key(probe)})
+    # a probe is routed once, behind a generator that no filter by kind or outcome is moved through
+    routed = probes.withColumn("routed", F.struct(C.route(probe).alias("kind"), C.probe_key(probe).alias("key"))).select(*probes.columns, F.inline(F.array("routed")))
     found = routed.join(index.select(F.col("kind").alias("ik"), F.col("key").alias("iv"), "id"), (F.col("kind") == F.col("ik")) & (F.col("key") == F.col("iv")), "left").drop("ik", "iv")
     return found.withColumn("outcome", F.when(F.col("key").isNull(), "invalid").when(F.col("id").isNull(), "miss").otherwise("hit"))
